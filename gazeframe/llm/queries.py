@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import html_text, secrets, url_filter, warc
+from gazeframe.llm import html_text, packing, secrets, token_files, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -48,6 +48,23 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
+    return packing.digests(pieces)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.read_documents(shards)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -59,6 +76,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
+    "op7_token_files": op7_token_files,
     "op9_secrets": op9_secrets,
     "op10_html_text": op10_html_text,
 }
