@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import html_text, packing, secrets, token_files, url_filter, warc
+from gazeframe.llm import html_text, jaccard, packing, secrets, token_files, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -65,6 +65,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(shards)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op7_token_files": op7_token_files,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secrets": op9_secrets,
     "op10_html_text": op10_html_text,
 }
