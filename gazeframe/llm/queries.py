@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import html_text, jaccard, packing, secrets, token_files, url_filter, warc
+from gazeframe.llm import decontaminate, html_text, jaccard, packing, secrets, token_files, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -60,6 +60,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(pieces)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.read_documents(shards)
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_token_files": op7_token_files,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secrets": op9_secrets,
