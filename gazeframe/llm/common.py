@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,18 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
         )
         label = written(step, f"{tag}-labels")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def forest(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (name, name of its tree's first member) of a spanning forest of the links between names[i] and names[j]."""
+    root = np.arange(len(names))
+    while len(i):
+        lo = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], lo)
+        np.minimum.at(new, root[j], lo)
+        new = new[new][root]
+        if (new == root).all():
+            break
+        root = new
+    return [(int(names[k]), int(names[r])) for k, r in enumerate(root.tolist()) if k != r]

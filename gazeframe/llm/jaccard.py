@@ -23,14 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import components, written
+from gazeframe.llm.common import components, forest, written
 from gazeframe.llm.grams import gram_sets, mixed
 from gazeframe.llm.token_ids import slices
 
-BUCKETS = 1 << 16
+BUCKET_BITS = 21
+BUCKETS = 1 << BUCKET_BITS
+#: Buckets of one row of counts, when tasks' counts are added up.
+CHUNK = 1 << 15
 #: Bits of the map that tells a task which fingerprints are candidates; false hits are removed by the join that follows.
 MAP_BITS = 1 << 23
 BLOCK = 128
@@ -65,32 +69,42 @@ def fingerprints(docs: DataFrame, n: int = 5) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, print) of every row, in the shared folder; and the n-grams in each bucket over all rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "print", "buckets"]
-        full = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "n_shingles", "print", "chunk", "counts"]
+        full = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for part in _pieces(batch):
                 sets, sizes = gram_sets(part.column(1), n)
-                full += np.bincount((sets & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_prints(sets, sizes)), pa.nulls(len(part), pa.list_(pa.int64()))], names)
-        there = np.flatnonzero(full)
-        if len(there):
-            flat = (full[there] << 16 | there).tolist()  # the count, then the bucket
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([flat], pa.list_(pa.int64()))], names)
-
-    kind = "doc_id long, n_shingles long, print long, buckets array<long>"
+                np.add.at(full, (sets & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_prints(sets, sizes)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names)
+        press = zstandard.ZstdCompressor(level=1)
+        for k in range(0, BUCKETS, CHUNK):
+            if full[k : k + CHUNK].any():
+                counts = press.compress(full[k : k + CHUNK].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([k]), pa.array([counts], pa.binary())], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.setdefault(k, np.zeros(CHUNK, np.int64))
+                sums[k] += np.frombuffer(press.decompress(counts), np.uint32)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    kind = "doc_id long, n_shingles long, print long, chunk long, counts binary"
     both = written(docs.select("doc_id", "text").mapInArrow(work, kind), "jaccard-prints")
-    packed = both.where("n_shingles < 0").select(F.explode("buckets").alias("b"))
-    sums = packed.groupBy((F.col("b") % BUCKETS).alias("bucket")).agg(F.sum(F.shiftright("b", 16)).alias("n"))
+    chunks = both.where("n_shingles < 0").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk long, counts binary")
     full = np.zeros(BUCKETS, np.int64)
-    for r in sums.toArrow().to_pylist():  # at most BUCKETS rows
-        full[r["bucket"]] = r["n"]
+    for r in chunks.toLocalIterator():  # one row for each chunk
+        full[r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["counts"], np.int64)
     return both.where("n_shingles >= 0").select("doc_id", "n_shingles", "print"), full
 
 
 def candidate_clusters(docs: DataFrame, full: np.ndarray, n: int, percent: int) -> DataFrame:
     """(print, cluster) of the classes that share an n-gram of their prefixes with another class."""
-    rank = np.empty(BUCKETS, np.uint64)
-    rank[np.argsort(full, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    rank = np.empty(BUCKETS, np.uint32)
+    rank[np.argsort(full, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
     order = docs.sparkSession.sparkContext.broadcast(rank)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +114,7 @@ def candidate_clusters(docs: DataFrame, full: np.ndarray, n: int, percent: int)
             for part in _pieces(batch):
                 sets, sizes = gram_sets(part.column(1), n)
                 prints = _prints(sets, sizes)
-                key = rank[(sets & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48) | sets >> np.uint64(16)
+                key = rank[(sets & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - BUCKET_BITS) | sets >> np.uint64(BUCKET_BITS)
                 out, who, at = [], [], 0
                 for size, p in zip(sizes.tolist(), prints.tolist(), strict=True):
                     if size and p not in seen:
@@ -178,22 +192,6 @@ def block_overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return alive & links(overlap.astype(np.int64), a, b, percent)
 
 
-def forest(names: np.ndarray, linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (name, name of its tree's root) of a spanning forest of the links."""
-    root = np.arange(len(names))
-    i, j = (x[k] for x, k in zip((left, right), np.nonzero(linked), strict=True))
-    while len(i):
-        lo = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], lo)
-        np.minimum.at(new, root[j], lo)
-        new = new[new][root]
-        if (new == root).all():
-            break
-        root = new
-    return [(int(names[k]), int(names[r])) for k, r in enumerate(root.tolist()) if k != r]
-
-
 def class_links(sets: DataFrame, clusters: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(u, v): a spanning forest of the links of each pair of blocks."""
     inside = written(sets.join(clusters, "print"), "jaccard-sets")
@@ -227,7 +225,8 @@ def class_links(sets: DataFrame, clusters: DataFrame, percent: int, block: int =
         if len(names) < 2 or not len(left) or not len(right):
             return []
         linked = block_overlaps([np.frombuffer(s, np.uint64) for s in sets], left, right, percent)
-        return forest(np.array(names), linked, left, right)
+        i, j = np.nonzero(linked)
+        return forest(np.array(names), left[i], right[j])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [])

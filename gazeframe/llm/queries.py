@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import decontaminate, html_text, jaccard, packing, secrets, token_files, url_filter, warc
+from gazeframe.llm import decontaminate, embedding_join, html_text, jaccard, packing, secrets, token_files, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -42,6 +42,10 @@ select page_id, host, path, rule, coalesce({by_rule}, case when on_list is not n
 from ruled left join listed on canon = on_list"""
 
 
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.join(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive(table(spark, sf_dir, "pages"), least=0)
     back = warc.read_archives(manifest, payloads=False)
@@ -83,6 +87,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_embedding_join": op3_embedding_join,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
