@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 #: White space of the n-gram join: blank, tab to carriage return.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +47,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, after replacing bytes by ``table``: equal spans have equal hashes wherever they are."""
+    up, down = _power(len(data) + 1)
+    total = np.cumsum(_BYTE[table][data] * up[: len(data)], dtype=np.uint64)
+    value = total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))
+    return mixed(value * down[start] + (end - start).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word with A-Z in lower case, first byte of each word, number of words of each text)."""
     if not len(data):
@@ -64,11 +72,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     ends = offsets[1:][offsets[1:] > 0]
     after[ends - 1] = False
     end = np.flatnonzero(inside & ~after)
-    up, down = _power(len(data) + 1)
-    total = np.cumsum(_BYTE[_FOLD[data]] * up[: len(data)], dtype=np.uint64)
-    value = total[end] - np.where(start > 0, total[start - 1], np.uint64(0))
-    value = mixed(value * down[start] + (end - start).astype(np.uint64))
-    return value, start, np.diff(np.searchsorted(start, offsets))
+    return span_hashes(data, start, end + 1, FOLD), start, np.diff(np.searchsorted(start, offsets))
 
 
 def grams(value: np.ndarray, number: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

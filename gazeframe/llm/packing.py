@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.llm.common import written
-from gazeframe.llm.token_ids import Encoder, slices
+from gazeframe.llm.token_ids import encoder, slices
 
 WINDOW = 1024
 #: Combinations of two lengths are all taken; of three, those whose lengths are in the first so many by count.
@@ -111,13 +112,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         seen = np.zeros(window, np.int64)
         row = part << 33
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for lo, hi in slices([len(t) for t in texts], 1 << 20):
-                flat, n = coder.encode(texts[lo:hi])
+            texts = batch.column(1).fill_null("")
+            for lo, hi in slices(pc.binary_length(texts).to_pylist(), 1 << 20):
+                flat, n = coder.encode(texts.slice(lo, hi - lo))
                 flat = np.insert(flat, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 rest = n % window

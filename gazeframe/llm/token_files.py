@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import window as W
 
 from gazeframe.llm.common import shared_dir, written
 from gazeframe.llm.files import get, put
-from gazeframe.llm.token_ids import Encoder, slices
+from gazeframe.llm.token_ids import encoder, slices
 
 MAGIC = b"WMTF0001"
 #: Ids of a shard, about; a longer document has a shard of its own.
@@ -162,7 +163,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         names: list = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -177,10 +178,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).fill_null("")
             ids = batch.column(0).to_pylist()
-            for lo, hi in slices([len(t) for t in texts], 1 << 20):
-                flat, n = coder.encode(texts[lo:hi])
+            for lo, hi in slices(pc.binary_length(texts).to_pylist(), 1 << 20):
+                flat, n = coder.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(n)
                 held.append(np.insert(flat, ends, end_id))
                 lengths.append(n + 1)

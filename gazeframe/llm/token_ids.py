@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, made faster by remembering the ids of words.
 
-A text falls into chunks at places where its tokenizer's own splitting always has a boundary (a letter followed by
-white space or punctuation); each different chunk goes through the tokenizer once. For tokenizers whose splitting is
-not one of the two known kinds, and for texts with unusual white space, the tokenizer takes the whole text.
+A text falls into chunks at places where its tokenizer's own splitting always has a boundary: before white space, and
+between a letter and ASCII punctuation or a digit. Each different chunk (by a 64-bit hash of its bytes) goes through the
+tokenizer once; a process keeps a bounded number of them. For tokenizers whose splitting is not one of the two known
+kinds, and for texts with unusual white space, the tokenizer takes the whole text.
 """
 
 from __future__ import annotations
@@ -11,19 +12,22 @@ import json
 import os
 import re
 from collections.abc import Sequence
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: A run of letters that no other letter or mark follows; else what there is up to the next white space.
-_WORD = rf"[{_LETTERS}]++(?![^\x00-\x7fÀ-ɏ])"
-_KINDS = {
-    "bytes": re.compile(rf"[ \n]*{_WORD}|[ \n]*[^ \n]+|[ \n]+"),
-    "words": re.compile(rf"{_WORD}|[^ \n]+"),
-}
-#: White space besides the blank and the line feed, for any of the libraries.
-_ODD = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0᠎​-‏ - ⁠﻿]")
+from gazeframe.llm.grams import FOLD, raw, span_hashes
+
+#: White space besides the blank and the line feed, for any of the libraries; and the first bytes of such characters.
+_ODD = re.compile("[^\\S \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
+_MAYBE_ODD = np.zeros(256, bool)
+_MAYBE_ODD[[*range(0x0A), *range(0x0B, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x0A]] = True
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_STOP = np.array([b < 128 and b > 0x20 and not chr(b).isalpha() for b in range(256)])
+_SAME = np.arange(256, dtype=np.uint8)
 
 
 def _kind(config: dict) -> str:
@@ -37,10 +41,31 @@ def _kind(config: dict) -> str:
     return "whole"
 
 
+def chunks(data: np.ndarray, offsets: np.ndarray, blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the chunks of all texts; ``blanks``: white space belongs to the chunk after it, else to none."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = _SPACE[data]
+    cut = np.zeros(n, bool)
+    latin = np.zeros(n, bool)  # the second byte of a letter from U+00C0 to U+023F
+    latin[1:] = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    cut[1:] = (~space[:-1] & space[1:]) | ((_LETTER[data[:-1]] | latin[:-1]) & _STOP[data[1:]])
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    if not blanks:
+        cut[1:] |= space[:-1] & ~space[1:]
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], n)
+    if not blanks:
+        word = ~space[start]
+        start, end = start[word], end[word]
+    return start, end
+
+
 class Encoder:
     """encode(texts) gives (ids of all texts one after the other, number of ids of each)."""
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,68 +74,111 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
         self.most_chunks = most_chunks
+        self.between = self._separator()
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 20_000):
-            part = chunks[k : k + 20_000]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = enc.ids
-                n = len(self.code)
-                if n >= len(self.start):
-                    self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
+        self.size = np.zeros(1 << 16, np.int32)
+
+    def _separator(self) -> tuple[str, int, re.Pattern] | None:
+        """(text between chunks, its only id, chunks that can't stand beside it): many chunks then go as one text."""
+        for mark, between in {"bytes": (("\n", "\n"),), "words": tuple((c, f" {c} ") for c in "§©¤¶±")}.get(self.kind, ()):
+            ids = self.tokenizer.encode(between, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return between, ids[0], re.compile(rf"{re.escape(mark)}|  | $" if self.kind == "bytes" else re.escape(mark))
+        return None
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        part = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, part), np.int32, len(part))
+        return np.fromiter(chain.from_iterable(part), np.uint32, int(size.sum())), size
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        between, mark, _ = self.between
+        size, kept = [], []
+        for k in range(0, len(texts), 512):
+            part = texts[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) != len(part) - 1:
+                ids, n = self._alone(part)
+            else:
+                n = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                ids = np.delete(ids, cut)
+            kept.append(ids)
+            size.append(n)
+        return np.concatenate(kept), np.concatenate(size)
+
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        apart = [self.between is None or bool(self.between[2].search(t)) for t in texts]
+        for how, which in ((self._alone, True), (self._together, False)):
+            mine = [i for i, x in enumerate(apart) if x is which]
+            for k in range(0, len(mine), 20_000):
+                part = mine[k : k + 20_000]
+                ids, size = how([texts[i] for i in part])
+                n, m = len(self.code), len(part)
+                while n + m > len(self.start):
+                    self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
                 while self.used + len(ids) > len(self.flat):
                     self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.start[n], self.size[n] = self.used, len(ids)
+                self.start[n : n + m] = self.used + np.cumsum(size) - size
+                self.size[n : n + m] = size
                 self.flat[self.used : self.used + len(ids)] = ids
                 self.used += len(ids)
-                self.code[chunk] = n
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = {i: self._whole(t) for i, t in enumerate(texts) if self.kind == "whole" or self.kind == "bytes" and _ODD.search(t) or self.kind == "words" and "Σ" in t}
+                self.code.update(zip((keys[i] for i in part), range(n, n + m), strict=True))
+
+    def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        if self.kind == "whole":
+            return list(range(len(texts)))
+        if self.kind == "words":
+            return []
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_ODD[data]), "right") - 1)
+        return [i for i in rows.tolist() if _ODD.search(texts[i].as_py())]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = raw(texts)
+        odd = {i: np.array(self.tokenizer.encode(texts[i].as_py() or "", add_special_tokens=False).ids, np.uint32) for i in self._odd(texts, data, offsets)}
+        table = FOLD if self.kind == "words" else _SAME
+        start, end = chunks(data, offsets, self.kind == "bytes")
         if len(self.code) > self.most_chunks:
             self._forget()
-        find = _KINDS.get(self.kind, _KINDS["bytes"]).findall
-        chunks: list[str] = []
-        number = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if i not in odd:
-                got = find(t.lower() if self.kind == "words" else t)
-                number[i] = len(got)
-                chunks += got
-        codes = np.fromiter(map(self.code.get, chunks, repeat(-1)), np.int64, len(chunks))
+        keys, first, which = np.unique(span_hashes(data, start, end, table), return_index=True, return_inverse=True)
+        names = keys.tolist()
+        codes = np.array([self.code.get(k, -1) for k in names], np.int64)
         unknown = np.flatnonzero(codes < 0)
         if len(unknown):
-            new = [chunks[i] for i in unknown.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            codes[unknown] = [self.code[c] for c in new]
-        size = self.size[codes]
-        end = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[codes] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
-        last = np.cumsum(number)
-        at = np.concatenate([[0], end])
-        lengths = at[last] - at[last - number]
+            view = memoryview(np.ascontiguousarray(table[data]))
+            at = first[unknown]
+            new = [str(view[a:b], "utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            missing = [names[i] for i in unknown.tolist()]
+            self._learn(missing, new)
+            codes[unknown] = [self.code[k] for k in missing]
+        codes = codes[which]
+        size = self.size[codes].astype(np.int64)
+        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[codes] - done[:-1], size) + np.arange(done[-1])]
+        lengths = np.diff(done[np.searchsorted(start, offsets)])
         if odd:
-            parts, lo = [], 0
-            for i in range(len(texts)):
-                if i in odd:
-                    parts.append(odd[i])
-                    lengths[i] = len(odd[i])
-                else:
-                    parts.append(ids[lo : lo + lengths[i]])
-                    lo += lengths[i]
+            ends = np.cumsum(lengths)
+            parts = [odd[i] if i in odd else ids[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True))]
+            lengths = np.array([len(p) for p in parts], np.int64)
             ids = np.concatenate(parts)
-        return ids.astype(np.uint32, copy=False), lengths
+        return ids, lengths
+
+
+_kept: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a tokenizer file; a Python worker keeps it from task to task."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = Encoder(path)
+    return _kept[path]
 
 
 def slices(sizes: Sequence[int], most: int) -> list[tuple[int, int]]:
