@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import decontaminate, embedding_join, html_text, jaccard, packing, secrets, token_files, url_filter, warc
+from gazeframe.llm import decontaminate, embedding_join, html_text, jaccard, packing, secrets, token_files, toxicity, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -42,6 +42,24 @@ select page_id, host, path, rule, coalesce({by_rule}, case when on_list is not n
 from ruled left join listed on canon = on_list"""
 
 
+TOXIC_FROM = 0.7
+
+
+def held_out(doc_id: Column) -> Column:
+    """The fold that no label is learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.join(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -87,6 +105,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_embedding_join": op3_embedding_join,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
