@@ -67,7 +67,7 @@ def multinomial_replicates(cell_counts: DataFrame, by: list[str], replicates: in
     """(by..., rep, truth, label, n): iid resamples of items, drawn on the at most nine cells of each group."""
     names = [f"{b} string" for b in by]
 
-    def draw(keys, table: pd.DataFrame) -> pd.DataFrame:
+    def draw(keys: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["truth", "label"])
         start = np.frombuffer("|".join(map(str, keys)).encode().ljust(4, b"\0"), np.uint8)
         rng = np.random.default_rng([seed, *start.tolist()])
@@ -105,7 +105,7 @@ def permutation_null(item_cells: DataFrame, replicates: int, seed: int, block: i
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(chance < 1, (agree - chance) / (1 - chance), np.nan)
 
-    def draw(keys, t: pd.DataFrame) -> pd.DataFrame:
+    def draw(keys: tuple, t: pd.DataFrame) -> pd.DataFrame:
         system, k = keys
         at = {c: i for i, c in enumerate(LABELS)}
         full = np.zeros((3, 3, 3), np.int64)

@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from gazeframe.schema import LAGGED_CLIPS, MOTION_SCALE, SHIFT_PIXELS, STABILITY_WEIGHTS
 
-_ORDER = Window.partitionBy("child_id").orderBy("frame")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE = _ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def _order():
+    """Rows of a sequence by frame; made when it is used, as it needs a session."""
+    return Window.partitionBy("child_id").orderBy("frame")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before():
+    return _order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def children(frames: DataFrame) -> DataFrame:
@@ -36,7 +45,7 @@ def _is(*classes: str) -> Column:
 
 def _streak(mask: Column) -> Column:
     """Rows since the mask was last false, at a row where it is true; 0 elsewhere."""
-    return F.when(mask, F.col("_n") - F.coalesce(F.max(F.when(~mask, F.col("_n"))).over(_SO_FAR), F.lit(0))).otherwise(0)
+    return F.when(mask, F.col("_n") - F.coalesce(F.max(F.when(~mask, F.col("_n"))).over(_so_far()), F.lit(0))).otherwise(0)
 
 
 def stability(visible: Column, streak: Column, motion: Column, shift: Column, weights: tuple = STABILITY_WEIGHTS) -> Column:
@@ -50,14 +59,14 @@ def enriched(frames: DataFrame) -> DataFrame:
     """Frames with row numbers, steps of head and gaze, and running streaks."""
     visible, hidden = _is("inside_visible"), _is("inside_occluded", "inside_uncertain")
     cx, cy = F.col("bbox_x") + F.col("bbox_width") / 2, F.col("bbox_y") + F.col("bbox_height") / 2
-    seen = F.last(F.when(visible, F.struct("gaze_x", "gaze_y")), ignorenulls=True).over(_BEFORE)
+    seen = F.last(F.when(visible, F.struct("gaze_x", "gaze_y")), ignorenulls=True).over(_before())
     by_class = Window.partitionBy("child_id", "gaze_class")
     return (
-        frames.withColumn("_n", F.row_number().over(_ORDER))
+        frames.withColumn("_n", F.row_number().over(_order()))
         .withColumn("_cx", cx)
         .withColumn("_cy", cy)
         .withColumn("_seen", seen)
-        .withColumn("_head_step", distance(F.col("_cx") - F.lag("_cx").over(_ORDER), F.col("_cy") - F.lag("_cy").over(_ORDER)))
+        .withColumn("_head_step", distance(F.col("_cx") - F.lag("_cx").over(_order()), F.col("_cy") - F.lag("_cy").over(_order())))
         .withColumn("_gaze_step", F.when(visible, distance(F.col("gaze_x") - F.col("_seen.gaze_x"), F.col("gaze_y") - F.col("_seen.gaze_y"))))
         .withColumn("_visible", visible)
         .withColumn("_hidden", hidden)
@@ -99,7 +108,7 @@ def features(frames: DataFrame) -> DataFrame:
 
 def segment_types(frames: DataFrame) -> DataFrame:
     """Frames with their segment type; a visible frame is a shift if the row before is visible and the gaze jumped."""
-    before = F.lag(F.struct("gaze_class", "gaze_x", "gaze_y")).over(_ORDER)
+    before = F.lag(F.struct("gaze_class", "gaze_x", "gaze_y")).over(_order())
     jump = (F.col("_b.gaze_class") == "inside_visible") & (distance(F.col("gaze_x") - F.col("_b.gaze_x"), F.col("gaze_y") - F.col("_b.gaze_y")) >= SHIFT_PIXELS)
     kind = (
         F.when(_is("inside_occluded", "inside_uncertain"), "occluded")
@@ -114,8 +123,8 @@ def segment_types(frames: DataFrame) -> DataFrame:
 
 def segments(frames: DataFrame) -> DataFrame:
     """Maximal runs of one segment type over a sequence's rows; frames that are missing don't split a run."""
-    starts = F.when(F.col("segment_type") == F.lag("segment_type").over(_ORDER), 0).otherwise(1)
-    runs = segment_types(frames).withColumn("_starts", starts).withColumn("segment_index", (F.sum("_starts").over(_SO_FAR) - 1).cast("int"))
+    starts = F.when(F.col("segment_type") == F.lag("segment_type").over(_order()), 0).otherwise(1)
+    runs = segment_types(frames).withColumn("_starts", starts).withColumn("segment_index", (F.sum("_starts").over(_so_far()) - 1).cast("int"))
     seen = F.col("gaze_class") == "inside_visible"
     return (
         runs.groupBy("child_id", "segment_index")

@@ -13,8 +13,9 @@ from gazeframe.schema import ANNOTATION_COLUMNS, ANNOTATION_TYPES
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by their header. Spark takes one file's header for all files of a read, so each kind is read by itself."""
-    first = spark.read.format("text").option("wholetext", False).load(paths).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where((F.col("at") == 0) & F.lower("value").startswith("clip")).dropDuplicates(["path", "value"]).groupBy("path").agg(F.first("value").alias("value"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    named = F.arrays_overlap(F.split("value", ","), F.array(*[F.lit(c) for c in ANNOTATION_COLUMNS]))  # no value equals a column's name
+    heads = lines.where(named).groupBy("path").agg(F.first("value").alias("value"))
     out = defaultdict(list)
     for r in heads.collect():  # one short row for each file
         out[tuple(r["value"].strip().split(","))].append(r["path"])
