@@ -180,7 +180,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
         for batch in batches:
             texts = batch.column(1).fill_null("")
             ids = batch.column(0).to_pylist()
-            for lo, hi in slices(pc.binary_length(texts).to_pylist(), 1 << 20):
+            for lo, hi in slices(pc.binary_length(texts).to_pylist(), min(1 << 20, 4 * shard_tokens)):
                 flat, n = coder.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(n)
                 held.append(np.insert(flat, ends, end_id))
