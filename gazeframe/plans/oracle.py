@@ -289,7 +289,7 @@ union all select child_id, 'C1', true, observed_frames, dominant_gaze_class, nul
 union all select child_id, 'C2', false, observed_frames, dominant_gaze_class, case when visible_ratio < 1 / 3 then 'low' when visible_ratio < 2 / 3 then 'medium' else 'high' end, case when mean_gaze_motion < 100 then 'low' when mean_gaze_motion < 200 then 'medium' else 'high' end from base
 union all select child_id, 'C3', false, observed_frames, null, null, null from base
 union all select child_id, 'C4', false, round_even(observed_frames * (0.95::double + 0.1::double * u), 0), dominant_gaze_class, null, null from base""",
-    "nli_premises": f"with {FEATURES} select child_id, max_visible_streak streak_p1, observed_frames frames_p2, round(round(visible_ratio, 3), 2) visible_p1 from features",
+    "nli_premises": f"with {FEATURES} select child_id, max_visible_streak streak_p1, observed_frames frames_p2, round(visible_ratio, 3) visible_p1 from features",
     "nli_entailment": f"""with {FRAMES}, combos(label_set, template) as (values ('L1 bare names', 'T1 paper'), ('L1 bare names', 'T2 attention'), ('L2 short phrases', 'T1 paper'), ('L2 short phrases', 'T2 attention'), ('L3 full definitions', 'T3 definition')),
 g as (select child_id, label_set, template, label, ({_u('child_id', 'label_set', 'template', 'label')} % 1000) / 100.0::double + length(label) / 1000.0::double logit from (select distinct child_id from frames) cross join combos cross join (select unnest(['focused', 'mix', 'others']) as label))
 select child_id, label_set, template, arg_max(label, logit) as label, {_r('1 / sum(exp(logit - top))', 'confidence')} from (select *, max(logit) over (partition by child_id, label_set, template) top from g) group by 1, 2, 3""",

@@ -297,7 +297,7 @@ def nli_premises(spark: SparkSession, d: str) -> DataFrame:
         "child_id",
         F.regexp_extract("p1", r"max_visible_streak=(\d+)\.$", 1).cast("long").alias("streak_p1"),
         F.regexp_extract("p2", r"lasts (\d+) of (\d+) frames", 2).cast("long").alias("frames_p2"),
-        F.round(F.regexp_extract("p1", r"visible_ratio=([0-9.]+)", 1).cast("double"), 2).alias("visible_p1"),
+        F.regexp_extract("p1", r"visible_ratio=([0-9.]+)", 1).cast("double").alias("visible_p1"),
     )
 
 
