@@ -5,12 +5,15 @@ That product is formed in blocks, and only where it can hold a link:
 
 1. Each document's set gets a 64-bit fingerprint; documents of equal sets are one class. N-grams are ordered by how full
    their bucket of a fixed number of buckets is over all documents, so that frequent ones come last.
-2. Two sets that link share an n-gram of the first ``n - ceil(share * n) + 1`` in that order (a bound that follows from
-   the set's size alone). Classes that share such an n-gram, directly or over others, are a candidate cluster.
-3. A cluster's classes are dealt into blocks of bounded size, by set size and then by hash. Each pair of blocks whose
+2. Two linked sets of sizes a and b share enough that, of the first ``p + k - 1`` n-grams of either in that order, with
+   ``p = n - ceil(share * n) + 1``, at least k are common (a bound that follows from the sets' sizes). With k about p / 2, a
+   class stays only if enough of these n-grams occur in the same part of another class; most classes go here.
+3. For the classes that stay, n-grams are ordered anew by their frequency among them; classes that share one of their
+   first p n-grams, directly or over others, are a candidate cluster.
+4. A cluster's classes are dealt into blocks of bounded size, by set size and then by hash. Each pair of blocks whose
    sizes allow a link is one small job: sparse columns are accumulated tile by tile into overlap counts; pairs that
    can no longer reach their size-derived bound are discarded. A job returns a spanning forest of its links, not the pairs.
-4. Connected components over links and copies give the result.
+5. Connected components over links and copies give the result.
 
 N-grams count by 64-bit hashes. Defined results: a null or empty text, or one without words, has 0 n-grams and links
 with nothing; one with fewer words than n has one n-gram. A null doc_id has a null component. Rows of equal doc_id are
@@ -37,7 +40,7 @@ BUCKETS = 1 << BUCKET_BITS
 CHUNK = 1 << 15
 #: Bits of the map that tells a task which fingerprints are candidates; false hits are removed by the join that follows.
 MAP_BITS = 1 << 23
-BLOCK = 128
+BLOCK = 256
 TILE = 4096
 SEGMENT_BYTES = 1 << 20
 
@@ -65,22 +68,20 @@ def _prints(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, n: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, print) of every row, in the shared folder; and the n-grams in each bucket over all rows."""
+def _count_rows(full: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(first bucket, compressed counts) of the chunks that aren't empty."""
+    press = zstandard.ZstdCompressor(level=1)
+    for k in range(0, BUCKETS, CHUNK):
+        if full[k : k + CHUNK].any():
+            yield k, press.compress(full[k : k + CHUNK].tobytes())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "print", "chunk", "counts"]
-        full = np.zeros(BUCKETS, np.uint32)
-        for batch in batches:
-            for part in _pieces(batch):
-                sets, sizes = gram_sets(part.column(1), n)
-                np.add.at(full, (sets & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_prints(sets, sizes)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names)
-        press = zstandard.ZstdCompressor(level=1)
-        for k in range(0, BUCKETS, CHUNK):
-            if full[k : k + CHUNK].any():
-                counts = press.compress(full[k : k + CHUNK].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([k]), pa.array([counts], pa.binary())], names)
+
+def _bucket_of(sets: np.ndarray) -> np.ndarray:
+    return (sets & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _added(chunks: DataFrame) -> np.ndarray:
+    """Counts of all buckets from tasks' rows (chunk, counts): added up chunk by chunk, one row for each to the driver."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,52 +93,165 @@ def fingerprints(docs: DataFrame, n: int = 5) -> tuple[DataFrame, np.ndarray]:
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    kind = "doc_id long, n_shingles long, print long, chunk long, counts binary"
-    both = written(docs.select("doc_id", "text").mapInArrow(work, kind), "jaccard-prints")
-    chunks = both.where("n_shingles < 0").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk long, counts binary")
     full = np.zeros(BUCKETS, np.int64)
-    for r in chunks.toLocalIterator():  # one row for each chunk
+    for r in chunks.repartition("chunk").mapInArrow(added, "chunk long, counts binary").toLocalIterator():
         full[r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return both.where("n_shingles >= 0").select("doc_id", "n_shingles", "print"), full
+    return full
 
 
-def candidate_clusters(docs: DataFrame, full: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(print, cluster) of the classes that share an n-gram of their prefixes with another class."""
+def _ranks(full: np.ndarray) -> np.ndarray:
     rank = np.empty(BUCKETS, np.uint32)
     rank[np.argsort(full, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
-    order = docs.sparkSession.sparkContext.broadcast(rank)
+    return rank
+
+
+def _keys(sets: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A bijection of n-grams that sorts by the rank of their bucket."""
+    return rank[_bucket_of(sets)].astype(np.uint64) << np.uint64(64 - BUCKET_BITS) | sets >> np.uint64(BUCKET_BITS)
+
+
+def _smallest(keys: np.ndarray, m: int) -> np.ndarray:
+    return keys if m >= len(keys) else np.partition(keys, m - 1)[:m]
+
+
+def fingerprints(docs: DataFrame, n: int = 5) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, print) of every row, in the shared folder; and the n-grams in each bucket over all rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "print", "chunk", "counts"]
+        full = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for part in _pieces(batch):
+                sets, sizes = gram_sets(part.column(1), n)
+                np.add.at(full, _bucket_of(sets), np.uint32(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_prints(sets, sizes)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names)
+        for k, counts in _count_rows(full):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([k]), pa.array([counts], pa.binary())], names)
+
+    kind = "doc_id long, n_shingles long, print long, chunk long, counts binary"
+    both = written(docs.select("doc_id", "text").mapInArrow(work, kind), "jaccard-prints")
+    return both.where("n_shingles >= 0").select("doc_id", "n_shingles", "print"), _added(both.where("n_shingles < 0").select("chunk", "counts"))
+
+
+def prefix(n: int, percent: int) -> tuple[int, int]:
+    """(p, k): of two linked sets, the first p n-grams of either have one in common, the first p + k - 1 the smaller one's k.
+
+    Both grow with n, so a set of n has in common with any set that it links to k of the smallest size that allows a link.
+    """
+    p = n - required(n, percent) + 1
+    return p, max(1, min((p + 1) // 2, n - p + 1))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (gram, print) sorted by both: how many of a print's n-grams another print has, in parts that are to be summed."""
+    held: tuple | None = None  # n-gram and print of the last row; whether it has been counted
+    for batch in batches:
+        gram, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(gram):
+            continue
+        counted = False
+        if held is not None:
+            gram, own = np.concatenate([[held[0]], gram]), np.concatenate([[held[1]], own])
+            counted = held[2]
+        new = np.empty(len(gram), bool)
+        new[0] = True
+        new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+        gram, own = gram[new], own[new]
+        run = np.empty(len(gram), bool)
+        run[0] = True
+        run[1:] = gram[1:] != gram[:-1]
+        number = np.cumsum(run) - 1
+        many = (np.bincount(number) > 1)[number]
+        if counted:  # its n-gram is known to be common, and it has been counted itself
+            many |= number == 0
+        take = many.copy()
+        take[0] &= not counted
+        prints, times = np.unique(own[take], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(times)], ["print", "n"])
+        held = (gram[-1], own[-1], bool(many[-1]))
+
+
+def _first_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (gram, print) sorted by both: an edge from each print to the first one with the same n-gram."""
+    last, first = None, 0
+    for batch in batches:
+        gram, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(gram):
+            continue
+        new = np.empty(len(gram), bool)
+        new[0] = gram[0] != last
+        new[1:] = gram[1:] != gram[:-1]
+        start = np.flatnonzero(new)
+        lead = own[start] if new[0] else np.concatenate([[first], own[start]])
+        lo = lead[np.cumsum(new) - int(new[0])]
+        last, first = gram[-1], lo[-1]
+        edge = np.flatnonzero(own != lo)
+        pairs = np.unique(np.stack([own[edge], lo[edge]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
+def _by_gram(postings: DataFrame) -> DataFrame:
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(parts, "gram").sortWithinPartitions("gram", "print")
+
+
+def likely(docs: DataFrame, classes: DataFrame, full: np.ndarray, n: int, percent: int) -> DataFrame:
+    """The rows of ``classes`` (print, first, size) that may have a link: enough of their first n-grams are common."""
+    order = docs.sparkSession.sparkContext.broadcast(_ranks(full))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # prints of this task: copies need no second posting
-        rank = order.value
         for batch in batches:
             for part in _pieces(batch):
                 sets, sizes = gram_sets(part.column(1), n)
-                prints = _prints(sets, sizes)
-                key = rank[(sets & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - BUCKET_BITS) | sets >> np.uint64(BUCKET_BITS)
+                keys = _keys(sets, order.value)
                 out, who, at = [], [], 0
-                for size, p in zip(sizes.tolist(), prints.tolist(), strict=True):
-                    if size and p not in seen:
-                        seen.add(p)
-                        m = size - required(size, percent) + 1
-                        own = key[at : at + size]
-                        out.append(own if m >= size else np.partition(own, m - 1)[:m])
-                        who.append(np.full(len(out[-1]), p))
+                for size, own in zip(sizes.tolist(), _prints(sets, sizes).tolist(), strict=True):
+                    if size and own not in seen:
+                        seen.add(own)
+                        p, k = prefix(size, percent)
+                        out.append(_smallest(keys[at : at + size], p + k - 1))
+                        who.append(np.full(len(out[-1]), own))
                     at += size
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], ["gram", "print"])
 
-    postings = written(docs.select("doc_id", "text").mapInArrow(work, "gram long, print long"), "jaccard-postings")
-    shared = postings.groupBy("gram").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi")
-    shared = written(shared.select("gram", "lo"), "jaccard-shared")
-    edges = postings.join(shared, "gram").where("print <> lo").select(F.col("print").alias("u"), F.col("lo").alias("v"))
+    postings = docs.select("doc_id", "text").mapInArrow(work, "gram long, print long")
+    common = _by_gram(postings).mapInArrow(_common, "print long, n long").groupBy("print").agg(F.sum("n").alias("common"))
+    least = F.ceil(F.col("size") * percent / F.lit(100.0))  # of a set that it can link to
+    p = least - F.ceil(least * percent / F.lit(100.0)) + 1
+    k = F.greatest(F.lit(1), F.least(F.floor((p + 1) / 2), least - p + 1))
+    return classes.join(common, "print").where(F.col("common") >= k).select("print", "first", "size")
+
+
+def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """(print, cluster) of the classes that share one of their first n-grams with another class; sets: (print, grams)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for grams in batch.column(0).to_pylist():
+                np.add.at(full, _bucket_of(np.frombuffer(grams, np.uint64)), np.uint32(1))
+        for k, counts in _count_rows(full):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts], pa.binary())], ["chunk", "counts"])
+
+    order = sets.sparkSession.sparkContext.broadcast(_ranks(_added(sets.select("grams").mapInArrow(count, "chunk long, counts binary"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = _keys(np.frombuffer(grams, np.uint64), order.value)
+                keys = _smallest(keys, prefix(len(keys), percent)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), own))], ["gram", "print"])
+
+    edges = _by_gram(sets.select("print", "grams").mapInArrow(work, "gram long, print long")).mapInArrow(_first_edges, "u long, v long")
     return components(edges, "jaccard-candidates").select(F.col("node").alias("print"), F.col("root").alias("cluster"))
 
 
-def class_sets(docs: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
-    """(print, size, grams) of the classes in ``clusters``: one row each, grams as bytes."""
-    bit = F.pmod("print", F.lit(MAP_BITS))
-    marks = clusters.select((bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("m"))
+def class_sets(docs: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """(print, doc_id, grams) of the documents whose doc_id is in ``firsts`` (column ``first``), and a few others; grams as bytes."""
+    bit = F.pmod("first", F.lit(MAP_BITS))
+    marks = firsts.select((bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("m"))
     table = np.zeros(MAP_BITS // 64, np.int64)
     got = marks.groupBy("word").agg(F.bit_or("m").alias("m")).toArrow()  # at most MAP_BITS / 64 rows
     table[got.column("word").to_numpy()] = got.column("m").to_numpy()
@@ -145,22 +259,16 @@ def class_sets(docs: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = marked.value
-        seen: set[int] = set()
-        for batch in batches:
-            for part in _pieces(batch):
+        for whole in batches:
+            bits = (whole.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False) % MAP_BITS).astype(np.uint64)
+            hit = (table[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for part in _pieces(whole.filter(pa.array(hit))):
                 sets, sizes = gram_sets(part.column(1), n)
-                prints = _prints(sets, sizes)
-                bits = (prints % MAP_BITS).astype(np.uint64)
-                hit = (table[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool) & (sizes > 0)
                 ends = np.cumsum(sizes)
-                rows = [i for i in np.flatnonzero(hit).tolist() if int(prints[i]) not in seen]
-                rows = list({int(prints[i]): i for i in rows}.values())
-                seen.update(int(prints[i]) for i in rows)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(sizes[rows]), pa.array([sets[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows], pa.binary())], ["print", "size", "grams"])
+                grams = [sets[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_prints(sets, sizes)), part.column(0).cast(pa.int64()), pa.array(grams, pa.binary())], ["print", "doc_id", "grams"])
 
-    found = docs.select("doc_id", "text").mapInArrow(work, "print long, size long, grams binary")
-    return found.dropDuplicates(["print"])
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(work, "print long, doc_id long, grams binary")
 
 
 def block_overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -192,20 +300,17 @@ def block_overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return alive & links(overlap.astype(np.int64), a, b, percent)
 
 
-def class_links(sets: DataFrame, clusters: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): a spanning forest of the links of each pair of blocks."""
-    inside = written(sets.join(clusters, "print"), "jaccard-sets")
+def class_links(sets: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): a spanning forest of the links of each pair of blocks. sets: (print, grams); classes: (print, size, cluster)."""
+    members = written(classes.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "jaccard-members")
     size_bin = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    members = written(inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "jaccard-members")
-    bin_of = F.when(F.col("members") <= block, F.lit(0)).otherwise(size_bin)
-    binned = inside.select("cluster", "size").join(members, "cluster").withColumn("bin", bin_of)
+    binned = written(classes.join(members, "cluster").withColumn("bin", F.when(F.col("members") <= block, F.lit(0)).otherwise(size_bin)), "jaccard-bins")
     bins = written(binned.groupBy("cluster", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "jaccard-blocks")
     near = bins.select("cluster", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("bin").alias("other"), F.col("blocks").alias("others"))
     meets = bins.join(near, ["cluster", "bin"]).groupBy("cluster", "bin").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("other", "others")).alias("near"))  # at most three bins
+    places = binned.join(meets, ["cluster", "bin"]).select("print", "cluster", "bin", "blocks", "near")
     placed = (
-        inside.join(members, "cluster")
-        .withColumn("bin", bin_of)
-        .join(meets, ["cluster", "bin"])
+        sets.join(written(places, "jaccard-places"), "print")
         .withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
         .withColumn("o", F.explode("near"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("o.others") - 1)))
@@ -219,7 +324,7 @@ def class_links(sets: DataFrame, clusters: DataFrame, percent: int, block: int =
     jobs = placed.select(job.alias("job"), side.alias("side"), "print", "grams").repartition(parts, "job").sortWithinPartitions("job", "print")
 
     def run(names: list[int], sides: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
-        side, at = np.array(sides), np.arange(len(sides))
+        side, at = np.array(sides), np.arange(len(sides))  # a repeated row is there twice, which adds no edge
         left = at if side[0] == 2 else at[side == 0]
         right = at if side[0] == 2 else at[side == 1]
         if len(names) < 2 or not len(left) or not len(right):
@@ -254,11 +359,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
     prints, full = fingerprints(docs, n)
-    clusters = candidate_clusters(docs, full, n, percent)
-    found = written(class_links(class_sets(docs, clusters, n), clusters, percent), "jaccard-links")
-    known = prints.where("doc_id is not null and n_shingles > 0").select("doc_id", "print")
-    first = written(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "jaccard-classes")
-    copies = known.join(first.where("first < last"), "print").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    known = prints.where("doc_id is not null and n_shingles > 0")
+    first = written(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("size")), "jaccard-classes")
+    classes = written(likely(docs, first.select("print", "first", "size"), full, n, percent), "jaccard-likely")
+    owners = classes.select(F.col("print").alias("owner"), F.col("first").alias("doc_id"))
+    sets = class_sets(docs, classes, n).join(owners, "doc_id").where("print = owner").select("print", "grams")
+    sets = written(sets, "jaccard-sets")
+    clusters = candidate_clusters(sets, percent)
+    found = written(class_links(sets, classes.join(clusters, "print"), percent), "jaccard-links")
+    copies = known.select("doc_id", "print").join(first.where("first < last"), "print").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     between = (
         found.join(first.select(F.col("print").alias("u"), F.col("first").alias("fu")), "u")
         .join(first.select(F.col("print").alias("v"), F.col("first").alias("fv")), "v")
