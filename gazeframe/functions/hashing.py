@@ -1,8 +1,11 @@
 """Deterministic pseudo-random numbers: the same for a key on any partitioning, and in any engine with md5."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of md5 integers that ``md5_rank`` ranks apart from each other.
+RANGES = 4096
+
 
 def md5_int(*keys: Column | str | int) -> Column:
     """The first 32 bits of md5 over the keys joined by '|', as a long. Strings name columns; wrap constants in lit()."""
@@ -13,3 +16,16 @@ def md5_int(*keys: Column | str | int) -> Column:
 def md5_uniform(*keys: Column | str | int) -> Column:
     """Uniform in [0, 1)."""
     return md5_int(*keys) / F.lit(4294967296.0)
+
+
+def md5_rank(df: DataFrame, by: list[str], name: str, keys: list[Column | str | int], tie: str) -> DataFrame:
+    """Adds ``name``: the row's rank from 1 within ``by``, by ``md5_int(*keys)`` and then ``tie``.
+
+    A group may hold most rows. So it is cut into ranges of the md5 integer: rows are numbered within a range, and the
+    ranges' counts (RANGES for each group at most) are summed up to where each one starts.
+    """
+    r = df.withColumn("_md5", md5_int(*keys)).withColumn("_range", F.floor(F.col("_md5") / F.lit(2**32 // RANGES)).cast("int"))
+    counts = r.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_md5", tie))
+    return r.withColumn("_inside", inside).join(starts, [*by, "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_md5", "_range", "_inside", "_start")

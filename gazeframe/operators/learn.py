@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.functions.hashing import md5_int, md5_uniform
+from gazeframe.functions.hashing import md5_rank, md5_uniform
 from gazeframe.schema import MODEL_FEATURES
 
 
@@ -20,8 +20,8 @@ def folds(rows: DataFrame, seed: int = 42, most: int = 5, key: str = "item_id")
     """Adds ``fold``: stratified; as many folds as the rarest class has items, from 2 to ``most``."""
     counts = rows.groupBy("label").count().agg(F.min("count").alias("rarest"))
     k = F.greatest(F.lit(2), F.least(F.lit(most), F.col("rarest")))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(md5_int(seed, key), key))
-    return rows.crossJoin(F.broadcast(counts)).withColumn("fold", F.pmod(place - 1, k).cast("int")).drop("rarest")
+    ranked = md5_rank(rows, ["label"], "_place", [seed, key], key)
+    return ranked.crossJoin(F.broadcast(counts)).withColumn("fold", F.pmod(F.col("_place") - 1, k).cast("int")).drop("rarest", "_place")
 
 
 def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:
@@ -111,12 +111,9 @@ def permutation_importance(model, rows: DataFrame, repeats: int = 5, seed: int =
     held = rows.select(key, "label", *[F.col(f).cast("double").alias(f) for f in features])
     wide = held.crossJoin(F.broadcast(grid))
     value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))]), F.col("feature"))
-    part = Window.partitionBy("feature", "repeat")
-    ranked = (
-        wide.withColumn("_value", value)
-        .withColumn("_place", F.row_number().over(part.orderBy(key)))
-        .withColumn("_other", F.row_number().over(part.orderBy(md5_int(seed, "feature", "repeat", key), key)))
-    )
+    part = ["feature", "repeat"]
+    placed = md5_rank(wide.withColumn("_value", value), part, "_place", [seed, F.lit("place"), key], key)
+    ranked = md5_rank(placed, part, "_other", [seed, "feature", "repeat", key], key)
     moved = ranked.drop("_value").join(ranked.select("feature", "repeat", F.col("_place").alias("_other"), "_value"), ["feature", "repeat", "_other"])
     shuffled = moved.select(
         F.concat_ws("|", "feature", F.col("repeat").cast("string"), F.col(key).cast("string")).alias("_id"), "feature", "repeat", "label",

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.functions.hashing import md5_int
+from gazeframe.functions.hashing import md5_int, md5_rank
 from gazeframe.operators.agreement import confusion, metrics
 from gazeframe.schema import LABELS
 
@@ -127,13 +127,12 @@ def permutation_null(item_cells: DataFrame, replicates: int, seed: int, block: i
 
 
 def rank_shuffled(predictions: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Predictions with labels shuffled over items within each system, by md5 ranks: for small tables and checks.
+    """(system, rep, item_id, label): labels shuffled over items within each system.
 
-    The r-th label (by item_id) goes to the r-th item by md5 of (seed, replicate, system, item).
+    The item at the r-th place by md5 of (seed, system, rep, item) gets the label of the r-th item by md5 of (``place``, item).
     """
     reps = predictions.select("system", "item_id", "label").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    place = F.row_number().over(Window.partitionBy("system", "rep").orderBy("item_id"))
-    shuffled = F.row_number().over(Window.partitionBy("system", "rep").orderBy(md5_int(seed, "rep", "system", "item_id"), "item_id"))
-    ranked = reps.withColumn("place", place).withColumn("shuffled", shuffled)
+    placed = md5_rank(reps, ["system", "rep"], "place", [F.lit("place"), "item_id"], "item_id")
+    ranked = md5_rank(placed, ["system", "rep"], "shuffled", [seed, "system", "rep", "item_id"], "item_id")
     labels = ranked.select("system", "rep", F.col("place").alias("shuffled"), "label")
     return ranked.drop("label", "place").join(labels, ["system", "rep", "shuffled"]).select("system", "rep", "item_id", "label")

@@ -278,7 +278,7 @@ select k.system, count(*) n, {_r('avg(ok::int)', 'accuracy')}, {_r('avg(confiden
     "boot_paired_diff": f"with {BOOT}, d as (select a.system, reference, a.accuracy - b.accuracy diff from scores a join scores b using (rep, reference) where b.system = 'rule_based' and a.system <> 'rule_based') select system, reference, {_ci('diff')}, quantile_cont(diff, 0.025) > 0 or quantile_cont(diff, 0.975) < 0 excludes_zero from d group by 1, 2",
     "boot_item_ci": f"with {CONSENSUS}, reps as (select unnest(generate_series(0, {ITEM_REPLICATES - 1})) rep), drawn_ as (select rep, item_id, {_u(f"'{SEED}'", 'rep', 'item_id')} / 4294967296.0::double u from ratings cross join reps), weighed as (select rep, system, truth, label, {_poisson('u')}::double w from rows_ join drawn_ using (item_id) where label is not null), {_scores('weighed', 'rep, system')} select system, {_ci('kappa')} from scores group by 1",
     "perm_null_rank": f"""with {PREDICTIONS}, reps as (select unnest(generate_series(0, {SHUFFLES - 1})) rep), p as (select * from predictions cross join reps where system in ('rule_based', 'supervised_RandomForest')),
-ranked as (select *, row_number() over (partition by system, rep order by item_id) place, row_number() over (partition by system, rep order by {_u(f"'{SEED}'", 'rep', 'system', 'item_id')}, item_id) moved from p),
+ranked as (select *, row_number() over (partition by system, rep order by {_u("'place'", 'item_id')}, item_id) place, row_number() over (partition by system, rep order by {_u(f"'{SEED}'", 'system', 'rep', 'item_id')}, item_id) moved from p),
 mixed as (select a.system, a.rep, a.item_id, b.label from ranked a join ranked b on a.system = b.system and a.rep = b.rep and a.moved = b.place),
 both_ as (select m.system, rep, 'rater1' as reference, label, rater1 truth, 1.0::double w from mixed m join ratings using (item_id) union all select m.system, rep, 'rater2', label, rater2, 1.0 from mixed m join ratings using (item_id)),
 {_scores('both_', 'system, rep, reference')} select system, cast(rep as int) rep, {_r("max(kappa) filter (reference = 'rater1') - max(kappa) filter (reference = 'rater2')", 'delta')} from scores group by 1, 2""",
