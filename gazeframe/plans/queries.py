@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gazeframe.functions import text
 from gazeframe.functions.hashing import md5_int
-from gazeframe.operators import agreement, calibration, labels, learn, quality, resample, scoring, sequences, significance
+from gazeframe.operators import agreement, calibration, labels, learn, quality, reports, resample, scoring, sequences, significance
 from gazeframe.plans import driver_tables as tables
 from gazeframe.schema import LABELS, MODEL_FEATURES
 
@@ -375,6 +375,59 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learn.permutation_importance(model, rows, repeats=2))
 
 
+def _conditions(spark: SparkSession, d: str) -> DataFrame:
+    return reports.condition_metrics(tables.conditions(spark, d), tables.ratings(spark, d), tables.rule_of_items(spark, d))
+
+
+def condition_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_conditions(spark, d))
+
+
+def condition_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.kappa_by_condition(_conditions(spark, d), tables.CONDITIONS))
+
+
+def fewshot_table(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.draws_table(_conditions(spark, d), "C0"))
+
+
+def others_locator(spark: SparkSession, d: str) -> DataFrame:
+    return reports.label_locator(tables.conditions(spark, d), tables.ratings(spark, d), tables.rule_of_items(spark, d))
+
+
+def gate_audit(spark: SparkSession, d: str) -> DataFrame:
+    return reports.gate_audit(_votes(spark, d))
+
+
+def case_studies(spark: SparkSession, d: str) -> DataFrame:
+    return reports.case_studies(_votes(spark, d))
+
+
+def feature_medians(spark: SparkSession, d: str) -> DataFrame:
+    feats = tables.features(spark, d).withColumn("rule_label", labels.rule().label)
+    return rounded(reports.group_medians(feats, "rule_label", ["visible_ratio", "gaze_shift_ratio", "occlusion_ratio", "mean_gaze_motion", "attention_stability_score"]))
+
+
+def first_items(spark: SparkSession, d: str) -> DataFrame:
+    return reports.first_items(tables.ratings(spark, d).select("item_id", "consensus"), 100)
+
+
+def score_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences whose score, computed again from the payload in the prompt, differs from the stored one: none."""
+    prompts = text.conditions(_payload(spark, d), SEED).where("condition = 'C0'")
+    back = F.from_json(text.payload_of(F.col("prompt")), "visible_ratio double, max_visible_streak double, observed_frames double, mean_gaze_motion double, gaze_shift_ratio double, attention_stability_score double")
+    p = prompts.select("child_id", back.alias("p")).select("child_id", "p.*")
+    again = sequences.stability(F.col("visible_ratio"), F.col("max_visible_streak") / F.col("observed_frames"), F.col("mean_gaze_motion"), F.col("gaze_shift_ratio"))
+    wrong = quality.differs(p.withColumn("again", again), "again", "attention_stability_score").select("child_id", F.lit(True).alias("wrong"))
+    return p.select("child_id").join(wrong, "child_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("wrong").alias("n_wrong"))
+
+
+def predict_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = _learnable(spark, d)
+    model = learn.fit(rows, learn.classifiers(rows.count())["logistic"])
+    return rounded(learn.predict(model, rows.drop("label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_labels_kappa": rule_labels_kappa,
     "child_frames": lambda spark, d: rounded(tables.child_frames(spark, d)),
@@ -436,6 +489,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vote_texts": vote_texts,
     "pending_items": pending_items,
     "dead_letters": dead_letters,
+    "condition_metrics": condition_metrics,
+    "condition_kappa": condition_kappa,
+    "fewshot_table": fewshot_table,
+    "others_locator": others_locator,
+    "gate_audit": gate_audit,
+    "case_studies": case_studies,
+    "feature_medians": feature_medians,
+    "first_items": first_items,
+    "score_consistency": score_consistency,
+    "predict_all": predict_all,
     "cv_folds": cv_folds,
     "dummy_stratified": dummy_stratified,
     "oof_predictions": oof_predictions,
