@@ -43,6 +43,15 @@ LABEL_SETS = {
 TEMPLATES = {"T1 paper": "This clip is best described as {}.", "T2 attention": "The child's attention in this clip is {}.", "T3 definition": "{}"}
 COMBINATIONS = [("L1 bare names", "T1 paper"), ("L1 bare names", "T2 attention"), ("L2 short phrases", "T1 paper"), ("L2 short phrases", "T2 attention"), ("L3 full definitions", "T3 definition")]
 LEGACY_LABELS = ["inside_visible", "outside", "unsure"]
+LEGACY_INTRO = (
+    "You are an expert in child behavior analysis.\n"
+    "Given the following structured features, classify gaze behavior.\n\n"
+    "Return ONLY valid JSON with:\n"
+    "- label (one of: inside_visible, outside, unsure)\n"
+    "- confidence (0 to 1)\n"
+    "- reasoning (short explanation)\n\n"
+    "Features:\n"
+)
 
 
 def payload_json(names: list[str], values: dict[str, Column] | None = None) -> Column:
@@ -57,7 +66,7 @@ def prompt(payload: Column, labels: dict[str, str] = DESCRIPTIONS) -> Column:
 
 
 def legacy_prompt(payload: Column) -> Column:
-    return F.concat(F.lit(f"Classify the gaze as one of: {', '.join(LEGACY_LABELS)}. {ANCHOR} with label, confidence and reasoning.\n\nFeatures:\n"), payload)
+    return F.concat(F.lit(LEGACY_INTRO), payload)
 
 
 def insert_before(text: Column, addition: Column, anchor: str = ANCHOR) -> Column:
@@ -173,12 +182,12 @@ def _repaired(c: Column, quotes: bool) -> Column:
     more = F.greatest(F.lit(0), braces("{") - braces("}"))
     tail = F.repeat(F.lit("}"), more)
     if quotes:
-        open_text = c.contains('"reasoning"') & (more > 0) & (F.pmod(braces('"'), F.lit(2)) == 1)
+        open_text = c.contains('"reasoning"') & (more > 0)  # taken as cut off inside the reasoning
         tail = F.when(open_text, F.concat(F.lit('"'), tail)).otherwise(tail)
     return F.when((c != "") & ~c.endswith("}"), F.concat(F.rtrim(c), tail)).otherwise(c)
 
 
-def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "mix", rescue: bool = True, repair_quotes: bool = False) -> Column:
+def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "mix", rescue: bool = True, repair_quotes: bool = False, fold: bool = True) -> Column:
     """struct(label, confidence, reasoning, status, declared) of a generated text.
 
     Candidates are the whole text, fenced blocks, the widest braces, and the text from the first brace; missing braces at
@@ -195,7 +204,8 @@ def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "m
     first = F.try_element_at(F.filter(candidates, single), F.lit(1))
     is_object = first.startswith("{") & first.endswith("}")
     read = F.from_json(F.when(is_object, first), "label string, confidence string, reasoning string", {"allowSingleQuotes": "false"})
-    declared = F.lower(F.trim(F.coalesce(read.label, F.lit(default))))
+    declared = F.trim(F.coalesce(read.label, F.lit(default)))
+    declared = F.lower(declared) if fold else declared
     known = F.array(*[F.lit(a) for a in allowed])
     matched = F.try_element_at(F.filter(known, lambda a: F.contains(a, declared) | F.contains(declared, a)), F.lit(1)) if rescue else F.lit(None).cast("string")
     label = F.when(F.array_contains(known, declared), declared).otherwise(F.coalesce(matched, F.lit(default)))
@@ -218,6 +228,11 @@ def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "m
     )
 
 
+def parse_legacy(raw: Column) -> Column:
+    """The same for the older prompt: other labels, no rescue of near labels, a repair inside the reasoning."""
+    return parse_generation(raw, LEGACY_LABELS, "unsure", rescue=False, repair_quotes=True, fold=False)
+
+
 def raw_reproduction(pairs: DataFrame) -> DataFrame:
     """(system, n, identical, prefixes, extra_min, extra_median, extra_max) from (system, raw_a, raw_b)."""
     a, b = F.trim("raw_a"), F.trim("raw_b")

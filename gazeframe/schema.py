@@ -1,7 +1,5 @@
 """Column sets, label constants and thresholds of the annotation study."""
 
-from pyspark.sql import types as T
-
 ANNOTATION_COLUMNS = ["clip", "frame", "person_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "gaze_class", "gaze_x", "gaze_y", "is_child"]
 ANNOTATION_TYPES = {"clip": "string", "frame": "int", "person_id": "int", "gaze_class": "string", "is_child": "int"}
 
@@ -35,10 +33,20 @@ LAGGED_CLIPS = [
     "EuYseDl2jm8_3680-3791",
 ]
 
-#: The fourteen model features, in their order.
+#: The fourteen model features, in their fixed order.
 MODEL_FEATURES = [
-    "visible_ratio", "on_screen_ratio", "gaze_shift_ratio", "gaze_shift_events", "occlusion_ratio", "eyes_closed_ratio", "mean_head_area",
-    "mean_head_motion", "mean_gaze_motion", "attention_stability_score", "max_visible_streak", "max_occlusion_streak", "visible_gaze_fraction", "observed_frames",
-]
-
-GENERATION = T.StructType([T.StructField("label", T.StringType()), T.StructField("confidence", T.StringType()), T.StructField("reasoning", T.StringType())])
+    "observed_frames",
+    "visible_ratio",
+    "on_screen_ratio",
+    "gaze_shift_ratio",
+    "occlusion_ratio",
+    "eyes_closed_ratio",
+    "mean_head_area",
+    "mean_head_motion",
+    "mean_gaze_motion",
+    "visible_gaze_fraction",
+    "gaze_shift_events",
+    "max_visible_streak",
+    "max_occlusion_streak",
+    "attention_stability_score",
+]

@@ -33,6 +33,13 @@ def test_parser(spark):
         assert (r["label"], r["confidence"], r["status"]) == want, raw
 
 
+def test_legacy_parser(spark):
+    cases = [('{"label": "outside", "confidence": 0.4, "reasoning": "cut o', ("outside", 0.4)), ('{"label": "Outside", "confidence": 1}', ("unsure", 1.0)), ("nothing", (None, None))]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string")
+    got = df.orderBy("i").select(text.parse_legacy(F.col("raw")).alias("p")).select("p.label", "p.confidence").collect()
+    assert [tuple(r) for r in got] == [w for _, w in cases]
+
+
 @pytest.fixture(scope="module")
 def payload(spark):
     values = {c: 0.5 for c in text.RATIOS} | {c: 40 for c in text.COUNTS} | {"max_visible_streak": 30, "mean_gaze_motion": 150.0, "mean_head_area": 10.0, "mean_head_motion": 1.0, "dominant_gaze_class": "inside_visible"}
