@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazeframe.llm.common import bounded_batches
+
 #: Labelled rows of either kind that a model is fitted on at most, and the characters of the longest one.
 MOST_ROWS = 3000
 MOST_CHARS = 100_000
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | No
     found = []
     for kind in (1, 0):
         ids = agreed.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-        got = texts.join(F.broadcast(ids), "doc_id").toArrow()  # bounded by ``most``
+        got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()  # ``most`` rows
         rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), strict=True))
         rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
         found.append([t for _, t in rows[:most]])
@@ -201,7 +203,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = batch.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(_scores(model, part.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
@@ -214,4 +216,4 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFr
                 part = batch.slice(k, 500)
                 yield part.filter(pa.array(_scores(model, part.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded_batches(docs).mapInArrow(work, docs.schema)

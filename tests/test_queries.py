@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["seq_features", "segments", "interactions", "rule_labels", "stability_sensitivity", "hybrid_vote_sweep", "system_metrics", "confusion", "mcnemar_pairs", "holm_adjusted", "calibration", "boot_cluster_ci", "parse_generations", "fewshot_examples", "prompt_conditions", "clip_source_frames"]
+NAMES = ["seq_features", "segments", "interactions", "rule_labels", "stability_sensitivity", "hybrid_vote_sweep", "system_metrics", "confusion", "mcnemar_pairs", "holm_adjusted", "calibration", "boot_cluster_ci", "parse_generations", "fewshot_examples", "prompt_conditions", "clip_source_frames", "condition_metrics", "perm_null_rank"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
