@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import written
+from gazeframe.llm.common import bounded_batches, written
 from gazeframe.llm.grams import PUNCTUATION, grams, raw, words
 from gazeframe.llm.jaccard import _pieces as pieces
 
@@ -160,7 +160,7 @@ def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
 
 def passages(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """Every row's doc_id and hits: (item_id, score, start, end) by words, for each item that shares a seed with its text."""
-    docs = docs.select("doc_id", "text", F.array().cast(HITS).alias("hits"))
+    docs = bounded_batches(docs).select("doc_id", "text", F.array().cast(HITS).alias("hits"))
     for block in _blocks(items):
         docs = docs.mapInArrow(_search(_shared(docs, block, n), None), f"doc_id long, text string, hits {HITS}")
     return docs.select("doc_id", "hits")
@@ -257,6 +257,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no passage of an item."""
+    bounded_batches(docs)
     for block in _blocks(items):
         docs = docs.mapInArrow(_search(_shared(docs, block, n), threshold), docs.schema)
     return docs

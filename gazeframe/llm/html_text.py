@@ -18,6 +18,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gazeframe.llm.common import bounded_batches
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style template noscript head title iframe object svg canvas audio video datalist math select".split())
 RAW = frozenset("script style".split())
@@ -256,4 +258,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 lines = [None if t is None else t.count("\n") + 1 if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(lines, pa.int64())], ["page_id", "text", "n_lines"])
 
-    return pages.select("page_id", "html").mapInArrow(work, "page_id long, text string, n_lines long")
+    return bounded_batches(pages).select("page_id", "html").mapInArrow(work, "page_id long, text string, n_lines long")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import components, forest, written
+from gazeframe.llm.common import bounded_batches, components, forest, written
 from gazeframe.llm.grams import gram_sets, mixed
 from gazeframe.llm.token_ids import slices
 
@@ -358,7 +358,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    prints, full = fingerprints(docs, n)
+    prints, full = fingerprints(bounded_batches(docs), n)
     known = prints.where("doc_id is not null and n_shingles > 0")
     first = written(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("size")), "jaccard-classes")
     classes = written(likely(docs, first.select("print", "first", "size"), full, n, percent), "jaccard-likely")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import written
+from gazeframe.llm.common import bounded_batches, written
 from gazeframe.llm.token_ids import encoder, slices
 
 WINDOW = 1024
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every piece; ids are little-endian 32-bit."""
-    held = tokenized(docs, tokenizer, end_id, window)
+    held = tokenized(bounded_batches(docs), tokenizer, end_id, window)
     light = held.select("row", "part", "rest", "nth").where("rest > 0")
     counts = light.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n"))
     before = written(

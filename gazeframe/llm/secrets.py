@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gazeframe.llm.common import bounded_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -211,7 +213,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
                 )
 
     schema = f"doc_id long, {', '.join(f'n_{k} long' for k in kinds)}, base_sha256 string, spans string, n_verified long"
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(work, schema)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED) -> DataFrame:
@@ -250,5 +252,5 @@ def redact(docs: DataFrame, mask: str = "[secret]", base: tuple[Rule, ...] = BAS
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
                 yield batch
 
-    out = docs.mapInArrow(work, docs.schema)
+    out = bounded_batches(docs).mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

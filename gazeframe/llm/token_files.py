@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gazeframe.llm.common import shared_dir, written
+from gazeframe.llm.common import bounded_batches, shared_dir, written
 from gazeframe.llm.files import get, put
 from gazeframe.llm.token_ids import encoder, slices
 
@@ -192,7 +192,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     shards = written(rows.mapInArrow(work, "path string, part long, place long, n_docs long, n_tokens long"), "token-shards")

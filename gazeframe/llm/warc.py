@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import shared_dir, written
+from gazeframe.llm.common import bounded_batches, shared_dir, written
 from gazeframe.llm.files import get, put
 
 #: Fixed values of the format: the magic number of the skippable frame that holds a dictionary, and that of a dictionary.
@@ -126,7 +126,7 @@ def archive(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES
     folder = shared_dir(pages.sparkSession, "warc")
     spread = F.coalesce(F.col("page_id"), F.xxhash64("url"))
     rows = (
-        pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), spread.alias("spread"))
+        bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), spread.alias("spread"))
         .withColumn("own", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
         .join(roles(pages, least).select(F.col("page_id").alias("spread"), F.col("digest").alias("own"), "refers_to"), ["spread", "own"], "left")
         .select("page_id", "url", "html", F.when(F.col("page_id").isNotNull(), F.col("refers_to")).alias("refers_to"))
