@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare word n-grams of the test items find passages of documents, which are then aligned.
+"""Benchmark decontamination: rare words of the test items find passages of documents, which are then aligned.
 
-Test items come in blocks of bounded size. For each block, one pass over all documents counts how often the items'
-n-grams occur in the corpus; the rarest n-grams of each item (half of them, or 16 if that is more) are its seeds. A
-second pass joins the documents' n-grams to the seeds. Around the seeds that a document shares with an item, a
-Smith-Waterman alignment of words (all candidates of a segment at once) scores the passage: 1 for a verbatim copy, less
-for each word changed, dropped or added. From 0.5 on the document counts as contaminated.
+A passage counts from a Smith-Waterman alignment score (words, as a share of a verbatim copy's) of 0.5 on. An alignment
+that scores so much matches at least half of the item's words, within twice the item's length of text. Of the item's
+rarest 60 % of words, by a first pass over all documents, it hence matches at least a tenth of the item's length.
+The second pass looks up only these words (the seeds). Where enough of them stand close together, and the stretch could
+score enough if each word that the item has were a match, it is aligned: all candidates of a segment at once. These
+bounds follow from the score, so no passage is lost, however its words were changed; the counts only decide how much is
+looked up.
 
 Words are runs of letters and digits with A-Z in lower case; punctuation and white space don't matter.
 
-Defined results: a null or empty text is clean. Items that are null or shorter than an n-gram have no seeds and are
+Defined results: a null or empty text is clean. Items that are null or shorter than ``n`` words are
 never reported. Equal scores: the smaller item_id is named. Repeated rows give repeated results. Extra columns are
 ignored. Without documents there are no rows; without items every document is clean.
 """
@@ -23,31 +25,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.llm.common import bounded_batches, written
-from gazeframe.llm.grams import PUNCTUATION, grams, raw, words
+from gazeframe.llm.grams import PUNCTUATION, raw, words
 from gazeframe.llm.jaccard import _pieces as pieces
 
+#: Items of fewer words are not looked for.
 N = 3
-LEAST_SEEDS = 16
 THRESHOLD = 0.5
 #: Items of a block: what is broadcast for it stays small however many items there are.
 BLOCK_ITEMS = 20_000
 MATCH, MISS, GAP = 2, 1, 1
 CELLS = 1 << 20
+#: Share of an item's words that are seeds at least (above 1 - THRESHOLD), and the look-ups of a text that are held at once.
+SEEDS = 0.6
+HELD = 1 << 22
 _TABLE = 1 << 22
 
 
 class Items:
-    """Word hashes of a block of items, and an index of n-grams to (item, place)."""
+    """Word hashes of a block of items, and an index of words to the items of ``n`` words or more that have them."""
 
     def __init__(self, names: list[int], value: np.ndarray, number: np.ndarray, n: int):
-        self.names, self.value, self.number, self.n = np.array(names, np.int64), value, number, n
+        self.names, self.value, self.number = np.array(names, np.int64), value, number
         self.first = np.cumsum(number) - number
-        gram, at, count = grams(value, number, n, short=False)
-        self.item = np.repeat(np.arange(len(names)), count)
-        self.place = at - self.first[self.item]
-        self.gram = gram
-        self.unique, self.of = np.unique(gram, return_inverse=True)
-        self._index(np.ones(len(gram), bool))
+        self.unique, of = np.unique(value, return_inverse=True)
+        item = np.repeat(np.arange(len(names)), number)
+        pair, self.times = np.unique(item[number[item] >= n] * max(1, len(self.unique)) + of[number[item] >= n], return_counts=True)
+        self.pair = pair
+        self.item, self.of = pair // max(1, len(self.unique)), pair % max(1, len(self.unique))
+        self.need = np.ones(len(names), np.int64)
+        self._index(np.ones(len(pair), bool))
 
     def _index(self, keep: np.ndarray) -> None:
         kept = np.flatnonzero(keep)
@@ -58,22 +64,28 @@ class Items:
         self.table = np.zeros(_TABLE, bool)
         self.table[(self.unique[self.hi > self.lo] & np.uint64(_TABLE - 1)).astype(np.int64)] = True
 
-    def rarest(self, counts: np.ndarray, least: int) -> None:
-        """Keeps as seeds the rarest half of each item's n-grams, or ``least``. counts: by ``unique``."""
-        order = np.lexsort((self.place, counts[self.of], self.item))
-        start = np.searchsorted(self.item[order], self.item[order])
-        total = np.bincount(self.item, minlength=len(self.names))[self.item[order]]
-        keep = np.zeros(len(self.gram), bool)
-        keep[order] = np.arange(len(order)) - start < np.maximum(least, (total + 1) // 2)
+    def seeds(self, counts: np.ndarray, threshold: float) -> None:
+        """Keeps each item's rarest words as seeds, and sets how many of them a passage must hold. counts: by ``unique``."""
+        least = np.maximum(1, np.ceil(threshold * self.number - 1e-9).astype(np.int64))  # words that a passage matches
+        want = np.maximum(np.ceil(SEEDS * self.number).astype(np.int64), self.number - least + 1)
+        order = np.lexsort((self.of, counts[self.of], self.item))
+        before = np.cumsum(self.times[order]) - self.times[order]
+        before -= before[np.searchsorted(self.item[order], self.item[order])]
+        keep = np.zeros(len(self.item), bool)
+        keep[order] = before < want[self.item[order]]
+        held = np.bincount(self.item[keep], self.times[keep], len(self.names)).astype(np.int64)
+        self.need = np.maximum(1, least - (self.number - held))
+        self.least = MATCH * threshold * self.number  # the score of a passage
+        self.reach = np.ceil((3 - 2 * threshold) * self.number).astype(np.int64)  # words of text that a passage spans at most
         self._index(keep)
 
-    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``gram`` that have seeds, their numbers in ``unique``)."""
+    def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``word`` that have seeds, their numbers in ``unique``)."""
         if not len(self.unique):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.table[(gram & np.uint64(_TABLE - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.unique, gram[maybe]), len(self.unique) - 1)
-        hit = (self.unique[k] == gram[maybe]) & (self.hi[k] > self.lo[k])
+        maybe = np.flatnonzero(self.table[(word & np.uint64(_TABLE - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.unique, word[maybe]), len(self.unique) - 1)
+        hit = (self.unique[k] == word[maybe]) & (self.hi[k] > self.lo[k])
         return maybe[hit], k[hit]
 
 
@@ -138,7 +150,7 @@ def _load(block: DataFrame, n: int) -> Items:
 
 
 def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each of the items' n-grams occurs in all documents."""
+    """How often each of the items' words occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,29 +158,28 @@ def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
         total = np.zeros(len(items.unique), np.int64)
         for batch in batches:
             for part in pieces(batch):
-                value, _, number = words(*raw(part.column(1)), PUNCTUATION)
-                total += np.bincount(items.find(grams(value, number, items.n, short=False)[0])[1], minlength=len(total))
+                total += np.bincount(items.find(words(*raw(part.column(1)), PUNCTUATION)[0])[1], minlength=len(total))
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["word", "n"])
 
     counts = np.zeros(len(items.unique), np.int64)
-    found = docs.select("doc_id", "text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    for r in found.toArrow().to_pylist():  # at most one row for each n-gram of the block
-        counts[r["gram"]] = r["n"]
+    found = docs.select("doc_id", "text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    for r in found.toArrow().to_pylist():  # at most one row for each word of the block
+        counts[r["word"]] = r["n"]
     return counts
 
 
-def passages(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """Every row's doc_id and hits: (item_id, score, start, end) by words, for each item that shares a seed with its text."""
+def passages(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row's doc_id and hits: (item_id, score, start, end) by words, with all items that score ``threshold`` or more."""
     docs = bounded_batches(docs).select("doc_id", "text", F.array().cast(HITS).alias("hits"))
     for block in _blocks(items):
-        docs = docs.mapInArrow(_search(_shared(docs, block, n), None), f"doc_id long, text string, hits {HITS}")
+        docs = docs.mapInArrow(_search(_shared(docs, block, n, threshold), None), f"doc_id long, text string, hits {HITS}")
     return docs.select("doc_id", "hits")
 
 
-def _shared(docs: DataFrame, block: DataFrame, n: int):
+def _shared(docs: DataFrame, block: DataFrame, n: int, threshold: float):
     held = _load(block, n)
-    held.rarest(corpus_counts(docs, held), LEAST_SEEDS)
+    held.seeds(corpus_counts(docs, held), threshold)
     return docs.sparkSession.sparkContext.broadcast(held)
 
 
@@ -176,33 +187,92 @@ HITS = "array<struct<item_id: long, score: double, start: long, end: long>>"
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _close(items: Items, row: np.ndarray, place: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
+    """(row, item, first, end) of the stretches that can hold a passage, from all seeds (by row and place) of these rows."""
+    order = np.lexsort((place, item, row))
+    row, place, item = row[order], place[order], item[order]
+    last = np.arange(len(row)) + items.need[item] - 1
+    at = np.flatnonzero(last < len(row))
+    last = last[at]
+    enough = (row[last] == row[at]) & (item[last] == item[at]) & (place[last] - place[at] < items.reach[item[at]])
+    at, last = at[enough], last[enough]
+    row, item, reach = row[at], item[at], items.reach[item[at]]
+    lo, hi = place[last] - reach + 1, place[at] + reach
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    return [row[begin], item[begin], lo[begin], hi[np.append(begin[1:], len(at)) - 1] if len(at) else hi]
+
+
+def _stretches(items: Items, value: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+    """``_close`` for all texts, with at most about HELD look-ups at once."""
+    place, k = items.find(value)
+    row = np.searchsorted(np.cumsum(number), place, "right")
+    times = items.hi[k] - items.lo[k]
+    total = np.cumsum(times)
+    found = [_close(items, *[np.zeros(0, np.int64)] * 3)]
+    lo = 0
+    while lo < len(place):
+        before = total[lo - 1] if lo else 0
+        hi = int(np.searchsorted(total, before + HELD, "right"))
+        hi = hi if hi == len(place) else int(np.searchsorted(row, row[min(hi, len(place) - 1)]))  # whole rows
+        hi = hi if hi > lo else int(np.searchsorted(row, row[lo], "right"))
+        groups = max(1, -(-int(total[hi - 1] - before) // HELD))  # of items, for a row that is too large
+        for g in range(groups):
+            rows, places, mine = [], [], []
+            at = lo
+            while at < hi:
+                end = min(hi, max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD, "right"))))
+                t = times[at:end]
+                entry = items.entries[np.repeat(items.lo[k[at:end]] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+                item, where = items.item[entry], np.repeat(np.arange(at, end), t)
+                if groups > 1:
+                    item, where = item[item % groups == g], where[item % groups == g]
+                rows.append(row[where])
+                places.append(place[where])
+                mine.append(item)
+                at = end
+            found.append(_close(items, np.concatenate(rows), np.concatenate(places), np.concatenate(mine)))
+        lo = hi
+    return [np.concatenate(column) for column in zip(*found, strict=True)]
+
+
+def _worth(items: Items, value: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which stretches ``value[lo:hi]`` can score enough: the most that any part gets if each word the item has is a match."""
+    out = np.zeros(len(item), bool)
+    size = hi - lo
+    total = np.cumsum(size)
+    at = 0
+    while at < len(item):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD, "right")))
+        n = size[at:end]
+        start = np.cumsum(n) - n
+        word = value[np.repeat(lo[at:end] - start, n) + np.arange(n.sum())]
+        of = np.minimum(np.searchsorted(items.unique, word), len(items.unique) - 1)
+        key = np.repeat(item[at:end], n) * len(items.unique) + of
+        there = (items.unique[of] == word) & (items.pair[np.minimum(np.searchsorted(items.pair, key), len(items.pair) - 1)] == key)
+        after = np.cumsum(np.where(there, MATCH, -min(MISS, GAP)))
+        before = after - np.where(there, MATCH, -min(MISS, GAP))
+        fall = np.repeat(np.arange(len(n)), n) * (4 * MATCH * (len(word) + 1))  # keeps a minimum from entering the next stretch
+        most = after - (np.minimum.accumulate(before - fall) + fall)
+        out[at:end] = np.maximum.reduceat(most, start) >= items.least[item[at:end]] - 1e-9
+        at = end
+    return out
+
+
 def _hits(items: Items, texts: pa.Array) -> list[list[dict]]:
-    """For each text, the items that share a seed with it, and the best alignment with each."""
+    """For each text, the items that it can hold a passage of, and the best alignment with each."""
     value, _, number = words(*raw(texts), PUNCTUATION)
-    gram, at, count = grams(value, number, items.n, short=False)
-    place, k = items.find(gram)
     found: list[list[dict]] = [[] for _ in range(len(texts))]
-    if not len(place):
+    row, item, lo, hi = _stretches(items, value, number)
+    if not len(row):
         return found
-    times = items.hi[k] - items.lo[k]
-    entry = items.entries[np.repeat(items.lo[k] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-    place = np.repeat(place, times)
-    row = np.searchsorted(np.cumsum(count), place, "right")
-    item = items.item[entry]
     first = np.cumsum(number) - number
-    start = at[place] - first[row] - items.place[entry]  # where the item would start in the text
-    order = np.lexsort((start, item, row))
-    row, item, start = row[order], item[order], start[order]
-    length = items.number[item]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > length[1:])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(row)) - 1
-    slack = length[begin] // 2 + 2
-    lo = np.maximum(start[begin] - slack, 0)
-    hi = np.minimum(start[end] + length[begin] + slack, number[row[begin]])
+    lo, hi = np.maximum(lo, first[row]), np.minimum(hi, first[row] + number[row])
+    worth = _worth(items, value, item, lo, hi)
+    row, item, lo, hi = row[worth], item[worth], (lo - first[row])[worth], (hi - first[row])[worth]
     pairs, spans = [], []
-    for r, i, a, b in zip(row[begin].tolist(), item[begin].tolist(), lo.tolist(), hi.tolist(), strict=True):
+    for r, i, a, b in zip(row.tolist(), item.tolist(), lo.tolist(), hi.tolist(), strict=True):
         f = int(items.first[i])
         pairs.append((items.value[f : f + int(items.number[i])], value[int(first[r]) + a : int(first[r]) + b]))
         spans.append((r, i, a))
@@ -243,7 +313,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ranked = F.array_sort(F.transform("leaks", lambda h: F.struct((-h.score).alias("minus"), h.item_id.alias("item_id"))))
     best = F.try_element_at(ranked, F.lit(1))
     return (
-        passages(docs, items, n)
+        passages(docs, items, n, threshold)
         .select("doc_id", leaks.alias("leaks"))
         .select(
             "doc_id",
@@ -259,5 +329,5 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: in
     """The rows of ``docs``, with all their columns, that hold no passage of an item."""
     bounded_batches(docs)
     for block in _blocks(items):
-        docs = docs.mapInArrow(_search(_shared(docs, block, n), threshold), docs.schema)
+        docs = docs.mapInArrow(_search(_shared(docs, block, n, threshold), threshold), docs.schema)
     return docs

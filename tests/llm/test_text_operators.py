@@ -181,6 +181,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 22, 50])
+def test_edited_copies_are_found(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(8)]
+    edits = [lambda t, e=e: [f"new{k}" if k % e == e - 1 else x for k, x in enumerate(t)] for e in (2, 3, 4, 5, 6)]  # every e-th word is another
+    edits += [lambda t: [y for k, x in enumerate(t) for y in ((x, f"put{k}") if k % 2 else (x,))], lambda t: [x for k, x in enumerate(t) if k % 4]]
+    docs = [["start"] * 9 + edit(t) + ["end"] * 9 for edit in edits for t in items] + [rng.choices(vocabulary, k=200) for _ in range(8)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["score"]) for r in decontaminate.contaminated(df, bench).collect()}
+    for i, t in enumerate(docs):
+        scores = [brute_alignment(item, t) for item in items]
+        want = [k for k, s in enumerate(scores) if s >= 0.5]
+        assert got[i] == (want, round(max(scores), 6) if want else None)
+    assert all(got[i][0] for i in range(8, 56)) and not any(got[i][0] for i in range(8))
+
+
 @pytest.mark.parametrize("block", [3])
 def test_items_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
