@@ -1,9 +1,11 @@
 """Text of web pages as a reader sees it: a small tree builder, visibility rules, and a renderer that keeps the layout.
 
 The builder closes elements whose end tags HTML lets one leave out (paragraphs, list items, table parts, options) and
-ignores stray end tags. Hidden content (scripts, styles, ``hidden``, ``display:none`` and the like) is left out; all
-other text is kept. Blocks stand on lines of their own, paragraphs and headings have an empty line around them, list
-items a marker and indent, and a table's cells are padded so that its columns line up.
+ignores stray end tags. What a browser hides (scripts, styles, ``hidden``, ``display:none`` and the like, and what a
+graphic holds beside its text) is left out; all other text is kept, at any depth. Blocks stand on lines of their own, paragraphs and headings have an empty line around them, list
+items a marker and indent, and a table's cells are padded so that its columns line up. Within more than NESTED lists or
+quotes lines are not indented further, and within more than NESTED tables cells stand in a line unpadded, so that a page's
+text does not grow with the square of its depth; markers and text are all there.
 
 Defined results: a null html gives a null text, an empty one an empty text. Broken markup never fails. Repeated rows
 give repeated results; extra columns are ignored; an empty table gives no rows.
@@ -12,6 +14,8 @@ give repeated results; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,8 +25,10 @@ from pyspark.sql import DataFrame
 from gazeframe.llm.common import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg canvas audio video datalist math select".split())
-RAW = frozenset("script style".split())
+HIDDEN = frozenset("script style template noscript head title iframe object canvas audio video datalist annotation annotation-xml".split())
+#: Within a graphic: what is not drawn; else only text within these elements is.
+UNDRAWN = frozenset("desc metadata defs symbol marker pattern clippath mask".split())
+DRAWN = ("text", "foreignobject")
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCK = SPACED | frozenset("html body div section article main header footer nav aside address form fieldset li dt dd hr details summary figcaption caption center menu dir legend".split())
 #: A start tag closes these open elements, if no element of the second set is in between.
@@ -38,10 +44,12 @@ IMPLIED = {
     "body": (frozenset({"head"}), frozenset({"html"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+#: These start tags end a graphic or formula that they stand in, if none of the second set is in between.
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = (frozenset({"svg", "math"}), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split()))
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-#: Elements nested deeper than this are taken as children of the last one, so that no page exhausts the stack.
-MAX_DEPTH = 200
+NESTED = 200
 
 
 class Node:
@@ -49,7 +57,7 @@ class Node:
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.hidden = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_UNSEEN.search(attrs.get("style") or "")) or tag == "input"
+        self.hidden = tag in HIDDEN or "hidden" in attrs or bool(_UNSEEN.search(attrs.get("style") or "")) or tag == "input"
 
 
 class _Builder(HTMLParser):
@@ -57,48 +65,71 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in ``open`` of each tag's elements
+
+    def _last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def _close(self, k: int) -> None:
+        for node in reversed(self.open[k:]):
+            self.at[node.tag].pop()
+        del self.open[k:]
+
+    def _end_implied(self, closes, until) -> None:
+        last = self._last(until)
+        found = [at[bisect_right(at, last)] for at in (self.at[t] for t in closes if self.at.get(t)) if at[-1] > last]
+        if found:
+            self._close(min(found))
 
     def handle_starttag(self, tag, attrs):
+        if tag in LEAVES:
+            self._end_implied(*FOREIGN)
         if tag in IMPLIED:
-            closes, until = IMPLIED[tag]
-            for k in range(len(self.open) - 1, 0, -1):
-                at = self.open[k].tag
-                if at in until:
-                    break
-                if at in closes:
-                    del self.open[k:]
+            self._end_implied(*IMPLIED[tag])
         node = Node(tag, dict(attrs))
+        node.hidden = node.hidden or tag in UNDRAWN and bool(self.at["svg"])
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("script", "style", "iframe"):
-            self.handle_endtag(tag)
+        if tag not in VOID and (tag in ("script", "style", "iframe") or self._last(FOREIGN[0]) > self._last(FOREIGN[1] - {tag})):
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag == "table" and tag not in BLOCK:
-                return
-        if tag == "p":
+        k = self._last((tag,))
+        if tag not in BLOCK and self._last(("table",)) > k:
+            return
+        if k:
+            self._close(k)
+        elif tag == "p":
             self.handle_starttag("p", [])
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if self._last(("svg",)) <= self._last(DRAWN):
+            self.open[-1].children.append(data)
+
+
+class _Block:
+    """Lines of a nested page with what stands before the first one and before the others."""
+
+    __slots__ = ("first", "rest", "lines")
+
+    def __init__(self, first: str, rest: str, lines: list):
+        self.first, self.rest, self.lines = first, rest, lines
 
 
 class _Page:
     """Lines under construction: inline text gathers in ``line``; ``gap`` empty lines are due before the next one."""
 
-    def __init__(self):
-        self.lines: list[str] = []
+    def __init__(self, tables: int = 0):
+        self.lines: list[str | _Block] = []
         self.line: list[str] = []
         self.gap = 0
+        self.tables = tables  # how many tables it is in
 
     def end(self, gap: int = 0) -> None:
         text = _SPACE.sub(" ", "".join(self.line)).strip(" ")
@@ -107,14 +138,53 @@ class _Page:
             self.put(text)
         self.gap = max(self.gap, gap)
 
-    def put(self, text: str) -> None:
+    def put(self, text: str | _Block) -> None:
         if self.lines and self.gap:
             self.lines.append("")
         self.gap = 0
         self.lines.append(text)
 
 
-def _walk(node: Node, page: _Page) -> None:
+def _flat(lines: list[str | _Block]) -> list[str]:
+    """The lines with those of the blocks, each behind what its blocks put before it."""
+    out = []
+    marks: list[str] = []  # of the open blocks
+    fresh = 0  # those from here on have had no line yet
+    stack = [(iter(lines), "")]
+    while stack:
+        line = next(stack[-1][0], None)
+        if line is None:
+            stack.pop()
+            del marks[-1:]
+            fresh = min(fresh, len(marks))
+        elif isinstance(line, _Block):
+            stack.append((iter(line.lines), line.rest))
+            marks.append(line.first)
+        else:
+            before = marks[:NESTED] + marks[max(fresh, NESTED) :]
+            if marks and line.strip():
+                line = ("".join(before) + line).rstrip()
+            else:
+                for mark in reversed(before):
+                    line = (mark + line).rstrip() if line else ""
+            out.append(line)
+            marks[fresh:] = [rest for _, rest in stack[fresh + 1 :]]
+            fresh = len(marks)
+    return out
+
+
+def _run(walk: Iterator) -> None:
+    """Runs a walk that yields the walks of parts, each to be done before it goes on: recursion without the call stack."""
+    stack = [walk]
+    while stack:
+        part = next(stack[-1], None)
+        if part is None:
+            stack.pop()
+        else:
+            stack.append(part)
+
+
+def _walk(node: Node, page: _Page) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             page.line.append(child)
@@ -130,75 +200,82 @@ def _walk(node: Node, page: _Page) -> None:
             for line in inner.split("\n") if inner.strip() else []:
                 page.put(line.rstrip())
             page.gap = 1
-        elif child.tag == "table":
+        elif child.tag == "table" and page.tables < NESTED:
             page.end(1)
-            for line in _table(child):
-                page.put(line)
+            yield _table(child, page)
             page.gap = 1
         elif child.tag in ("ul", "ol", "menu", "dir"):
             page.end(0 if node.tag == "li" else 1)
-            _list(child, page)
+            yield _list(child, page)
             page.gap = max(page.gap, 0 if node.tag == "li" else 1)
         elif child.tag == "dd":
-            _nested(child, page, "    ", "    ")
+            yield _nested(child, page, "    ", "    ")
         elif child.tag == "blockquote":
             page.end(1)
-            _nested(child, page, "> ", "> ")
+            yield _nested(child, page, "> ", "> ")
             page.gap = 1
-        elif child.tag in BLOCK:
+        elif child.tag in BLOCK or child.tag == "tr" and page.tables >= NESTED:
             gap = int(child.tag in SPACED)
             page.end(gap)
-            _walk(child, page)
+            yield _walk(child, page)
             page.end(gap)
-        elif child.tag in ("td", "th"):
+        elif child.tag in ("td", "th", "option", "text", "mtd"):
             page.line.append(" ")
-            _walk(child, page)
+            yield _walk(child, page)
             page.line.append(" ")
-        else:
-            _walk(child, page)
+        elif child.children:
+            yield _walk(child, page)
 
 
-def _nested(node: Node, page: _Page, first: str, rest: str) -> None:
+def _nested(node: Node, page: _Page, first: str, rest: str) -> Iterator:
     page.end()
-    own = _Page()
-    _walk(node, own)
+    own = _Page(page.tables)
+    yield _walk(node, own)
     own.end()
-    for k, line in enumerate(own.lines):
-        page.put(((first if k == 0 else rest) + line).rstrip() if line else "")
+    if own.lines:
+        page.put(_Block(first, rest, own.lines))
 
 
-def _list(node: Node, page: _Page) -> None:
+def _list(node: Node, page: _Page) -> Iterator:
     start = node.attrs.get("start") or ""
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start, re.A) else 1
     loose = Node("div", {})
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
             if loose.children:
-                _nested(loose, page, "  ", "  ")
+                yield _nested(loose, page, "  ", "  ")
                 loose = Node("div", {})
             if child is not None and not child.hidden:
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                _nested(child, page, mark, " " * len(mark))
+                yield _nested(child, page, mark, " " * len(mark))
                 number += 1
         else:
             loose.children.append(child)
 
 
 def _texts(node: Node) -> Iterator[str]:
-    for child in node.children:
-        if isinstance(child, str):
+    stack = [iter(node.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
             yield child
         elif not child.hidden:
             if child.tag == "br":
                 yield "\n"
-            yield from _texts(child)
+            stack.append(iter(child.children))
 
 
 def _rows(node: Node, loose: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and child.tag in ("tbody", "thead", "tfoot"):
+    stack = [iter(node.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, Node) and child.tag in ("tbody", "thead", "tfoot"):
             if not child.hidden:
-                yield from _rows(child, loose)
+                stack.append(iter(child.children))
         elif isinstance(child, Node) and child.tag == "tr":
             if not child.hidden:
                 yield child
@@ -206,7 +283,7 @@ def _rows(node: Node, loose: Node) -> Iterator[Node]:
             loose.children.append(child)
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node, page: _Page) -> Iterator:
     loose = Node("div", {})
     grid = []
     for row in _rows(table, loose):
@@ -215,25 +292,26 @@ def _table(table: Node) -> list[str]:
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
-                    own = _Page()
-                    _walk(cell, own)
+                    own = _Page(page.tables + 1)
+                    yield _walk(cell, own)
                     own.end()
                     span = cell.attrs.get("colspan") or ""
-                    cells.append([x for x in own.lines if x])
+                    cells.append([x for x in _flat(own.lines) if x])
                     cells += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"[1-9]\d{0,5}", span, re.A) else 0)
             else:
                 rest.children.append(cell)
         loose.children += rest.children
         grid.append(cells)
-    out = _Page()
-    _walk(loose, out)  # captions, and text that is out of place
+    out = _Page(page.tables + 1)
+    yield _walk(loose, out)  # captions, and text that is out of place
     out.end()
     width = [max((len(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
-    lines = out.lines
+    lines = _flat(out.lines)
     for row in grid:
         for k in range(max(map(len, row), default=0)):
             lines.append(" | ".join((cell[k] if k < len(cell) else "").ljust(width[c]) for c, cell in enumerate(row)).rstrip())
-    return lines
+    for line in lines:
+        page.put(line)
 
 
 def render(html: str) -> str:
@@ -242,9 +320,9 @@ def render(html: str) -> str:
     builder.feed(html)
     builder.close()
     page = _Page()
-    _walk(builder.root, page)
+    _run(_walk(builder.root, page))
     page.end()
-    return "\n".join(page.lines)
+    return "\n".join(_flat(page.lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:

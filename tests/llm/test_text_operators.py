@@ -117,6 +117,30 @@ def test_all_visible_text_is_kept():
         assert sorted(re.findall(r"w\d+", html_text.render(html))) == sorted(words), html
 
 
+SHOWN = {
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b": "a x=2 b",
+    "<svg>no<title>no</title><desc>no</desc><path/><defs/><g><text>left</text> <text>right</text></g>no</svg> after": "left right after",
+    "<svg><g>no<p>out</svg> after": "out after",
+    "<select><option>one<option>two</select>": "one two",
+    '<span aria-hidden="true">seen</span>': "seen",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_what_a_browser_shows_is_kept(html):
+    assert html_text.render(html) == SHOWN[html]
+
+
+@pytest.mark.parametrize("depth", [150, 250, 30_000])
+def test_depth_changes_nothing(depth):
+    deep = "<div>" * depth
+    assert html_text.render(deep + "a<script>no</script><style>no</style><span hidden>no<b>no</b></span> b") == "a b"
+    assert html_text.render("<div hidden>no" + deep + "<b>no</b><i></i></div>no</div>" + "</div>" * (depth - 1) + "yes") == "yes"
+    assert html_text.render(deep + "<table><tr><th>k<th>long<tr><td>value<td>v</table><ul><li>x</ul>") == "k     | long\nvalue | v\n\n- x"
+    for tags in ("<ul><li>", "<blockquote>", "<table><tr><td>", "<dl><dd>", "<pre>"):
+        assert re.findall(r"w\d+", html_text.render("".join(f"{tags}w{k} " for k in range(depth)))) == [f"w{k}" for k in range(depth)]
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     common = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
