@@ -14,8 +14,8 @@ from gazeframe.plans import driver_tables as tables
 from gazeframe.schema import LABELS, MODEL_FEATURES
 
 REPLICATES = 200
-ITEM_REPLICATES = 10
-SHUFFLES = 5
+ITEM_REPLICATES = 200
+SHUFFLES = 200
 SEED = 20261005
 BY = ["system", "reference"]
 
@@ -258,16 +258,24 @@ def perm_null(spark: SparkSession, d: str) -> DataFrame:
     return rounded(null.groupBy("system").agg(F.avg("delta").alias("null_mean"), *resample.interval("delta")))
 
 
-def perm_null_rank(spark: SparkSession, d: str) -> DataFrame:
-    p = tables.predictions(spark, d).where("system in ('rule_based', 'supervised_RandomForest')")
-    shuffled = resample.rank_shuffled(p, SHUFFLES, SEED)
-    rows = agreement.with_references(shuffled, tables.ratings(spark, d), ("rater1", "rater2"))
+def _null_rank(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
+    shuffled = resample.rank_shuffled(predictions, SHUFFLES, SEED)
+    rows = agreement.with_references(shuffled, ratings, ("rater1", "rater2"))
     by = ["system", "rep", "reference"]
     k = agreement.metrics(agreement.confusion(agreement.cells(rows, by), by), by, ["kappa"])
     wide = k.groupBy("system", "rep").agg(F.max(F.when(F.col("reference") == "rater1", F.col("kappa"))).alias("k1"), F.max(F.when(F.col("reference") == "rater2", F.col("kappa"))).alias("k2"))
     return rounded(wide.select("system", "rep", (F.col("k1") - F.col("k2")).alias("delta")))
 
 
+def perm_null_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The two systems that its SQL covers; ``perm_null_rank_systems`` has all of them."""
+    return _null_rank(tables.predictions(spark, d).where("system in ('rule_based', 'supervised_RandomForest')"), tables.ratings(spark, d))
+
+
+def perm_null_rank_systems(spark: SparkSession, d: str) -> DataFrame:
+    return _null_rank(tables.predictions(spark, d).where("label is not null"), tables.ratings(spark, d))
+
+
 def _payload(spark: SparkSession, d: str) -> DataFrame:
     segs = _segments(spark, d)
     return sequences.payload(tables.features(spark, d), segs, sequences.interactions(segs))
@@ -478,6 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boot_kappa_multinomial": boot_kappa_multinomial,
     "perm_null": perm_null,
     "perm_null_rank": perm_null_rank,
+    "perm_null_rank_systems": perm_null_rank_systems,
     "prompt_conditions": prompt_conditions,
     "payload_from_prompt": payload_from_prompt,
     "nli_premises": nli_premises,

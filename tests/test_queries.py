@@ -1,5 +1,6 @@
 """Registered queries against their SQL, on the smallest tables where these are there."""
 
+import hashlib
 import os
 
 import duckdb
@@ -7,6 +8,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from gazeframe.plans import driver_tables as tables
+from gazeframe.plans import queries as study
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,6 +35,41 @@ def test_against_sql(spark, name):
     assert plain(got, sorted(got.columns)) == plain(want, sorted(want.columns))
 
 
+def test_item_interval_of_enough_replicates(spark):
+    assert study.ITEM_REPLICATES >= study.REPLICATES == 200
+    test_against_sql(spark, "boot_item_ci")
+
+
+def test_null_of_all_systems(spark):
+    got = entry.queries()["perm_null_rank_systems"](spark, SF).toPandas()
+    assert len(got) == len(tables.SYSTEMS) * study.SHUFFLES == got[["system", "rep"]].drop_duplicates().shape[0] and study.SHUFFLES >= 200
+    two = entry.queries()["perm_null_rank"](spark, SF).toPandas()
+    assert plain(got[got["system"].isin(set(two["system"]))], sorted(two.columns)) == plain(two, sorted(two.columns))
+
+
+def test_null_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(study, "SHUFFLES", 3)
+    kinds = study.LABELS
+    md5 = lambda *keys: int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:8], 16)
+    rated = {i: (kinds[md5("a", i) % 3], kinds[md5("b", i) % 3]) for i in range(60)}
+    labelled = {(s, i): kinds[md5(s, i) % 3] for s in ("x", "y", "z") for i in range(60) if s != "z" or i % 7}
+    p = spark.createDataFrame([(s, i, c) for (s, i), c in labelled.items()], "system string, item_id long, label string")
+    r = spark.createDataFrame([(i, a, b) for i, (a, b) in rated.items()], "item_id long, rater1 string, rater2 string")
+
+    def kappa(pairs):
+        agree = sum(a == b for a, b in pairs) / len(pairs)
+        chance = sum(sum(a == c for a, _ in pairs) * sum(b == c for _, b in pairs) for c in kinds) / len(pairs) ** 2
+        return (agree - chance) / (1 - chance)
+
+    got = {(row["system"], row["rep"]): row["delta"] for row in study._null_rank(p, r).collect()}
+    assert len(got) == 9
+    for (s, rep), delta in got.items():
+        items = [i for t, i in labelled if t == s]
+        moved = sorted(items, key=lambda i: (md5(study.SEED, s, rep, i), i))
+        mixed = dict(zip(moved, [labelled[s, i] for i in sorted(items, key=lambda i: (md5("place", i), i))], strict=True))
+        assert delta == pytest.approx(kappa([(rated[i][0], mixed[i]) for i in items]) - kappa([(rated[i][1], mixed[i]) for i in items]), abs=1e-6)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
