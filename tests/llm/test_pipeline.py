@@ -46,3 +46,17 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(ids["secrets"])
     assert len(rows) == 94 and re.match("toxicity", corpus_pipeline.STAGES[0][0]) and toxicity.LEVEL == 9
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    texts = [" ".join(f"t{k}w{j}" for j in range(30)) for k in range(5)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[1]), (2, texts[1] + " extra"), (2, None), (2, None), (3, None), (3, texts[2]), (4, texts[2])]
+    rows += [(5, texts[1]), (None, texts[3]), (None, texts[3]), (None, texts[0]), (6, texts[4])]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    near = [t for i, t in left if i == 2 and t is not None]
+    assert len(near) == 1 and near[0].startswith(texts[1])
+    left.remove((2, near[0]))
+    assert sorted(left, key=repr) == sorted([(1, texts[0]), (2, None), (3, None), (3, texts[2]), (None, texts[3]), (6, texts[4])], key=repr)
