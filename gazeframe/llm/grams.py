@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -14,11 +15,13 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
+_START, _STEP = (_RNG.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The low bytes of a little-endian piece of eight that belong to a span which has so many left.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,17 +31,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of each); nulls count as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -47,12 +39,35 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on, as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, after replacing bytes by ``table``: equal spans have equal hashes wherever they are."""
-    up, down = _power(len(data) + 1)
-    total = np.cumsum(_BYTE[table][data] * up[: len(data)], dtype=np.uint64)
-    value = total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))
-    return mixed(value * down[start] + (end - start).astype(np.uint64))
+    """64-bit hash of each span of bytes, after replacing bytes by ``table``: equal spans have equal hashes wherever they are.
+
+    Eight bytes at a time are mixed into the state, which no fixed pattern of bytes undoes (as the sum of a polynomial's
+    terms modulo 2**64 would let one do); spans of the same length up to eight never clash.
+    """
+    data = table[data]
+    eight = eights(data)
+    size = end - start
+    h = mixed(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64(_START))
+    h = mixed(h ^ (eight[start] & _LOW[np.minimum(size, 8)]))
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(rest):
+            break
+        piece = eight[start[rest] + k] & _LOW[np.minimum(size[rest] - k, 8)]
+        h[rest] = mixed((h[rest] + np.uint64(_STEP)) ^ mixed(piece * np.uint64(_START)))
+        rest = rest[size[rest] > k + 8]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(view[a:b], _START) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, made faster by remembering the ids of words.
 
 A text falls into chunks at places where its tokenizer's own splitting always has a boundary: before white space, and
-between a letter and ASCII punctuation or a digit. Each different chunk (by a 64-bit hash of its bytes) goes through the
-tokenizer once; a process keeps a bounded number of them. For tokenizers whose splitting is not one of the two known
-kinds, and for texts with unusual white space, the tokenizer takes the whole text.
+between a letter and ASCII punctuation or a digit. Each different chunk goes through the tokenizer once; a process keeps
+a bounded number of them by their bytes. Chunks of a batch are grouped by a hash, and compared byte by byte with the one
+that stands for them. For tokenizers whose splitting is not one of the two known kinds, and for texts with unusual white
+space or a chunk that differs from its group's, the tokenizer takes the whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from gazeframe.llm.grams import FOLD, raw, span_hashes
+from gazeframe.llm.grams import FOLD, LONG, eights, raw, span_hashes
 
 #: White space besides the blank and the line feed, for any of the libraries; and the first bytes of such characters.
 _ODD = re.compile("[^\\S \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
@@ -48,8 +49,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray, blanks: bool) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[data]
     cut = np.zeros(n, bool)
-    latin = np.zeros(n, bool)  # the second byte of a letter from U+00C0 to U+023F
+    latin = np.zeros(n, bool)  # the second byte of a letter from U+00C0 to U+023F, but for U+0130, which ends in a mark in lower case
     latin[1:] = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    latin[1:] &= (data[:-1] != 0xC4) | (data[1:] != 0xB0)
     cut[1:] = (~space[:-1] & space[1:]) | ((_LETTER[data[:-1]] | latin[:-1]) & _STOP[data[1:]])
     cut[offsets[:-1][offsets[:-1] < n]] = True
     if not blanks:
@@ -62,6 +64,23 @@ def chunks(data: np.ndarray, offsets: np.ndarray, blanks: bool) -> tuple[np.ndar
     return start, end
 
 
+def clashing(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of the spans whose bytes differ from those of the span that ``other`` names for each."""
+    eight, size = eights(data), end - start
+    wrong = size != size[other]
+    rest = np.flatnonzero(~wrong & (other != np.arange(len(start))))
+    for k in range(0, LONG, 8):
+        if not len(rest):
+            break
+        a, b, left = eight[start[rest] + k], eight[start[other[rest]] + k], np.minimum(size[rest] - k, 8)
+        wrong[rest] = (a ^ b) << (8 * (8 - left)).astype(np.uint64) != 0
+        rest = rest[~wrong[rest] & (size[rest] > k + 8)]
+    view = memoryview(np.ascontiguousarray(data))
+    for i, j in zip(rest.tolist(), other[rest].tolist(), strict=True):
+        wrong[i] = view[start[i] : end[i]] != view[start[j] : end[j]]
+    return np.flatnonzero(wrong)
+
+
 class Encoder:
     """encode(texts) gives (ids of all texts one after the other, number of ids of each)."""
 
@@ -78,7 +97,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[int, int] = {}
+        self.code: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
@@ -113,7 +132,8 @@ class Encoder:
             size.append(n)
         return np.concatenate(kept), np.concatenate(size)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
+        texts = [k.decode() for k in keys]
         apart = [self.between is None or bool(self.between[2].search(t)) for t in texts]
         for how, which in ((self._alone, True), (self._together, False)):
             mine = [i for i, x in enumerate(apart) if x is which]
@@ -131,31 +151,31 @@ class Encoder:
                 self.used += len(ids)
                 self.code.update(zip((keys[i] for i in part), range(n, n + m), strict=True))
 
-    def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """Rows that go through the tokenizer whole."""
         if self.kind == "whole":
-            return list(range(len(texts)))
+            return set(range(len(texts)))
         if self.kind == "words":
-            return []
+            return set()
         rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_ODD[data]), "right") - 1)
-        return [i for i in rows.tolist() if _ODD.search(texts[i].as_py())]
+        return {i for i in rows.tolist() if _ODD.search(texts[i].as_py())}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = raw(texts)
-        odd = {i: np.array(self.tokenizer.encode(texts[i].as_py() or "", add_special_tokens=False).ids, np.uint32) for i in self._odd(texts, data, offsets)}
-        table = FOLD if self.kind == "words" else _SAME
+        odd = self._odd(texts, data, offsets)
         start, end = chunks(data, offsets, self.kind == "bytes")
         if len(self.code) > self.most_chunks:
             self._forget()
-        keys, first, which = np.unique(span_hashes(data, start, end, table), return_index=True, return_inverse=True)
-        names = keys.tolist()
+        data = (FOLD if self.kind == "words" else _SAME)[data]
+        _, first, which = np.unique(span_hashes(data, start, end, _SAME), return_index=True, return_inverse=True)
+        odd |= set((np.searchsorted(offsets, start[clashing(data, start, end, first[which])], "right") - 1).tolist())
+        view = memoryview(np.ascontiguousarray(data))
+        names = [bytes(view[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         codes = np.array([self.code.get(k, -1) for k in names], np.int64)
         unknown = np.flatnonzero(codes < 0)
         if len(unknown):
-            view = memoryview(np.ascontiguousarray(table[data]))
-            at = first[unknown]
-            new = [str(view[a:b], "utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
             missing = [names[i] for i in unknown.tolist()]
-            self._learn(missing, new)
+            self._learn(missing)
             codes[unknown] = [self.code[k] for k in missing]
         codes = codes[which]
         size = self.size[codes].astype(np.int64)
@@ -164,7 +184,9 @@ class Encoder:
         lengths = np.diff(done[np.searchsorted(start, offsets)])
         if odd:
             ends = np.cumsum(lengths)
-            parts = [odd[i] if i in odd else ids[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True))]
+            parts = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            for i in odd:
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py() or "", add_special_tokens=False).ids, np.uint32)
             lengths = np.array([len(p) for p in parts], np.int64)
             ids = np.concatenate(parts)
         return ids, lengths
