@@ -32,12 +32,30 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name below the cluster's shared folder; a temporary one only where the session names none."""
+    """A new folder name below the folder that ``spark.checkpoint.dir`` names; a temporary one only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes all folders that this process's operators have made so far, and says how many; their results can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -48,6 +66,19 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, hot: int = 1 << 17) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row for each ``key`` and in ``count`` how many rows have it.
+
+    Keys of more than ``hot`` rows, which are few as their rows add up to a table's, are broadcast; the others are
+    shuffled. So a key that a third of all rows has meets no single task.
+    """
+    many = groups.where(F.col(count) > hot)
+    if not many.take(1):
+        return rows.join(groups, key)
+    few = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(groups.where(F.col(count) <= hot), key)
+    return few.unionByName(rows.join(F.broadcast(many), key))
+
+
 def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components: (node, root) with the smallest node of each component as root, for every node that has an edge.
 
