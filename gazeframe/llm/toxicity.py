@@ -1,13 +1,15 @@
-"""Toxicity by compression distance: how much shorter a dictionary of toxic text makes a text's windows.
+"""Toxicity by compression distance: a text's windows are compressed with a dictionary of toxic and one of ordinary text.
 
 Fitting. From labelled rows a bounded sample is taken (``most`` rows of either label, by the hash of their ids); near
-copies within it are left out. Half of it trains two Zstandard dictionaries: one on windows of ordinary text, one on
-toxic text, namely the words that toxic texts have far more often than ordinary ones, where they occur. Compressing
-with the toxic dictionary in front of the ordinary one, against the ordinary one alone, makes a window shorter by what
-the toxic text explains. The other half calibrates: a logistic regression on statistics of these differences.
+copies within it are left out. Half of it trains two Zstandard dictionaries of the same size, one on windows of ordinary
+texts and one on windows of toxic texts. Most of a toxic text is ordinary, so the toxic windows are chosen by
+compression too: round by round, two halves of the toxic texts train a dictionary each, and the windows of either half
+stay that the other half's dictionary makes shorter than an ordinary one of that size by GAIN bytes or more. Behind
+both dictionaries stands the same stretch of ordinary text, so that what all texts have in common is found with either.
+The other half of the sample calibrates: a logistic regression on statistics of a text's differences by window.
 
-Scoring. Every text is cut at blanks into windows over its whole length; each window is compressed twice, and the
-statistics of the differences give a score from 0 to 1. Nothing but the text enters.
+Scoring. Every text is cut at blanks into windows over its whole length; each window is compressed with either
+dictionary, and the statistics of the differences give a score from 0 to 1. Nothing but the text enters.
 
 Defined results: a null or empty text has one empty window, hence the score of no difference. Without labels of both
 kinds every score is 0. Rows with contradicting labels are not learned from. Repeated rows give repeated results; a
@@ -16,9 +18,7 @@ null doc_id is kept. Extra columns are ignored in scores and kept by ``keep_clea
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,59 +33,66 @@ from gazeframe.llm.common import bounded_batches
 #: Labelled rows of either kind that a model is fitted on at most, and the characters of the longest one.
 MOST_ROWS = 3000
 MOST_CHARS = 100_000
-WINDOW, REACH = 48, 32
+WINDOW, REACH = 64, 32
+#: Windows that the dictionaries are trained on: of ordinary texts, of toxic texts; and the most that are used.
+ORDINARY_WINDOW, TOXIC_WINDOW, TOXIC_REACH, MOST_WINDOWS = 48, 24, 16, 40_000
 LEVEL = 9
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 2048
-#: Length of the segments that each dictionary is put together from.
-ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 32
-#: A word is toxic text if this share of the toxic sample has it (and LEAST_TEXTS), this many times the ordinary share.
-LEAST_SHARE, LEAST_TEXTS, TIMES, LEAST_LETTERS = 0.012, 4, 20.0, 4
-
-_SPLIT = re.compile(rb"[^a-z0-9\x80-\xff]+")
+#: Bytes of each dictionary, of the segments that it is put together from, and of the text behind it.
+DICTIONARY_BYTES, SEGMENT, BASE_BYTES = 4096, 32, 1_000_000
+#: Bytes of the dictionaries that choose toxic windows, by rounds; the bytes that a window must save; the fewest windows of a half.
+ROUNDS, GAIN, LEAST_WINDOWS = (32_768, 16_384, 8192, 4096), 3, 20
 
 
 @dataclass(frozen=True)
 class Model:
+    base: bytes
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
     bias: float
 
 
-def windows(text: str) -> list[bytes]:
-    """The whole text in lower case as windows of about WINDOW bytes that end before a blank, if one is near."""
+def windows(text: str, size: int = WINDOW, reach: int = REACH) -> list[bytes]:
+    """The whole text in lower case as windows of about ``size`` bytes that end before a blank, if one is within ``reach``."""
     data = text.lower().encode("utf-8", "replace").replace(b"\n", b" ")
     out, at, n = [], 0, len(data)
     while at < n:
-        end = at + WINDOW
+        end = at + size
         if end < n:
-            blank = data.find(b" ", end, end + REACH)
+            blank = data.find(b" ", end, end + reach)
             end = blank if blank > 0 else end
         out.append(data[at:end])
         at = end
     return out or [b""]
 
 
+def _compressor(content: bytes):
+    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+
+def _lengths(press, parts: list[bytes]) -> np.ndarray:
+    return np.array([len(press(w)) for w in parts])
+
+
 class _Press:
     """The two compressors of a model."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.calls = []
-        for raw in (ordinary, toxic + ordinary):
-            made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(level=LEVEL)
-            self.calls.append(zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+    def __init__(self, base: bytes, ordinary: bytes, toxic: bytes):
+        self.plain, self.toxic = _compressor(ordinary + base), _compressor(toxic + base)
 
     def statistics(self, text: str) -> tuple[float, ...]:
-        """Of the bytes that the toxic dictionary saves by window: mean, share from 2, from 4, most, and sum by 100 bytes."""
-        plain, toxic = self.calls
+        """Of the bytes that the toxic dictionary saves by window: mean, shares from 2, from 4 and to -2, most, and sum by 100 bytes."""
         parts = windows(text)
+        plain, toxic = self.plain, self.toxic
         saved = [len(plain(w)) - len(toxic(w)) for w in parts]
         n = len(saved)
         return (
             max(-1.0, min(4.0, sum(saved) / n)),
             sum(s >= 2 for s in saved) / n,
             sum(s >= 4 for s in saved) / n,
+            sum(s <= -2 for s in saved) / n,
             min(12.0, max(saved)) / 12,
             max(-2.0, min(8.0, 100 * sum(saved) / max(1, sum(map(len, parts))))),
         )
@@ -104,15 +111,30 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
-def _words(text: str) -> list[bytes]:
-    return _SPLIT.split(text.lower().encode("utf-8", "replace"))
-
-
-def _train(size: int, samples: list[bytes], k: int) -> bytes:
+def _train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    samples = samples[:: max(1, len(samples) // MOST_WINDOWS)]
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6, f=18, accel=1, steps=1, split_point=1.0, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from: the samples themselves, the most frequent ones last
-        return b"".join(s for s, _ in reversed(Counter(samples).most_common()))[-size:]
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=8, f=18, accel=1, steps=1, split_point=1.0, level=3).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from: the samples themselves
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
+    """(text behind both, ordinary dictionary, toxic dictionary) from texts of both kinds."""
+    plain = [w for t in ordinary for w in windows(t, ORDINARY_WINDOW)]
+    order = np.random.default_rng(5).permutation(len(plain)).tolist()
+    base = b"".join(plain[i] for i in order[::2])[:BASE_BYTES]
+    rest = [plain[i] for i in order[1::2]]
+    halves = [[w for t in toxic[k::2] for w in windows(t, TOXIC_WINDOW, TOXIC_REACH)] for k in (0, 1)]
+    chosen = halves
+    for size in ROUNDS:
+        plain_press = _compressor(_train(rest, size) + base)
+        presses = [_compressor(_train(c, size) + base) for c in chosen]
+        better = [[w for w, n in zip(h, (_lengths(plain_press, h) - _lengths(p, h)).tolist(), strict=True) if n >= GAIN] for h, p in zip(halves, presses[::-1], strict=True)]
+        if min(map(len, better)) < LEAST_WINDOWS:
+            break
+        chosen = better
+    return base, _train(rest), _train([*chosen[0], *chosen[1]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -134,27 +156,15 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model | None:
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
-    learn, ordinary_learn = toxic[::2], ordinary[::2]
-    there, other = Counter(), Counter()
-    for texts, count in ((learn, there), (ordinary_learn, other)):
-        for t in texts:
-            count.update(set(_words(t)))
-    least = max(min(LEAST_TEXTS, len(learn) // 2), LEAST_SHARE * len(learn))
-    marked = {w for w, n in there.items() if len(w) >= LEAST_LETTERS and n >= least and n / len(learn) >= TIMES * (other[w] + 0.5) / len(ordinary_learn)}
-    spans = [b" " + w for t in learn for w in _words(t) if w in marked]
-    order = np.random.default_rng(0).permutation(len(spans)).tolist()
-    samples = [b"".join(spans[i] for i in order[k : k + 8]) for k in range(0, len(order), 8)]
-    plain = [w for t in ordinary_learn for w in windows(t)]
-    plain = plain[:: max(1, len(plain) // 40_000)]
-    model = Model(_train(ORDINARY_BYTES, plain, ORDINARY_SEGMENT), _train(TOXIC_BYTES, samples, TOXIC_SEGMENT) if samples else b"", (), 0.0)
-    press = _Press(model.ordinary, model.toxic)
+    base, plain, marked = dictionaries(toxic[::2], ordinary[::2])
+    press = _Press(base, plain, marked)
     held = [*toxic[1::2], *ordinary[1::2]]
     x = np.array([press.statistics(t) for t in held])
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
     middle, spread = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - middle) / spread, y)
     weights = w[:-1] / spread
-    return Model(model.ordinary, model.toxic, tuple(weights.tolist()), float(w[-1] - weights @ middle))
+    return Model(base, plain, marked, tuple(weights.tolist()), float(w[-1] - weights @ middle))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | None:
@@ -190,14 +200,17 @@ _made: dict[Model, _Press] = {}
 def _presses(model: Model) -> _Press:
     if model not in _made:
         _made.clear()
-        _made[model] = _Press(model.ordinary, model.toxic)
+        _made[model] = _Press(model.base, model.ordinary, model.toxic)
     return _made[model]
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of every row."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and BASE_BYTES of text
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
@@ -209,8 +222,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
     at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
