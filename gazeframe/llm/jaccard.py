@@ -10,10 +10,13 @@ That product is formed in blocks, and only where it can hold a link:
    class stays only if enough of these n-grams occur in the same part of another class; most classes go here.
 3. For the classes that stay, n-grams are ordered anew by their frequency among them; classes that share one of their
    first p n-grams, directly or over others, are a candidate cluster.
-4. A cluster's classes are dealt into blocks of bounded size, by set size and then by hash. Each pair of blocks whose
+4. A cluster's classes are dealt into blocks of bounded size, by set size and then by hash. A pair of blocks whose
    sizes allow a link is one small job: sparse columns are accumulated tile by tile into overlap counts; pairs that
    can no longer reach their size-derived bound are discarded. A job returns a spanning forest of its links, not the pairs.
-5. Connected components over links and copies give the result.
+5. A cluster of one block is one job. In a larger one, first all blocks meet one block of each size; classes that are
+   connected by then need not meet, so that after this only blocks of different components do. A large group of near
+   copies costs about as many set transfers as it has members.
+6. Connected components over links and copies give the result.
 
 N-grams count by 64-bit hashes. Defined results: a null or empty text, or one without words, has 0 n-grams and links
 with nothing; one with fewer words than n has one n-gram. A null doc_id has a null component. Rows of equal doc_id are
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import bounded_batches, components, forest, written
+from gazeframe.llm.common import bounded_batches, components, forest, join_hot, written
 from gazeframe.llm.grams import gram_sets, mixed
 from gazeframe.llm.token_ids import slices
 
@@ -40,7 +43,9 @@ BUCKETS = 1 << BUCKET_BITS
 CHUNK = 1 << 15
 #: Bits of the map that tells a task which fingerprints are candidates; false hits are removed by the join that follows.
 MAP_BITS = 1 << 23
+#: Sets of a block, and n-grams in all of them unless it is one set.
 BLOCK = 256
+BLOCK_GRAMS = 1 << 20
 TILE = 4096
 SEGMENT_BYTES = 1 << 20
 
@@ -300,24 +305,29 @@ def block_overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return alive & links(overlap.astype(np.int64), a, b, percent)
 
 
-def class_links(sets: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): a spanning forest of the links of each pair of blocks. sets: (print, grams); classes: (print, size, cluster)."""
-    members = written(classes.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "jaccard-members")
-    size_bin = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    binned = written(classes.join(members, "cluster").withColumn("bin", F.when(F.col("members") <= block, F.lit(0)).otherwise(size_bin)), "jaccard-bins")
-    bins = written(binned.groupBy("cluster", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "jaccard-blocks")
-    near = bins.select("cluster", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("bin").alias("other"), F.col("blocks").alias("others"))
-    meets = bins.join(near, ["cluster", "bin"]).groupBy("cluster", "bin").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("other", "others")).alias("near"))  # at most three bins
-    places = binned.join(meets, ["cluster", "bin"]).select("print", "cluster", "bin", "blocks", "near")
-    placed = (
-        sets.join(written(places, "jaccard-places"), "print")
-        .withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
-        .withColumn("o", F.explode("near"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("o.others") - 1)))
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(cluster, comp, bin, blocks) of rows with these columns and size."""
+    n = F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_GRAMS)
+    return written(rows.groupBy("cluster", "comp", "bin").agg(F.ceil(n).cast("int").alias("blocks")), "jaccard-blocks")
+
+
+def _block_links(sets: DataFrame, rows: DataFrame, percent: int, block: int, pivots: bool) -> DataFrame:
+    """(u, v): a spanning forest of the links of each pair of blocks of near bins and different components (or component 0).
+
+    sets: (print, grams); rows: (print, size, cluster, comp, bin). ``pivots``: only pairs in which one is a bin's block 0.
+    """
+    groups = _blocks(rows, block)
+    near = groups.select(
+        "cluster", F.col("comp").alias("other_comp"), F.col("bin").alias("other_bin"), F.col("blocks").alias("others"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")
     )
-    before = (F.col("o.other") < F.col("bin")) | ((F.col("o.other") == F.col("bin")) & (F.col("k") < F.col("own")))
-    mine, other = F.struct("bin", F.col("own").alias("k")), F.struct(F.col("o.other").alias("bin"), F.col("k").alias("k"))
-    same = (F.col("o.other") == F.col("bin")) & (F.col("k") == F.col("own"))
+    meets = written(groups.join(near, ["cluster", "bin"]).where("comp = 0 or comp <> other_comp"), "jaccard-meets")
+    places = rows.select("print", "cluster", "comp", "bin").join(meets, ["cluster", "comp", "bin"])
+    places = places.withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    places = places.withColumn("k", F.explode(F.when(F.col("own") == 0, every).otherwise(F.array(F.lit(0))) if pivots else every))
+    placed = sets.join(places, "print")
+    mine, other = F.struct("comp", "bin", F.col("own").alias("k")), F.struct(F.col("other_comp").alias("comp"), F.col("other_bin").alias("bin"), "k")
+    before, same = other < mine, other == mine
     job = F.xxhash64("cluster", F.when(before, other).otherwise(mine), F.when(before, mine).otherwise(other))
     side = F.when(same, F.lit(2)).when(before, F.lit(1)).otherwise(F.lit(0))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -354,20 +364,38 @@ def class_links(sets: DataFrame, classes: DataFrame, percent: int, block: int =
     return jobs.mapInArrow(work, "u long, v long")
 
 
+def class_links(sets: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): links that connect all classes that links connect. sets: (print, grams); classes: (print, size, cluster)."""
+    members = written(classes.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams")), "jaccard-members")
+    size_bin = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int") + 1
+    one = (F.col("members") <= block) & (F.col("grams") <= BLOCK_GRAMS)
+    binned = classes.join(members, "cluster").select("print", "size", "cluster", F.lit(0).cast("long").alias("comp"), F.when(one, F.lit(-1)).otherwise(size_bin).alias("bin"))
+    binned = written(binned, "jaccard-bins")
+    first = written(_block_links(sets, binned, percent, block, True), "jaccard-pivots")
+    large = binned.where("bin > 0").drop("comp")
+    if not large.take(1):
+        return first
+    label = components(first, "jaccard-parts")
+    parts = written(large.join(label.withColumnRenamed("node", "print"), "print", "left"), "jaccard-large")
+    wide = parts.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("root").isNotNull() & (F.col("n") >= block)).select("cluster", "root", F.col("root").alias("comp"))
+    rest = parts.join(wide, ["cluster", "root"], "left").select("print", "size", "cluster", F.coalesce("comp", F.lit(0)).alias("comp"), "bin")
+    return first.unionByName(_block_links(sets, written(rest, "jaccard-rest"), percent, block, False))
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
     prints, full = fingerprints(bounded_batches(docs), n)
     known = prints.where("doc_id is not null and n_shingles > 0")
-    first = written(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("size")), "jaccard-classes")
+    first = written(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     classes = written(likely(docs, first.select("print", "first", "size"), full, n, percent), "jaccard-likely")
     owners = classes.select(F.col("print").alias("owner"), F.col("first").alias("doc_id"))
     sets = class_sets(docs, classes, n).join(owners, "doc_id").where("print = owner").select("print", "grams")
     sets = written(sets, "jaccard-sets")
     clusters = candidate_clusters(sets, percent)
     found = written(class_links(sets, classes.join(clusters, "print"), percent), "jaccard-links")
-    copies = known.select("doc_id", "print").join(first.where("first < last"), "print").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    copies = join_hot(known.select("doc_id", "print"), first.where("first < last"), "print", "rows").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     between = (
         found.join(first.select(F.col("print").alias("u"), F.col("first").alias("fu")), "u")
         .join(first.select(F.col("print").alias("v"), F.col("first").alias("fv")), "v")
