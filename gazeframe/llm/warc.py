@@ -2,7 +2,8 @@
 
 ``archive()`` deals pages out to tasks by page; each task writes archives of a bounded size. An archive is a skippable
 frame with the dictionary (trained on records spread over that archive), then one frame for each record, so that a
-record can be read by its offset. ``read_archives()`` reads them back, record by record.
+record can be read by its offset. ``read_archives()`` reads them back, record by record. A payload of any length is one
+record; a task holds one archive, which is ARCHIVE_BYTES and one record at most.
 
 Records with equal payloads of at least ``least`` bytes: that of the largest page_id is a response, the others are
 revisits that name it and hold the response's HTTP header, without the payload. Which record that is comes from maxima
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import bounded_batches, shared_dir, written
+from gazeframe.llm.common import bounded_batches, join_hot, shared_dir, written
 from gazeframe.llm.files import get, put
 
 #: Fixed values of the format: the magic number of the skippable frame that holds a dictionary, and that of a dictionary.
@@ -35,6 +36,8 @@ DICTIONARY_BYTES = 32 << 10
 #: Bytes of records that a dictionary is trained on, taken evenly from the whole archive.
 TRAIN_BYTES = 1 << 20
 LEVEL = 3
+#: Bytes of an archive that are decompressed at once.
+READ_BYTES = 8 << 10
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -103,10 +106,14 @@ def unpack(data: bytes) -> Iterator[tuple[int, bytes]]:
     press = zstandard.ZstdDecompressor(dict_data=trained)
     view = memoryview(data)
     while at < len(data):
-        one = press.decompressobj()
-        out = one.decompress(view[at:])
-        yield at, out
-        at = len(data) - len(one.unused_data)
+        one, parts, end = press.decompressobj(), [], at
+        while not one.eof:  # a frame's end isn't known before it is read; what is read beyond it is copied
+            if end >= len(data):
+                raise ValueError(f"the archive ends within the record at {at}")
+            parts.append(one.decompress(view[end : end + READ_BYTES]))
+            end = min(len(data), end + READ_BYTES)
+        yield at, b"".join(parts)
+        at = end - len(one.unused_data)
 
 
 def roles(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -117,20 +124,21 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
         .select("page_id", F.unhex(F.sha1("html")).alias("digest")),
         "warc-digests",
     )
-    first = written(light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-responses")
-    return light.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = written(light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-responses")
+    return join_hot(light, first, "digest", "n").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def archive(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) and returns (path, n_records, n_bytes) of the archives, read from the shared folder."""
     folder = shared_dir(pages.sparkSession, "warc")
-    spread = F.coalesce(F.col("page_id"), F.xxhash64("url"))
-    rows = (
-        bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), spread.alias("spread"))
-        .withColumn("own", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
-        .join(roles(pages, least).select(F.col("page_id").alias("spread"), F.col("digest").alias("own"), "refers_to"), ["spread", "own"], "left")
-        .select("page_id", "url", "html", F.when(F.col("page_id").isNotNull(), F.col("refers_to")).alias("refers_to"))
+    rows = bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    named = (
+        rows.where("page_id is not null")
+        .withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
+        .join(roles(pages, least), ["page_id", "digest"], "left")
+        .select("page_id", "url", "html", "refers_to")
     )
+    rows = named.unionByName(rows.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
