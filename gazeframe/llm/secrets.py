@@ -141,8 +141,17 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def segment_index(texts: pa.Array, wanted: dict[str, int]) -> dict[str, np.ndarray]:
-    """Postings (ascending rows) of each wanted trigram in one batch of texts. wanted: trigram to its number."""
+def numbers(wanted: dict[str, int]) -> np.ndarray:
+    """For each three bytes, 0 or 1 + the number of the wanted trigram that they are: 32 MB, made once in a task."""
+    table = np.zeros(1 << 24, np.uint16)
+    for t, i in wanted.items():
+        a, b, c = t.encode()
+        table[a << 16 | b << 8 | c] = i + 1
+    return table
+
+
+def segment_index(texts: pa.Array, wanted: dict[str, int], table: np.ndarray) -> dict[str, np.ndarray]:
+    """Postings (ascending rows) of each wanted trigram in one batch of texts. wanted: trigram to its number; table: ``numbers`` of it."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     empty = {t: np.zeros(0, np.int64) for t in wanted}
@@ -154,11 +163,7 @@ def segment_index(texts: pa.Array, wanted: dict[str, int]) -> dict[str, np.ndarr
     code |= data[1:-1]
     code <<= 8
     code |= data[2:]
-    number = np.zeros(1 << 24, np.uint16)
-    for t, i in wanted.items():
-        a, b, c = t.encode()
-        number[a << 16 | b << 8 | c] = i + 1
-    got = number[code]
+    got = table[code]
     at = np.flatnonzero(got)
     ends = offsets[1:] - offsets[0]
     row = np.searchsorted(ends, at, "right")
@@ -184,13 +189,13 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     kinds = [r.kind for r in base]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [re.compile(r.pattern) for r in rules]
+        found, table = [re.compile(r.pattern) for r in rules], numbers(wanted)
         for whole in batches:
             step = max(1, int(len(whole) * SEGMENT_BYTES / max(1, whole.nbytes)))
             for k in range(0, len(whole), step):
                 batch = whole.slice(k, step)
                 texts = batch.column(1).fill_null("")
-                postings = segment_index(texts, wanted)
+                postings = segment_index(texts, wanted, table)
                 every = np.arange(len(texts))
                 spans: list[list] = [[] for _ in range(len(texts))]
                 runs = np.zeros(len(texts), np.int64)
@@ -227,13 +232,13 @@ def redact(docs: DataFrame, mask: str = "[secret]", base: tuple[Rule, ...] = BAS
     names = docs.schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [re.compile(r.pattern) for r in rules]
+        found, table = [re.compile(r.pattern) for r in rules], numbers(wanted)
         for whole in batches:
             step = max(1, int(len(whole) * SEGMENT_BYTES / max(1, whole.nbytes)))
             for k in range(0, len(whole), step):
                 batch = whole.slice(k, step)
                 texts = batch.column(at)
-                postings = segment_index(texts.fill_null(""), wanted)
+                postings = segment_index(texts.fill_null(""), wanted, table)
                 every = np.arange(len(texts))
                 cuts: dict[int, list[tuple[int, int]]] = {}
                 for rule, pattern, query in zip(rules, found, queries, strict=True):
