@@ -3,9 +3,11 @@
 The builder closes elements whose end tags HTML lets one leave out (paragraphs, list items, table parts, options) and
 ignores stray end tags. What a browser hides (scripts, styles, ``hidden``, ``display:none`` and the like, and what a
 graphic holds beside its text) is left out; all other text is kept, at any depth. Blocks stand on lines of their own, paragraphs and headings have an empty line around them, list
-items a marker and indent, and a table's cells are padded so that its columns line up. Within more than NESTED lists or
-quotes lines are not indented further, and within more than NESTED tables cells stand in a line unpadded, so that a page's
-text does not grow with the square of its depth; markers and text are all there.
+items a marker and indent, and a table's cells are padded so that its columns line up, also under cells that span rows
+or columns. A line of a cell that is longer than WIDE stands out of its column. Within more than NESTED lists or quotes
+lines are not indented further, and cells stand in a line unpadded within more than NESTED tables and where padding would
+make a table PADDING times as long, so that a page's text does not grow with the square of its source; markers and text
+are all there. Pages of any length are walked without recursion.
 
 Defined results: a null html gives a null text, an empty one an empty text. Broken markup never fails. Repeated rows
 give repeated results; extra columns are ignored; an empty table gives no rows.
@@ -50,6 +52,10 @@ FOREIGN = (frozenset({"svg", "math"}), frozenset("foreignobject desc title mi mo
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 NESTED = 200
+#: Characters of a cell's line that a column is made as wide as at most; how much longer a table may get by padding, beside 4096 characters.
+WIDE, PADDING = 80, 8
+#: Columns and rows that a cell spans at most, as in HTML.
+SPANS = {"colspan": 1000, "rowspan": 65534}
 
 
 class Node:
@@ -192,8 +198,6 @@ def _walk(node: Node, page: _Page) -> Iterator:
             continue
         elif child.tag == "br":
             page.end()
-        elif child.tag == "img":
-            page.line.append(child.attrs.get("alt") or "")
         elif child.tag == "pre":
             page.end(1)
             inner = "".join(_texts(child)).strip("\n")
@@ -283,9 +287,64 @@ def _rows(node: Node, loose: Node) -> Iterator[Node]:
             loose.children.append(child)
 
 
+def _span(cell: Node, name: str) -> int:
+    value = cell.attrs.get(name) or ""
+    return min(int(value), SPANS[name]) if re.fullmatch(r"[1-9]\d{0,5}", value, re.A) else 1
+
+
+def _columns(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, list[str]]]]:
+    """Rows of (columns, rows, lines) as rows of (column, lines): each cell's first free column, without columns that no cell starts in."""
+    placed, starts = [], set()
+    room = 64 * sum(map(len, rows)) + 4096  # a table whose spans need more than this is taken without them
+    taken: list[tuple[int, int, int]] = []  # first column, end, first row below
+    for r, cells in enumerate(rows):
+        taken = sorted(t for t in taken if t[2] > r)
+        room -= len(taken)
+        if room < 0:
+            return [list(enumerate(lines for _, _, lines in row)) for row in rows]
+        out, column, k = [], 0, 0
+        new = []
+        for wide, high, lines in cells:
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
+            out.append((column, lines))
+            starts.add(column)
+            if high > 1:
+                new.append((column, column + wide, r + high))
+            column += wide
+        taken += new
+        placed.append(out)
+    number = {c: k for k, c in enumerate(sorted(starts))}
+    return [[(number[c], lines) for c, lines in row] for row in placed]
+
+
+def _aligned(grid: list[list[tuple[int, list[str]]]]) -> list[str]:
+    """The lines of a table's rows."""
+    width: dict[int, int] = {}
+    for row in grid:
+        for c, lines in row:
+            width[c] = max([width.get(c, 0), *(len(x) for x in lines if len(x) <= WIDE)])
+    place, total = {}, 0  # characters of the columns before
+    for c in sorted(width):
+        place[c], total = total, total + width[c] + 3
+    own = sum(len(x) + 3 for row in grid for _, lines in row for x in lines)
+    padded = sum(place[row[-1][0]] * max(len(lines) for _, lines in row) for row in grid if row)
+    if padded > PADDING * own + 4096:
+        return [" | ".join(x for x in (lines[k] for _, lines in row if k < len(lines))) for row in grid for k in range(max((len(lines) for _, lines in row), default=0))]
+    out = []
+    for row in grid:
+        cells = dict(row)
+        last = row[-1][0] if row else -1
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            lines = [cells.get(c, []) for c in range(last + 1)]
+            out.append(" | ".join((x[k] if k < len(x) else "").ljust(width[c]) for c, x in enumerate(lines)).rstrip())
+    return out
+
+
 def _table(table: Node, page: _Page) -> Iterator:
     loose = Node("div", {})
-    grid = []
+    rows = []
     for row in _rows(table, loose):
         cells = []
         rest = Node("div", {})
@@ -295,22 +354,15 @@ def _table(table: Node, page: _Page) -> Iterator:
                     own = _Page(page.tables + 1)
                     yield _walk(cell, own)
                     own.end()
-                    span = cell.attrs.get("colspan") or ""
-                    cells.append([x for x in _flat(own.lines) if x])
-                    cells += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"[1-9]\d{0,5}", span, re.A) else 0)
+                    cells.append((_span(cell, "colspan"), _span(cell, "rowspan"), [x for x in _flat(own.lines) if x]))
             else:
                 rest.children.append(cell)
         loose.children += rest.children
-        grid.append(cells)
+        rows.append(cells)
     out = _Page(page.tables + 1)
     yield _walk(loose, out)  # captions, and text that is out of place
     out.end()
-    width = [max((len(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
-    lines = _flat(out.lines)
-    for row in grid:
-        for k in range(max(map(len, row), default=0)):
-            lines.append(" | ".join((cell[k] if k < len(cell) else "").ljust(width[c]) for c, cell in enumerate(row)).rstrip())
-    for line in lines:
+    for line in [*_flat(out.lines), *_aligned(_columns(rows))]:
         page.put(line)
 
 
