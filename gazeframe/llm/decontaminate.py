@@ -10,7 +10,9 @@ looked up.
 
 Words are runs of letters and digits with A-Z in lower case; punctuation and white space don't matter.
 
-Defined results: a null or empty text is clean. Items that are null or shorter than ``n`` words are
+The seeds are rare single words rather than longer n-grams, as an alignment of 0.5 need not keep any two words together.
+
+Defined results: a null or empty text is clean; texts may be of any length. Items that are null or shorter than ``n`` words are
 never reported. Equal scores: the smaller item_id is named. Repeated rows give repeated results. Extra columns are
 ignored. Without documents there are no rows; without items every document is clean.
 """
@@ -31,8 +33,11 @@ from gazeframe.llm.jaccard import _pieces as pieces
 #: Items of fewer words are not looked for.
 N = 3
 THRESHOLD = 0.5
-#: Items of a block: what is broadcast for it stays small however many items there are.
+#: Items of a block, and bytes of their texts unless it is one item: what is broadcast for it stays small however many items there are.
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 32 << 20
+#: Blocks that one pass over the documents looks for.
+BLOCKS_AT_ONCE = 4
 MATCH, MISS, GAP = 2, 1, 1
 CELLS = 1 << 20
 #: Share of an item's words that are seeds at least (above 1 - THRESHOLD), and the look-ups of a text that are held at once.
@@ -62,7 +67,7 @@ class Items:
         self.lo = np.searchsorted(self.of[kept], np.arange(len(self.unique)))
         self.hi = np.searchsorted(self.of[kept], np.arange(len(self.unique)), "right")
         self.table = np.zeros(_TABLE, bool)
-        self.table[(self.unique[self.hi > self.lo] & np.uint64(_TABLE - 1)).astype(np.int64)] = True
+        self.table[_slots(self.unique[self.hi > self.lo])] = True
 
     def seeds(self, counts: np.ndarray, threshold: float) -> None:
         """Keeps each item's rarest words as seeds, and sets how many of them a passage must hold. counts: by ``unique``."""
@@ -83,7 +88,7 @@ class Items:
         """(places in ``word`` that have seeds, their numbers in ``unique``)."""
         if not len(self.unique):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.table[(word & np.uint64(_TABLE - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.table[_slots(word)])
         k = np.minimum(np.searchsorted(self.unique, word[maybe]), len(self.unique) - 1)
         hit = (self.unique[k] == word[maybe]) & (self.hi[k] > self.lo[k])
         return maybe[hit], k[hit]
@@ -135,12 +140,12 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     return out
 
 
-def _blocks(items: DataFrame) -> Iterator[DataFrame]:
-    """The items, at most about BLOCK_ITEMS at a time."""
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """The items, at most about BLOCK_ITEMS and BLOCK_BYTES at a time."""
     items = written(items.select("item_id", "text").where("text is not null and item_id is not null"), "items")
-    n = max(1, -(-items.count() // BLOCK_ITEMS))
-    for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+    count, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-count // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
 def _load(block: DataFrame, n: int) -> Items:
@@ -149,38 +154,73 @@ def _load(block: DataFrame, n: int) -> Items:
     return Items(rows.column("item_id").to_pylist(), value, number, n)
 
 
-def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each of the items' words occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _slots(word: np.ndarray) -> np.ndarray:
+    return (word & np.uint64(_TABLE - 1)).astype(np.int64)
+
+
+def corpus_counts(docs: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
+    """(word, n): how often words of the items, and a few others, occur in all documents; one pass for all blocks."""
+    table = np.zeros(_TABLE, bool)
+    for block in blocks:
+        table[_slots(_load(block, n).unique)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        word, of = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return word, np.bincount(of, np.concatenate([c for _, c in held]), len(word)).astype(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.unique), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in pieces(batch):
-                total += np.bincount(items.find(words(*raw(part.column(1)), PUNCTUATION)[0])[1], minlength=len(total))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["word", "n"])
+                word = words(*raw(part.column(1)), PUNCTUATION)[0]
+                held.append(np.unique(word[shared.value[_slots(word)]], return_counts=True))
+            if len(held) > 64:
+                held = [merged(held)]
+            if held and len(held[0][0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
+                held = held[1:]
+        if held:
+            word, count = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "n"])
 
-    counts = np.zeros(len(items.unique), np.int64)
-    found = docs.select("doc_id", "text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    for r in found.toArrow().to_pylist():  # at most one row for each word of the block
-        counts[r["word"]] = r["n"]
-    return counts
+    found = docs.select("doc_id", "text").mapInArrow(work, "word long, n long")
+    return written(found.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def _block_counts(counts: DataFrame, block: DataFrame, items: Items) -> np.ndarray:
+    """The counts of the block's words, by ``items.unique``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(*raw(batch.column(0)), PUNCTUATION)[0]).view(np.int64))], ["word"])
+
+    own = block.select("text").mapInArrow(work, "word long").distinct()
+    found = counts.join(own, "word").toArrow()  # at most one row for each word of the block
+    out = np.zeros(len(items.unique), np.int64)
+    out[np.searchsorted(items.unique, found.column("word").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    return out
 
 
 def passages(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Every row's doc_id and hits: (item_id, score, start, end) by words, with all items that score ``threshold`` or more."""
     docs = bounded_batches(docs).select("doc_id", "text", F.array().cast(HITS).alias("hits"))
-    for block in _blocks(items):
-        docs = docs.mapInArrow(_search(_shared(docs, block, n, threshold), None), f"doc_id long, text string, hits {HITS}")
+    for k, shared in enumerate(_shared(docs, items, n, threshold), 1):
+        docs = docs.mapInArrow(_search(shared, None), f"doc_id long, text string, hits {HITS}")
+        docs = written(docs, "passages") if k % BLOCKS_AT_ONCE == 0 else docs
     return docs.select("doc_id", "hits")
 
 
-def _shared(docs: DataFrame, block: DataFrame, n: int, threshold: float):
-    held = _load(block, n)
-    held.seeds(corpus_counts(docs, held), threshold)
-    return docs.sparkSession.sparkContext.broadcast(held)
+def _shared(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> list:
+    """The blocks of items with their seeds, as broadcast."""
+    blocks = _blocks(items)
+    counts = corpus_counts(docs, blocks, n)
+    out = []
+    for block in blocks:
+        held = _load(block, n)
+        held.seeds(_block_counts(counts, block, held), threshold)
+        out.append(docs.sparkSession.sparkContext.broadcast(held))
+    return out
 
 
 HITS = "array<struct<item_id: long, score: double, start: long, end: long>>"
@@ -327,7 +367,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no passage of an item."""
-    bounded_batches(docs)
-    for block in _blocks(items):
-        docs = docs.mapInArrow(_search(_shared(docs, block, n, threshold), threshold), docs.schema)
+    for k, shared in enumerate(_shared(bounded_batches(docs), items, n, threshold), 1):
+        docs = docs.mapInArrow(_search(shared, threshold), docs.schema)
+        docs = written(docs, "clean") if k % BLOCKS_AT_ONCE == 0 else docs
     return docs
