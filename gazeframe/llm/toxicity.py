@@ -40,7 +40,7 @@ LEVEL = 9
 #: Bytes of each dictionary, of the segments that it is put together from, and of the text behind it.
 DICTIONARY_BYTES, SEGMENT, BASE_BYTES = 4096, 32, 1_000_000
 #: Bytes of the dictionaries that choose toxic windows, by rounds; the bytes that a window must save; the fewest windows of a half.
-ROUNDS, GAIN, LEAST_WINDOWS = (32_768, 16_384, 8192, 4096), 3, 20
+ROUNDS, GAIN, LEAST_WINDOWS = (32_768, 16_384, 8192, 4096), 3, 4
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, b
     return base, _train(rest), _train([*chosen[0], *chosen[1]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Weights, and the bias last, by Newton's method with a squared penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
