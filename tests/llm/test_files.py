@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gazeframe.llm import packing, token_files, warc
+from gazeframe.llm import packing, token_files, token_ids, warc
 from gazeframe.llm.files import get
 from gazeframe.llm.queries import tokenizer
 from gazeframe.llm.token_ids import Encoder
@@ -72,6 +72,33 @@ def test_encoder_equals_the_library(path):
             assert ids[e - m : e].tolist() == w, repr(t)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_on_all_of_unicode(path):
+    """100,000 strings of any characters with ASCII punctuation, among them letters that become two in lower case."""
+    rng = np.random.default_rng(1)
+    every = np.array([chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000])
+    hostile = np.array(list("a\u0130\u0131\u01c5\u03a3\u0338\u0301\u200d\u00bd\u00b2'!?.,:;_-/<>|=&\n\t\u00a0\u3000 09KD") + ["'s", "<|endoftext|>", "  ", "\n\n", "BİRİNCİ:"])
+    coder = Encoder(path)
+    for round_ in range(100):
+        pool = [hostile, every, every[:0x300], every[:0x3000]][round_ % 4]
+        texts = ["".join(np.where(rng.random(m) < 0.5, rng.choice(pool, m), rng.choice(hostile, m))) for m in rng.integers(1, 12, 1000).tolist()]
+        ids, n = coder.encode(pa.array(texts))
+        ends = np.cumsum(n).tolist()
+        for t, want, e, m in zip(texts, coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False), ends, n.tolist(), strict=True):
+            assert ids[e - m : e].tolist() == want.ids, repr(t)
+
+
+def test_encoder_tells_clashing_words_apart(monkeypatch):
+    """Also where the hash says that all chunks are the same."""
+    monkeypatch.setattr(token_ids, "span_hashes", lambda data, start, end, table: np.zeros(len(start), np.uint64))
+    texts = ["one two", "three", "", "four " * 30, "x" * 200, "y" * 200, "one"]
+    for path in (WORD, BYTE):
+        coder = Encoder(path)
+        ids, n = coder.encode(pa.array(texts))
+        assert np.split(ids, np.cumsum(n)[:-1])[5].tolist() == coder.tokenizer.encode(texts[5], add_special_tokens=False).ids
+        assert ids.tolist() == [i for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+
 def rows_of(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "again"), (3, TEXTS[3]), (200, "long " * 9000)] + [(300 + i, "w " * (i * 13 % 900)) for i in range(80)]
     return rows, spark.createDataFrame([(i, t, 1, b"x") for i, t in rows], "doc_id long, text string, part int, ids binary").repartition(3)

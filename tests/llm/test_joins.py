@@ -129,3 +129,59 @@ def test_embeddings_ties_and_nothing(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_join.join(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert embedding_join.join(df.limit(0)).count() == 0
     assert embedding_join.join(df.selectExpr("vec_id", "cast(null as array<double>) as embedding")).where("kept").count() == 3
+
+
+def thue_morse(k):
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_cheat_polynomials_are_different(spark):
+    x = thue_morse(10)
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"w1 {x} w2 w3 w4"), (2, f"w1 {y} w2 w3 w4"), (3, f"w1 {x} w2 w3 w4")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join(docs).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_large_cluster_with_stragglers(spark, monkeypatch):
+    """Two large groups and a chain between sizes, all in one candidate cluster, in blocks of a few sets."""
+    monkeypatch.setattr(jaccard.class_links, "__defaults__", (8,))
+    rng = random.Random(2)
+    base = [f"k{k}" for k in range(120)]
+    docs = []
+    for i in range(150):
+        text = list(base) if i < 60 else [*base[:60], *(f"z{k}" for k in range(60))] if i < 120 else base[: 40 + i - 120] + [f"q{i}x{k}" for k in range(60)]
+        text[rng.randrange(len(text))] = f"r{i}"
+        docs.append((i, " ".join(text)))
+    docs += [(200 + k, " ".join(base[: 120 - 8 * k])) for k in range(10)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == expected(docs)
+
+
+def test_embedding_jobs_are_spread_and_pruned(spark):
+    """Vectors around far centres: most pairs of intervals are provably distant, and the others are dealt to several tasks."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(12)[:, :12] * 3
+    x = centres[np.arange(3000) % 12] + rng.normal(size=(3000, 12)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    eps = float(np.sqrt(0.2))
+    turn = spark.sparkContext.broadcast(embedding_join.axes(df, 12))
+    kept, _ = embedding_join.points(embedding_join.placed(df, turn, eps))
+    cuts = embedding_join.intervals(kept, turn, 50)
+    n = cuts.count()
+    pairs = embedding_join.interval_pairs(cuts, embedding_join._dims(turn), eps)
+    assert n >= 60 and pairs.count() < 0.25 * n * (n + 1) / 2
+    found = embedding_join.interval_links(cuts, pairs, 0.9, eps)
+    assert found.selectExpr("input_file_name() as f").distinct().count() > 1
+    links = {r["id"]: r["n"] for r in found.groupBy("id").sum("links").withColumnRenamed("sum(links)", "n").collect()}
+    assert links == {i: 249 for i in range(3000)}
+
+
+def test_embeddings_of_many_lengths_and_copies(spark):
+    rng = np.random.default_rng(9)
+    long = rng.normal(size=3000)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(100, long.tolist()), (101, (long + 0.1).tolist()), (102, [5.0]), (103, [7.0]), (104, [-1.0]), (5, [3.0, 2.0, -1.0])]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(i, 39, 0) for i in range(40)} | {(100, 1, 100), (101, 1, 100), (102, 1, 102), (103, 1, 102), (104, 0, 104)}

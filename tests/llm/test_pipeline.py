@@ -60,3 +60,22 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert len(near) == 1 and near[0].startswith(texts[1])
     left.remove((2, near[0]))
     assert sorted(left, key=repr) == sorted([(1, texts[0]), (2, None), (3, None), (3, texts[2]), (None, texts[3]), (6, texts[4])], key=repr)
+
+
+def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    """Extra columns called like the stages' own ones, repeated rows, a long text, and nothing at all."""
+    names = ["made", "key", "other", "again", "gone", "_place", "component_id", "id", "stays", "dotted.name", "hits", "score", "rank"]
+    long = "long text of words " * 20_000
+    rows = [(1, "a b c d e f", *range(13)), (1, "a b c d e f", *range(13)), (2, "a b c d e f", *range(13)), (None, None, *range(13)), (3, long, *range(13))]
+    kind = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    for case, (docs, left) in enumerate(((spark.createDataFrame(rows, kind), 3), (spark.createDataFrame([], kind), 0))):
+        folder = f"{tmp_path}/{case}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns
+            docs = corpus_pipeline.written(out, f"test-{name}")
+        assert docs.count() == left
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).where("doc_tokens is null").count() == 0

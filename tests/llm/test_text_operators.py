@@ -1,12 +1,16 @@
 """Row-by-row operators: URL filter, secrets, page text, toxicity, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+import zstandard
+from gazeframe.llm.grams import PUNCTUATION, raw, words
 from gazeframe.llm import decontaminate, html_text, secrets, toxicity, url_filter
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -232,3 +236,96 @@ def test_items_in_blocks(spark, monkeypatch, block):
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {i: [i] if i < 8 else [] for i in range(10)}
     assert decontaminate.clean(docs, bench).count() == 2
+
+
+def test_a_stem_that_all_items_share_costs_no_alignments(spark):
+    """A common stem is known from the counts: documents that hold it alone are aligned with no item."""
+    rng = random.Random(7)
+    stem = [f"stem{k}" for k in range(12)]
+    items = [(i, " ".join([*stem, *(f"i{i}x{k}" for k in range(18))])) for i in range(400)]
+    docs = [(i, " ".join([*(f"d{rng.randrange(500)}" for _ in range(50)), *stem, "end"])) for i in range(300)] + [(900, items[7][1]), (901, " ".join(stem * 4000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(df, bench).collect()}
+    assert got[900] == [7] and got[901] == [] and sum(map(len, got.values())) == 1
+    (shared,) = decontaminate._shared(df, bench, decontaminate.N, decontaminate.THRESHOLD)
+    value, _, number = words(*raw(pa.array([docs[0][1], docs[-1][1]])), PUNCTUATION)
+    assert len(decontaminate._stretches(shared.value, value, number)[0]) == 0
+
+
+def test_scores_equal_plain_compression():
+    """Scores again, from the model's parts, with the library's plain calls."""
+    rng = random.Random(4)
+    common = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choice(common) for _ in range(80)) for _ in range(120)]
+    bad = [t.replace(" ", " grumblex ", 4) for t in texts[:60]]
+    model = toxicity.fit_texts(bad, texts[60:])
+    tries = ["", "x", "grumblex", texts[0], bad[1], "\u00e9" * 400, "no blanks" * 50, "Mixed CASE\nlines " * 40, "w " * 20_000]
+    for text, got in zip(tries, toxicity._scores(model, tries).tolist(), strict=True):
+        data, parts = text.lower().encode().replace(b"\n", b" "), []
+        while data:
+            end = len(data) if len(data) <= 64 else next((k for k in range(64, min(96, len(data))) if data[k : k + 1] == b" "), 64)
+            parts.append(data[:end])
+            data = data[end:]
+        parts = parts or [b""]
+        size = [[len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + model.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=9, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w)) for w in parts[:300]] for d in (model.ordinary, model.toxic)]
+        if len(parts) > 300:
+            continue
+        saved = [a - b for a, b in zip(*size, strict=True)]
+        n = len(saved)
+        x = [max(-1, min(4, sum(saved) / n)), sum(s >= 2 for s in saved) / n, sum(s >= 4 for s in saved) / n, sum(s <= -2 for s in saved) / n, min(12, max(saved)) / 12, max(-2, min(8, 100 * sum(saved) / max(1, sum(map(len, parts)))))]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias
+        assert abs(got - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 0.02, text[:40]
+
+
+def tree(rng, depth, number):
+    """(html, words that are seen) of a random tree; each word once."""
+    html, seen = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "text", "block", "inline", "list", "table", "hidden", "script", "pre", "comment"]) if depth else "text"
+        number[0] += 1
+        word = f"w{number[0]}"
+        if kind == "text":
+            html.append(f" {word} ")
+            seen.append(word)
+        elif kind == "script":
+            html.append(rng.choice(["<script>{}</script>", "<style>{}</style>", "<template>{}</template>", "<title>{}</title>"]).format(word))
+        elif kind == "comment":
+            html.append(f"<!-- {word} -->")
+        elif kind == "hidden":
+            html.append(rng.choice(['<div hidden>{}</div>', '<span style="display: none">{}</span>', '<p style="visibility:hidden">{}</p>']).format(tree(rng, 0, number)[0]))
+        elif kind == "list":
+            parts = [tree(rng, depth - 1, number) for _ in range(rng.randint(1, 3))]
+            html.append("<ul>" + "".join(f"<li>{h}" + rng.choice(["", "</li>"]) for h, _ in parts) + "</ul>")
+            seen += [x for _, s in parts for x in s]
+        elif kind == "table":
+            rows = [[tree(rng, 0, number) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td{rng.choice(['', ' rowspan=2', ' colspan=3'])}>{h}" for h, _ in row) for row in rows) + "</table>")
+            seen += [x for row in rows for _, s in row for x in s]
+        else:
+            h, s = tree(rng, depth - 1, number)
+            tag = {"block": rng.choice(["div", "section", "blockquote", "article"]), "inline": rng.choice(["b", "i", "span", "code"]), "pre": "pre"}[kind]
+            html.append(f"<{tag}>{h}</{tag}>")
+            seen += s
+    return "".join(html), seen
+
+
+def test_every_visible_word_and_no_other():
+    rng = random.Random(11)
+    for _ in range(600):
+        html, seen = tree(rng, rng.randint(1, 4), [0])
+        assert re.findall(r"w\d+", html_text.render(html)) == seen, html
+
+
+def test_tables_with_spans_and_bounded_padding():
+    page = "<table><tr><th>Name<th>Qty<th>Price<tr><td rowspan=2>apple<td>1<td>2.50<tr><td>10<td>20<tr><td colspan=2>total<td>22.5</table>"
+    assert html_text.render(page).split("\n") == ["Name  | Qty | Price", "apple | 1   | 2.50", "      | 10  | 20", "total |     | 22.5"]
+    for page in (
+        "<table><tr><td>" + "x" * 20_000 + "<tr><td>a<td>b" * 1000 + "</table>",
+        "<table>" + "<tr><td rowspan=65534>a" * 4000 + "</table>",
+        "<table><tr>" + "<td>q" * 3000 + "<tr><td colspan=1000>a<td>b" * 3000 + "</table>",
+        "<div>" * 30_000 + "<p>" + "word " * 200_000,
+    ):
+        text = html_text.render(page)
+        assert len(text) < 10 * len(page) and sorted(re.findall(r"\w+", text)) == sorted(re.findall(r"\w+", re.sub("<[^>]*>", " ", page)))
+    assert html_text.render('<math><mi>x</mi></math> <img src=a alt="a cat"> y').split() == ["x", "y"]
