@@ -47,6 +47,8 @@ MAP_BITS = 1 << 23
 BLOCK = 256
 BLOCK_GRAMS = 1 << 20
 TILE = 4096
+#: Rows of a table that are broadcast at most (16 MB).
+FEW = 200_000
 SEGMENT_BYTES = 1 << 20
 
 
@@ -325,6 +327,9 @@ def _block_links(sets: DataFrame, rows: DataFrame, percent: int, block: int, piv
     places = places.withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("others") - 1)
     places = places.withColumn("k", F.explode(F.when(F.col("own") == 0, every).otherwise(F.array(F.lit(0))) if pivots else every))
+    if not pivots:  # usually a few stragglers: then the sets need no shuffle to meet them
+        places = written(places, "jaccard-places")
+        places = F.broadcast(places) if places.count() <= FEW else places
     placed = sets.join(places, "print")
     mine, other = F.struct("comp", "bin", F.col("own").alias("k")), F.struct(F.col("other_comp").alias("comp"), F.col("other_bin").alias("bin"), "k")
     before, same = other < mine, other == mine
