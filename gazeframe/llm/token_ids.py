@@ -2,9 +2,9 @@
 
 A text falls into chunks at places where its tokenizer's own splitting always has a boundary: before white space, and
 between a letter and ASCII punctuation or a digit. Each different chunk goes through the tokenizer once; a process keeps
-a bounded number of them by their bytes. Chunks of a batch are grouped by a hash, and compared byte by byte with the one
-that stands for them. For tokenizers whose splitting is not one of the two known kinds, and for texts with unusual white
-space or a chunk that differs from its group's, the tokenizer takes the whole text.
+a bounded number of them. Chunks are grouped by a hash, and compared byte by byte with the one that stands for them. For
+tokenizers whose splitting is not one of the two known kinds, and for texts with unusual white space or a chunk that
+differs from its group's, the tokenizer takes the whole text.
 """
 
 from __future__ import annotations
@@ -64,21 +64,21 @@ def chunks(data: np.ndarray, offsets: np.ndarray, blanks: bool) -> tuple[np.ndar
     return start, end
 
 
-def clashing(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Numbers of the spans whose bytes differ from those of the span that ``other`` names for each."""
-    eight, size = eights(data), end - start
-    wrong = size != size[other]
-    rest = np.flatnonzero(~wrong & (other != np.arange(len(start))))
+def clashing(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of ``data`` differ from those of ``other`` that begin at ``at``."""
+    mine, theirs = eights(data), eights(other)
+    wrong = end - start != size
+    rest = np.flatnonzero(~wrong)
     for k in range(0, LONG, 8):
         if not len(rest):
             break
-        a, b, left = eight[start[rest] + k], eight[start[other[rest]] + k], np.minimum(size[rest] - k, 8)
-        wrong[rest] = (a ^ b) << (8 * (8 - left)).astype(np.uint64) != 0
+        shift = (8 * np.maximum(8 - size[rest] + k, 0)).astype(np.uint64)
+        wrong[rest] = (mine[start[rest] + k] ^ theirs[at[rest] + k]) << shift != 0
         rest = rest[~wrong[rest] & (size[rest] > k + 8)]
-    view = memoryview(np.ascontiguousarray(data))
-    for i, j in zip(rest.tolist(), other[rest].tolist(), strict=True):
-        wrong[i] = view[start[i] : end[i]] != view[start[j] : end[j]]
-    return np.flatnonzero(wrong)
+    mine, theirs = memoryview(np.ascontiguousarray(data)), memoryview(np.ascontiguousarray(other))
+    for i in rest.tolist():
+        wrong[i] = mine[start[i] : end[i]] != theirs[at[i] : at[i] + size[i]]
+    return wrong
 
 
 class Encoder:
@@ -97,7 +97,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code: dict[int, int] = {}
+        self.bytes, self.place = np.zeros(1 << 16, np.uint8), np.zeros(1, np.int64)  # the chunks themselves, and where each begins
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
@@ -132,8 +133,8 @@ class Encoder:
             size.append(n)
         return np.concatenate(kept), np.concatenate(size)
 
-    def _learn(self, keys: list[bytes]) -> None:
-        texts = [k.decode() for k in keys]
+    def _learn(self, keys: list[int], chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
         apart = [self.between is None or bool(self.between[2].search(t)) for t in texts]
         for how, which in ((self._alone, True), (self._together, False)):
             mine = [i for i, x in enumerate(apart) if x is which]
@@ -149,6 +150,12 @@ class Encoder:
                 self.size[n : n + m] = size
                 self.flat[self.used : self.used + len(ids)] = ids
                 self.used += len(ids)
+                spelled = np.frombuffer(b"".join(chunks[i] for i in part), np.uint8)
+                ends = self.place[-1] + np.cumsum([len(chunks[i]) for i in part])
+                while ends[-1] > len(self.bytes):
+                    self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+                self.bytes[self.place[-1] : ends[-1]] = spelled
+                self.place = np.concatenate([self.place, ends])
                 self.code.update(zip((keys[i] for i in part), range(n, n + m), strict=True))
 
     def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> set[int]:
@@ -167,15 +174,22 @@ class Encoder:
         if len(self.code) > self.most_chunks:
             self._forget()
         data = (FOLD if self.kind == "words" else _SAME)[data]
-        _, first, which = np.unique(span_hashes(data, start, end, _SAME), return_index=True, return_inverse=True)
-        odd |= set((np.searchsorted(offsets, start[clashing(data, start, end, first[which])], "right") - 1).tolist())
-        view = memoryview(np.ascontiguousarray(data))
-        names = [bytes(view[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        keys, first, which = np.unique(span_hashes(data, start, end, _SAME), return_index=True, return_inverse=True)
+        wrong = clashing(data, start, end, data, start[first[which]], (end - start)[first[which]])
+        names = keys.tolist()
         codes = np.array([self.code.get(k, -1) for k in names], np.int64)
-        unknown = np.flatnonzero(codes < 0)
+        known, unknown = np.flatnonzero(codes >= 0), np.flatnonzero(codes < 0)
+        at = first[known]
+        place = self.place[codes[known]]
+        other = known[clashing(data, start[at], end[at], self.bytes, place, self.place[codes[known] + 1] - place)]
+        if len(other):
+            wrong |= np.isin(which, other)
+        odd |= set((np.searchsorted(offsets, start[wrong], "right") - 1).tolist())
         if len(unknown):
+            view = memoryview(np.ascontiguousarray(data))
+            at = first[unknown]
             missing = [names[i] for i in unknown.tolist()]
-            self._learn(missing)
+            self._learn(missing, [bytes(view[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             codes[unknown] = [self.code[k] for k in missing]
         codes = codes[which]
         size = self.size[codes].astype(np.int64)
