@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.functions.hashing import md5_int, md5_uniform
-from gazeframe.schema import DESCRIPTIONS, LABELS
+from gazeframe.functions.hashing import md5_int, md5_rank, md5_uniform
+from gazeframe.schema import DESCRIPTIONS, LABELS, label_order
 
 # Wording and bins that prompts must share with the published study.
 ANCHOR = "Return ONLY a valid JSON object"
@@ -76,6 +76,11 @@ def insert_before(text: Column, addition: Column, anchor: str = ANCHOR) -> Colum
     return F.when(at > 0, put).otherwise(F.raise_error(F.lit(f"no anchor: {anchor}")).cast("string"))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end, where ``trim`` takes blanks only."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def third(x: Column) -> Column:
     return F.when(x < 1 / 3, "low").when(x < 2 / 3, "medium").otherwise("high")
 
@@ -140,26 +145,33 @@ def hypotheses(spark) -> DataFrame:
 
 
 def entailment_labels(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., label, confidence) from entailment logits (keys..., label, logit): softmax over labels, largest wins."""
+    """(keys..., label, confidence) from entailment logits (keys..., label, logit): softmax over labels, largest wins, ties in label order."""
     order = Window.partitionBy(*keys)
     top = F.max("logit").over(order)
     soft = scores.withColumn("_e", F.exp(F.col("logit") - top))
-    return soft.groupBy(*keys).agg(F.max_by("label", "_e").alias("label"), (F.max("_e") / F.sum("_e")).alias("confidence"))
+    return soft.groupBy(*keys).agg(F.max_by("label", F.struct("logit", -label_order(F.col("label")))).alias("label"), (F.max("_e") / F.sum("_e")).alias("confidence"))
 
 
-def fewshot_examples(items: DataFrame, seed: int, pool: int = 8) -> DataFrame:
+def fewshot_examples(items: DataFrame, seed: int) -> DataFrame:
     """(item_id, place, example_id, label): for each item one example of each label from another cluster, in random order.
 
-    ``items``: (item_id, cluster, label). Of every (label, cluster) the ``pool`` items of the smallest md5 stay as
-    candidates, so that an item meets at most labels x clusters x pool rows; the choice among them is by md5 as well.
+    ``items``: (item_id, cluster, label). The items of a label stand in one order, cluster by cluster and by md5 within;
+    those outside a cluster are all but one stretch of it. So a target draws a place among them by md5 and meets one
+    row, however many items a label or a cluster has.
     """
-    ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy("label", "cluster").orderBy(md5_int(seed, "item_id"), "item_id"))).where(F.col("_r") <= pool)
-    candidates = ranked.groupBy("label").agg(F.collect_list(F.struct("item_id", "cluster")).alias("pool"))
-    targets = items.select("item_id", "cluster").crossJoin(F.broadcast(candidates))  # three rows, bounded by clusters x pool
-    c = targets.select("item_id", "cluster", "label", F.explode("pool").alias("c")).where("c.cluster <> cluster and c.item_id <> item_id")
-    key = md5_int(seed, "item_id", F.col("c.item_id"))
-    chosen = c.groupBy("item_id", "label").agg(F.min_by(F.col("c.item_id"), F.struct(key, F.col("c.item_id"))).alias("example_id"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(md5_int(seed, "item_id", "label"), "label"))
+    ranked = md5_rank(items, ["label", "cluster"], "_rank", [seed, "item_id"], "item_id")
+    counts = items.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_own"))
+    by_cluster = Window.partitionBy("label").orderBy("cluster")  # a row for each label and cluster
+    starts = counts.withColumn("_start", F.sum("_own").over(by_cluster) - F.col("_own"))
+    order = ranked.join(starts, ["label", "cluster"]).select("label", (F.col("_start") + F.col("_rank") - 1).alias("_at"), F.col("item_id").alias("example_id"))
+    totals = counts.groupBy("label").agg(F.sum("_own").alias("_all"))
+    clusters = items.select("cluster").distinct().crossJoin(F.broadcast(totals))  # a few labels for each cluster
+    room = clusters.join(starts, ["label", "cluster"], "left").fillna(0, ["_own", "_start"]).where("_all > _own")
+    targets = items.select("item_id", "cluster").join(room, "cluster")
+    pick = F.pmod(md5_int(seed, "item_id", "label"), F.col("_all") - F.col("_own"))
+    drawn = targets.withColumn("_pick", pick).withColumn("_at", F.when(F.col("_pick") < F.col("_start"), F.col("_pick")).otherwise(F.col("_pick") + F.col("_own")))
+    chosen = drawn.join(order, ["label", "_at"]).select("item_id", "example_id", "label")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(md5_int(seed, "item_id", F.lit("place"), "label"), "label"))
     return chosen.select("item_id", place.alias("place"), "example_id", "label")
 
 
@@ -184,7 +196,7 @@ def _repaired(c: Column, quotes: bool) -> Column:
     if quotes:
         open_text = c.contains('"reasoning"') & (more > 0)  # taken as cut off inside the reasoning
         tail = F.when(open_text, F.concat(F.lit('"'), tail)).otherwise(tail)
-    return F.when((c != "") & ~c.endswith("}"), F.concat(F.rtrim(c), tail)).otherwise(c)
+    return F.when((c != "") & ~c.endswith("}"), F.concat(c, tail)).otherwise(c)
 
 
 def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "mix", rescue: bool = True, repair_quotes: bool = False, fold: bool = True) -> Column:
@@ -194,38 +206,46 @@ def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "m
     the end are added; the first that is valid JSON counts. status: ``ok``, ``no_json`` (no label; nothing could be
     read), ``invalid_label`` (read, but the declared label isn't allowed), ``invalid_confidence`` (read, not a number).
     """
-    text = F.trim(F.coalesce(raw, F.lit("")))
-    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
-    inline = F.regexp_extract_all(text, F.lit(r"(?s)(\{.*\})"), F.lit(1))
-    at = F.instr(text, "{")
-    tail = F.when(at > 0, F.array(F.substring(text, at, F.length(text)))).otherwise(F.array().cast("array<string>"))
-    candidates = F.transform(F.concat(F.array(text), fenced, inline, tail), lambda c: _repaired(F.trim(c), repair_quotes))
-    single = lambda c: F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False)) & (c != "")
-    first = F.try_element_at(F.filter(candidates, single), F.lit(1))
-    is_object = first.startswith("{") & first.endswith("}")
-    read = F.from_json(F.when(is_object, first), "label string, confidence string, reasoning string", {"allowSingleQuotes": "false"})
-    declared = F.trim(F.coalesce(read.label, F.lit(default)))
-    declared = F.lower(declared) if fold else declared
+    whole = stripped(F.coalesce(raw, F.lit("")))
     known = F.array(*[F.lit(a) for a in allowed])
-    matched = F.try_element_at(F.filter(known, lambda a: F.contains(a, declared) | F.contains(declared, a)), F.lit(1)) if rescue else F.lit(None).cast("string")
-    label = F.when(F.array_contains(known, declared), declared).otherwise(F.coalesce(matched, F.lit(default)))
-    has_confidence = F.get_json_object(F.when(is_object, first), "$.confidence")
-    number = has_confidence.try_cast("double")
-    wrong = first.contains('"confidence"') & number.isNull()
-    status = (
-        F.when(first.isNull() | ~is_object, "no_json")
-        .when(wrong, "invalid_confidence")
-        .when(~F.array_contains(known, declared), "invalid_label")
-        .otherwise("ok")
-    )
-    good = status.isin("ok", "invalid_label")
-    return F.struct(
-        F.when(good, label).alias("label"),
-        F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))).alias("confidence"),
-        F.when(good, F.trim(F.coalesce(read.reasoning, F.lit("")))).alias("reasoning"),
-        status.alias("status"),
-        F.when(good, declared).alias("declared"),
-    )
+
+    def chosen(text: Column) -> Column:
+        """The first candidate that is valid JSON."""
+        fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
+        inline = F.regexp_extract_all(text, F.lit(r"(?s)(\{.*\})"), F.lit(1))
+        at = F.instr(text, "{")
+        tail = F.when(at > 0, F.array(F.substring(text, at, F.length(text)))).otherwise(F.array().cast("array<string>"))
+        candidates = F.transform(F.concat(F.array(text), fenced, inline, tail), lambda c: _repaired(stripped(c), repair_quotes))
+        single = lambda c: F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False)) & (c != "")
+        return F.try_element_at(F.filter(candidates, single), F.lit(1))
+
+    def parsed(first: Column) -> Column:
+        is_object = first.startswith("{") & first.endswith("}")
+        read = F.from_json(F.when(is_object, first), "label string, confidence string, reasoning string", {"allowSingleQuotes": "false"})
+        declared = stripped(F.coalesce(read.label, F.lit(default)))
+        number = F.get_json_object(F.when(is_object, first), "$.confidence").try_cast("double")
+        wrong = first.contains('"confidence"') & number.isNull()
+        return F.struct((first.isNull() | ~is_object).alias("none"), wrong.alias("wrong"), (F.lower(declared) if fold else declared).alias("declared"), number.alias("number"), stripped(F.coalesce(read.reasoning, F.lit(""))).alias("reasoning"))
+
+    def told(p: Column) -> Column:
+        matched = F.try_element_at(F.filter(known, lambda a: F.contains(a, p.declared) | F.contains(p.declared, a)), F.lit(1)) if rescue else F.lit(None).cast("string")
+        allowed_ = F.array_contains(known, p.declared)
+        label = F.when(allowed_, p.declared).otherwise(F.coalesce(matched, F.lit(default)))
+        status = F.when(p.none, "no_json").when(p.wrong, "invalid_confidence").when(~allowed_, "invalid_label").otherwise("ok")
+        good = ~p.none & ~F.coalesce(p.wrong, F.lit(False))
+        return F.struct(
+            F.when(good, label).alias("label"),
+            F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(p.number, F.lit(0.0))))).alias("confidence"),
+            F.when(good, p.reasoning).alias("reasoning"),
+            status.alias("status"),
+            F.when(good, p.declared).alias("declared"),
+        )
+
+    # each step is an array of one, so that its value is computed once however often the next step names it
+    steps = F.array(whole)
+    for step in (chosen, parsed, told):
+        steps = F.transform(steps, step)
+    return F.element_at(steps, 1)
 
 
 def parse_legacy(raw: Column) -> Column:
@@ -235,7 +255,7 @@ def parse_legacy(raw: Column) -> Column:
 
 def raw_reproduction(pairs: DataFrame) -> DataFrame:
     """(system, n, identical, prefixes, extra_min, extra_median, extra_max) from (system, raw_a, raw_b)."""
-    a, b = F.trim("raw_a"), F.trim("raw_b")
+    a, b = stripped(F.col("raw_a")), stripped(F.col("raw_b"))
     extra = F.when(b.startswith(a) & (a != b), F.length(b) - F.length(a))
     return pairs.groupBy("system").agg(
         F.count(F.lit(1)).alias("n"),

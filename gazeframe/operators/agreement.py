@@ -12,8 +12,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.operators.labels import family, label_order
-from gazeframe.schema import LABELS
+from gazeframe.operators.labels import family
+from gazeframe.schema import LABELS, label_order
 
 
 def _sum(cols) -> Column:
@@ -28,6 +28,17 @@ def with_references(predictions: DataFrame, ratings: DataFrame, references: tupl
     return joined.select(*keep, F.expr(f"stack({len(references)}, {pairs}) as (reference, truth)"))
 
 
+def reference_cells(predictions: DataFrame, ratings: DataFrame, by: list[str], references: tuple[str, ...] = ("rater1", "rater2", "consensus")) -> DataFrame:
+    """(by..., reference, truth, label, n): items are counted by all references at once, and only the counts fall apart by reference.
+
+    ``by`` names columns of predictions or ratings. For each of its groups there are 27 times 3 counts at most.
+    """
+    counted = predictions.where("label is not null").join(ratings, "item_id").groupBy(*by, *references, "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = ", ".join(f"'{r}', {r}" for r in references)
+    long = counted.select(*by, "label", "n", F.expr(f"stack({len(references)}, {pairs}) as (reference, truth)"))
+    return long.where("truth is not null").groupBy(*by, "reference", "truth", "label").agg(F.sum("n").alias("n"))
+
+
 def cells(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """(by..., truth, label, n), missing labels left out."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
@@ -149,7 +160,7 @@ def crosstab(cell_counts: DataFrame, by: list[str]) -> DataFrame:
 def rater_kappa(table: DataFrame) -> DataFrame:
     """(system, rater1, rater2, consensus): kappa of each system with each reference, a column for each."""
     scored = table.select("system", "reference", kappa().alias("kappa"))
-    return scored.groupBy("system").pivot("reference", ["rater1", "rater2", "consensus"]).agg(F.first("kappa"))
+    return scored.groupBy("system").pivot("reference", ["rater1", "rater2", "consensus"]).agg(F.max("kappa"))
 
 
 def delta_kappa(table: DataFrame, varied_below: float = 0.95) -> DataFrame:
@@ -192,8 +203,9 @@ def disagreement_zone(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def sided_by_family(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
-    """The same counts by family, with a row ``total``."""
+def sided_by_family(predictions: DataFrame, ratings: DataFrame, varied: DataFrame | None = None) -> DataFrame:
+    """The same counts by family, with a row ``total``. varied: (system) that count, all if none is given."""
+    predictions = predictions if varied is None else predictions.join(F.broadcast(varied), "system", "left_semi")  # a row for each system
     rows = predictions.where("label is not null").join(ratings.where("rater1 <> rater2"), "item_id").withColumn("family", family(F.col("system")))
     counted = rows.rollup("family").agg(
         F.count_if(F.col("label") == F.col("rater1")).alias("sided_rater1"),
@@ -203,6 +215,16 @@ def sided_by_family(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
     return counted.withColumn("family", F.coalesce("family", F.lit("total")))
 
 
+def difficulty_table(rows: DataFrame, systems: list[str]) -> DataFrame:
+    """``item_difficulty`` with every system's label as s0, s1, ..., and ``place`` from 1: fewest right answers first, then by item."""
+    labels_of = [F.min(F.when(F.col("system") == s, F.col("label"))).alias(f"s{k}") for k, s in enumerate(systems)]
+    counted = rows.groupBy("item_id").agg(F.count_if(F.col("label") == F.col("truth")).alias("n_correct"), F.count("label").alias("n_systems"), *labels_of)
+    levels = counted.groupBy("n_correct").agg(F.count(F.lit(1)).alias("_n"))  # a row for each number of systems
+    starts = levels.select("n_correct", (F.sum("_n").over(Window.orderBy("n_correct")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("n_correct").orderBy("item_id"))
+    return counted.withColumn("_inside", inside).join(F.broadcast(starts), "n_correct").withColumn("place", F.col("_start") + F.col("_inside")).drop("_inside", "_start")
+
+
 def label_resolution(ratings: DataFrame) -> DataFrame:
     """(raters_agree, consensus_matches, n): how the consensus came about."""
     matches = (
@@ -242,8 +264,8 @@ def best_by(table: DataFrame, group: str, score: str, first: str) -> DataFrame:
 
 
 def wide(predictions: DataFrame, systems: list[str]) -> DataFrame:
-    """(item_id, a column for each system): for export."""
-    return predictions.groupBy("item_id").pivot("system", systems).agg(F.first("label"))
+    """(item_id, a column for each system): for export. Of repeated predictions the first in the alphabet."""
+    return predictions.groupBy("item_id").pivot("system", systems).agg(F.min("label"))
 
 
 def ordered(table: DataFrame, label: str = "truth") -> DataFrame:

@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.operators.sequences import stability
-from gazeframe.schema import FIVE_TO_THREE, GATE, LABELS, STABILITY_WEIGHTS
+from gazeframe.functions.text import stripped
+from gazeframe.schema import FIVE_TO_THREE, GATE, LABELS, RULE, STABILITY_WEIGHTS, label_order
 
-
-def label_order(label: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in LABELS]), label)
+__all__ = ["label_order"]
 
 
 def to_three(label: Column, strict: bool = True) -> Column:
     """Three-class label of a five- or three-class one; null and empty give null. Unknown ones fail, or give null if not strict."""
     pairs = {**FIVE_TO_THREE, **{x: x for x in LABELS}}
     table = F.create_map(*[F.lit(x) for x in chain(*pairs.items())])
-    found = F.try_element_at(table, F.trim(label))
+    found = F.try_element_at(table, stripped(label))
     unknown = F.raise_error(F.concat(F.lit("unknown label: "), label)).cast("string") if strict else F.lit(None).cast("string")
     return F.when(label.isNull() | (label == ""), F.lit(None).cast("string")).when(found.isNotNull(), found).otherwise(unknown)
 
@@ -33,13 +32,15 @@ def rule(score: Column | None = None) -> Column:
     """struct(label, confidence) of the ordered rule over the feature columns."""
     score = F.col("attention_stability_score") if score is None else score
     out = lambda label, c: F.struct(F.lit(label).alias("label"), F.lit(c).alias("confidence"))
-    steady = (F.col("visible_ratio") >= 0.75) & (F.col("gaze_shift_ratio") <= 0.1) & (F.col("mean_gaze_motion") <= 120) & (score >= 0.65)
+    visible, shift, motion, least, sure = RULE["steady"]
+    steady = (F.col("visible_ratio") >= visible) & (F.col("gaze_shift_ratio") <= shift) & (F.col("mean_gaze_motion") <= motion) & (score >= least)
+    shifting, moving, mixed = RULE["moving"]
     return (
-        F.when(F.col("eyes_closed_ratio") >= 0.3, out("others", 0.72))
-        .when(F.col("occlusion_ratio") >= 0.35, out("others", 0.74))
-        .when(steady, out("focused", 0.84))
-        .when((F.col("gaze_shift_ratio") >= 0.2) | (F.col("mean_gaze_motion") >= 180), out("mix", 0.80))
-        .otherwise(out("mix", 0.68))
+        F.when(F.col("eyes_closed_ratio") >= RULE["eyes_closed"][0], out("others", RULE["eyes_closed"][1]))
+        .when(F.col("occlusion_ratio") >= RULE["occlusion"][0], out("others", RULE["occlusion"][1]))
+        .when(steady, out("focused", sure))
+        .when((F.col("gaze_shift_ratio") >= shifting) | (F.col("mean_gaze_motion") >= moving), out("mix", mixed))
+        .otherwise(out("mix", RULE["rest"]))
     )
 
 
@@ -77,11 +78,11 @@ def vote_counts(predictions: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def hybrid(alpha: Column) -> Column:
-    """Gate, then the best of alpha * rule + (1 - alpha) * share of votes; ties go to the earlier label."""
+    """Gate, then the best of alpha * rule + (1 - alpha) * share of votes (0 without votes); ties go to the earlier label."""
     ranked = F.array(
         *[
             F.struct(
-                (alpha * F.when(F.col("rule_label") == c, 1.0).otherwise(0.0) + (F.lit(1.0) - alpha) * (F.col(f"votes_{c}") / F.col("voters"))).alias("score"),
+                (alpha * F.when(F.col("rule_label") == c, 1.0).otherwise(0.0) + (F.lit(1.0) - alpha) * F.coalesce(F.try_divide(f"votes_{c}", "voters"), F.lit(0.0))).alias("score"),
                 F.lit(-k).alias("order"),
                 F.lit(c).alias("label"),
             )
@@ -151,7 +152,7 @@ def file_name(spec: Column) -> Column:
 
 
 def annotation_sheet(items: DataFrame, predictions: DataFrame, systems: list[str], blanks: tuple[str, ...] = ("annotator_label", "notes")) -> DataFrame:
-    """Items with every system's prediction, the agreement pattern, and empty columns to fill in."""
-    wide = predictions.groupBy("item_id").pivot("system", systems).agg(F.first("label"))
+    """Items with every system's prediction (the first in the alphabet, if repeated), the agreement pattern, and empty columns to fill in."""
+    wide = predictions.groupBy("item_id").pivot("system", systems).agg(F.min("label"))
     joined = items.join(wide, "item_id", "left").join(agreement_pattern(predictions), "item_id", "left")
     return joined.select("*", *[F.lit(None).cast("string").alias(b) for b in blanks])

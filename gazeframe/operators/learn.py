@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.functions.hashing import md5_rank, md5_uniform
+from gazeframe.operators import agreement
 from gazeframe.schema import MODEL_FEATURES
+from gazeframe.sources.sinks import write_bundle
 
 
 def folds(rows: DataFrame, seed: int = 42, most: int = 5, key: str = "item_id") -> DataFrame:
@@ -30,6 +32,11 @@ def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:
     return rows.join(F.broadcast(groups.withColumn("fold", (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int"))), group)
 
 
+def with_labels(features: DataFrame, labels: DataFrame, key: str = "child_id") -> tuple[DataFrame, DataFrame]:
+    """Features of the labelled items with their labels; and one row (n_missing): labelled items that have no features."""
+    return features.join(labels, key), labels.join(features.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
+
+
 def balanced_weights(rows: DataFrame) -> DataFrame:
     """Adds ``weight`` = n / (classes * n of the class)."""
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
@@ -37,13 +44,13 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(counts.crossJoin(total)), "label").withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
-def classifiers(n_rows: int, trees: int = 200, rounds: int = 20, seed: int = 42) -> dict:
+def classifiers(n_rows: int, trees: int = 200, rounds: int = 200, seed: int = 42) -> dict:
     """Logistic regression, linear SVM, random forest and boosted trees over ``scaled``/``features`` and ``y``."""
     common = {"featuresCol": "scaled", "labelCol": "y"}
     return {
-        "logistic": LogisticRegression(**common, family="multinomial", regParam=1.0 / max(1, n_rows), maxIter=200),
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=50), **common),
-        "random_forest": RandomForestClassifier(**common, numTrees=trees, maxDepth=12, weightCol="weight", seed=seed),
+        "logistic": LogisticRegression(**common, family="multinomial", regParam=1.0 / max(1, n_rows), maxIter=2000),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5000), **common),
+        "random_forest": RandomForestClassifier(**common, numTrees=trees, maxDepth=30, weightCol="weight", seed=seed),
         "boosted": OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed), **common),
     }
 
@@ -91,10 +98,34 @@ def dummy(rows: DataFrame, strategy: str = "majority", seed: int = 42, key: str
     return rows.select(key).crossJoin(F.broadcast(table)).select(key, F.element_at(F.filter("table", lambda t: t.hi > u), 1).label.alias("predicted"))
 
 
+def majority_out_of_fold(rows: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, predicted, fold): the most frequent label of the other folds (ties: last in the alphabet). Counts by fold and label suffice."""
+    counts = rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("label").agg(F.sum("n").alias("all"))
+    folds_ = counts.select("fold").distinct().crossJoin(F.broadcast(total))
+    rest = folds_.join(counts, ["fold", "label"], "left").withColumn("rest", F.col("all") - F.coalesce("n", F.lit(0)))
+    best = rest.groupBy("fold").agg(F.max_by("label", F.struct("rest", "label")).alias("predicted"))
+    return rows.select(key, "fold").join(best, "fold").select(key, "predicted", "fold")
+
+
+def save_results(summary: DataFrame, predicted: DataFrame, path: str) -> None:
+    """The bundle of a cross-validation: summary, predictions (system, item_id, label, predicted, fold), confusion matrices, class reports."""
+    rows = predicted.select("system", F.col("label").alias("truth"), F.col("predicted").alias("label"))
+    cells = agreement.cells(rows, ["system"])
+    write_bundle(
+        {"summary": summary, "predictions": predicted, "confusion": agreement.crosstab(cells, ["system"]), "reports": agreement.per_class(agreement.confusion(cells, ["system"]), ["system"])}, path
+    )
+
+
 def cv_summary(predicted: DataFrame) -> DataFrame:
-    """(folds, accuracy_mean, accuracy_std): over folds, with the population's deviation. predicted: fold, label, predicted."""
-    by_fold = predicted.groupBy("fold").agg(F.avg(F.when(F.col("label") == F.col("predicted"), 1.0).otherwise(0.0)).alias("accuracy"))
-    return by_fold.agg(F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"))
+    """(folds, and for accuracy, kappa and macro_f1: mean and population deviation over folds, and the pooled value). predicted: fold, label, predicted."""
+    names = ["accuracy", "kappa", "macro_f1_union"]
+    rows = predicted.select("fold", F.col("label").alias("truth"), F.col("predicted").alias("label"))
+    cells = agreement.cells(rows, ["fold"])
+    by_fold = agreement.metrics(agreement.confusion(cells, ["fold"]), ["fold"], names)
+    spread = by_fold.agg(F.count(F.lit(1)).alias("folds"), *[f(m).alias(f"{m}_{n}") for m in names for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    pooled = agreement.metrics(agreement.confusion(cells.withColumn("all", F.lit(1)), ["all"]), ["all"], names).select(*[F.col(m).alias(f"{m}_pooled") for m in names])
+    return spread.crossJoin(F.broadcast(pooled))
 
 
 def impurity_importance(model, features: list[str] = MODEL_FEATURES) -> list[tuple[str, float]]:

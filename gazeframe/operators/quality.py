@@ -44,8 +44,11 @@ def differs(df: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> DataFrame
 
 
 def labelled(df: DataFrame, label: str, known: list[str]) -> DataFrame:
-    """Rows with a known label, trimmed."""
-    return df.withColumn(label, F.trim(label)).where(F.col(label).isin(known))
+    """Rows with a known label, trimmed; fails if there is none."""
+    kept = df.withColumn(label, F.trim(label)).where(F.col(label).isin(known))
+    if not kept.take(1):
+        raise ValueError(f"no row has one of the labels {known}")
+    return kept
 
 
 def unknown_classes(frames: DataFrame, known: list[str]) -> DataFrame:

@@ -126,6 +126,15 @@ def permutation_null(item_cells: DataFrame, replicates: int, seed: int, block: i
     return table.groupBy("system", "block").applyInPandas(draw, "system string, rep long, delta double")
 
 
+def permutation_test(null: DataFrame, observed: DataFrame) -> DataFrame:
+    """(system, observed, null_mean, delta_lo, delta_hi, delta_undefined, p): two-sided, about the null's mean. observed: (system, observed)."""
+    mean = null.groupBy("system").agg(F.avg("delta").alias("null_mean"), *interval("delta"))
+    known = mean.join(observed, "system")
+    off = F.abs(F.col("delta") - F.col("null_mean")) >= F.abs(F.col("observed") - F.col("null_mean")) - F.lit(1e-12)
+    p = null.join(F.broadcast(known), "system").groupBy("system").agg(F.avg(F.when(off, 1.0).otherwise(0.0)).alias("p"))  # a row for each system
+    return known.join(p, "system")
+
+
 def rank_shuffled(predictions: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(system, rep, item_id, label): labels shuffled over items within each system.
 

@@ -19,7 +19,7 @@ SYSTEMS = [
     ("nli_bart", 55),
     ("deberta", 60),
 ]
-GENERATION_KINDS = 6
+GENERATION_KINDS = 10
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(system, item_id, kind, raw): the LLM systems' labels as generated text of six kinds."""
+    """(system, item_id, kind, raw): the LLM systems' labels as generated text of ten kinds."""
     p = predictions(spark, sf_dir).where("system like 'llm%'")
     kind = (md5_int(F.lit("kind"), "system", "item_id") % GENERATION_KINDS).cast("int")
     confidence = F.format_string("%.2f", "confidence")
@@ -100,7 +100,11 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind") == 2, F.concat(F.lit("Sure, here it is: "), obj, F.lit(" Hope this helps.")))
         .when(F.col("kind") == 3, F.concat(F.lit("  "), F.substring(obj, F.lit(1), F.length(obj) - 1)))
         .when(F.col("kind") == 4, F.concat(F.lit('{"label": "banana", "confidence": '), confidence, F.lit("}")))
-        .otherwise(F.concat(F.lit("I cannot tell, maybe "), "label"))
+        .when(F.col("kind") == 5, F.concat(F.lit("I cannot tell, maybe "), "label"))
+        .when(F.col("kind") == 6, F.concat(obj, F.lit("\n")))
+        .when(F.col("kind") == 7, F.concat(F.lit("\n\t "), obj, F.lit(" \r\n\t")))
+        .when(F.col("kind") == 8, F.concat(F.lit('\n{"label": "\\t'), F.initcap("label"), F.lit(' \\n", "confidence": '), confidence, F.lit("}\n")))
+        .otherwise(F.concat(F.lit('The answer:\n```\n{"label": "rather \\"'), "label", F.lit('\\" I think", "confidence": '), confidence, F.lit("\n```\n")))
     )
     return p.withColumn("kind", kind).select("system", "item_id", "label", "confidence", "kind", raw.alias("raw"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from gazeframe.operators.labels import weight_sets
 from gazeframe.plans.driver_tables import SYSTEMS
 from gazeframe.plans.queries import ITEM_REPLICATES, REPLICATES, SEED, SHUFFLES
+from gazeframe.functions import text
 from gazeframe.schema import LABELS
 
 
@@ -157,14 +158,28 @@ pairs as (select x.system system_a, y.system system_b, count(*) filter (x.ok and
 terms as (select system_a, system_b, b, c, unnest(generate_series(0, least(b, c))) k from pairs),
 tests as (select system_a, system_b, b, c, case when b + c = 0 then 1.0 else least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0)))) end p from terms group by 1, 2, 3, 4)"""
 
-BOOT = f"""{LONG},
-names as (select list_sort(list(distinct cluster)) names from ratings),
+def _boot(cluster: str = "cluster") -> str:
+    """Replicates of clusters; ``cluster`` is an expression over ratings."""
+    return f"""{PREDICTIONS},
+units as (select *, {cluster} as unit from ratings),
+names as (select list_sort(list(distinct unit)) names from units),
 reps as (select unnest(generate_series(0, {REPLICATES - 1})) rep),
 draws as (select rep, unnest(generate_series(1, len(names))) draw, names from reps, names),
-weights as (select rep, cluster, count(*) w from (select rep, names[cast({_u(f"'{SEED}'", "rep", "draw")} % len(names) + 1 as int)] as cluster from draws) group by 1, 2),
-cells_ as (select system, reference, cluster, truth, label, count(*) c from known group by 1, 2, 3, 4, 5),
-weighed as (select rep, system, reference, truth, label, c * w::double w from cells_ join weights using (cluster)),
-{_scores('weighed', 'rep, system, reference')}"""
+weights as (select rep, unit, count(*) w from (select rep, names[cast({_u(f"'{SEED}'", "rep", "draw")} % len(names) + 1 as int)] as unit from draws) group by 1, 2)"""
+
+
+def _replicates(source: str, by: str, reference: str = "") -> str:
+    """Scores by replicate of rows (by, unit, truth, label) of ``source``."""
+    return f"""cells_ as (select {by}, unit, truth, label, count(*) c from ({source}) where label is not null group by all),
+weighed as (select rep, {by}, truth, label, c * w::double w from cells_ join weights using (unit)),
+{_scores('weighed', f'rep, {by}')}"""
+
+
+_ALL_REFERENCES = " union all ".join(f"select system, '{r}' as reference, unit, {r} truth, label from predictions join units using (item_id)" for r in ("rater1", "rater2", "consensus"))
+BOOT = f"{_boot()},\n{_replicates(_ALL_REFERENCES, 'system, reference')}"
+BOOT_VIDEO = f"{_boot('fine_cluster % 21')},\n{_replicates(_ALL_REFERENCES, 'system, reference')}"
+DELTAS = f"""{BOOT},
+deltas as (select rep, system, max(kappa) filter (reference = 'rater1') - max(kappa) filter (reference = 'rater2') delta from scores group by 1, 2)"""
 
 
 def _ci(v: str) -> str:
@@ -181,9 +196,10 @@ def _poisson(u: str) -> str:
 
 
 GENERATIONS = f"""{PREDICTIONS},
-generated as (select *, {_u("'kind'", "system", "item_id")} % 6 kind from predictions where system like 'llm%'),
-parsed as (select system, item_id, case when kind < 4 then label when kind = 4 then 'mix' end as label, case when kind < 5 then confidence end as confidence,
-  case when kind < 4 then 'ok' when kind = 4 then 'invalid_label' else 'no_json' end as status, kind, label given from generated)"""
+generated as (select *, {_u("'kind'", "system", "item_id")} % 10 kind from predictions where system like 'llm%'),
+parsed as (select system, item_id, case when kind = 4 then 'mix' when kind <> 5 then label end as label, case when kind <> 5 then confidence end as confidence,
+  case kind when 4 then 'invalid_label' when 9 then 'invalid_label' when 5 then 'no_json' else 'ok' end as status, kind, label given from generated)"""
+_OLD = "case given when 'focused' then 'inside_visible' when 'mix' then 'outside' else 'unsure' end"
 
 VOTES = f"""{PREDICTIONS},
 votes as (select item_id, count(*) filter (label = 'focused') v0, count(*) filter (label = 'mix') v1, count(*) filter (label = 'others') v2, count(label) k from predictions where system like 'llm%' group by 1)"""
@@ -191,6 +207,8 @@ votes as (select item_id, count(*) filter (label = 'focused') v0, count(*) filte
 ITEMS = f"""{VOTES},
 items as (select item_id, consensus as truth, fine_cluster % 11 = 0 gated, p.label rule_label, v0, v1, v2 from ratings join predictions p using (item_id) join votes using (item_id) where p.system = 'rule_based')"""
 
+ITEMS_K = f"""{VOTES}, items as (select item_id, consensus as truth, fine_cluster % 11 = 0 gated, p.label rule_label, v0, v1, v2, k from ratings join predictions p using (item_id) join votes using (item_id) where p.system = 'rule_based')"""
+
 CONDITIONS = f"""{PREDICTIONS},
 cond_0 as (select *, {_u("condition", "system", "item_id")} u2 from (select *, unnest(['C0', 'C1', 'C2']) condition from predictions where system like 'llm%')),
 cond as (select system, condition, item_id, case when condition <> 'C0' and u2 % 10 < 2 then 'mix' else label end as label, case u2 % 25 when 0 then 'no_json' when 1 then 'invalid_label' else 'ok' end status from cond_0),
@@ -224,6 +242,38 @@ def _alpha_score(k: int, c: str) -> str:
     return f"(alpha * (case when rule_label = '{c}' then 1.0::double else 0.0::double end) + (1.0::double - alpha) * (v{k} / k))"
 
 
+FEWSHOT = f"""{RATINGS},
+line as (select consensus as label, cluster, item_id example_id, row_number() over (partition by consensus order by cluster, {_u("'1'", 'item_id')}, item_id) - 1 at_ from ratings),
+sizes as (select label, cluster, count(*) own, min(at_) start_ from line group by 1, 2),
+totals as (select label, sum(own) all_ from sizes group by 1),
+targets as (select item_id, t.label, coalesce(own, 0) own, coalesce(start_, 0) start_, all_ from ratings r cross join totals t left join sizes s on s.label = t.label and s.cluster = r.cluster where all_ > coalesce(own, 0)),
+drawn_at as (select *, {_u("'1'", 'item_id', 'label')} % (all_ - own) pick from targets),
+chosen as (select d.item_id, d.label, example_id, cast(row_number() over (partition by d.item_id order by {_u("'1'", 'd.item_id', "'place'", 'd.label')}, d.label) as int) place
+  from drawn_at d join line l on l.label = d.label and l.at_ = case when pick < start_ then pick else pick + own end)"""
+
+
+def _literal(text_: str) -> str:
+    return "'" + text_.replace("'", "''") + "'"
+
+
+_PAYLOADS = f"""{FEATURES}, {SEGMENTS.removeprefix(FRAMES + ',')},
+payload as (select f.*, num_segments, num_interactions from features f join (select child_id, count(*) num_segments from segs group by 1) using (child_id) join (select child_id, count(*) num_interactions from events_of group by 1) using (child_id)),
+fields as ({" union all ".join(f"select child_id, '{c}' feature, cast({c} as double) v, observed_frames o from payload" for c in text.PAYLOAD if c != "dominant_gaze_class")}),
+binned as (select *, case when feature in ({", ".join(_literal(c) for c in text.STREAKS)}) then v / o else v end b from fields),
+moved as (select *, v * (0.95::double + 0.1::double * ({_u(f"'{SEED}'", "child_id", "feature")} / 4294967296.0::double)) m from fields)"""
+_WORDED = ", ".join(_literal(c) for c in [*text.RATIOS, *text.STREAKS])
+_CV = f"""{FEATURES},
+l as (select child_id item_id, {_PLAIN} as label, cast(regexp_extract(child_id, '^u(\\d+):', 1) as bigint) % 10 as "group" from features),
+k as (select greatest(2, least(5, min(n))) k from (select count(*) n from l group by label)),
+folded as (select 'stratified' scheme, item_id, label, cast((row_number() over (partition by label order by {_u("'42'", 'item_id')}, item_id) - 1) % k as int) fold from l, k
+  union all select 'by_group', item_id, label, cast(dense_rank() over (order by "group") - 1 as int) from l),
+by_fold as (select scheme, fold, label, count(*) n from folded group by all),
+rest as (select f.scheme, f.fold, t.label, t.n - coalesce(b.n, 0) n from (select distinct scheme, fold from folded) f join (select scheme, label, sum(n) n from by_fold group by 1, 2) t using (scheme) left join by_fold b on b.scheme = f.scheme and b.fold = f.fold and b.label = t.label),
+best as (select scheme, fold, arg_max(label, (n, label)) predicted from rest group by 1, 2),
+out_of_fold as (select scheme, item_id, fold, label, predicted from folded join best using (scheme, fold))"""
+_FILES = f"""{FEATURES}, split_frames as (select *, case video_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end split from frames)"""
+
+
 SQL: dict[str, str] = {
     "rule_labels_kappa": f"with {FEATURES}, labelled as (select 'rule_based' as system, {_PLAIN} truth, {_RULE.format(score='attention_stability_score')} as label, 1.0::double w from features), {_scores('labelled', 'system')} select system, n, {', '.join(_r(m, m) for m in METRIC_NAMES)} from scores",
     "child_frames": f"with {FRAMES} select clip, child_id, person_id, frame, bbox_x, bbox_y, bbox_width, bbox_height, gaze_class, {_r('gaze_x', 'gaze_x')}, {_r('gaze_y', 'gaze_y')}, is_child, fps, channel_id, video_id from frames",
@@ -310,9 +360,7 @@ union all select child_id, 'C4', false, round_even(observed_frames * (0.95::doub
     "nli_entailment": f"""with {FRAMES}, combos(label_set, template) as (values ('L1 bare names', 'T1 paper'), ('L1 bare names', 'T2 attention'), ('L2 short phrases', 'T1 paper'), ('L2 short phrases', 'T2 attention'), ('L3 full definitions', 'T3 definition')),
 g as (select child_id, label_set, template, label, ({_u('child_id', 'label_set', 'template', 'label')} % 1000) / 100.0::double + length(label) / 1000.0::double logit from (select distinct child_id from frames) cross join combos cross join (select unnest(['focused', 'mix', 'others']) as label))
 select child_id, label_set, template, arg_max(label, logit) as label, {_r('1 / sum(exp(logit - top))', 'confidence')} from (select *, max(logit) over (partition by child_id, label_set, template) top from g) group by 1, 2, 3""",
-    "fewshot_examples": f"""with {RATINGS}, pool as (select item_id example_id, cluster as c, consensus as label from (select *, row_number() over (partition by consensus, cluster order by {_u("'1'", 'item_id')}, item_id) r from ratings) where r <= 2),
-chosen as (select item_id, label, arg_min(example_id, ({_u("'1'", 'item_id', 'example_id')}, example_id)) example_id from ratings join pool on c <> cluster and example_id <> item_id group by 1, 2)
-select item_id, cast(row_number() over (partition by item_id order by {_u("'1'", 'item_id', 'label')}, label) as int) place, example_id, label from chosen""",
+    "fewshot_examples": f"with {FEWSHOT} select item_id, place, example_id, label from chosen",
     "parse_generations": f"with {GENERATIONS} select system, item_id, label, confidence, status from parsed",
     "parse_status": f"with {GENERATIONS} select system, status, count(*) n from parsed group by 1, 2",
     "vote_texts": f"with {VOTES} select item_id, (select string_agg(l || ' ' || v, ', ' order by v desc, o) from (values ('focused', v0, 0), ('mix', v1, 1), ('others', v2, 2)) t(l, v, o) where v > 0) votes from votes",
@@ -329,4 +377,57 @@ select item_id, cast(row_number() over (partition by item_id order by {_u("'1'",
     "score_consistency": f"with {FRAMES} select count(distinct child_id) n, cast(0 as bigint) n_wrong from frames",
     "cv_folds": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label from features), k as (select greatest(2, least(5, min(n))) k from (select count(*) n from l group by label)) select item_id, label, cast((row_number() over (partition by label order by {_u("'42'", 'item_id')}, item_id) - 1) % k as int) fold from l, k",
     "dummy_stratified": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label, {_u("'42'", 'child_id')} / 4294967296.0::double u from features), s as (select label as p, sum(count(*)) over (order by label) / sum(count(*)) over ()::double hi from l group by label) select item_id, min(p) predicted from l join s on hi > u group by 1",
+    "perm_null_rank_systems": f"""with {PREDICTIONS}, reps as (select unnest(generate_series(0, {SHUFFLES - 1})) rep), p as (select * from predictions cross join reps where label is not null),
+ranked as (select *, row_number() over (partition by system, rep order by {_u("'place'", 'item_id')}, item_id) place, row_number() over (partition by system, rep order by {_u(f"'{SEED}'", 'system', 'rep', 'item_id')}, item_id) moved from p),
+mixed as (select a.system, a.rep, a.item_id, b.label from ranked a join ranked b on a.system = b.system and a.rep = b.rep and a.moved = b.place),
+both_ as (select m.system, rep, 'rater1' as reference, label, rater1 truth, 1.0::double w from mixed m join ratings using (item_id) union all select m.system, rep, 'rater2', label, rater2, 1.0 from mixed m join ratings using (item_id)),
+{_scores('both_', 'system, rep, reference')} select system, cast(rep as int) rep, {_r("max(kappa) filter (reference = 'rater1') - max(kappa) filter (reference = 'rater2')", 'delta')} from scores group by 1, 2""",
+    "boot_video_ci": f"with {BOOT_VIDEO} select system, reference, {_ci('accuracy')}, {_ci('kappa')} from scores group by 1, 2",
+    "boot_delta_kappa": f"with {DELTAS} select system, {_ci('delta')} from deltas group by 1",
+    "boot_family_contrast": f"""with {DELTAS}, varied as (select system, {_FAMILY} family, max(n) / sum(n) < 0.95 varied from (select system, label, count(*) n from predictions where label is not null group by 1, 2) group by 1),
+c as (select rep, avg(delta) filter (varied and family = 'llm') - avg(delta) filter (varied and family in ('rule', 'supervised')) contrast from deltas join varied using (system) group by 1) select {_ci('contrast')} from c""",
+    "boot_condition_diff": f"""with {_boot()}, cond_0 as (select *, {_u("condition", "system", "item_id")} u2 from (select *, unnest(['C0', 'C1', 'C2']) condition from predictions where system like 'llm%')),
+{_replicates("select system, condition, unit, consensus truth, case when condition <> 'C0' and u2 % 10 < 2 then 'mix' else label end as label from cond_0 join units using (item_id)", 'system, condition')},
+d as (select a.system, a.condition, a.kappa - b.kappa diff from scores a join scores b using (rep, system) where b.condition = 'C0' and a.condition <> 'C0') select system, condition, {_ci('diff')} from d group by 1, 2""",
+    "boot_lacking_class": f"""with {RATINGS}, few as (select consensus, fine_cluster % 21 as unit from ratings where fine_cluster % 97 = 0), names as (select list_sort(list(distinct unit)) names from few), reps as (select unnest(generate_series(0, {REPLICATES - 1})) rep),
+draws as (select rep, unnest(generate_series(1, len(names))) draw, names from reps, names), picked as (select rep, names[cast({_u(f"'{SEED}'", "rep", "draw")} % len(names) + 1 as int)] as unit from draws),
+got as (select rep, consensus, count(*) n from picked join few using (unit) group by 1, 2), every as (select rep, label from (select distinct rep from picked) cross join (select unnest(['focused', 'mix', 'others']) as label))
+select label, count(*) filter (n is null) n_lacking from every left join got on got.rep = every.rep and consensus = label group by 1""",
+    "prompt_payloads": f"""with {_PAYLOADS}
+select child_id, condition, feature, {_r('v', 'number')}, cast(null as varchar) word from fields cross join (select unnest(['C0', 'C1', 'C3']) condition)
+union all select child_id, 'C2', feature, case when feature in ({_WORDED}) or feature = 'mean_gaze_motion' then null else round(v, 6) + 0.0 end, case when feature in ({_WORDED}) then case when b < 1 / 3 then 'low' when b < 2 / 3 then 'medium' else 'high' end
+  when feature = 'mean_gaze_motion' then case when v < 100 then 'low' when v < 200 then 'medium' else 'high' end end from binned
+union all select child_id, 'C4', feature, round(case when feature in ({', '.join(_literal(c) for c in text.RATIOS)}) then greatest(0.0::double, least(1.0::double, m)) when feature in ({', '.join(_literal(c) for c in text.COUNTS)}) then round_even(m, 0) else m end, 6) + 0.0, null from moved
+union all select child_id, condition, 'dominant_gaze_class', null, dominant_gaze_class from payload cross join (select unnest(['C0', 'C1', 'C2', 'C4']) condition)""",
+    "nli_premise_texts": f"""with {FEATURES}, s as (select child_id, max_visible_streak m, observed_frames o, round(mean_gaze_motion) g, {', '.join(f'round({c}, 2) {n}' for c, n in (('visible_ratio', 'v'), ('gaze_shift_ratio', 'h'), ('occlusion_ratio', 'k'), ('eyes_closed_ratio', 'e'), ('attention_stability_score', 'a')))} from features)
+select child_id, printf('Child gaze behavior summary. visible_ratio=%.3f, gaze_shift_ratio=%.3f, occlusion_ratio=%.3f, eyes_closed_ratio=%.3f, mean_gaze_motion=%.2f, attention_stability_score=%.3f, max_visible_streak=%d.', v, h, k, e, g, a, m) p1,
+printf('In this clip, the child''s gaze is visible in %.0f%% of the frames, shifts between targets in %.0f%% of the frames, is occluded or uncertain in %.0f%% of the frames, and the eyes are closed in %.0f%% of the frames. The longest uninterrupted visible stretch lasts %d of %d frames. The gaze point moves on average %.0f pixels between frames, and the attention stability score is %.2f out of 1.', 100.0::double * v, 100.0::double * h, 100.0::double * k, 100.0::double * e, m, o, g, a) p2 from s""",
+    "nli_hypotheses": f"with {FEATURES} select label_set, template, label, hypothesis, (select count(*) from features) n_premises from (values {', '.join('(' + ', '.join(_literal(x) for x in (s_, t_, c_, text.TEMPLATES[t_].replace('{}', text.LABEL_SETS[s_][c_]))) + ')' for s_, t_ in text.COMBINATIONS for c_ in LABELS)}) h(label_set, template, label, hypothesis)",
+    "fewshot_prompts": f"""with {FEWSHOT}, told as (select item_id, string_agg('Example ' || place || ':\nFeatures:\n' || '{{"item": ' || example_id || '}}' || '\nCategory: ' || label || '\n\n', '' order by place) shown, string_agg(label, ',' order by place) labels from chosen group by 1)
+select item_id, md5('Task.\n' || {_literal(text.FEWSHOT_INTRO)} || shown || {_literal(text.FEWSHOT_OUTRO)} || {_literal(text.ANCHOR)} || '\nFeatures:\n' || '{{"item": ' || item_id || '}}') digest, labels from told""",
+    "parse_legacy": f"""with {GENERATIONS} select system, item_id, case when kind = 4 then 'unsure' when kind not in (3, 5) then {_OLD} end as label, case when kind <> 3 then confidence end as confidence,
+  case when kind = 3 then 'no_json' else status end as status, case kind when 4 then '' when 0 then 'seen' when 3 then null when 5 then null else 'seen in the clip' end reasoning from parsed where kind < 7""",
+    "legacy_prompts": f"with {FEATURES} select child_id, md5({_literal(text.LEGACY_INTRO)}) digest, observed_frames, dominant_gaze_class dominant from features",
+    "scored_prompts": f"with {RATINGS} select item_id, case when item_id % 10 <> 7 then md5('Item ' || item_id) end as raw, case when item_id % 10 = 7 then 'ValueError' end as error from ratings",
+    "vote_parses": f"with {VOTES} select item_id, cast(v0 as int) votes_focused, cast(v1 as int) votes_mix, cast(v2 as int) votes_others from votes",
+    "duplicate_frames": f"with {FRAMES} select child_id, frame // 2 as frame, count(*) n from frames0 group by 1, 2 having count(*) > 1",
+    "hybrid_vote_raters": f"""with {ITEMS_K}, swept as (select *, a / 10.0::double alpha from items cross join (select unnest(generate_series(0, 10)) a)),
+graded as (select *, {', '.join(f'{_alpha_score(k, c)} s{k}' for k, c in enumerate(LABELS))} from swept),
+chosen as (select alpha, item_id, case when gated then 'others' when s0 >= s1 and s0 >= s2 then 'focused' when s1 >= s2 then 'mix' else 'others' end as label from graded),
+rows_ as ({" union all ".join(f"select alpha, '{r}' as reference, {r} truth, label, 1.0::double w from chosen join ratings using (item_id)" for r in ('rater1', 'rater2', 'consensus'))}),
+{_scores('rows_', 'alpha, reference')} select alpha, reference, n, {_r('accuracy', 'accuracy')}, {_r('kappa', 'kappa')} from scores""",
+    "hybrid_vote_report": f"""with {ITEMS_K}, swept as (select *, a / 10.0::double alpha from items cross join (select unnest(generate_series(0, 10)) a)),
+graded as (select *, {', '.join(f'{_alpha_score(k, c)} s{k}' for k, c in enumerate(LABELS))} from swept),
+chosen as (select alpha, truth, 1.0::double w, case when gated then 'others' when s0 >= s1 and s0 >= s2 then 'focused' when s1 >= s2 then 'mix' else 'others' end as label from graded),
+{_scores('chosen', 'alpha')}, best as (select * from scores order by kappa desc, alpha limit 1) """ + " union all ".join(f"select alpha, '{c}' as \"class\", {_r(f'p{k}', 'precision')}, {_r(f'r{k}', 'recall')}, {_r(f'f{k}', 'f1')}, cast(t{k} as bigint) support from best" for k, c in enumerate(LABELS)),
+    "difficulty_table": f"with {CONSENSUS}, c as (select item_id, count(*) filter (label = truth) n_correct, count(label) n_systems, {', '.join(f"max(label) filter (system = '{s_}') s{k}" for k, (s_, _) in enumerate(SYSTEMS))} from rows_ group by 1) select *, row_number() over (order by n_correct, item_id) place from c",
+    "sided_by_varied_family": f"with {PREDICTIONS}, varied as (select system from (select system, label, count(*) n from predictions where label is not null group by 1, 2) group by 1 having max(n) / sum(n) < 0.95), z as (select {_FAMILY} family, label, rater1, rater2 from predictions join ratings using (item_id) where rater1 <> rater2 and label is not null and system in (select system from varied)) select coalesce(family, 'total') family, count(*) filter (label = rater1) sided_rater1, count(*) filter (label = rater2) sided_rater2, count(*) n from z group by rollup (family)",
+    "group_folds": f"with {_CV} select item_id, \"group\", fold from folded join l using (item_id) where scheme = 'by_group'",
+    "dummy_majority": f"with {_CV} select item_id, (select arg_max(label, (n, label)) from (select label, count(*) n from l group by 1)) predicted from l",
+    "dummy_out_of_fold": f"with {_CV} select scheme, item_id, fold, predicted from out_of_fold",
+    "cv_summary": f"""with {_CV}, rows_ as (select fold, label as truth, predicted as label, 1.0::double w from out_of_fold where scheme = 'stratified'), {_scores('rows_', 'fold')}, pooled_rows as (select 1 one, truth, label, w from rows_), {_scores('pooled_rows', 'one', 'pooled')}
+select count(*) folds, {', '.join(f"{_r(f'avg({m})', m + '_mean')}, {_r(f'stddev_pop({m})', m + '_std')}, (select round({m}, 6) + 0.0::double from pooled) {m}_pooled" for m in ('accuracy', 'kappa', 'macro_f1_union'))} from scores""",
+    "file_frames": f"with {_FILES} select child_id, frame, gaze_class, {_r('gaze_x', 'gaze_x')}, {_r('gaze_y', 'gaze_y')}, bbox_width, is_child, split, video_id, channel_id, fps from split_frames where split = 'test'",
+    "file_features": f"with {_FILES} select child_id, (['focused', 'mix', 'others'])[cast({_u("'given'", 'child_id')} % 3 + 1 as int)] as label, observed_frames, {', '.join(_r(c, c) for c in ('visible_ratio', 'mean_gaze_motion', 'attention_stability_score'))}, (select count(distinct child_id) from frames0 where is_child = 0) n_missing from features",
+    "file_predictions": f"with {PREDICTIONS} select system, cast(item_id as varchar) item_id, label, case when system <> 'rule_based' then {'round(confidence, 6) + 0.0::double'} end as confidence, case when system <> 'rule_based' then 'said \"so\", twice' end as reasoning from predictions where label is not null and system in ({', '.join(_literal(s_) for s_, _ in SYSTEMS[:4])})",
 }

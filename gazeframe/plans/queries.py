@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,14 @@ from gazeframe.functions import text
 from gazeframe.functions.hashing import md5_int
 from gazeframe.operators import agreement, calibration, labels, learn, quality, reports, resample, scoring, sequences, significance
 from gazeframe.plans import driver_tables as tables
-from gazeframe.schema import LABELS, MODEL_FEATURES
+from gazeframe.schema import ANNOTATION_COLUMNS, LABELS, MODEL_FEATURES
+from gazeframe.sources import annotations
 
+#: Replicates on counts; replicates on items, whose SQL repeats every item; resamples on counts of items.
 REPLICATES = 200
 ITEM_REPLICATES = 200
 SHUFFLES = 200
+RESAMPLES = 1000
 SEED = 20261005
 BY = ["system", "reference"]
 
@@ -40,8 +45,13 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
     return tables.predictions(spark, d).join(tables.ratings(spark, d).select("item_id", F.col("consensus").alias("truth")), "item_id")
 
 
+def _cells(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Counts by system, reference and ``by``; items are counted before references fall apart."""
+    return agreement.reference_cells(tables.predictions(spark, d), tables.ratings(spark, d), ["system", *by])
+
+
 def _table(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.confusion(agreement.cells(_rows(spark, d), BY), BY)
+    return agreement.confusion(_cells(spark, d), BY)
 
 
 def rule_labels_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +132,7 @@ def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_map(spark: SparkSession, d: str) -> DataFrame:
-    five = F.expr("element_at(array('focused_attention', ' mixed_attention ', 'exploratory_attention', 'mix', '', cast(null as string), 'banana'), cast(event_id % 7 + 1 as int))")
+    five = F.element_at(F.array(*[F.lit(x) for x in ("focused_attention", " mixed_attention ", "\texploratory_attention\r\n", "mix\n", "", None, "banana")]), (F.col("event_id") % 7 + 1).cast("int"))
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", five.alias("five"))
     return rows.select("event_id", labels.to_three(F.col("five"), strict=False).alias("three"), F.coalesce(labels.unknown_label(F.col("five")), F.lit(False)).alias("unknown"))
 
@@ -154,7 +164,7 @@ def unknown_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.crosstab(agreement.cells(_rows(spark, d), BY), BY)
+    return agreement.crosstab(_cells(spark, d), BY)
 
 
 def system_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -225,11 +235,61 @@ def calibrated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replicates(spark: SparkSession, d: str) -> DataFrame:
-    cells = agreement.cells(_rows(spark, d), ["cluster", *BY])
-    draws = resample.cluster_draws(tables.ratings(spark, d).select("cluster").distinct(), REPLICATES, SEED)
+    return _replicates_by(spark, d, tables.ratings(spark, d))
+
+
+def _replicates_by(spark: SparkSession, d: str, ratings: DataFrame) -> DataFrame:
+    cells = agreement.reference_cells(tables.predictions(spark, d), ratings, ["system", "cluster"])
+    draws = resample.cluster_draws(ratings.select("cluster").distinct(), REPLICATES, SEED)
     return resample.cluster_replicates(cells, draws, ["accuracy", "kappa"])
 
 
+def boot_video_ci(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the other unit: 21 videos in place of the channels."""
+    by_video = tables.ratings(spark, d).withColumn("cluster", F.col("fine_cluster") % 21)
+    out = _replicates_by(spark, d, by_video).groupBy(*BY).agg(*resample.interval("accuracy"), *resample.interval("kappa"))
+    return rounded(out)
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    """(rep, system, family, delta, varied): difference of the kappas with either rater, by replicate."""
+    k = _replicates(spark, d).where("reference <> 'consensus'")
+    wide = k.groupBy("rep", "system").agg(*[F.max(F.when(F.col("reference") == r, F.col("kappa"))).alias(r) for r in ("rater1", "rater2")])
+    varied = agreement.delta_kappa(_table(spark, d)).select("system", "family", "varied")
+    return wide.select("rep", "system", (F.col("rater1") - F.col("rater2")).alias("delta")).join(F.broadcast(varied), "system")  # a row for each system
+
+
+def boot_delta_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_deltas(spark, d).groupBy("system").agg(*resample.interval("delta")))
+
+
+def boot_family_contrast(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda *f: F.avg(F.when(F.col("varied") & F.col("family").isin(*f), F.col("delta")))
+    contrasts = _deltas(spark, d).groupBy("rep").agg((of("llm") - of("rule", "supervised")).alias("contrast"))
+    return rounded(contrasts.agg(*resample.interval("contrast")))
+
+
+def boot_condition_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Kappa of each condition minus that of C0, with the consensus, by replicate."""
+    ratings = tables.ratings(spark, d)
+    by = ["system", "condition", "cluster"]
+    cells = agreement.reference_cells(tables.conditions(spark, d), ratings, by, ("consensus",)).withColumn("reference", F.col("condition"))
+    draws = resample.cluster_draws(ratings.select("cluster").distinct(), REPLICATES, SEED)
+    reps = resample.cluster_replicates(cells, draws, ["kappa"])
+    base = reps.where("reference = 'C0'").select("rep", "system", F.col("kappa").alias("base"))
+    diff = reps.where("reference <> 'C0'").join(base, ["rep", "system"]).withColumn("diff", F.col("kappa") - F.col("base"))
+    return rounded(diff.groupBy("system", F.col("reference").alias("condition")).agg(*resample.interval("diff")))
+
+
+def boot_lacking_class(spark: SparkSession, d: str) -> DataFrame:
+    """(label, n_lacking): replicates in which the consensus lacks a class. Clusters are the video's parts, which may have few items."""
+    ratings = tables.ratings(spark, d).where("fine_cluster % 97 = 0").withColumn("cluster", F.col("fine_cluster") % 21)
+    draws = resample.cluster_draws(ratings.select("cluster").distinct(), REPLICATES, SEED)
+    counted = ratings.groupBy("cluster").agg(*[F.count_if(F.col("consensus") == c).alias(c) for c in LABELS])
+    reps = draws.join(F.broadcast(counted), "cluster").groupBy("rep").agg(*[F.sum(c).alias(c) for c in LABELS])  # a row for each cluster
+    return reps.agg(*[F.count_if(F.col(c) == 0).alias(c) for c in LABELS]).select(F.expr(f"stack(3, {', '.join(f"'{c}', {c}" for c in LABELS)}) as (label, n_lacking)"))
+
+
 def boot_cluster_ci(spark: SparkSession, d: str) -> DataFrame:
     out = _replicates(spark, d).groupBy(*BY).agg(*resample.interval("accuracy"), *resample.interval("kappa"))
     return rounded(out)
@@ -248,14 +308,15 @@ def boot_item_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boot_kappa_multinomial(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(resample.kappa_interval(agreement.cells(_rows(spark, d), BY), BY, REPLICATES, 42))
+    return rounded(resample.kappa_interval(_cells(spark, d), BY, RESAMPLES, 42))
 
 
 def perm_null(spark: SparkSession, d: str) -> DataFrame:
     joined = tables.predictions(spark, d).where("label is not null").join(tables.ratings(spark, d), "item_id")
     cells = joined.groupBy("system", "rater1", "rater2", "label").agg(F.count(F.lit(1)).alias("n"))
-    null = resample.permutation_null(cells, REPLICATES, SEED, block=100)
-    return rounded(null.groupBy("system").agg(F.avg("delta").alias("null_mean"), *resample.interval("delta")))
+    null = resample.permutation_null(cells, REPLICATES, SEED)
+    seen = agreement.delta_kappa(_table(spark, d)).select("system", F.col("delta").alias("observed"))
+    return rounded(resample.permutation_test(null, seen))
 
 
 def _null_rank(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -297,6 +358,188 @@ def payload_from_prompt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prompts.select("child_id", back.alias("b")).select("child_id", "b.*"))
 
 
+def prompt_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every condition's payload, read back from the prompt's text: as a number, or as a word."""
+    prompts = text.conditions(_payload(spark, d), SEED)
+    fields = prompts.select("child_id", "condition", F.explode(F.from_json(text.payload_of(F.col("prompt")), "map<string, string>")).alias("feature", "value"))
+    number = F.col("value").try_cast("double")
+    return rounded(fields.select("child_id", "condition", "feature", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("word")))
+
+
+def _rounded_features(spark: SparkSession, d: str) -> DataFrame:
+    ratios = ("visible_ratio", "gaze_shift_ratio", "occlusion_ratio", "eyes_closed_ratio", "attention_stability_score")
+    return tables.features(spark, d).select("child_id", "max_visible_streak", "observed_frames", F.round("mean_gaze_motion").alias("mean_gaze_motion"), *[F.round(c, 2).alias(c) for c in ratios])
+
+
+def nli_premise_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole premises, of features rounded first, as engines print halves differently."""
+    return _rounded_features(spark, d).select("child_id", *[c.alias(n.lower()) for n, c in text.premises().items()])
+
+
+def nli_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of hypotheses, and how many premises each of them meets."""
+    n = tables.features(spark, d).agg(F.count(F.lit(1)).alias("n_premises"))
+    return text.hypotheses(spark).crossJoin(F.broadcast(n))  # one row
+
+
+def fewshot_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts with three examples before the anchor: their places, labels and payloads as the text has them, and a digest of the text."""
+    items = tables.ratings(spark, d).select("item_id", "cluster", F.col("consensus").alias("label"))
+    payload = F.concat(F.lit('{"item": '), F.col("item_id").cast("string"), F.lit("}"))
+    prompts = items.select("item_id", F.concat(F.lit("Task.\n" + text.ANCHOR + "\nFeatures:\n"), payload).alias("prompt"))
+    made = text.fewshot_prompts(prompts, text.fewshot_examples(items, 1), items.select("item_id", payload.alias("payload")))
+    return made.select("item_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.array_join(F.regexp_extract_all("prompt", F.lit(r"Category: (\w+)"), F.lit(1)), ",").alias("labels"))
+
+
+def _legacy(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.generations(spark, d)
+    label = F.when(F.col("label") == "focused", "inside_visible").when(F.col("label") == "mix", "outside").otherwise("unsure")
+    raw = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", "focused", "inside_visible"), "mix", "outside"), "others", "unsure")
+    cut = F.when(F.col("kind") == 0, F.regexp_replace(raw, ' in the clip"\\}', "")).otherwise(raw)  # cut off inside the reasoning
+    return g.select("system", "item_id", "kind", label.alias("label"), cut.alias("raw"))
+
+
+def parse_legacy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legacy(spark, d).where("kind < 7").select("system", "item_id", text.parse_legacy(F.col("raw")).alias("p"))
+    return rounded(rows.select("system", "item_id", "p.label", "p.confidence", "p.status", "p.reasoning"))
+
+
+def legacy_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of the older prompt's text before the payload, and two fields of the payload read back."""
+    prompts = _payload(spark, d).select("child_id", text.legacy_prompt(text.payload_json(text.PAYLOAD)).alias("prompt"))
+    back = F.from_json(text.payload_of(F.col("prompt")), "observed_frames long, dominant_gaze_class string")
+    return prompts.select("child_id", F.md5(F.substring_index("prompt", "{", 1).cast("binary")).alias("digest"), back.observed_frames.alias("observed_frames"), back.dominant_gaze_class.alias("dominant"))
+
+
+def _scorer():
+    """Stands for a model: the md5 of each prompt; some prompts fail."""
+    import hashlib
+
+    def score(texts: list[str]) -> list[str]:
+        if any(t.endswith("7") for t in texts):
+            raise ValueError("a prompt that ends with 7")
+        return [hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+    return score
+
+
+def scored_prompts(spark: SparkSession, d: str) -> DataFrame:
+    prompts = tables.ratings(spark, d).select("item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("prompt"))
+    return scoring.score(prompts, _scorer, ["item_id"])
+
+
+def vote_parses(spark: SparkSession, d: str) -> DataFrame:
+    """Vote texts, and the counts that are read back from them."""
+    return vote_texts(spark, d).select("item_id", *[c.alias(f"votes_{n}") for n, c in text.vote_counts(F.col("votes")).items()])
+
+
+def duplicate_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames numbered at half their rate, of which most occur twice."""
+    return sequences.duplicate_frames(tables.frames(spark, d).withColumn("frame", F.floor(F.col("frame") / 2)))
+
+
+def hybrid_vote_raters(spark: SparkSession, d: str) -> DataFrame:
+    """Kappa of the hybrid labels with either rater, for each alpha."""
+    swept = labels.alpha_sweep(_votes(spark, d)).withColumn("system", F.col("alpha").cast("string"))
+    table = agreement.confusion(agreement.reference_cells(swept.select("alpha", "item_id", "label"), tables.ratings(spark, d), ["alpha"]), ["alpha", "reference"])
+    return rounded(agreement.metrics(table, ["alpha", "reference"], ["accuracy", "kappa"]))
+
+
+def hybrid_vote_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report by class at the alpha of the largest kappa (the first of equals)."""
+    table = agreement.confusion(agreement.cells(labels.alpha_sweep(_votes(spark, d)), ["alpha"]), ["alpha"])
+    best = agreement.best_by(agreement.metrics(table, ["alpha"], ["kappa"]).withColumn("all", F.lit(1)), "all", "kappa", "alpha").select("alpha")
+    return rounded(agreement.per_class(table.join(F.broadcast(best), "alpha"), ["alpha"]))  # one row
+
+
+def difficulty_table(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.difficulty_table(_consensus(spark, d), [s for s, _ in tables.SYSTEMS])
+
+
+def sided_by_varied_family(spark: SparkSession, d: str) -> DataFrame:
+    varied = agreement.delta_kappa(_table(spark, d)).where("varied").select("system")
+    return agreement.sided_by_family(tables.predictions(spark, d), tables.ratings(spark, d), varied)
+
+
+def _folded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows = _learnable(spark, d).select("item_id", "label").withColumn("group", F.regexp_extract("item_id", r"^u(\d+):", 1).cast("long") % 10)
+    return {"stratified": learn.folds(rows), "by_group": learn.leave_one_group_out(rows, "group")}
+
+
+def group_folds(spark: SparkSession, d: str) -> DataFrame:
+    return _folded(spark, d)["by_group"].select("item_id", "group", "fold")
+
+
+def dummy_majority(spark: SparkSession, d: str) -> DataFrame:
+    return learn.dummy(_learnable(spark, d).select("item_id", "label"))
+
+
+def dummy_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The majority of the other folds, for folds of either scheme."""
+    parts = [learn.majority_out_of_fold(rows).withColumn("scheme", F.lit(name)) for name, rows in _folded(spark, d).items()]
+    return quality.union_all(parts).select("scheme", "item_id", "fold", "predicted")
+
+
+def cv_schemes(spark: SparkSession, d: str) -> DataFrame:
+    """Kappa of the stratified dummy by group of items, for both schemes, and the change against the first one."""
+    scored = []
+    for name, rows in _folded(spark, d).items():
+        held = rows.where("fold > 0") if name == "by_group" else rows
+        cells = agreement.cells(learn.dummy(held, "stratified").join(held, "item_id").select(F.lit("dummy").alias("system"), F.col("label").alias("truth"), F.col("predicted").alias("label")), ["system"])
+        scored.append(agreement.metrics(agreement.confusion(cells, ["system"]), ["system"], ["kappa"]).withColumn("condition", F.lit(name)))
+    return rounded(reports.kappa_by_condition(quality.union_all(scored), ["stratified", "by_group"], "kappa"))
+
+
+def cv_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _folded(spark, d)["stratified"]
+    return rounded(learn.cv_summary(learn.majority_out_of_fold(rows).join(rows.select("item_id", "label"), "item_id")))
+
+
+def _files(spark: SparkSession, d: str) -> str:
+    """The study's own files, made from the tables: annotations with their columns in another order in one split, clips, splits, videos."""
+    from gazeframe.sources import sinks
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    root = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
+    frames = tables.frames(spark, d)
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("video_id") % 3 + 1).cast("int"))
+    for k, name in enumerate(("train", "val", "test")):
+        folder = F.element_at(F.array(F.lit("val"), F.lit("test"), F.lit("train")), (F.col("video_id") % 3 + 1).cast("int"))  # not the clip's split
+        columns = ANNOTATION_COLUMNS if k else [*ANNOTATION_COLUMNS[::-1], "channel_id"]
+        sinks.write_csv(frames.where(folder == name), f"{root}/annotations/{name}", columns)
+    clips = frames.select("clip", split.alias("split"), "video_id", "channel_id", "fps").distinct()
+    sinks.write_csv(clips, f"{root}/clips.csv", ["clip", "split", "video_id", "channel_id", "fps", "resolution"])
+    sinks.write_csv(clips, f"{root}/splits.csv", ["clip", "split"])
+    sinks.write_csv(clips.select("video_id").distinct(), f"{root}/videos.csv", ["video_id"])
+    return root
+
+
+def file_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Annotation files, joined to clips, of the split that the clips name: as the tables have them."""
+    found = annotations.sequences_of(spark, _files(spark, d), "test")
+    return rounded(found.select("child_id", "frame", "gaze_class", "gaze_x", "gaze_y", "bbox_width", "is_child", "split", F.col("video_id").cast("long").alias("video_id"), F.col("channel_id").cast("long").alias("channel_id"), "fps"))
+
+
+def file_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features from the files, joined to labels; how many labels have no features is counted."""
+    feats = sequences.features(annotations.sequences_of(spark, _files(spark, d)))
+    named = tables.frames(spark, d).select("child_id").distinct().withColumn("label", F.element_at(F.array(*[F.lit(c) for c in LABELS]), (md5_int(F.lit("given"), "child_id") % 3 + 1).cast("int")))
+    joined, missing = learn.with_labels(feats, named)
+    return rounded(joined.select("child_id", "label", "observed_frames", "visible_ratio", "mean_gaze_motion", "attention_stability_score").crossJoin(F.broadcast(missing)))  # one row
+
+
+def file_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as the study's files, one for each system and some ragged, and found again by their names."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    root = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
+    p = tables.predictions(spark, d).where("label is not null").select("system", F.col("item_id").cast("string").alias("child_id"), F.col("label").alias("pred_3class"), "confidence", F.lit('said "so", twice').alias("reasoning"))
+    for k, (name, _) in enumerate(tables.SYSTEMS[:4]):
+        one = p.where(F.col("system") == name).drop("system")
+        one = one.drop("confidence", "reasoning") if k == 0 else one
+        one.write.option("header", True).option("escape", '"').csv(f"{root}/{name}_3class.csv")
+    return rounded(annotations.prediction_tables(spark, root, [f"{name}_3class.csv" for name, _ in tables.SYSTEMS[:4]]))
+
+
 def nli_premises(spark: SparkSession, d: str) -> DataFrame:
     simple = tables.features(spark, d).select("child_id", "max_visible_streak", "observed_frames", *[F.round(c, 3).alias(c) for c in ("visible_ratio", "gaze_shift_ratio", "occlusion_ratio", "eyes_closed_ratio", "mean_gaze_motion", "attention_stability_score")])
     made = text.premises()
@@ -320,7 +563,7 @@ def entailment(spark: SparkSession, d: str) -> DataFrame:
 
 def fewshot_examples(spark: SparkSession, d: str) -> DataFrame:
     items = tables.ratings(spark, d).select("item_id", "cluster", F.col("consensus").alias("label"))
-    return text.fewshot_examples(items, 1, pool=2)
+    return text.fewshot_examples(items, 1)
 
 
 def parse_generations(spark: SparkSession, d: str) -> DataFrame:
@@ -512,4 +755,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dummy_stratified": dummy_stratified,
     "oof_predictions": oof_predictions,
     "permutation_importance": permutation_importance,
+    "boot_video_ci": boot_video_ci,
+    "boot_delta_kappa": boot_delta_kappa,
+    "boot_family_contrast": boot_family_contrast,
+    "boot_condition_diff": boot_condition_diff,
+    "boot_lacking_class": boot_lacking_class,
+    "prompt_payloads": prompt_payloads,
+    "nli_premise_texts": nli_premise_texts,
+    "nli_hypotheses": nli_hypotheses,
+    "fewshot_prompts": fewshot_prompts,
+    "parse_legacy": parse_legacy,
+    "legacy_prompts": legacy_prompts,
+    "scored_prompts": scored_prompts,
+    "vote_parses": vote_parses,
+    "duplicate_frames": duplicate_frames,
+    "hybrid_vote_raters": hybrid_vote_raters,
+    "hybrid_vote_report": hybrid_vote_report,
+    "difficulty_table": difficulty_table,
+    "sided_by_varied_family": sided_by_varied_family,
+    "group_folds": group_folds,
+    "dummy_majority": dummy_majority,
+    "dummy_out_of_fold": dummy_out_of_fold,
+    "cv_schemes": cv_schemes,
+    "cv_summary": cv_summary,
+    "file_frames": file_frames,
+    "file_features": file_features,
+    "file_predictions": file_predictions,
 }

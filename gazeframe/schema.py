@@ -1,5 +1,9 @@
 """Column sets, label constants and thresholds of the annotation study."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The columns of annotation files, by name.
 ANNOTATION_COLUMNS = ["clip", "frame", "person_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "gaze_class", "gaze_x", "gaze_y", "is_child"]
 ANNOTATION_TYPES = {"clip": "string", "frame": "int", "person_id": "int", "gaze_class": "string", "is_child": "int"}
 
@@ -33,7 +37,10 @@ LAGGED_CLIPS = [
     "EuYseDl2jm8_3680-3791",
 ]
 
-#: The fourteen model features, in their fixed order.
+# The thresholds and confidences of the rule, in the order of its tests.
+RULE = {"eyes_closed": (0.3, 0.72), "occlusion": (0.35, 0.74), "steady": (0.75, 0.1, 120, 0.65, 0.84), "moving": (0.2, 180, 0.80), "rest": 0.68}
+
+# The fourteen model features, in their order.
 MODEL_FEATURES = [
     "observed_frames",
     "visible_ratio",
@@ -50,3 +57,8 @@ MODEL_FEATURES = [
     "max_occlusion_streak",
     "attention_stability_score",
 ]
+
+
+def label_order(label: Column) -> Column:
+    """1, 2, 3 in the order of the labels."""
+    return F.array_position(F.array(*[F.lit(x) for x in LABELS]), label)

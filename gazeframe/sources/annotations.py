@@ -7,7 +7,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.operators.quality import union_all
+from gazeframe.operators.quality import integrity_violations, require_empty, union_all
+from gazeframe.operators.sequences import children, duplicate_frames
 from gazeframe.schema import ANNOTATION_COLUMNS, ANNOTATION_TYPES
 
 
@@ -23,7 +24,7 @@ def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], lis
 
 
 def annotations(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
-    """Frames of ``root/annotations/{train,val,test}/*.csv``: columns by name, typed; a missing column or bad value fails."""
+    """Frames of ``root/annotations/{train,val,test}/*.csv``, for one folder or all: columns by name, typed; a missing column or bad value fails."""
     paths = [f"{root}/annotations/{s}/*.csv" for s in ([split] if split else ["train", "val", "test"])]
     parts = []
     for header, files in _headers(spark, paths).items():
@@ -52,8 +53,14 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+PREDICTION = "system string, item_id string, label string, confidence double, reasoning string"
+
+
 def predictions(spark: SparkSession, folder: str, pattern: str = "*_3class.csv", truth: str = "ground_truth_3class.csv") -> DataFrame:
-    """(system, item_id, label, confidence, reasoning) of all prediction files; summaries and files without a label are skipped."""
+    """(system, item_id, label, confidence, reasoning) of all prediction files; summaries and files without a label are skipped.
+
+    ``pattern``: a glob, or several in braces (``{rule*,llm_*}_3class.csv``). No row if no file qualifies.
+    """
     listed = spark.read.option("pathGlobFilter", pattern).format("binaryFile").load(folder).select("path")
     files = [r["path"] for r in listed.collect()]  # one for each system
     parts = []
@@ -64,9 +71,23 @@ def predictions(spark: SparkSession, folder: str, pattern: str = "*_3class.csv",
         rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
         if not {"child_id", "pred_3class"} <= set(rows.columns):
             continue
-        extra = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("confidence", "double"), ("reasoning", "string"))]
-        parts.append(rows.select(F.lit(name.removesuffix(".csv").removesuffix("_3class")).alias("system"), F.col("child_id").alias("item_id"), F.col("pred_3class").alias("label"), *extra))
-    return union_all(parts)
+        parts.append(_prediction(rows, name))
+    return union_all(parts) if parts else spark.createDataFrame([], PREDICTION)
+
+
+def prediction_tables(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """The same of predictions that Spark wrote: each name is a folder of CSV parts of one system."""
+    parts = []
+    for name in sorted(names):
+        rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(f"{folder}/{name}")
+        if {"child_id", "pred_3class"} <= set(rows.columns):
+            parts.append(_prediction(rows, name))
+    return union_all(parts) if parts else spark.createDataFrame([], PREDICTION)
+
+
+def _prediction(rows: DataFrame, name: str) -> DataFrame:
+    extra = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("confidence", "double"), ("reasoning", "string"))]
+    return rows.select(F.lit(name.removesuffix(".csv").removesuffix("_3class")).alias("system"), F.col("child_id").alias("item_id"), F.col("pred_3class").alias("label"), *extra)
 
 
 def prompt_store(spark: SparkSession, path: str) -> DataFrame:
@@ -81,3 +102,24 @@ def generations(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.option("pathGlobFilter", "*__*.jsonl").schema("child_id string, raw string").json(folder)
     stem = F.split(F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""), "__")
     return rows.select(stem[0].alias("model"), stem[1].alias("condition"), F.col("child_id").alias("item_id"), "raw").where("item_id is not null")
+
+
+def sequences_of(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
+    """Frames of children with their clip's split, video, channel and fps, of one split or all; the split is the clip's, not the folder's.
+
+    Reads ``root/annotations``, ``clips.csv``, ``splits.csv`` and ``videos.csv``. A frame whose clip is not listed fails, as
+    do a clip without a split, with another split than listed, or of a video that isn't listed, and a repeated frame.
+    """
+    clips = metadata(spark, f"{root}/clips.csv", "clip")
+    require_empty(integrity_violations(clips, metadata(spark, f"{root}/splits.csv", "clip"), metadata(spark, f"{root}/videos.csv", "video_id")), "clips, splits and videos differ")
+    return enriched(annotations(spark, root), clips, split)
+
+
+def enriched(frames: DataFrame, clips: DataFrame, split: str | None = None) -> DataFrame:
+    """Children's frames with split, video_id, channel_id and fps of their clips, for one split or all."""
+    known = clips.select("clip", "split", "video_id", "channel_id", F.col("fps").cast("double").alias("fps"))
+    mine = children(frames)
+    require_empty(mine.join(known, "clip", "left_anti").select("clip").limit(1), "frames of a clip that isn't listed")
+    require_empty(duplicate_frames(mine).limit(1), "a frame of a sequence occurs twice")
+    joined = mine.join(known, "clip")
+    return joined.where(F.col("split") == split) if split else joined

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,12 @@ def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet in its own folder."""
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A small summary as one indented JSON array in one file; a summary of more than 10,000 rows is no small one."""
+    found = rows.limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError("too many rows for a summary")
+    text = json.dumps([r.asDict(recursive=True) for r in found], indent=2, default=str)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
