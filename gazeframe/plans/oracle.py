@@ -377,11 +377,6 @@ select child_id, label_set, template, arg_max(label, logit) as label, {_r('1 / s
     "score_consistency": f"with {FRAMES} select count(distinct child_id) n, cast(0 as bigint) n_wrong from frames",
     "cv_folds": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label from features), k as (select greatest(2, least(5, min(n))) k from (select count(*) n from l group by label)) select item_id, label, cast((row_number() over (partition by label order by {_u("'42'", 'item_id')}, item_id) - 1) % k as int) fold from l, k",
     "dummy_stratified": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label, {_u("'42'", 'child_id')} / 4294967296.0::double u from features), s as (select label as p, sum(count(*)) over (order by label) / sum(count(*)) over ()::double hi from l group by label) select item_id, min(p) predicted from l join s on hi > u group by 1",
-    "perm_null_rank_systems": f"""with {PREDICTIONS}, reps as (select unnest(generate_series(0, {SHUFFLES - 1})) rep), p as (select * from predictions cross join reps where label is not null),
-ranked as (select *, row_number() over (partition by system, rep order by {_u("'place'", 'item_id')}, item_id) place, row_number() over (partition by system, rep order by {_u(f"'{SEED}'", 'system', 'rep', 'item_id')}, item_id) moved from p),
-mixed as (select a.system, a.rep, a.item_id, b.label from ranked a join ranked b on a.system = b.system and a.rep = b.rep and a.moved = b.place),
-both_ as (select m.system, rep, 'rater1' as reference, label, rater1 truth, 1.0::double w from mixed m join ratings using (item_id) union all select m.system, rep, 'rater2', label, rater2, 1.0 from mixed m join ratings using (item_id)),
-{_scores('both_', 'system, rep, reference')} select system, cast(rep as int) rep, {_r("max(kappa) filter (reference = 'rater1') - max(kappa) filter (reference = 'rater2')", 'delta')} from scores group by 1, 2""",
     "boot_video_ci": f"with {BOOT_VIDEO} select system, reference, {_ci('accuracy')}, {_ci('kappa')} from scores group by 1, 2",
     "boot_delta_kappa": f"with {DELTAS} select system, {_ci('delta')} from deltas group by 1",
     "boot_family_contrast": f"""with {DELTAS}, varied as (select system, {_FAMILY} family, max(n) / sum(n) < 0.95 varied from (select system, label, count(*) n from predictions where label is not null group by 1, 2) group by 1),
