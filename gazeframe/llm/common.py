@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,6 +25,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_whole_rows(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` after ``work``, which keeps the columns; they are numbered meanwhile, as names with dots or of the same letters don't resolve."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kind = StructType([StructField(name, field.dataType) for name, field in zip(names, docs.schema.fields, strict=True)])
+    return bounded_batches(docs).toDF(*names).mapInArrow(work, kind).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import bounded_batches, written
+from gazeframe.llm.common import bounded_batches, map_whole_rows, written
 from gazeframe.llm.grams import PUNCTUATION, raw, words
 from gazeframe.llm.jaccard import _pieces as pieces
 
@@ -326,20 +326,19 @@ def _hits(items: Items, texts: pa.Array) -> list[list[dict]]:
     return found
 
 
-def _search(shared, keep_under: float | None):
-    """A task over documents. With ``keep_under``, the rows whose best score is below it; else all, with hits added."""
+def _search(shared, keep_under: float | None, at: int = 1):
+    """A task over documents, whose texts are in column ``at``. With ``keep_under``, the rows whose best score is below it; else all, with hits added."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(at)
             lo = 0
             for part in pieces(pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])):
                 found = _hits(shared.value, part.column(1))
                 mine = batch.slice(lo, len(part))
                 lo += len(part)
                 if keep_under is None:
-                    at = mine.schema.get_field_index("hits")
-                    all_hits = [[*a, *b] for a, b in zip(mine.column(at).to_pylist(), found, strict=True)]
+                    all_hits = [[*a, *b] for a, b in zip(mine.column(2).to_pylist(), found, strict=True)]
                     yield pa.RecordBatch.from_arrays([mine.column(0).cast(pa.int64()), mine.column(1), pa.array(all_hits, _HITS)], ["doc_id", "text", "hits"])
                 else:
                     yield mine.filter(pa.array([all(h["score"] < keep_under for h in hits) for hits in found], pa.bool_()))
@@ -368,6 +367,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no passage of an item."""
     for k, shared in enumerate(_shared(bounded_batches(docs), items, n, threshold), 1):
-        docs = docs.mapInArrow(_search(shared, threshold), docs.schema)
+        docs = map_whole_rows(docs, _search(shared, threshold, docs.columns.index("text")))
         docs = written(docs, "clean") if k % BLOCKS_AT_ONCE == 0 else docs
     return docs

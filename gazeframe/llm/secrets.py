@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gazeframe.llm.common import bounded_batches
+from gazeframe.llm.common import bounded_batches, map_whole_rows
 
 
 @dataclass(frozen=True)
@@ -257,5 +257,5 @@ def redact(docs: DataFrame, mask: str = "[secret]", base: tuple[Rule, ...] = BAS
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
                 yield batch
 
-    out = bounded_batches(docs).mapInArrow(work, docs.schema)
+    out = map_whole_rows(docs, work)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import bounded_batches
+from gazeframe.llm.common import bounded_batches, map_whole_rows
 
 #: Labelled rows of either kind that a model is fitted on at most, and the characters of the longest one.
 MOST_ROWS = 3000
@@ -231,4 +231,4 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFr
                 part = batch.slice(k, 500)
                 yield part.filter(pa.array(_scores(model, part.column(at).to_pylist()) < threshold))
 
-    return bounded_batches(docs).mapInArrow(work, docs.schema)
+    return map_whole_rows(docs, work)
