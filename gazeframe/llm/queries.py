@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import decontaminate, embedding_join, html_text, jaccard, packing, secrets, token_files, toxicity, url_filter, warc
+from gazeframe.llm import decontaminate, embedding_join, html_text, jaccard, packing, runs, secrets, spelling, token_files, toxicity, url_filter, warc
 from gazeframe.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -103,6 +104,46 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of documents with h = crc32 of the doc_id divisible by 10, the words from the a-th on repeat with a period p that h gives."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.btrim("text", F.lit(BLANKS)).alias("trimmed"), h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.split("trimmed", r"[\x20\x09-\x0D]+")
+    n = F.size(words)
+    a = (F.col("g") % n).cast("int")
+    p = F.floor((n - a) / (3 + F.col("g") % 8)).cast("int") + 1
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    text = F.array_join(F.concat(F.slice(words, 1, a), repeated), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("trimmed") != ""), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    return (
+        found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+        .select("doc_id", "n_runs", F.col("longest.start").alias("start"), (-F.col("longest.less")).alias("length"), F.col("longest.period").alias("period"), "runs_sha256", "collapsed_sha256")
+        .withColumn("exponent_milli", F.floor(F.lit(1000) * F.col("length") / F.col("period")))
+    )
+
+
+def dropped_letter(seed: int, word: str, doc: object) -> str:
+    """The word without one code point, if the crc32 of doc_id, colon and word is divisible by 31."""
+    h = zlib.crc32(word.encode(), seed)
+    if h % 31:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents"), least_length=7, least_count=2, alter=dropped_letter), ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -114,5 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secrets": op9_secrets,
     "op10_html_text": op10_html_text,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE: dict[str, str] = {"op1_url_filter": _op1_sql()}
