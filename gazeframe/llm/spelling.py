@@ -177,14 +177,15 @@ def _keys(words: DataFrame, order: dict[int, tuple[int, int]], pivots: bool) ->
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n), both ways, for all pairs of ``words`` (word, n) at an edit distance of one; words are different and have 4 code points or more."""
+    """(word, near, near_n), both ways, for all pairs of ``words`` (word, n) at an edit distance of one; words are different and have 4 code points or more."""
     counts = _gram_counts(words)
     order = {b: (r, n) for r, (b, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0])))}
     a = _keys(words, order, True).toDF("key", "last_a", "word", "n")
     b = _keys(words, order, False).toDF("key", "last_b", "near", "near_n")
-    found = a.join(b, "key").where("last_a <= last_b and levenshtein(word, near, 1) = 1").select("word", "n", "near", "near_n")
-    both = found.unionByName(found.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
-    return both
+    found = a.join(b, "key").where("last_a <= last_b and levenshtein(word, near, 1) = 1")
+    one = F.struct("word", "near", "near_n")
+    other = F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return found.select(F.explode(F.array(one, other)).alias("pair")).select("pair.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
