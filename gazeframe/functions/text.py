@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazeframe.functions.hashing import md5_int, md5_rank, md5_uniform
@@ -199,43 +199,79 @@ def _repaired(c: Column, quotes: bool) -> Column:
     return F.when((c != "") & ~c.endswith("}"), F.concat(c, tail)).otherwise(c)
 
 
+#: Stands behind a candidate in an array of two, so that text behind a JSON value makes the array invalid or longer.
+_END = "end-5f0c7c1e9a4b"
+#: Texts that Python's float() reads as a number.
+_NUMBER = r"(?i)[+-]?(inf|infinity|nan|(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?)"
+
+
+def strict_json(c: Column) -> Column:
+    """An array whose first element is the JSON value that ``c`` is, as a variant; null if ``c`` isn't exactly one value.
+
+    The grammar is the standard's: no raw control characters in strings, no NaN, no other quotes, nothing behind the value. Of equal keys the last one counts.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
+    return F.when((F.try_variant_get(both, "$[1]", "string") == _END) & ~c.contains(_END), both)
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _as_text(v: Column) -> Column:
+    """A JSON value as Python's str() writes it, but for numbers and nested values, which are written as JSON."""
+    kind, plain = _kind(v), v.try_cast("string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+
+
+def _as_number(v: Column) -> Column:
+    """A JSON value as Python's float() reads it; null where float() fails."""
+    kind = _kind(v)
+    spelled = stripped(v.try_cast("string"))
+    read = F.when(spelled.rlike(f"^{_NUMBER}\\z"), F.when(F.lower(spelled).contains("nan"), F.lit(1.0)).otherwise(F.regexp_replace(F.replace(spelled, F.lit("_")), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").try_cast("double")))
+    return F.when(kind == "STRING", read).when(kind != "VOID", v.try_cast("double"))
+
+
 def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "mix", rescue: bool = True, repair_quotes: bool = False, fold: bool = True) -> Column:
     """struct(label, confidence, reasoning, status, declared) of a generated text.
 
     Candidates are the whole text, fenced blocks, the widest braces, and the text from the first brace; missing braces at
-    the end are added; the first that is valid JSON counts. status: ``ok``, ``no_json`` (no label; nothing could be
-    read), ``invalid_label`` (read, but the declared label isn't allowed), ``invalid_confidence`` (read, not a number).
+    the end are added; the first that is strictly valid JSON counts. status: ``no_json`` (no label: no candidate is valid, or
+    the first one is no object), ``invalid_confidence`` (no label: null, a list, an object, or a text that is no number),
+    ``invalid_label`` (the text that the generation itself shows as its label isn't allowed, or it shows none), ``ok``. A missing
+    confidence is 0, true is 1; NaN as a bare word is not JSON.
     """
     whole = stripped(F.coalesce(raw, F.lit("")))
     known = F.array(*[F.lit(a) for a in allowed])
+    shown = stripped(F.regexp_extract(whole, r'"label"\s*:\s*"([^"]*)"', 1))
+    shown = F.lower(shown) if fold else shown
 
     def chosen(text: Column) -> Column:
-        """The first candidate that is valid JSON."""
+        """The first candidate that is valid JSON, as a variant in an array."""
         fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
         inline = F.regexp_extract_all(text, F.lit(r"(?s)(\{.*\})"), F.lit(1))
         at = F.instr(text, "{")
         tail = F.when(at > 0, F.array(F.substring(text, at, F.length(text)))).otherwise(F.array().cast("array<string>"))
         candidates = F.transform(F.concat(F.array(text), fenced, inline, tail), lambda c: _repaired(stripped(c), repair_quotes))
-        single = lambda c: F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False)) & (c != "")
-        return F.try_element_at(F.filter(candidates, single), F.lit(1))
+        return F.try_element_at(F.filter(F.transform(candidates, strict_json), lambda v: v.isNotNull()), F.lit(1))
 
     def parsed(first: Column) -> Column:
-        is_object = first.startswith("{") & first.endswith("}")
-        read = F.from_json(F.when(is_object, first), "label string, confidence string, reasoning string", {"allowSingleQuotes": "false"})
-        declared = stripped(F.coalesce(read.label, F.lit(default)))
-        number = F.get_json_object(F.when(is_object, first), "$.confidence").try_cast("double")
-        wrong = first.contains('"confidence"') & number.isNull()
-        return F.struct((first.isNull() | ~is_object).alias("none"), wrong.alias("wrong"), (F.lower(declared) if fold else declared).alias("declared"), number.alias("number"), stripped(F.coalesce(read.reasoning, F.lit(""))).alias("reasoning"))
+        field = lambda name: F.try_variant_get(first, f"$[0].{name}", "variant")
+        none = ~F.coalesce(_kind(F.try_variant_get(first, "$[0]", "variant")).startswith("OBJECT"), F.lit(False))
+        declared = stripped(F.coalesce(_as_text(field("label")), F.lit(default)))
+        number = F.when(field("confidence").isNull(), F.lit(0.0)).otherwise(_as_number(field("confidence")))
+        reasoning = stripped(F.coalesce(_as_text(field("reasoning")), F.lit("")))
+        return F.struct(none.alias("none"), (F.lower(declared) if fold else declared).alias("declared"), number.alias("number"), reasoning.alias("reasoning"))
 
     def told(p: Column) -> Column:
         matched = F.try_element_at(F.filter(known, lambda a: F.contains(a, p.declared) | F.contains(p.declared, a)), F.lit(1)) if rescue else F.lit(None).cast("string")
-        allowed_ = F.array_contains(known, p.declared)
-        label = F.when(allowed_, p.declared).otherwise(F.coalesce(matched, F.lit(default)))
-        status = F.when(p.none, "no_json").when(p.wrong, "invalid_confidence").when(~allowed_, "invalid_label").otherwise("ok")
-        good = ~p.none & ~F.coalesce(p.wrong, F.lit(False))
+        label = F.when(F.array_contains(known, p.declared), p.declared).otherwise(F.coalesce(matched, F.lit(default)))
+        status = F.when(p.none, "no_json").when(p.number.isNull(), "invalid_confidence").when(~F.array_contains(known, shown), "invalid_label").otherwise("ok")
+        good = ~p.none & p.number.isNotNull()
         return F.struct(
             F.when(good, label).alias("label"),
-            F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(p.number, F.lit(0.0))))).alias("confidence"),
+            F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p.number))).alias("confidence"),
             F.when(good, p.reasoning).alias("reasoning"),
             status.alias("status"),
             F.when(good, p.declared).alias("declared"),

@@ -19,7 +19,7 @@ SYSTEMS = [
     ("nli_bart", 55),
     ("deberta", 60),
 ]
-GENERATION_KINDS = 10
+GENERATION_KINDS = 16
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(system, item_id, kind, raw): the LLM systems' labels as generated text of ten kinds."""
+    """(system, item_id, kind, raw): the LLM systems' labels as generated text of GENERATION_KINDS kinds."""
     p = predictions(spark, sf_dir).where("system like 'llm%'")
     kind = (md5_int(F.lit("kind"), "system", "item_id") % GENERATION_KINDS).cast("int")
     confidence = F.format_string("%.2f", "confidence")
@@ -104,6 +104,12 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind") == 6, F.concat(obj, F.lit("\n")))
         .when(F.col("kind") == 7, F.concat(F.lit("\n\t "), obj, F.lit(" \r\n\t")))
         .when(F.col("kind") == 8, F.concat(F.lit('\n{"label": "\\t'), F.initcap("label"), F.lit(' \\n", "confidence": '), confidence, F.lit("}\n")))
+        .when(F.col("kind") == 10, F.concat(F.lit('{"label": "'), "label", F.lit('", "confidence": '), confidence, F.lit(', "reasoning": "first line\nsecond line"}')))
+        .when(F.col("kind") == 11, F.concat(F.lit('{"label": "banana", "confidence": 2, "label": "'), "label", F.lit('", "confidence": '), confidence, F.lit("}")))
+        .when(F.col("kind") == 12, F.concat(F.lit('{"label": "'), "label", F.lit('", "confidence": true}')))
+        .when(F.col("kind") == 13, F.concat(F.lit("["), obj, F.lit("]")))
+        .when(F.col("kind") == 14, F.concat(F.lit('{"confidence": " '), confidence, F.lit('", "label": "'), "label", F.lit('"}')))
+        .when(F.col("kind") == 15, F.concat(F.lit('{"label": "'), "label", F.lit('", "confidence": NaN}')))
         .otherwise(F.concat(F.lit('The answer:\n```\n{"label": "rather \\"'), "label", F.lit('\\" I think", "confidence": '), confidence, F.lit("\n```\n")))
     )
     return p.withColumn("kind", kind).select("system", "item_id", "label", "confidence", "kind", raw.alias("raw"))

@@ -196,9 +196,18 @@ def _poisson(u: str) -> str:
 
 
 GENERATIONS = f"""{PREDICTIONS},
-generated as (select *, {_u("'kind'", "system", "item_id")} % 10 kind from predictions where system like 'llm%'),
-parsed as (select system, item_id, case when kind = 4 then 'mix' when kind <> 5 then label end as label, case when kind <> 5 then confidence end as confidence,
-  case kind when 4 then 'invalid_label' when 9 then 'invalid_label' when 5 then 'no_json' else 'ok' end as status, kind, label given from generated)"""
+generated as (select *, {_u("'kind'", "system", "item_id")} % 16 kind from predictions where system like 'llm%'),
+parsed as (select system, item_id, case when kind = 4 then 'mix' when kind not in (5, 10, 13, 15) then label end as label, case when kind = 12 then 1.0::double when kind not in (5, 10, 13, 15) then confidence end as confidence,
+  case when kind in (4, 8, 9, 11) then 'invalid_label' when kind in (5, 10, 13, 15) then 'no_json' else 'ok' end as status, kind, label given, confidence stated from generated)"""
+_OBJ = """'{"label": "' || given || '", "confidence": ' || printf('%.2f', stated) || ', "reasoning": "seen in the clip"}'"""
+_RAW = f"""case kind when 0 then {_OBJ} when 1 then '```json' || chr(10) || {_OBJ} || chr(10) || '```' when 2 then 'Sure, here it is: ' || {_OBJ} || ' Hope this helps.'
+  when 3 then '  ' || substr({_OBJ}, 1, length({_OBJ}) - 1) when 4 then '{{"label": "banana", "confidence": ' || printf('%.2f', stated) || '}}' when 5 then 'I cannot tell, maybe ' || given when 6 then {_OBJ} || chr(10)
+  when 7 then chr(10) || chr(9) || ' ' || {_OBJ} || ' ' || chr(13) || chr(10) || chr(9)
+  when 8 then chr(10) || '{{"label": "\\t' || upper(substr(given, 1, 1)) || substr(given, 2) || ' \\n", "confidence": ' || printf('%.2f', stated) || '}}' || chr(10)
+  when 10 then '{{"label": "' || given || '", "confidence": ' || printf('%.2f', stated) || ', "reasoning": "first line' || chr(10) || 'second line"}}'
+  when 11 then '{{"label": "banana", "confidence": 2, "label": "' || given || '", "confidence": ' || printf('%.2f', stated) || '}}' when 12 then '{{"label": "' || given || '", "confidence": true}}' when 13 then '[' || {_OBJ} || ']'
+  when 14 then '{{"confidence": " ' || printf('%.2f', stated) || '", "label": "' || given || '"}}' when 15 then '{{"label": "' || given || '", "confidence": NaN}}'
+  else 'The answer:' || chr(10) || '```' || chr(10) || '{{"label": "rather \\"' || given || '\\" I think", "confidence": ' || printf('%.2f', stated) || chr(10) || '```' || chr(10) end"""
 _OLD = "case given when 'focused' then 'inside_visible' when 'mix' then 'outside' else 'unsure' end"
 
 VOTES = f"""{PREDICTIONS},
@@ -362,6 +371,10 @@ g as (select child_id, label_set, template, label, ({_u('child_id', 'label_set',
 select child_id, label_set, template, arg_max(label, logit) as label, {_r('1 / sum(exp(logit - top))', 'confidence')} from (select *, max(logit) over (partition by child_id, label_set, template) top from g) group by 1, 2, 3""",
     "fewshot_examples": f"with {FEWSHOT} select item_id, place, example_id, label from chosen",
     "parse_generations": f"with {GENERATIONS} select system, item_id, label, confidence, status from parsed",
+    "raw_repro": f"""with {GENERATIONS}, twice as (select system, raw a, case item_id % 3 when 0 then raw || ' END' when 1 then ' ' || raw else reverse(raw) end b from (select *, {_RAW} as raw from parsed)),
+bare as (select system, trim(a, chr(9) || chr(10) || chr(13) || ' ') a, trim(b, chr(9) || chr(10) || chr(13) || ' ') b from twice)
+select system, count(*) n, count(*) filter (a = b) identical, count(*) filter (starts_with(b, a)) prefixes, min(length(b) - length(a)) filter (starts_with(b, a) and a <> b) extra_min,
+  median(length(b) - length(a)) filter (starts_with(b, a) and a <> b) extra_median, max(length(b) - length(a)) filter (starts_with(b, a) and a <> b) extra_max from bare group by 1""",
     "parse_status": f"with {GENERATIONS} select system, status, count(*) n from parsed group by 1, 2",
     "vote_texts": f"with {VOTES} select item_id, (select string_agg(l || ' ' || v, ', ' order by v desc, o) from (values ('focused', v0, 0), ('mix', v1, 1), ('others', v2, 2)) t(l, v, o) where v > 0) votes from votes",
     "pending_items": f"with {PREDICTIONS} select system, item_id from predictions where not (label is not null and item_id % 4 <> 0)",
@@ -400,8 +413,8 @@ printf('In this clip, the child''s gaze is visible in %.0f%% of the frames, shif
     "nli_hypotheses": f"with {FEATURES} select label_set, template, label, hypothesis, (select count(*) from features) n_premises from (values {', '.join('(' + ', '.join(_literal(x) for x in (s_, t_, c_, text.TEMPLATES[t_].replace('{}', text.LABEL_SETS[s_][c_]))) + ')' for s_, t_ in text.COMBINATIONS for c_ in LABELS)}) h(label_set, template, label, hypothesis)",
     "fewshot_prompts": f"""with {FEWSHOT}, told as (select item_id, string_agg('Example ' || place || ':\nFeatures:\n' || '{{"item": ' || example_id || '}}' || '\nCategory: ' || label || '\n\n', '' order by place) shown, string_agg(label, ',' order by place) labels from chosen group by 1)
 select item_id, md5('Task.\n' || {_literal(text.FEWSHOT_INTRO)} || shown || {_literal(text.FEWSHOT_OUTRO)} || {_literal(text.ANCHOR)} || '\nFeatures:\n' || '{{"item": ' || item_id || '}}') digest, labels from told""",
-    "parse_legacy": f"""with {GENERATIONS} select system, item_id, case when kind = 4 then 'unsure' when kind not in (3, 5) then {_OLD} end as label, case when kind <> 3 then confidence end as confidence,
-  case when kind = 3 then 'no_json' else status end as status, case kind when 4 then '' when 0 then 'seen' when 3 then null when 5 then null else 'seen in the clip' end reasoning from parsed where kind < 7""",
+    "parse_legacy": f"""with {GENERATIONS} select system, item_id, case when kind in (4, 8, 9) then 'unsure' when kind not in (3, 5, 10, 13, 15) then {_OLD} end as label, case when kind <> 3 then confidence end as confidence,
+  case when kind = 3 then 'no_json' else status end as status, case when kind = 0 then 'seen' when kind in (1, 2, 6, 7) then 'seen in the clip' when kind in (4, 8, 9, 11, 12, 14) then '' end reasoning from parsed""",
     "legacy_prompts": f"with {FEATURES} select child_id, md5({_literal(text.LEGACY_INTRO)}) digest, observed_frames, dominant_gaze_class dominant from features",
     "scored_prompts": f"with {RATINGS} select item_id, case when item_id % 10 <> 7 then md5('Item ' || item_id) end as raw, case when item_id % 10 = 7 then 'ValueError' end as error from ratings",
     "vote_parses": f"with {VOTES} select item_id, cast(v0 as int) votes_focused, cast(v1 as int) votes_mix, cast(v2 as int) votes_others from votes",

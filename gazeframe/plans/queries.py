@@ -400,7 +400,7 @@ def _legacy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_legacy(spark: SparkSession, d: str) -> DataFrame:
-    rows = _legacy(spark, d).where("kind < 7").select("system", "item_id", text.parse_legacy(F.col("raw")).alias("p"))
+    rows = _legacy(spark, d).select("system", "item_id", text.parse_legacy(F.col("raw")).alias("p"))
     return rounded(rows.select("system", "item_id", "p.label", "p.confidence", "p.status", "p.reasoning"))
 
 

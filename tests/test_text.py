@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +23,21 @@ CASES = [
     ('{"label": "mix", "confidence": null}', (None, None, "invalid_confidence")),
     ('{"label": "mix", "label": "others", "confidence": 0.1}', ("others", 0.1, "ok")),
     ('["mix"]', (None, None, "no_json")),
+    ('{"label": "mix", "confidence": 0.9, "reasoning": "first line\nsecond line"}', (None, None, "no_json")),
+    ('{"label": "mix", "confidence": 0.9, "reasoning": "a\ttab"}', (None, None, "no_json")),
+    ('{"label": "mix", "confidence": 0.2, "confidence": 0.3}', ("mix", 0.3, "ok")),
+    ('{"label": "banana", "label": "others", "confidence": 0.1}', ("others", 0.1, "invalid_label")),
+    ('{"label": "mix", "confidence": true}', ("mix", 1.0, "ok")),
+    ('{"label": "mix", "confidence": " 7e-1 "}', ("mix", 0.7, "ok")),
+    ('{"label": "mix", "confidence": "high"}', (None, None, "invalid_confidence")),
+    ('{"label": "mix", "confidence": "0.5d"}', (None, None, "invalid_confidence")),
+    ('{"label": "mix", "confidence": [1]}', (None, None, "invalid_confidence")),
+    ('{"label": "mix", "confidence": NaN}', (None, None, "no_json")),
+    ('{"label": ["focused"], "confidence": 0.5}', ("focused", 0.5, "invalid_label")),
+    ('{"confidence": 0.5}', ("mix", 0.5, "invalid_label")),
+    ('{"label": "mix"}', ("mix", 0.0, "ok")),
+    ('{"a": 1}], [{"label": "mix"}', (None, None, "no_json")),
+    ("{'label': 'mix'}", (None, None, "no_json")),
     ("", (None, None, "no_json")),
     (None, (None, None, "no_json")),
 ]
@@ -33,6 +50,62 @@ def test_parser(spark):
         assert (r["label"], r["confidence"], r["status"]) == want, raw
 
 
+def twin(raw, allowed, default, rescue, quotes, fold):
+    """The parser in Python, for comparison: (label, confidence, status)."""
+    t = raw.strip()
+    candidates = [t, *[x.strip() for x in re.findall(r"```(?:json)?\s*([\s\S]*?)\s*```", t) if x.strip()], *[x.strip() for x in re.findall(r"(\{[\s\S]*\})", t)]]
+    for x in [*candidates, t[t.find("{") :].strip()] if "{" in t else candidates:
+        open_ = x.count("{") - x.count("}")
+        if x and not x.endswith("}") and open_ > 0:
+            x += ('"' if quotes and '"reasoning"' in x else "") + "}" * open_
+        try:
+            read = json.loads(x, parse_constant=int)  # int("NaN") fails
+        except (ValueError, RecursionError):
+            continue
+        if not isinstance(read, dict):
+            break
+        try:
+            number = float(read.get("confidence", 0.0))
+        except (TypeError, ValueError):
+            return None, None, "invalid_confidence"
+        seen = (lambda c: c.strip().lower()) if fold else str.strip
+        label = seen(str(read.get("label", default)))
+        if label not in allowed:
+            label = next((a for a in allowed if rescue and (a in label or label in a)), default)
+        shown = re.search(r'"label"\s*:\s*"([^"]*)"', t)
+        return label, max(0.0, min(1.0, number)), "ok" if shown and seen(shown.group(1)) in allowed else "invalid_label"
+    return None, None, "no_json"
+
+
+SHAPES = [
+    *[c for c, _ in CASES if c],
+    'Sure: {"label": "rather focused", "confidence": 1e-1, "reasoning": null} ok',
+    '```{"label":"mix"}``` and ```json {"label":"others","confidence":0.5}```',
+    '{"label":"mix","confidence":"1_0"} ',
+    '{"label":"inside_visible","confidence":"nan","reasoning":"a {b} c"}',
+]
+BITS = ['"', "{", "}", "\n", "\t", ",", ":", "[", "]", "\\", "true", "null", "0", ".", "-", "e", "NaN", " ", "label", '"label": "mix"', "```", "é", "\x1c", "_", "\\n", "\\u00e9", "inf"]
+
+
+def test_parsers_against_a_twin_on_mutated_texts(spark):
+    rng = random.Random(7)
+    texts = list(SHAPES)
+    while len(texts) < 20_000:
+        x = rng.choice(SHAPES)
+        for _ in range(rng.randrange(1, 5)):
+            i, r = rng.randrange(len(x) + 1), rng.random()
+            x = x[:i] + rng.choice(BITS) + x[i:] if r < 0.4 else x[:i] + x[i + rng.randrange(1, 4) :] if r < 0.7 else x[:i] if r < 0.85 else x[:i] + rng.choice(SHAPES) + x[i:]
+        texts.append(x)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").repartition(4)
+    wanted = ("label", "confidence", "status")
+    got = df.select("i", text.parse_generation(F.col("raw")).alias("p"), text.parse_legacy(F.col("raw")).alias("q")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["i"]]
+        assert tuple(r["p"][w] for w in wanted) == twin(t, text.LABELS, "mix", True, False, True), t
+        assert tuple(r["q"][w] for w in wanted) == twin(t, text.LEGACY_LABELS, "unsure", False, True, False), t
+
+
 def test_legacy_parser(spark):
     cases = [('{"label": "outside", "confidence": 0.4, "reasoning": "cut o', ("outside", 0.4)), ('{"label": "Outside", "confidence": 1}', ("unsure", 1.0)), ("nothing", (None, None))]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string")
