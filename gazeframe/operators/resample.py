@@ -6,12 +6,12 @@ Draws come from md5 of (seed, replicate, draw), so they are the same on any part
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.functions.hashing import md5_int, md5_rank
-from gazeframe.operators.agreement import confusion, metrics
+from gazeframe.operators import draws
+from gazeframe.operators.agreement import METRICS, confusion, label_total, metrics, truth_total
 from gazeframe.schema import LABELS
 
 
@@ -51,79 +51,72 @@ def paired_difference(replicates: DataFrame, base: str, value: str) -> DataFrame
     return out.withColumn("excludes_zero", (F.col("diff_lo") > 0) | (F.col("diff_hi") < 0))
 
 
-def item_weights(items: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``items`` for each replicate with a Poisson(1) weight ``w`` from md5; weights of 0 are left out."""
-    u = md5_int(seed, "rep", "item_id") / F.lit(4294967296.0)
-    steps, total, p = [], 0.0, float(np.exp(-1.0))
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    w = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
-    return items.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", w.cast("double")).where("w > 0")
+def item_replicates(cell_counts: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """(by..., rep, truth, label, n): resamples of items with replacement, drawn on the nine cells (truth, label) of each group.
 
-
-def multinomial_replicates(cell_counts: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """(by..., rep, truth, label, n): iid resamples of items, drawn on the at most nine cells of each group."""
-    names = [f"{b} string" for b in by]
-
-    def draw(keys: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["truth", "label"])
-        start = np.frombuffer("|".join(map(str, keys)).encode().ljust(4, b"\0"), np.uint8)
-        rng = np.random.default_rng([seed, *start.tolist()])
-        total = int(round(table["n"].sum()))
-        got = rng.multinomial(total, (table["n"] / table["n"].sum()).to_numpy(), size=replicates)
-        out = pd.DataFrame({b: k for b, k in zip(by, keys, strict=True)}, index=range(got.size))
-        out["rep"] = np.repeat(np.arange(replicates), len(table))
-        out["truth"], out["label"] = np.tile(table["truth"], replicates), np.tile(table["label"], replicates)
-        out["n"] = got.ravel().astype(float)
-        return out
-
-    return cell_counts.groupBy(*by).applyInPandas(draw, f"{', '.join(names)}, rep long, truth string, label string, n double")
+    ``cell_counts``: (by..., truth, label, n). Metrics depend on the cells only, whose counts in a resample of n items are
+    multinomial, so the cost is that of replicates, not of items. Cells that a replicate doesn't draw are there with n = 0.
+    """
+    kinds = [(t, y) for t in LABELS for y in LABELS]
+    counts = [F.coalesce(F.sum(F.when((F.col("truth") == t) & (F.col("label") == y), F.col("n"))), F.lit(0)).cast("double") for t, y in kinds]
+    groups = cell_counts.groupBy(*by).agg(F.array(*counts).alias("cells"))
+    reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*by, "rep")
+    reps = reps.withColumn("u", draws.uniforms(lambda i: md5_int(seed, *by, "rep", i), len(kinds)))
+    drawn = draws.drawn(reps, [*by, "rep"], ["u", "cells"], lambda u, cells: draws.with_replacement(u, cells, cells.sum(1)))
+    cells = F.array(*[F.struct(F.lit(t).alias("truth"), F.lit(y).alias("label"), F.get("drawn", F.lit(i)).alias("n")) for i, (t, y) in enumerate(kinds)])
+    return drawn.select(*by, "rep", F.inline(cells))
+
+
+def item_interval(cell_counts: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42, names: tuple[str, ...] = ("accuracy", "kappa", "macro_f1")) -> DataFrame:
+    """(by..., and for each metric: mean over replicates, percentile interval, number of undefined replicates)."""
+    keys = [*by, "rep"]
+    values = metrics(confusion(item_replicates(cell_counts, by, replicates, seed), keys), keys, list(names))
+    return values.groupBy(*by).agg(*[x for m in names for x in (F.avg(m).alias(f"{m}_mean"), *interval(m))])
 
 
 def kappa_interval(cell_counts: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(by..., kappa_lo, kappa_hi, kappa_undefined); replicates in which either side has a single class don't count."""
-    drawn = multinomial_replicates(cell_counts, by, replicates, seed)
+    """(by..., kappa_lo, kappa_hi, kappa_undefined, skipped); replicates in which either side has a single class are skipped."""
     keys = [*by, "rep"]
-    return metrics(confusion(drawn, keys), keys, ["kappa"]).groupBy(*by).agg(*interval("kappa"))
+    table = confusion(item_replicates(cell_counts, by, replicates, seed), keys)
+    several = lambda total: sum((F.when(total(c) > 0, 1).otherwise(0) for c in LABELS), F.lit(0)) > 1
+    kept = several(truth_total) & several(label_total)
+    values = table.select(*by, kept.alias("kept"), F.when(kept, METRICS["kappa"]()).alias("kappa"))
+    return values.groupBy(*by).agg(*interval("kappa"), F.count_if(~F.col("kept")).alias("skipped"))
 
 
-def permutation_null(item_cells: DataFrame, replicates: int, seed: int, block: int = 500) -> DataFrame:
-    """Null of kappa(rater1) - kappa(rater2) when a system's labels are shuffled over items, drawn on counts.
+def permutation_null(item_cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(system, rep, delta): null of kappa(rater1) - kappa(rater2) when a system's labels are shuffled over items, drawn on counts.
 
-    ``item_cells``: (system, rater1, rater2, label, n). Shuffling keeps the labels' and the cells' totals, so the counts
-    are multivariate hypergeometric; blocks of replicates are separate jobs. Returns (system, rep, delta).
+    ``item_cells``: (system, rater1, rater2, label, n). Shuffling keeps how many items each pair of ratings and each label
+    has, so the pairs' counts among the items of a label are multivariate hypergeometric: the first label draws from all
+    items, the second one from those left, the third one takes the rest. Chance agreement doesn't change.
     """
-    blocks = -(-replicates // block)
-    table = item_cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def kappa_of(joint: np.ndarray) -> np.ndarray:
-        total = joint.sum((1, 2))
-        chance = (joint.sum(1) * joint.sum(2)).sum(1) / total**2
-        agree = np.trace(joint, axis1=1, axis2=2) / total
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(chance < 1, (agree - chance) / (1 - chance), np.nan)
-
-    def draw(keys: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        system, k = keys
-        at = {c: i for i, c in enumerate(LABELS)}
-        full = np.zeros((3, 3, 3), np.int64)
-        for a, b, c, m in zip(t["rater1"], t["rater2"], t["label"], t["n"], strict=True):
-            full[at[a], at[b], at[c]] += int(m)
-        rng = np.random.default_rng([seed, int(k), *system.encode()])
-        size = min(block, replicates - block * int(k))
-        left = np.tile(full.sum(2).ravel(), (size, 1))
-        joint = np.zeros((size, 9, 3), np.int64)
-        for c in range(3):
-            want = int(full[:, :, c].sum())
-            joint[:, :, c] = left if c == 2 else np.stack([rng.multivariate_hypergeometric(row, want, method="marginals") for row in left])
-            left = left - joint[:, :, c]
-        joint = joint.reshape(size, 3, 3, 3).astype(float)
-        delta = kappa_of(joint.sum(2)) - kappa_of(joint.sum(1))
-        return pd.DataFrame({"system": system, "rep": np.arange(size) + block * int(k), "delta": delta})
-
-    return table.groupBy("system", "block").applyInPandas(draw, "system string, rep long, delta double")
+    pairs = [(a, b) for a in LABELS for b in LABELS]
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("double")
+    tables = item_cells.groupBy("system").agg(
+        F.array(*[count((F.col("rater1") == a) & (F.col("rater2") == b)) for a, b in pairs]).alias("cells"),
+        F.array(*[count(F.col("label") == c) for c in LABELS]).alias("labels"),
+    )
+    reps = tables.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("system", "rep")
+    reps = reps.withColumn("u", draws.uniforms(lambda i: md5_int(seed, "system", "rep", i // len(pairs), i % len(pairs)), 2 * len(pairs)))
+    first = np.array([[p[side] == c for p in pairs] for side in (0, 1) for c in LABELS], float)  # which pairs have a rating
+
+    def deltas(u: np.ndarray, cells: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        one = draws.without_replacement(u[:, : len(pairs)], cells, labels[:, 0])
+        two = draws.without_replacement(u[:, len(pairs) :], cells - one, labels[:, 1])
+        taken, total = [one, two, cells - one - two], cells.sum(1)
+
+        def kappa(side: int) -> np.ndarray:
+            rated = first[3 * side : 3 * side + 3]
+            hits = sum(t @ r for t, r in zip(taken, rated, strict=True))
+            chance = sum((cells @ r) * labels[:, c] for c, r in enumerate(rated)) / (total * total)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(chance < 1, (hits / total - chance) / (1.0 - chance), np.nan)
+
+        return (kappa(0) - kappa(1))[:, None]
+
+    delta = F.get("drawn", F.lit(0))
+    return draws.drawn(reps, ["system", "rep"], ["u", "cells", "labels"], deltas).select("system", "rep", F.when(~F.isnan(delta), delta).alias("delta"))
 
 
 def permutation_test(null: DataFrame, observed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gazeframe.operators.labels import weight_sets
 from gazeframe.plans.driver_tables import SYSTEMS
-from gazeframe.plans.queries import ITEM_REPLICATES, REPLICATES, SEED, SHUFFLES
+from gazeframe.plans.queries import PERMUTATIONS, REPLICATES, RESAMPLES, SEED, SHUFFLES
 from gazeframe.functions import text
 from gazeframe.schema import LABELS
 
@@ -210,6 +210,82 @@ _RAW = f"""case kind when 0 then {_OBJ} when 1 then '```json' || chr(10) || {_OB
   else 'The answer:' || chr(10) || '```' || chr(10) || '{{"label": "rather \\"' || given || '\\" I think", "confidence": ' || printf('%.2f', stated) || chr(10) || '```' || chr(10) end"""
 _OLD = "case given when 'focused' then 'inside_visible' when 'mix' then 'outside' else 'unsure' end"
 
+
+
+def _inverse(source: str, name: str, u: str, first: str, last: str, ratio: str) -> str:
+    """CTE ``name``: ``source`` and the count ``name`` drawn by the inverse of a distribution whose neighbours have this ratio at k = x.k."""
+    step = f"'k': y.k, 'w': x.w * ({ratio}), 's': x.s + x.w * ({ratio})"
+    return f"""{name}_b as (select *, {u} u_, {first} first_, {last} last_ from {source}),
+{name}_k as (select *, list_transform(range(cast(first_ as bigint), cast(last_ as bigint) + 1), lambda k: {{'k': k::double, 'w': 1.0::double, 's': 1.0::double, 'c': 0::bigint}}) ks_ from {name}_b),
+{name}_t as (select *, list_reduce(ks_, lambda x, y: {{{step}, 'c': 0::bigint}}).s total_ from {name}_k),
+{name} as (select * exclude (u_, first_, last_, ks_, total_), first_ + list_reduce(ks_, lambda x, y: {{{step}, 'c': x.c + case when x.s < u_ * total_ then 1 else 0 end}}).c as {name} from {name}_t)"""
+
+
+def _hypergeometric(source: str, name: str, u: str, population: str, special: str, size: str) -> str:
+    share = f"({special} / greatest({population}, 1.0))"
+    spread = f"(8.0 * sqrt({size} * {share} * (1.0 - {share}) * ({population} - {size}) / greatest({population} - 1, 1.0)) + 8.0)"
+    first = f"greatest(0.0, {size} - ({population} - {special}), floor({size} * {share} - {spread}))"
+    last = f"least({special}, {size}, ceil({size} * {share} + {spread}))"
+    return _inverse(source, name, u, first, last, f"({special} - x.k) * ({size} - x.k) / ((x.k + 1) * ({population} - {special} - {size} + x.k + 1))")
+
+
+def _binomial(source: str, name: str, u: str, size: str, share: str) -> str:
+    spread = f"(8.0 * sqrt({size} * {share} * (1.0 - {share})) + 8.0)"
+    first = f"case when {share} >= 1 then {size} else greatest(0.0, floor({size} * {share} - {spread})) end"
+    last = f"case when {share} >= 1 then {size} else least({size}, ceil({size} * {share} + {spread})) end"
+    return _inverse(source, name, u, first, last, f"({size} - x.k) / (x.k + 1) * ({share} / (1.0 - {share}))")
+
+
+_KINDS = [(a, b) for a in LABELS for b in LABELS]
+
+
+def _resampled(rows: str, by: list[str], seed: int) -> str:
+    """CTEs up to ``weighed`` (rep, by, truth, label, w): resamples on nine cells."""
+    keys = ", ".join(by)
+    counts = ", ".join(f"cast(count(*) filter (truth = '{t}' and label = '{y}') as double) n{i}" for i, (t, y) in enumerate(_KINDS))
+    out = [f"m_ as (select {keys}, {counts} from {rows} group by {keys}), d_ as (select * from m_ cross join (select unnest(generate_series(0, {RESAMPLES - 1})) rep))"]
+    source = "d_"
+    for i in range(9):
+        rest = "(" + " + ".join(f"n{j}" for j in range(i, 9)) + ")"
+        size = "(" + " + ".join(f"n{j}" for j in range(9)) + "".join(f" - x{j}" for j in range(i)) + ")"
+        u = f"({_u(f"'{seed}'", *by, 'rep', f"'{i}'")} + 0.5) / 4294967296.0::double"
+        out.append(_binomial(source, f"x{i}", u, size, f"(case when n{i} >= {rest} then 1.0 else n{i} / greatest({rest}, 1.0) end)::double"))
+        source = f"x{i}"
+    out.append("weighed as (" + " union all ".join(f"select rep, {keys}, '{t}' truth, '{y}' as label, cast(x{i} as double) w from (select * from x8) t_" for i, (t, y) in enumerate(_KINDS)) + ")")
+    return ",\n".join(out)
+
+
+def _kappa_of(truth: str, label: str) -> str:
+    agree = f"avg(case when {truth} = {label} then 1.0::double else 0.0::double end)"
+    chance = " + ".join(f"avg(case when {truth} = '{c}' then 1.0::double else 0.0::double end) * avg(case when {label} = '{c}' then 1.0::double else 0.0::double end)" for c in LABELS)
+    return f"({agree} - ({chance})) / nullif(1.0 - ({chance}), 0)"
+
+
+def _shuffled() -> str:
+    """CTEs up to ``null_`` (system, rep, delta): labels shuffled over items, on 27 counts a system."""
+    counts = ", ".join(f"cast(count(*) filter (rater1 = '{a}' and rater2 = '{b}') as double) n{i}" for i, (a, b) in enumerate(_KINDS))
+    labels = ", ".join(f"cast(count(*) filter (label = '{c}') as double) m{k}" for k, c in enumerate(LABELS))
+    out = [f"m_ as (select system, {counts}, {labels}, cast(count(*) as double) total from predictions join ratings using (item_id) where label is not null group by 1), d_ as (select * from m_ cross join (select unnest(generate_series(0, {PERMUTATIONS - 1})) rep))"]
+    source, left = "d_", [f"n{i}" for i in range(9)]
+    for c in range(2):
+        for i in range(9):
+            name = f"x{c}{i}"
+            size = f"(m{c}" + "".join(f" - x{c}{j}" for j in range(i)) + ")"
+            u = f"({_u(f"'{SEED}'", 'system', 'rep', f"'{c}'", f"'{i}'")} + 0.5) / 4294967296.0::double"
+            out.append(_hypergeometric(source, name, u, "(" + " + ".join(left[i:]) + ")", left[i], size))
+            source = name
+        left = [f"({x} - x{c}{i})" for i, x in enumerate(left)]
+    drawn = [[f"x0{i}" for i in range(9)], [f"x1{i}" for i in range(9)], left]
+
+    def kappa(side: int) -> str:
+        hits = " + ".join(drawn[c][i] for i, p in enumerate(_KINDS) for c in range(3) if p[side] == LABELS[c])
+        chance = "(" + " + ".join("(" + " + ".join(f"n{i}" for i, p in enumerate(_KINDS) if p[side] == c) + f") * m{k}" for k, c in enumerate(LABELS)) + ") / (total * total)"
+        return f"case when {chance} < 1 then (({hits}) / total - {chance}) / (1.0 - {chance}) end"
+
+    out.append(f"null_ as (select system, rep, ({kappa(0)}) - ({kappa(1)}) delta from (select * from x18) drawn_)")
+    return ",\n".join(out)
+
+
 VOTES = f"""{PREDICTIONS},
 votes as (select item_id, count(*) filter (label = 'focused') v0, count(*) filter (label = 'mix') v1, count(*) filter (label = 'others') v2, count(label) k from predictions where system like 'llm%' group by 1)"""
 
@@ -352,7 +428,16 @@ roc as (select system, sum(won) / (sum(a) * sum(b)) auroc from (select system, a
 select k.system, count(*) n, {_r('avg(ok::int)', 'accuracy')}, {_r('avg(confidence)', 'conf_mean')}, {_r('avg(confidence) filter (ok)', 'conf_correct')}, {_r('avg(confidence) filter (not ok)', 'conf_wrong')}, {_r('any_value(auroc)', 'auroc')}, count(distinct confidence) distinct_conf, {_r('any_value(ece)', 'ece')} from k join e using (system) join roc using (system) group by 1""",
     "boot_cluster_ci": f"with {BOOT} select system, reference, {_ci('accuracy')}, {_ci('kappa')} from scores group by 1, 2",
     "boot_paired_diff": f"with {BOOT}, d as (select a.system, reference, a.accuracy - b.accuracy diff from scores a join scores b using (rep, reference) where b.system = 'rule_based' and a.system <> 'rule_based') select system, reference, {_ci('diff')}, quantile_cont(diff, 0.025) > 0 or quantile_cont(diff, 0.975) < 0 excludes_zero from d group by 1, 2",
-    "boot_item_ci": f"with {CONSENSUS}, reps as (select unnest(generate_series(0, {ITEM_REPLICATES - 1})) rep), drawn_ as (select rep, item_id, {_u(f"'{SEED}'", 'rep', 'item_id')} / 4294967296.0::double u from ratings cross join reps), weighed as (select rep, system, truth, label, {_poisson('u')}::double w from rows_ join drawn_ using (item_id) where label is not null), {_scores('weighed', 'rep, system')} select system, {_ci('kappa')} from scores group by 1",
+    "boot_item_ci": f"""with {CONSENSUS}, {_resampled("rows_ where label is not null", ["system"], SEED)},
+{_scores('weighed', 'rep, system')} select system, {", ".join(f"{_r(f'avg({m})', f'{m}_mean')}, {_ci(m)}" for m in ("accuracy", "kappa", "macro_f1"))} from scores group by 1""",
+    "boot_kappa_multinomial": f"""with {LONG}, {_resampled("known", ["system", "reference"], 42)},
+{_scores('weighed', 'rep, system, reference')}, single as (select system, reference, rep, count(distinct truth) < 2 or count(distinct label) < 2 skip_ from weighed where w > 0 group by 1, 2, 3),
+kept as (select system, reference, case when not skip_ then kappa end kappa, skip_ from scores join single using (system, reference, rep)) select system, reference, {_ci('kappa')}, count(*) filter (skip_) skipped from kept group by 1, 2""",
+    "perm_null": f"""with {LONG}, {_shuffled()},
+seen as (select system, k1 - k2 observed from (select system, {_kappa_of("rater1", "label")} k1, {_kappa_of("rater2", "label")} k2 from (select system, rater1, rater2, label from predictions join ratings using (item_id) where label is not null) group by 1)),
+known_ as (select system, any_value(observed) observed, avg(delta) null_mean, quantile_cont(delta, 0.025) lo, quantile_cont(delta, 0.975) hi, count(*) filter (delta is null) undefined_ from null_ join seen using (system) group by 1)
+select system, {_r('any_value(observed)', 'observed')}, {_r('any_value(null_mean)', 'null_mean')}, {_r('any_value(lo)', 'delta_lo')}, {_r('any_value(hi)', 'delta_hi')}, any_value(undefined_) delta_undefined,
+  {_r('avg(case when abs(delta - null_mean) >= abs(observed - null_mean) - 1e-12 then 1.0::double else 0.0::double end)', 'p')} from null_ join known_ using (system) group by 1""",
     "perm_null_rank": f"""with {PREDICTIONS}, reps as (select unnest(generate_series(0, {SHUFFLES - 1})) rep), p as (select * from predictions cross join reps where system in ('rule_based', 'supervised_RandomForest')),
 ranked as (select *, row_number() over (partition by system, rep order by {_u("'place'", 'item_id')}, item_id) place, row_number() over (partition by system, rep order by {_u(f"'{SEED}'", 'system', 'rep', 'item_id')}, item_id) moved from p),
 mixed as (select a.system, a.rep, a.item_id, b.label from ranked a join ranked b on a.system = b.system and a.rep = b.rep and a.moved = b.place),

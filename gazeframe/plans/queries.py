@@ -18,9 +18,9 @@ from gazeframe.sources import annotations
 
 #: Replicates on counts; replicates on items, whose SQL repeats every item; resamples on counts of items.
 REPLICATES = 200
-ITEM_REPLICATES = 200
 SHUFFLES = 200
 RESAMPLES = 1000
+PERMUTATIONS = 5000
 SEED = 20261005
 BY = ["system", "reference"]
 
@@ -300,11 +300,7 @@ def boot_paired_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boot_item_ci(spark: SparkSession, d: str) -> DataFrame:
-    items = resample.item_weights(tables.ratings(spark, d).select("item_id", F.col("consensus").alias("truth")), ITEM_REPLICATES, SEED)
-    rows = tables.predictions(spark, d).join(items, "item_id")
-    by = ["rep", "system"]
-    reps = agreement.metrics(agreement.confusion(agreement.cells(rows, by, "w"), by), by, ["kappa"])
-    return rounded(reps.groupBy("system").agg(*resample.interval("kappa")))
+    return rounded(resample.item_interval(agreement.cells(_consensus(spark, d), ["system"]), ["system"], RESAMPLES, SEED))
 
 
 def boot_kappa_multinomial(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +310,7 @@ def boot_kappa_multinomial(spark: SparkSession, d: str) -> DataFrame:
 def perm_null(spark: SparkSession, d: str) -> DataFrame:
     joined = tables.predictions(spark, d).where("label is not null").join(tables.ratings(spark, d), "item_id")
     cells = joined.groupBy("system", "rater1", "rater2", "label").agg(F.count(F.lit(1)).alias("n"))
-    null = resample.permutation_null(cells, REPLICATES, SEED)
+    null = resample.permutation_null(cells, PERMUTATIONS, SEED)
     seen = agreement.delta_kappa(_table(spark, d)).select("system", F.col("delta").alias("observed"))
     return rounded(resample.permutation_test(null, seen))
 
@@ -329,14 +325,10 @@ def _null_rank(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def perm_null_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The two systems that its SQL covers; ``perm_null_rank_systems`` has all of them."""
+    """The null by shuffled items themselves, of two systems; ``perm_null`` draws that of all systems on counts."""
     return _null_rank(tables.predictions(spark, d).where("system in ('rule_based', 'supervised_RandomForest')"), tables.ratings(spark, d))
 
 
-def perm_null_rank_systems(spark: SparkSession, d: str) -> DataFrame:
-    return _null_rank(tables.predictions(spark, d).where("label is not null"), tables.ratings(spark, d))
-
-
 def _payload(spark: SparkSession, d: str) -> DataFrame:
     segs = _segments(spark, d)
     return sequences.payload(tables.features(spark, d), segs, sequences.interactions(segs))
@@ -729,7 +721,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boot_kappa_multinomial": boot_kappa_multinomial,
     "perm_null": perm_null,
     "perm_null_rank": perm_null_rank,
-    "perm_null_rank_systems": perm_null_rank_systems,
     "prompt_conditions": prompt_conditions,
     "payload_from_prompt": payload_from_prompt,
     "nli_premises": nli_premises,

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gazeframe.operators import agreement, calibration, resample, significance
+from gazeframe.operators import agreement, calibration, draws, resample, significance
 from gazeframe.schema import LABELS
 
 
@@ -80,19 +80,19 @@ def test_calibration(spark):
 
 def test_cluster_draws(spark):
     clusters = spark.createDataFrame([(c,) for c in range(7)], "cluster int")
-    draws = resample.cluster_draws(clusters, 20, 5)
-    per = {r["rep"]: r["w"] for r in draws.groupBy("rep").agg(F.sum("w").alias("w")).collect()}
+    drawn = resample.cluster_draws(clusters, 20, 5)
+    per = {r["rep"]: r["w"] for r in drawn.groupBy("rep").agg(F.sum("w").alias("w")).collect()}
     assert len(per) == 20 and set(per.values()) == {7.0}
-    assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, resample.cluster_draws(clusters.repartition(5), 20, 5).collect()))
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, resample.cluster_draws(clusters.repartition(5), 20, 5).collect()))
 
 
 def test_bootstrap_equals_items(spark):
     rng = np.random.default_rng(2)
     rows = [("s", i, LABELS[rng.integers(3)], LABELS[rng.integers(3)], int(rng.integers(5)), "consensus") for i in range(80)]
     df = spark.createDataFrame(rows, "system string, item_id long, truth string, label string, cluster int, reference string")
-    draws = resample.cluster_draws(df.select("cluster").distinct(), 10, 1)
-    reps = {r["rep"]: r["accuracy"] for r in resample.cluster_replicates(agreement.cells(df, ["cluster", "system", "reference"]), draws, ["accuracy"]).collect()}
-    weight = {(r["rep"], r["cluster"]): r["w"] for r in draws.collect()}
+    drawn = resample.cluster_draws(df.select("cluster").distinct(), 10, 1)
+    reps = {r["rep"]: r["accuracy"] for r in resample.cluster_replicates(agreement.cells(df, ["cluster", "system", "reference"]), drawn, ["accuracy"]).collect()}
+    weight = {(r["rep"], r["cluster"]): r["w"] for r in drawn.collect()}
     for rep, acc in reps.items():
         w = np.array([weight.get((rep, r[4]), 0.0) for r in rows])
         assert acc == pytest.approx((w * np.array([r[2] == r[3] for r in rows])).sum() / w.sum())
@@ -102,7 +102,7 @@ def test_permutation_null_keeps_margins(spark):
     rng = np.random.default_rng(4)
     items = [(LABELS[rng.integers(3)], LABELS[rng.integers(3)], LABELS[rng.integers(3)]) for _ in range(90)]
     cells = spark.createDataFrame([("s", *k, n) for k, n in Counter(items).items()], "system string, rater1 string, rater2 string, label string, n long")
-    null = [r["delta"] for r in resample.permutation_null(cells, 300, 7, block=100).collect()]
+    null = [r["delta"] for r in resample.permutation_null(cells, 2000, 7).collect()]
     y1, y2, p = (np.array(x) for x in zip(*items, strict=True))
 
     def kappa(a, b):
@@ -110,4 +110,49 @@ def test_permutation_null_keeps_margins(spark):
         return (po - pe) / (1 - pe)
 
     brute = [kappa(y1, q) - kappa(y2, q) for q in (rng.permutation(p) for _ in range(2000))]
-    assert len(null) == 300 and np.allclose(np.percentile(null, [5, 95]), np.percentile(brute, [5, 95]), atol=0.06)
+    assert len(null) == 2000 and np.allclose(np.percentile(null, [5, 95]), np.percentile(brute, [5, 95]), atol=0.04)
+    assert abs(np.mean(null) - np.mean(brute)) < 0.012 and abs(np.std(null) / np.std(brute) - 1) < 0.1
+
+
+@pytest.mark.parametrize(("population", "special", "size"), [(20, 7, 9), (300, 150, 40), (5, 5, 2), (6, 0, 3), (9, 4, 0), (0, 0, 0), (1, 1, 1)])
+def test_hypergeometric_draws_are_exact(population, special, size):
+    u = (np.arange(2000) + 0.5) / 2000
+    full = lambda x: np.full(2000, float(x))
+    got = draws.hypergeometric(u, full(population), full(special), full(size))
+    mass = [comb(special, k) * comb(population - special, size - k) / comb(population, size) for k in range(min(special, size) + 1)]
+    assert got.tolist() == [float(np.searchsorted(np.cumsum(mass) + 1e-12, x)) for x in u]
+
+
+@pytest.mark.parametrize(("size", "share"), [(10, 0.3), (200, 0.5), (50, 0.001), (4, 1.0), (4, 0.0), (0, 0.5)])
+def test_binomial_draws_are_exact(size, share):
+    u = (np.arange(2000) + 0.5) / 2000
+    got = draws.binomial(u, np.full(2000, float(size)), np.full(2000, share))
+    mass = [comb(size, k) * share**k * (1 - share) ** (size - k) for k in range(size + 1)]
+    assert got.tolist() == [float(np.searchsorted(np.cumsum(mass) + 1e-12, x)) for x in u]
+
+
+def test_chains_keep_totals():
+    rng = np.random.default_rng(6)
+    cells = rng.integers(0, 40, (500, 9)).astype(float)
+    size = np.floor(cells.sum(1) * rng.random(500))
+    taken = draws.without_replacement(rng.random((500, 9)), cells, size)
+    assert (taken >= 0).all() and (taken <= cells).all() and (taken.sum(1) == size).all()
+    again = draws.with_replacement(rng.random((500, 9)), cells, size)
+    assert (again >= 0).all() and (again.sum(1) == size).all() and (again[cells == 0] == 0).all()
+
+
+def test_item_intervals_and_skipped_replicates(spark):
+    rng = np.random.default_rng(9)
+    pairs = [(LABELS[rng.integers(3)], LABELS[rng.integers(3)]) for _ in range(70)]
+    pairs = [(t, t if rng.random() < 0.5 else y) for t, y in pairs]
+    single = [("mix", "mix")] * 9 + [("mix", "others")]
+    rows = [("s", *k, float(n)) for k, n in Counter(pairs).items()] + [("t", *k, float(n)) for k, n in Counter(single).items()]
+    cells = spark.createDataFrame(rows, "system string, truth string, label string, n double")
+    got = {r["system"]: r for r in resample.item_interval(cells, ["system"], 1000, 3).collect()}
+    y, p = (np.array(x) for x in zip(*pairs, strict=True))
+    brute = [np.mean(y[i] == p[i]) for i in (rng.integers(0, 70, 70) for _ in range(4000))]
+    assert got["s"]["accuracy_mean"] == pytest.approx(np.mean(brute), abs=0.01)
+    assert (got["s"]["accuracy_lo"], got["s"]["accuracy_hi"]) == pytest.approx(tuple(np.percentile(brute, [2.5, 97.5])), abs=0.03)
+    skipped = {r["system"]: r for r in resample.kappa_interval(cells, ["system"], 500, 3).collect()}
+    assert skipped["t"]["skipped"] == skipped["t"]["kappa_undefined"] == 500 and skipped["t"]["kappa_lo"] is None
+    assert skipped["s"]["skipped"] == 0 and skipped["s"]["kappa_lo"] < skipped["s"]["kappa_hi"]
