@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW)
                 for c, v in zip(out, (doc_id, start, length, n, sequence, offset, ids[4 * start : 4 * (start + length)]), strict=True):
                     c.append(v)
 
-            for doc_id, n, ids, sequence, offset in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+            for doc_id, n, ids, sequence, offset in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 row = (doc_id, n, ids)
                 whole = n // window
                 for k in range(whole):
@@ -207,7 +207,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW)
                     start, left, rest_at = start + room, left - room, rest_at + room
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names)
 
-    return both.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    # the greedy rest follows the order of rows, which a shuffle that is fetched again doesn't keep
+    return both.sortWithinPartitions("row").drop("row").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 #: More strings than this for one part of a pattern count as unknown.
 MOST_STRINGS = 64
@@ -89,7 +89,7 @@ def _sequence(items) -> tuple[object, set[str] | None]:
     """(query, strings or None) of the parts of a pattern that follow each other."""
     asked, run, whole = [], {""}, True
     for item in items:
-        if item[0] is C.AT:
+        if item[0] in (C.AT, C.ASSERT, C.ASSERT_NOT):  # they match no characters of their own
             continue
         found = _strings(item)
         if found is not None and len(run) * len(found) <= MOST_STRINGS:

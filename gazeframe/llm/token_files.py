@@ -6,7 +6,7 @@ ones up to every 512th bit: enough to get a token, count a token in a range and
 decoding the rest. ``read_documents`` decodes whole shards.
 
 Defined results: a null text is an empty document (its end id only). A null doc_id comes before all others; rows with
-equal doc_id stand in the order of their texts. Extra columns are ignored. An empty table gives no shards and no rows.
+equal doc_id stand in the order of their texts' hashes. Extra columns are ignored. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations

@@ -3,8 +3,11 @@
 A text falls into chunks at places where its tokenizer's own splitting always has a boundary: before white space, and
 between a letter and ASCII punctuation or a digit. Each different chunk goes through the tokenizer once; a process keeps
 a bounded number of them. Chunks are grouped by a hash, and compared byte by byte with the one that stands for them. For
-tokenizers whose splitting is not one of the two known kinds, and for texts with unusual white space or a chunk that
-differs from its group's, the tokenizer takes the whole text.
+tokenizers whose splitting is not one of the two known kinds, and for texts with unusual white space, an added token or a
+chunk that differs from its group's, the tokenizer takes the whole text.
+
+Ids are those of the library's plain call, encode(text, add_special_tokens=False): a text that spells out an added token,
+as ``<|endoftext|>``, has that token's id there.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from gazeframe.llm.grams import FOLD, LONG, eights, raw, span_hashes
 
@@ -81,6 +85,20 @@ def clashing(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.nda
     return wrong
 
 
+def _folded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``data`` with A-Z in lower case in chunks that are wholly ASCII.
+
+    In others the tokenizer's own order matters: it composes a letter and a mark before it lower-cases, and not every
+    small letter composes as its capital does.
+    """
+    high = np.concatenate([np.zeros(1, np.int64), np.cumsum(data > 127)])
+    mixed = high[end] > high[start]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[mixed]] += 1
+    inside[end[mixed]] -= 1
+    return np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, data, FOLD[data])
+
+
 class Encoder:
     """encode(texts) gives (ids of all texts one after the other, number of ids of each)."""
 
@@ -89,9 +107,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            config = json.load(f)
+        self.kind = _kind(config)
+        self.added = [t["content"] for t in config.get("added_tokens") or []]
         self.most_chunks = most_chunks
         self.between = self._separator()
         self._forget()
@@ -162,10 +181,11 @@ class Encoder:
         """Rows that go through the tokenizer whole."""
         if self.kind == "whole":
             return set(range(len(texts)))
+        found = {i for t in self.added for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)).tolist()}
         if self.kind == "words":
-            return set()
+            return found
         rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_ODD[data]), "right") - 1)
-        return {i for i in rows.tolist() if _ODD.search(texts[i].as_py())}
+        return found | {i for i in rows.tolist() if _ODD.search(texts[i].as_py())}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = raw(texts)
@@ -173,7 +193,7 @@ class Encoder:
         start, end = chunks(data, offsets, self.kind == "bytes")
         if len(self.code) > self.most_chunks:
             self._forget()
-        data = (FOLD if self.kind == "words" else _SAME)[data]
+        data = _folded(data, start, end) if self.kind == "words" else data
         keys, first, which = np.unique(span_hashes(data, start, end, _SAME), return_index=True, return_inverse=True)
         wrong = clashing(data, start, end, data, start[first[which]], (end - start)[first[which]])
         names = keys.tolist()

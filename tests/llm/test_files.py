@@ -2,14 +2,17 @@
 
 import base64
 import hashlib
+import string
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from gazeframe.llm import packing, token_files, token_ids, warc
+from gazeframe.llm import packing, queries, token_files, token_ids, warc
 from gazeframe.llm.files import get
 from gazeframe.llm.queries import tokenizer
 from gazeframe.llm.token_ids import Encoder
@@ -88,6 +91,34 @@ def test_encoder_on_all_of_unicode(path):
             assert ids[e - m : e].tolist() == want.ids, repr(t)
 
 
+def test_encoder_on_letters_with_marks_and_added_tokens():
+    """Every ASCII letter in both cases with every combining mark, as the library's plain call has them."""
+    marks = [chr(c) for c in range(0x300, 0x20D1) if unicodedata.combining(chr(c))]
+    texts = ["T\u0308raum J\u030cama", "H\u0331 W\u030a Y\u030a I\u0307\u0338", "a<|endoftext|>b", "<|startoftext|> <|endoftext|>", "<|endoftext", "x " + "<|endoftext|> y" * 3]
+    texts += [f"{c}{m} x{c}{m}{n}z {m}{c}" for c in string.ascii_letters for m, n in zip(marks, [*marks[1:], "\u0338"], strict=True)]
+    for path in (WORD, BYTE):
+        library = Tokenizer.from_file(path)
+        coder = Encoder(path)
+        for k in range(0, len(texts), 5000):
+            part = texts[k : k + 5000]
+            ids, n = coder.encode(pa.array(part))
+            for t, want, e, m in zip(part, library.encode_batch(part, add_special_tokens=False), np.cumsum(n).tolist(), n.tolist(), strict=True):
+                assert ids[e - m : e].tolist() == want.ids, repr(t)
+
+
+def test_op7_against_the_library(spark, tmp_path):
+    rows, docs = rows_of(spark)
+    docs.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    library, start = Tokenizer.from_file(WORD), 0
+    got = {r["doc_id"]: r for r in queries.op7_token_files(spark, str(tmp_path)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts):
+        ids = np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_encoder_tells_clashing_words_apart(monkeypatch):
     """Also where the hash says that all chunks are the same."""
     monkeypatch.setattr(token_ids, "span_hashes", lambda data, start, end, table: np.zeros(len(start), np.uint64))

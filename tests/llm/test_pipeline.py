@@ -66,8 +66,9 @@ def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
     """Extra columns called like the stages' own ones, repeated rows, a long text, and nothing at all."""
     names = ["made", "key", "other", "again", "gone", "_place", "component_id", "id", "stays", "dotted.name", "hits", "score", "rank"]
     long = "long text of words " * 20_000
-    rows = [(1, "a b c d e f", *range(13)), (1, "a b c d e f", *range(13)), (2, "a b c d e f", *range(13)), (None, None, *range(13)), (3, long, *range(13))]
-    kind = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    maps = ({"a": 1}, ({2: 3},))
+    rows = [(1, "a b c d e f", *range(13), *maps), (1, "a b c d e f", *range(13), *maps), (2, "a b c d e f", *range(13), *maps), (None, None, *range(13), *maps), (3, long, *range(13), *maps)]
+    kind = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names) + ", pairs map<string,int>, more struct<a:map<int,int>>"
     for case, (docs, left) in enumerate(((spark.createDataFrame(rows, kind), 3), (spark.createDataFrame([], kind), 0))):
         folder = f"{tmp_path}/{case}"
         docs.write.parquet(f"{folder}/documents.parquet")

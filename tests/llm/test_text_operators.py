@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,19 @@ def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{16,}") is True and secrets.trigram_query(r"(abc)?x*") is True
 
 
+@pytest.mark.parametrize("rule", [*secrets.BASE, *secrets.ADDED], ids=lambda r: r.kind)
+def test_hostile_texts_of_a_megabyte(rule):
+    """Time grows with the text: what nearly matches again and again, and then fails."""
+    pieces = ["eyJ", "eyJa", "eyJaaaaaaaaaaaa.", "password" + " " * 50, "password password ", "secret'  ", "token=", "AKIA", "AKIA" + "A" * 9 + " ", "0", "0" * 15 + "g", "-----BEGIN ", "-----BEGIN AAAA ", "ghp_", "ghp_" + "a" * 35 + "-", "xoxb-", "xoxb-a ", "api_api_key", "-", "a.eyJ"]
+    found = re.compile(rule.pattern)
+    for piece in pieces:
+        text = piece * (1_000_000 // len(piece)) + " .eyJ"
+        began = time.process_time()
+        for m in found.finditer(text):
+            m.span()
+        assert time.process_time() - began < 2, piece
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefghijklmnop b", 26, "s"), (2, None, None, None), (3, "clean", 5, "s")], "doc_id long, text string, n_chars long, source string")
     got = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
