@@ -4,10 +4,13 @@ The builder closes elements whose end tags HTML lets one leave out (paragraphs,
 ignores stray end tags. What a browser hides (scripts, styles, ``hidden``, ``display:none`` and the like, and what a
 graphic holds beside its text) is left out; all other text is kept, at any depth. Blocks stand on lines of their own, paragraphs and headings have an empty line around them, list
 items a marker and indent, and a table's cells are padded so that its columns line up, also under cells that span rows
-or columns. A line of a cell that is longer than WIDE stands out of its column. Within more than NESTED lists or quotes
-lines are not indented further, and cells stand in a line unpadded within more than NESTED tables and where padding would
-make a table PADDING times as long, so that a page's text does not grow with the square of its source; markers and text
-are all there. Pages of any length are walked without recursion.
+or columns. A line of a cell that is longer than WIDE stands out of its column. All padding and indenting of a page
+comes from one budget of PADDING times its source; from where that is used up, tables' cells stand in a line unpadded
+and lines are not indented. The same holds within more than NESTED tables, lists or quotes. So a page's text
+stays in proportion to its source; markers and text are all there. Pages of any length are walked without recursion.
+
+Also hidden are a ``dialog`` that isn't open, all of a closed ``details`` but its summary, popovers, and text under
+``visibility:hidden``, though not what is made visible again inside. Numbered lists follow ``start``, ``reversed`` and ``value``.
 
 Defined results: a null html gives a null text, an empty one an empty text. Broken markup never fails. Repeated rows
 give repeated results; extra columns are ignored; an empty table gives no rows.
@@ -19,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -49,21 +53,34 @@ IMPLIED = {
 #: These start tags end a graphic or formula that they stand in, if none of the second set is in between.
 LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 FOREIGN = (frozenset({"svg", "math"}), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split()))
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_WHOLE = re.compile(r"-?\d{1,9}", re.A)
 NESTED = 200
-#: Characters of a cell's line that a column is made as wide as at most; how much longer a table may get by padding, beside 4096 characters.
+#: Characters of a cell's line that a column is made as wide as at most; how many times a page's source its padding may be, beside 4096 characters.
 WIDE, PADDING = 80, 8
 #: Columns and rows that a cell spans at most, as in HTML.
 SPANS = {"colspan": 1000, "rowspan": 65534}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    """An element. ``hidden``: neither it nor anything in it is seen; ``dark``: text directly in it isn't; ``shut``: a closed details, 1 before its summary, 2 after."""
+
+    __slots__ = ("tag", "attrs", "children", "hidden", "dark", "shut")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
+    def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.hidden = tag in HIDDEN or "hidden" in attrs or bool(_UNSEEN.search(attrs.get("style") or "")) or tag == "input"
+        style = attrs.get("style") or ""
+        self.hidden = tag in HIDDEN or "hidden" in attrs or "popover" in attrs or bool(_UNSEEN.search(style)) or tag == "input" or tag == "dialog" and "open" not in attrs
+        said = _VISIBILITY.findall(style)
+        self.dark = said[-1].lower() != "visible" if said else parent is not None and parent.dark
+        self.shut = int(tag == "details" and "open" not in attrs)
+        if parent is not None and parent.shut:
+            if tag == "summary" and parent.shut == 1:
+                parent.shut = 2
+            else:
+                self.hidden = True
 
 
 class _Builder(HTMLParser):
@@ -92,12 +109,14 @@ class _Builder(HTMLParser):
             self._end_implied(*FOREIGN)
         if tag in IMPLIED:
             self._end_implied(*IMPLIED[tag])
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(attrs), self.open[-1])
         node.hidden = node.hidden or tag in UNDRAWN and bool(self.at["svg"])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.at[tag].append(len(self.open))
             self.open.append(node)
+        if tag == "textarea":
+            self.set_cdata_mode(tag)  # tags in it are text
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,8 +134,9 @@ class _Builder(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_data(self, data):
-        if self._last(("svg",)) <= self._last(DRAWN):
-            self.open[-1].children.append(data)
+        last = self.open[-1]
+        if self._last(("svg",)) <= self._last(DRAWN) and not last.dark and not last.shut:
+            last.children.append(unescape(data) if last.tag == "textarea" and self.cdata_elem else data)
 
 
 class _Block:
@@ -128,10 +148,20 @@ class _Block:
         self.first, self.rest, self.lines = first, rest, lines
 
 
+class _Budget:
+    """Characters that padding and indenting may still add to a page."""
+
+    __slots__ = ("left",)
+
+    def __init__(self, left: int):
+        self.left = left
+
+
 class _Page:
     """Lines under construction: inline text gathers in ``line``; ``gap`` empty lines are due before the next one."""
 
-    def __init__(self, tables: int = 0):
+    def __init__(self, budget: _Budget, tables: int = 0):
+        self.budget = budget
         self.lines: list[str | _Block] = []
         self.line: list[str] = []
         self.gap = 0
@@ -151,7 +181,7 @@ class _Page:
         self.lines.append(text)
 
 
-def _flat(lines: list[str | _Block]) -> list[str]:
+def _flat(lines: list[str | _Block], budget: _Budget) -> list[str]:
     """The lines with those of the blocks, each behind what its blocks put before it."""
     out = []
     marks: list[str] = []  # of the open blocks
@@ -167,7 +197,8 @@ def _flat(lines: list[str | _Block]) -> list[str]:
             stack.append((iter(line.lines), line.rest))
             marks.append(line.first)
         else:
-            before = marks[:NESTED] + marks[max(fresh, NESTED) :]
+            before = marks[:NESTED] + marks[max(fresh, NESTED) :] if budget.left > 0 else marks[fresh:]
+            budget.left -= sum(map(len, marks[: min(fresh, NESTED)])) if budget.left > 0 else 0
             if marks and line.strip():
                 line = ("".join(before) + line).rstrip()
             else:
@@ -233,7 +264,7 @@ def _walk(node: Node, page: _Page) -> Iterator:
 
 def _nested(node: Node, page: _Page, first: str, rest: str) -> Iterator:
     page.end()
-    own = _Page(page.tables)
+    own = _Page(page.budget, page.tables)
     yield _walk(node, own)
     own.end()
     if own.lines:
@@ -242,7 +273,9 @@ def _nested(node: Node, page: _Page, first: str, rest: str) -> Iterator:
 
 def _list(node: Node, page: _Page) -> Iterator:
     start = node.attrs.get("start") or ""
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start, re.A) else 1
+    back = "reversed" in node.attrs
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    number = int(start) if _WHOLE.fullmatch(start) else items if back else 1
     loose = Node("div", {})
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
@@ -250,9 +283,11 @@ def _list(node: Node, page: _Page) -> Iterator:
                 yield _nested(loose, page, "  ", "  ")
                 loose = Node("div", {})
             if child is not None and not child.hidden:
+                value = child.attrs.get("value") or ""
+                number = int(value) if _WHOLE.fullmatch(value) else number
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 yield _nested(child, page, mark, " " * len(mark))
-                number += 1
+                number += -1 if back else 1
         else:
             loose.children.append(child)
 
@@ -319,26 +354,34 @@ def _columns(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[in
     return [[(number[c], lines) for c, lines in row] for row in placed]
 
 
-def _aligned(grid: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """The lines of a table's rows."""
+def _loose(grid: list[list[tuple[int, list[str]]]]) -> list[str]:
+    return [" | ".join(x for x in (lines[k] for _, lines in row if k < len(lines))) for row in grid for k in range(max((len(lines) for _, lines in row), default=0))]
+
+
+def _aligned(grid: list[list[tuple[int, list[str]]]], budget: _Budget) -> list[str]:
+    """The lines of a table's rows; if padding goes beyond the budget, cells stand one after the other."""
     width: dict[int, int] = {}
     for row in grid:
         for c, lines in row:
             width[c] = max([width.get(c, 0), *(len(x) for x in lines if len(x) <= WIDE)])
+    out = []
+    left = budget.left
     place, total = {}, 0  # characters of the columns before
     for c in sorted(width):
         place[c], total = total, total + width[c] + 3
-    own = sum(len(x) + 3 for row in grid for _, lines in row for x in lines)
-    padded = sum(place[row[-1][0]] * max(len(lines) for _, lines in row) for row in grid if row)
-    if padded > PADDING * own + 4096:
-        return [" | ".join(x for x in (lines[k] for _, lines in row if k < len(lines))) for row in grid for k in range(max((len(lines) for _, lines in row), default=0))]
-    out = []
     for row in grid:
         cells = dict(row)
         last = row[-1][0] if row else -1
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            lines = [cells.get(c, []) for c in range(last + 1)]
-            out.append(" | ".join((x[k] if k < len(x) else "").ljust(width[c]) for c, x in enumerate(lines)).rstrip())
+        high = max((len(lines) for _, lines in row), default=0)
+        if high * place.get(last, 0) > left + sum(len(x) for _, lines in row for x in lines):
+            return _loose(grid)
+        for k in range(high):
+            parts = [x[k] if k < len(x) else "" for x in (cells.get(c, []) for c in range(last + 1))]
+            out.append(" | ".join(x.ljust(width[c]) for c, x in enumerate(parts)).rstrip())
+            left -= len(out[-1]) - sum(map(len, parts))
+        if left < 0:
+            return _loose(grid)
+    budget.left = left
     return out
 
 
@@ -351,18 +394,18 @@ def _table(table: Node, page: _Page) -> Iterator:
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
-                    own = _Page(page.tables + 1)
+                    own = _Page(page.budget, page.tables + 1)
                     yield _walk(cell, own)
                     own.end()
-                    cells.append((_span(cell, "colspan"), _span(cell, "rowspan"), [x for x in _flat(own.lines) if x]))
+                    cells.append((_span(cell, "colspan"), _span(cell, "rowspan"), [x for x in _flat(own.lines, page.budget) if x]))
             else:
                 rest.children.append(cell)
         loose.children += rest.children
         rows.append(cells)
-    out = _Page(page.tables + 1)
+    out = _Page(page.budget, page.tables + 1)
     yield _walk(loose, out)  # captions, and text that is out of place
     out.end()
-    for line in [*_flat(out.lines), *_aligned(_columns(rows))]:
+    for line in [*_flat(out.lines, page.budget), *_aligned(_columns(rows), page.budget)]:
         page.put(line)
 
 
@@ -371,10 +414,10 @@ def render(html: str) -> str:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    page = _Page()
+    page = _Page(_Budget(PADDING * len(html) + 4096))
     _run(_walk(builder.root, page))
     page.end()
-    return "\n".join(_flat(page.lines))
+    return "\n".join(_flat(page.lines, page.budget))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -343,3 +343,81 @@ def test_tables_with_spans_and_bounded_padding():
         text = html_text.render(page)
         assert len(text) < 10 * len(page) and sorted(re.findall(r"\w+", text)) == sorted(re.findall(r"\w+", re.sub("<[^>]*>", " ", page)))
     assert html_text.render('<math><mi>x</mi></math> <img src=a alt="a cat"> y').split() == ["x", "y"]
+
+
+def test_nesting_does_not_multiply_a_page():
+    rows = "<tr><td>a<td>b" * 5000
+    quotes = "<blockquote>" * 150 + "<p>x" * 5000
+    lists = "<ul><li>" * 150 + "<p>x" * 3000
+    for page in ("<table><tr><td>" * 190 + f"<table>{rows}</table>" + "<td>z</table>" * 190, "<table><tr><td>q<td>" * 190 + f"<table>{rows}</table>", quotes, lists, "<table><tr><td>" * 60 + quotes):
+        began = time.process_time()
+        text = html_text.render(page)
+        assert len(text) < 10 * len(page) + 10_000 and time.process_time() - began < 20
+        assert sorted(re.findall(r"\w+", text)) == sorted(re.findall(r"\w+", re.sub("<[^>]*>", " ", page)))
+
+
+VISIBLE = [
+    ('<div style="visibility:hidden">a<b style="visibility: visible">b</b>c</div>d', "bd"),
+    ('<p style="visibility:collapse;color:red">a<i>b</i><span style="visibility:hidden;visibility:visible">c</span></p>', "c"),
+    ('<div style="content-visibility:hidden">a<b style="visibility:visible">b</b></div>c', "c"),
+    ("<dialog>a</dialog><dialog open>b</dialog>c", "bc"),
+    ("<details>a<summary>b</summary><p>c</p><summary>d</summary></details>e", "be"),
+    ("<details open>a<summary>b</summary><p>c</p></details>e", "abce"),
+    ("<details><details open><summary>x</summary>y</details><summary>b</summary></details>", "b"),
+    ("<div popover>a</div>b", "b"),
+    ("<textarea>a <b>c</b> &lt;d&gt; &amp;amp;</textarea><i>e</i>", "a<b>c</b><d>&amp;e"),
+    ("<table><tr><td style='visibility:hidden'>a<td>b</table>", "|b"),
+]
+
+
+@pytest.mark.parametrize(("html", "shown"), VISIBLE)
+def test_what_is_shown(html, shown):
+    assert re.sub(r"\s+", "", html_text.render(html)) == shown
+
+
+@pytest.mark.parametrize(
+    ("html", "lines"),
+    [
+        ("<ol start=3><li>a<li value=9>b<li>c</ol>", ["3. a", "9. b", "10. c"]),
+        ("<ol reversed><li>a<li>b<li>c</ol>", ["3. a", "2. b", "1. c"]),
+        ("<ol reversed start=-1><li>a<li value=5>b<li>c</ol>", ["-1. a", "5. b", "4. c"]),
+        ("<ul><li value=4>a<li value=x>b</ul>", ["- a", "- b"]),
+    ],
+)
+def test_numbers_of_lists(html, lines):
+    assert html_text.render(html).split("\n") == lines
+
+
+def laid_out(rng, depth):
+    """(html, lines) of a random page whose layout is put together piece by piece."""
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    kind = rng.choice(["p", "div", "list", "quote", "table", "pre"]) if depth else "p"
+    if kind == "p":
+        w = [word() for _ in range(rng.randint(1, 3))]
+        return "<p>" + rng.choice([" ", "\n  ", "<b> </b>"]).join(w) + "</p>", [" ".join(w)]
+    if kind == "pre":
+        w = [word() + "  " + word() for _ in range(2)]
+        return "<pre>\n" + "\n".join(w) + "</pre>", w
+    if kind == "table":
+        grid = [[word() for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+        wide = [max(len(r[c]) for r in grid if c < len(r)) for c in range(max(map(len, grid)))]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in grid) + "</table>", [" | ".join(x.ljust(wide[c]) for c, x in enumerate(r)).rstrip() for r in grid]
+    parts = [laid_out(rng, depth - 1) for _ in range(rng.randint(1, 3))]
+    if kind == "list":
+        lines = []
+        for _, inner in parts:
+            lines += [("- " if k == 0 else "  ") + x if x else "" for k, x in enumerate(inner)]
+        return "<ul>" + "".join(f"<li>{h}</li>" for h, _ in parts) + "</ul>", lines
+    lines = []
+    for _, inner in parts:
+        lines += ([""] if lines else []) + inner
+    if kind == "quote":
+        return "<blockquote>" + "".join(h for h, _ in parts) + "</blockquote>", [("> " + x).rstrip() if x else "" for x in lines]
+    return "<div>" + "".join(h for h, _ in parts) + "</div>", lines
+
+
+def test_layout_of_random_pages():
+    rng = random.Random(21)
+    for _ in range(500):
+        html, lines = laid_out(rng, rng.randint(0, 3))
+        assert html_text.render(html).split("\n") == lines, html
