@@ -1,12 +1,13 @@
 """Toxicity by compression distance: a text's windows are compressed with a dictionary of toxic and one of ordinary text.
 
 Fitting. From labelled rows a bounded sample is taken (``most`` rows of either label, by the hash of their ids); near
-copies within it are left out. Half of it trains two Zstandard dictionaries of the same size, one on windows of ordinary
-texts and one on windows of toxic texts. Most of a toxic text is ordinary, so the toxic windows are chosen by
-compression too: round by round, two halves of the toxic texts train a dictionary each, and the windows of either half
-stay that the other half's dictionary makes shorter than an ordinary one of that size by GAIN bytes or more. Behind
-both dictionaries stands the same stretch of ordinary text, so that what all texts have in common is found with either.
-The other half of the sample calibrates: a logistic regression on statistics of a text's differences by window.
+copies within it are left out. It trains two Zstandard dictionaries of the same size, one on windows of ordinary texts
+and one on windows of toxic texts. Most of a toxic text is ordinary, so its dictionary is trained on the windows that
+hold a stretch of bytes which toxic texts have EXCESS times as often as ordinary ones; every text counts, so that no kind of toxic text
+is crowded out by a more frequent one. Ordinary windows with such a stretch are left out. Behind both dictionaries
+stands the same ordinary text, so that what all texts have in common is found with either. The calibration is
+cross-fitted: for each of FOLDS parts of the sample dictionaries of the other parts compress its texts. The odds of
+toxic and ordinary texts by the bytes that a window saves, and a logistic regression on sums of their logarithms and on shares of windows, make the score.
 
 Scoring. Every text is cut at blanks into windows over its whole length; each window is compressed with either
 dictionary, and the statistics of the differences give a score from 0 to 1. Nothing but the text enters.
@@ -29,18 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.llm.common import bounded_batches, map_whole_rows
+from gazeframe.llm.grams import eights
 
 #: Labelled rows of either kind that a model is fitted on at most, and the characters of the longest one.
 MOST_ROWS = 3000
 MOST_CHARS = 100_000
-WINDOW, REACH = 64, 32
+#: Characters of all texts of either kind that a model is fitted on, at most.
+MOST_TOTAL = 20_000_000
+WINDOW, REACH = 96, 32
 #: Windows that the dictionaries are trained on: of ordinary texts, of toxic texts; and the most that are used.
-ORDINARY_WINDOW, TOXIC_WINDOW, TOXIC_REACH, MOST_WINDOWS = 48, 24, 16, 40_000
+ORDINARY_WINDOW, TOXIC_WINDOW, TOXIC_REACH, MOST_WINDOWS = 48, 12, 12, 40_000
 LEVEL = 9
 #: Bytes of each dictionary, of the segments that it is put together from, and of the text behind it.
-DICTIONARY_BYTES, SEGMENT, BASE_BYTES = 4096, 32, 1_000_000
-#: Bytes of the dictionaries that choose toxic windows, by rounds; the bytes that a window must save; the fewest windows of a half.
-ROUNDS, GAIN, LEAST_WINDOWS = (32_768, 16_384, 8192, 4096), 3, 4
+DICTIONARY_BYTES, SEGMENT, BASE_BYTES = 16_384, 16, 1_000_000
+#: Lengths of stretches; how many times as often, at what distance from chance, and in how many texts a toxic one stands.
+STRETCHES, EXCESS, DEVIATIONS, LEAST_TEXTS = (6, 8), 3.0, 6.0, 3
+FOLDS = 4
+#: What a toxic text counts in the calibration, where an ordinary one counts 1.
+TOXIC_WEIGHT = 1.5
+#: Saved bytes of a window count from -LOW to HIGH.
+LOW, HIGH = 3, 6
 
 
 @dataclass(frozen=True)
@@ -48,13 +57,18 @@ class Model:
     base: bytes
     ordinary: bytes
     toxic: bytes
+    odds: tuple[float, ...]
     weights: tuple[float, ...]
     bias: float
 
 
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace").replace(b"\n", b" ")
+
+
 def windows(text: str, size: int = WINDOW, reach: int = REACH) -> list[bytes]:
     """The whole text in lower case as windows of about ``size`` bytes that end before a blank, if one is within ``reach``."""
-    data = text.lower().encode("utf-8", "replace").replace(b"\n", b" ")
+    data = _bytes(text)
     out, at, n = [], 0, len(data)
     while at < n:
         end = at + size
@@ -72,30 +86,27 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
-def _lengths(press, parts: list[bytes]) -> np.ndarray:
-    return np.array([len(press(w)) for w in parts])
-
-
 class _Press:
     """The two compressors of a model."""
 
     def __init__(self, base: bytes, ordinary: bytes, toxic: bytes):
         self.plain, self.toxic = _compressor(ordinary + base), _compressor(toxic + base)
 
-    def statistics(self, text: str) -> tuple[float, ...]:
-        """Of the bytes that the toxic dictionary saves by window: mean, shares from 2, from 4 and to -2, most, and sum by 100 bytes."""
-        parts = windows(text)
+    def saved(self, text: str) -> np.ndarray:
+        """How many windows save each number of bytes, from -LOW to HIGH, with the toxic dictionary."""
         plain, toxic = self.plain, self.toxic
-        saved = [len(plain(w)) - len(toxic(w)) for w in parts]
-        n = len(saved)
-        return (
-            max(-1.0, min(4.0, sum(saved) / n)),
-            sum(s >= 2 for s in saved) / n,
-            sum(s >= 4 for s in saved) / n,
-            sum(s <= -2 for s in saved) / n,
-            min(12.0, max(saved)) / 12,
-            max(-2.0, min(8.0, 100 * sum(saved) / max(1, sum(map(len, parts))))),
-        )
+        out = [0] * (LOW + HIGH + 1)
+        for w in windows(text):
+            out[max(-LOW, min(HIGH, len(plain(w)) - len(toxic(w)))) + LOW] += 1
+        return np.array(out)
+
+
+def statistics(saved: np.ndarray, odds: tuple[float, ...]) -> list[float]:
+    """Of a text's windows by saved bytes: the sum of log odds, bounded and by the root of their number, and shares of windows."""
+    n = int(saved.sum())
+    total = float(saved @ np.array(odds))
+    more = np.cumsum(saved[::-1])[::-1]
+    return [max(-10.0, min(20.0, total)) / 10, max(-4.0, min(8.0, total / n**0.5)), *[min(0.3, more[LOW + k] / n) * 3 for k in (1, 2, 4)]]
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -119,32 +130,69 @@ def _train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _stretches(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different stretches of ``size`` bytes as numbers, how often all texts have each, how many texts do)."""
+    low = np.uint64((1 << 8 * size) - 1)
+    own = []
+    for t in texts:
+        if len(t) >= size:
+            codes = eights(np.frombuffer(t, np.uint8))[: len(t) - size + 1] & low
+            own.append(np.unique(codes, return_counts=True))
+    if not own:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, which = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
+    return codes, np.bincount(which, np.concatenate([n for _, n in own])), np.bincount(which)
+
+
+def excess(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, np.ndarray]:
+    """The stretches, by length, that toxic texts have far more often than ordinary ones."""
+    share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
+    found = {}
+    for size in STRETCHES:
+        codes, times, texts = _stretches(toxic, size)
+        others, seen, _ = _stretches(ordinary, size)
+        at = np.minimum(np.searchsorted(others, codes), max(0, len(others) - 1))
+        there = np.where(others[at] == codes, seen[at], 0.0) if len(others) else np.zeros(len(codes))
+        expected = (there + 1) * share
+        found[size] = codes[(texts >= LEAST_TEXTS) & (times >= EXCESS * expected) & (times - expected >= DEVIATIONS * np.sqrt(expected))]
+    return found
+
+
+def _holding(parts: list[bytes], marks: dict[int, np.ndarray]) -> np.ndarray:
+    """Which windows hold one of the stretches."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    out = np.zeros(len(parts), bool)
+    for size, codes in marks.items():
+        if len(codes) and len(data):
+            own = eights(data)[:-1] & np.uint64((1 << 8 * size) - 1)
+            at = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] == own)
+            row = np.searchsorted(ends, at, "right")
+            out[row[at + size <= ends[row]]] = True
+    return out
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
     """(text behind both, ordinary dictionary, toxic dictionary) from texts of both kinds."""
+    marks = excess([_bytes(t) for t in toxic], [_bytes(t) for t in ordinary])
     plain = [w for t in ordinary for w in windows(t, ORDINARY_WINDOW)]
-    order = np.random.default_rng(5).permutation(len(plain)).tolist()
-    base = b"".join(plain[i] for i in order[::2])[:BASE_BYTES]
-    rest = [plain[i] for i in order[1::2]]
-    halves = [[w for t in toxic[k::2] for w in windows(t, TOXIC_WINDOW, TOXIC_REACH)] for k in (0, 1)]
-    chosen = halves
-    for size in ROUNDS:
-        plain_press = _compressor(_train(rest, size) + base)
-        presses = [_compressor(_train(c, size) + base) for c in chosen]
-        better = [[w for w, n in zip(h, (_lengths(plain_press, h) - _lengths(p, h)).tolist(), strict=True) if n >= GAIN] for h, p in zip(halves, presses[::-1], strict=True)]
-        if min(map(len, better)) < LEAST_WINDOWS:
-            break
-        chosen = better
-    return base, _train(rest), _train([*chosen[0], *chosen[1]])
+    clean = [w for w, marked in zip(plain, _holding(plain, marks).tolist(), strict=True) if not marked]
+    order = np.random.default_rng(5).permutation(len(clean)).tolist()
+    base = b"".join(clean[i] for i in order[::2])[:BASE_BYTES]
+    parts = [w for t in toxic for w in windows(t, TOXIC_WINDOW, TOXIC_REACH)]
+    chosen = [w for w, marked in zip(parts, _holding(parts, marks).tolist(), strict=True) if marked]
+    return base, _train([clean[i] for i in order[1::2]]), _train(chosen or parts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Weights, and the bias last, by Newton's method with a squared penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
+    count = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     ridge = np.diag([penalty] * (len(w) - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (count * p * (1 - p))[:, None]) + ridge, x.T @ (count * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -156,19 +204,24 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model | None:
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
-    base, plain, marked = dictionaries(toxic[::2], ordinary[::2])
-    press = _Press(base, plain, marked)
-    held = [*toxic[1::2], *ordinary[1::2]]
-    x = np.array([press.statistics(t) for t in held])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
+    rows, kinds = [], []
+    for k in range(FOLDS):
+        press = _Press(*dictionaries(*[[t for i, t in enumerate(part) if i % FOLDS != k] for part in (toxic, ordinary)]))
+        for kind, part in ((1.0, toxic), (0.0, ordinary)):
+            rows += [press.saved(t) for t in part[k::FOLDS]]
+            kinds += [kind] * len(part[k::FOLDS])
+    saved, y = np.array(rows), np.array(kinds)
+    seen = [saved[y == kind].sum(0) + 1.0 for kind in (1.0, 0.0)]
+    odds = tuple((np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())).tolist())
+    x = np.array([statistics(r, odds) for r in saved])
     middle, spread = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - middle) / spread, y)
     weights = w[:-1] / spread
-    return Model(base, plain, marked, tuple(weights.tolist()), float(w[-1] - weights @ middle))
+    return Model(*dictionaries(toxic, ordinary), odds, tuple(weights.tolist()), float(w[-1] - weights @ middle))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | None:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): at most ``most`` rows of either label."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): at most ``most`` rows of either label, and MOST_TOTAL characters."""
     agreed = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -182,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | No
         got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()  # ``most`` rows
         rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), strict=True))
         rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-        found.append([t for _, t in rows[:most]])
+        ends = np.cumsum([len(t) for _, t in rows[:most]])
+        found.append([t for (_, t), end in zip(rows[:most], ends.tolist(), strict=True) if end <= MOST_TOTAL])
     return fit_texts(*found)
 
 
@@ -190,7 +244,7 @@ def _scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
     press = _presses(model)
-    z = np.array([press.statistics(t or "") for t in texts]).reshape(-1, len(model.weights)) @ np.array(model.weights) + model.bias
+    z = np.array([statistics(press.saved(t or ""), model.odds) for t in texts]).reshape(-1, len(model.weights)) @ np.array(model.weights) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

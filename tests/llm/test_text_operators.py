@@ -278,20 +278,40 @@ def test_scores_equal_plain_compression():
     for text, got in zip(tries, toxicity._scores(model, tries).tolist(), strict=True):
         data, parts = text.lower().encode().replace(b"\n", b" "), []
         while data:
-            end = len(data) if len(data) <= 64 else next((k for k in range(64, min(96, len(data))) if data[k : k + 1] == b" "), 64)
+            end = len(data) if len(data) <= 96 else next((k for k in range(96, min(128, len(data))) if data[k : k + 1] == b" "), 96)
             parts.append(data[:end])
             data = data[end:]
         parts = parts or [b""]
-        size = [[len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + model.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=9, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w)) for w in parts[:300]] for d in (model.ordinary, model.toxic)]
-        if len(parts) > 300:
-            continue
-        saved = [a - b for a, b in zip(*size, strict=True)]
+        press = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + model.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=9, write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.ordinary, model.toxic)]
+        length = {w: [len(c.compress(w)) for c in press] for w in set(parts)}
+        saved = [length[w][0] - length[w][1] for w in parts]
         n = len(saved)
-        x = [max(-1, min(4, sum(saved) / n)), sum(s >= 2 for s in saved) / n, sum(s >= 4 for s in saved) / n, sum(s <= -2 for s in saved) / n, min(12, max(saved)) / 12, max(-2, min(8, 100 * sum(saved) / max(1, sum(map(len, parts)))))]
+        total = sum(model.odds[max(-3, min(6, x)) + 3] for x in saved)
+        x = [max(-10, min(20, total)) / 10, max(-4, min(8, total / n**0.5)), *[3 * min(0.3, sum(v >= k for v in saved) / n) for k in (1, 2, 4)]]
         z = sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias
         assert abs(got - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 0.02, text[:40]
 
 
+def test_two_kinds_of_toxic_texts_in_different_words():
+    """Neither of two disjoint toxic vocabularies crowds out the other, one being four times as frequent."""
+    rng = random.Random(8)
+    common = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(400)] for letters in ("abcdeilnorst", "fghjkmpquvwy")]
+    bad = [["grumblex", "vilethorn", "scornwick"], ["huvyjkm", "qumpfyg", "wykuhpj"]]
+
+    def make(kind, toxic):
+        words = [rng.choice(common[kind]) for _ in range(rng.randint(40, 200))]
+        for _ in range(max(3, len(words) // 15) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad[kind]))
+        return " ".join(words)
+
+    model = toxicity.fit_texts([make(i % 5 == 0, True) for i in range(250)], [make(i % 2, False) for i in range(800)])
+    for kind in (0, 1):
+        assert all(w.encode() in model.toxic and w.encode() not in model.base + model.ordinary for w in bad[kind])
+        toxic = toxicity._scores(model, [make(kind, True) for _ in range(60)])
+        clean = toxicity._scores(model, [make(kind, False) for _ in range(200)])
+        assert (clean >= 0.7).mean() <= 0.01 and (toxic[:, None] > clean[None, :]).mean() > 0.9
+
+
 def tree(rng, depth, number):
     """(html, words that are seen) of a random tree; each word once."""
     html, seen = [], []
