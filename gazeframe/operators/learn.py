@@ -5,16 +5,19 @@ Folds come from md5 ranks within each class, so they are the same on any partiti
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.functions.hashing import md5_rank, md5_uniform
 from gazeframe.operators import agreement
 from gazeframe.schema import MODEL_FEATURES
+from gazeframe.sources.shared import shared_folder, stored
 from gazeframe.sources.sinks import write_bundle
 
 
@@ -45,44 +48,118 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
 
 
 def classifiers(n_rows: int, trees: int = 200, rounds: int = 200, seed: int = 42) -> dict:
-    """Logistic regression, linear SVM, random forest and boosted trees over ``scaled``/``features`` and ``y``."""
+    """Logistic regression, linear SVM, random forest and boosted trees over ``scaled`` and ``y``.
+
+    The penalty of the logistic regression is the mean loss's, hence 1 / n for a penalty of 1 on the sum.
+    """
     common = {"featuresCol": "scaled", "labelCol": "y"}
     return {
-        "logistic": LogisticRegression(**common, family="multinomial", regParam=1.0 / max(1, n_rows), maxIter=2000),
-        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5000), **common),
+        "logistic": LogisticRegression(**common, family="multinomial", regParam=1.0 / max(1, n_rows), standardization=False, maxIter=2000),
+        "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5000, tol=1e-4, regParam=1.0 / max(1, n_rows), standardization=False), **common),
         "random_forest": RandomForestClassifier(**common, numTrees=trees, maxDepth=30, weightCol="weight", seed=seed),
-        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed), **common),
+        "boosted": Boosted(GBTClassifier(**common, maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed, validationIndicatorCol="held", validationTol=1e-3)),
     }
 
 
-def fit(train: DataFrame, classifier, features: list[str] = MODEL_FEATURES):
-    """A pipeline that ends in ``predicted``; a class that isn't in ``train`` can't be predicted."""
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    index.setHandleInvalid("skip")
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True)]
-    body = Pipeline(stages=[index, *stages, classifier]).fit(balanced_weights(train))
-    return body, IndexToString(inputCol="prediction", outputCol="predicted", labels=list(index.labels))
+class Boosted:
+    """One set of boosted trees for each class against the others; each stops when the rows held for it no longer gain.
+
+    One row in five is held, by its features' hash. ``transform`` adds ``prediction`` and ``probability``, the classes' own
+    probabilities made to add up to one.
+    """
+
+    def __init__(self, stage: GBTClassifier):
+        self.stage, self.models = stage, []
+
+    def fit(self, train: DataFrame) -> Boosted:
+        made = Boosted(self.stage)
+        rows = train.withColumn("held", F.pmod(F.xxhash64(F.lit(7), vector_to_array("scaled")), F.lit(5)) == 0).withColumn("class", F.col("y")).drop("y")
+        for k in [r[0] for r in rows.select("class").distinct().orderBy("class").collect()]:  # classes are few
+            made.models.append((k, self.stage.fit(rows.withColumn("y", (F.col("class") == k).cast("double")))))
+        return made
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        own = []
+        for i, (_, model) in enumerate(self.models):
+            rows = model.transform(rows).withColumn(f"_p{i}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+            own.append(F.col(f"_p{i}"))
+        total = F.greatest(sum(own, F.lit(0.0)), F.lit(1e-12))
+        best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-k).alias("k")) for p, (k, _) in zip(own, self.models, strict=True)])).k
+        return rows.withColumn("prediction", -best).withColumn("probability", array_to_vector(F.array(*[p / total for p in own]))).drop(*[f"_p{i}" for i in range(len(own))])
+
+
+class Model:
+    """A fitted classifier with the scaling and the labels of its training rows."""
+
+    def __init__(self, labels: list[str], scales: dict[str, tuple[float, float]], stage):
+        self.labels, self.scales, self.stage = labels, scales, stage
+
+    def scaled(self, rows: DataFrame) -> DataFrame:
+        parts = [(F.col(c).cast("double") - F.lit(mean)) / F.lit(spread or 1.0) for c, (mean, spread) in self.scales.items()]
+        return rows.withColumn("scaled", array_to_vector(F.array(*parts)))
 
 
-def predict(model, rows: DataFrame, key: str = "item_id") -> DataFrame:
+def fit(train: DataFrame, classifier, features: list[str] = MODEL_FEATURES) -> Model:
+    """A model of ``train`` (label, features); a class that isn't there can't be predicted. Scaling is by the mean and the population deviation."""
+    summary = train.agg(F.array_sort(F.collect_set("label")).alias("labels"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("spread", F.stddev_pop))]).first()
+    model = Model(summary["labels"], {c: (summary[f"mean_{c}"] or 0.0, summary[f"spread_{c}"] or 0.0) for c in features}, None)
+    known = F.array(*[F.lit(x) for x in model.labels])
+    rows = model.scaled(balanced_weights(train.where("label is not null"))).withColumn("y", (F.array_position(known, F.col("label")) - 1).cast("double"))
+    rows = rows.select("scaled", "y", "weight").persist()  # every round of a fit reads them; a lost block is computed again
+    model.stage = classifier.fit(rows)
+    rows.unpersist()
+    return model
+
+
+def predict(model: Model, rows: DataFrame, key: str = "item_id") -> DataFrame:
     """(key, predicted, confidence); confidence is null for models without probabilities. Rows need no label."""
-    body, back = model
-    scored = rows
-    for stage in body.stages[1:]:
-        scored = stage.transform(scored)
+    scored = model.stage.transform(model.scaled(rows))
     confidence = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
-    return back.transform(scored).select(key, "predicted", confidence.alias("confidence"))
+    named = F.get(F.array(*[F.lit(x) for x in model.labels]), F.col("prediction").cast("int"))
+    return scored.select(key, named.alias("predicted"), confidence.alias("confidence"))
+
+
+def cross_validate(rows: DataFrame, schemes: dict[str, Callable[[DataFrame], DataFrame]], names: list[str], key: str = "item_id", at_once: int = 4, **options) -> DataFrame:
+    """(scheme, model, key, label, fold, predicted, confidence): every row predicted by models that never saw its fold.
+
+    ``rows``: key, label, features. A scheme adds ``fold`` to them. Rows with their folds are written once; ``at_once``
+    fits run side by side, each a set of Spark jobs of its own, and each writes what it predicts. A fold whose training rows
+    have one class only is predicted to be of that class.
+    """
+    written = {s: stored(add(rows), f"folds-{s}") for s, add in schemes.items()}
+    out = shared_folder(rows.sparkSession, "out-of-fold")
+    jobs = [(s, m, r["fold"], r["n"]) for s, df in written.items() for r in _training_sizes(df) for m in names]
+
+    def run(job: tuple[str, str, int, int]) -> None:
+        scheme, name, fold, n = job
+        df = written[scheme]
+        train = df.where(F.col("fold") != fold).drop("fold")
+        held = df.where(F.col("fold") == fold).drop("fold", "label")
+        classes = [r[0] for r in train.select("label").distinct().limit(2).collect()]
+        if len(classes) < 2:
+            got = held.select(key, F.lit(classes[0] if classes else None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("confidence"))
+        else:
+            got = predict(fit(train, classifiers(n, **options)[name]), held, key)
+        got.withColumn("fold", F.lit(fold)).write.parquet(f"{out}/scheme={scheme}/model={name}/part={fold}")
+
+    with ThreadPool(at_once) as pool:
+        pool.map(inheritable_thread_target(rows.sparkSession)(run), jobs, chunksize=1)
+    found = rows.sparkSession.read.parquet(out).drop("part")
+    return found.join(rows.select(key, "label"), key)
+
+
+def _training_sizes(folded: DataFrame) -> list:
+    """(fold, n): folds are as few as their scheme's groups."""
+    sizes = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("own"))
+    total = sizes.agg(F.sum("own").alias("total"))
+    return sizes.crossJoin(F.broadcast(total)).select("fold", (F.col("total") - F.col("own")).alias("n")).orderBy("fold").collect()
 
 
-def out_of_fold(rows: DataFrame, name: str, n_folds: int, key: str = "item_id", **options) -> DataFrame:
-    """(item, predicted, fold) of every row by a model that never saw its fold. rows: key, label, fold, features."""
-    out = None
-    for k in range(n_folds):
-        train = rows.where(F.col("fold") != k).drop("fold")
-        model = fit(train, classifiers(train.count(), **options)[name])
-        got = predict(model, rows.where(F.col("fold") == k).drop("fold"), key).withColumn("fold", F.lit(k))
-        out = got if out is None else out.unionByName(got)
-    return out
+def out_of_fold(rows: DataFrame, name: str, n_folds: int | None = None, key: str = "item_id", **options) -> DataFrame:
+    """(key, predicted, confidence, fold) of every row by a model that never saw its fold. rows: key, label, fold, features."""
+    plain = rows.drop("fold")
+    folds_ = rows.select(key, "fold")
+    return cross_validate(plain, {"given": lambda df: df.join(folds_, key)}, [name], key, **options).select(key, "predicted", "confidence", "fold")
 
 
 def dummy(rows: DataFrame, strategy: str = "majority", seed: int = 42, key: str = "item_id") -> DataFrame:
@@ -113,7 +190,7 @@ def save_results(summary: DataFrame, predicted: DataFrame, path: str) -> None:
     rows = predicted.select("system", F.col("label").alias("truth"), F.col("predicted").alias("label"))
     cells = agreement.cells(rows, ["system"])
     write_bundle(
-        {"summary": summary, "predictions": predicted, "confusion": agreement.crosstab(cells, ["system"]), "reports": agreement.per_class(agreement.confusion(cells, ["system"]), ["system"])}, path
+        {"summary": summary, "predictions": predicted, "confusion": agreement.crosstab(cells, ["system"]), "reports": agreement.per_class(agreement.confusion(cells, ["system"]), ["system"])}, path, summary="summary"
     )
 
 
@@ -128,9 +205,9 @@ def cv_summary(predicted: DataFrame) -> DataFrame:
     return spread.crossJoin(F.broadcast(pooled))
 
 
-def impurity_importance(model, features: list[str] = MODEL_FEATURES) -> list[tuple[str, float]]:
-    forest = model[0].stages[-1]
-    return sorted(zip(features, forest.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+def impurity_importance(model: Model) -> list[tuple[str, float]]:
+    """(feature, importance) of a forest, the greatest first."""
+    return sorted(zip(model.scales, model.stage.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
 def permutation_importance(model, rows: DataFrame, repeats: int = 5, seed: int = 42, features: list[str] = MODEL_FEATURES, key: str = "item_id") -> DataFrame:

@@ -456,6 +456,7 @@ g as (select child_id, label_set, template, label, ({_u('child_id', 'label_set',
 select child_id, label_set, template, arg_max(label, logit) as label, {_r('1 / sum(exp(logit - top))', 'confidence')} from (select *, max(logit) over (partition by child_id, label_set, template) top from g) group by 1, 2, 3""",
     "fewshot_examples": f"with {FEWSHOT} select item_id, place, example_id, label from chosen",
     "parse_generations": f"with {GENERATIONS} select system, item_id, label, confidence, status from parsed",
+    "cv_bundle": f"""with {FEATURES} select 'predictions' as name, 2 * count(*) as "rows" from features union all select * from (values ('summary', 2), ('confusion', 8), ('reports', 6))""",
     "raw_repro": f"""with {GENERATIONS}, twice as (select system, raw a, case item_id % 3 when 0 then raw || ' END' when 1 then ' ' || raw else reverse(raw) end b from (select *, {_RAW} as raw from parsed)),
 bare as (select system, trim(a, chr(9) || chr(10) || chr(13) || ' ') a, trim(b, chr(9) || chr(10) || chr(13) || ' ') b from twice)
 select system, count(*) n, count(*) filter (a = b) identical, count(*) filter (starts_with(b, a)) prefixes, min(length(b) - length(a)) filter (starts_with(b, a) and a <> b) extra_min,

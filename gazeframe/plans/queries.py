@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +12,16 @@ from gazeframe.functions.hashing import md5_int
 from gazeframe.operators import agreement, calibration, labels, learn, quality, reports, resample, scoring, sequences, significance
 from gazeframe.plans import driver_tables as tables
 from gazeframe.schema import ANNOTATION_COLUMNS, LABELS, MODEL_FEATURES
-from gazeframe.sources import annotations
+from gazeframe.sources import annotations, sinks
+from gazeframe.sources.shared import shared_folder
 
 #: Replicates on counts; replicates on items, whose SQL repeats every item; resamples on counts of items.
 REPLICATES = 200
 SHUFFLES = 200
 RESAMPLES = 1000
 PERMUTATIONS = 5000
+#: Trees and rounds of the registered cross-validations; the operators' own defaults are 200 each.
+CV_TREES, CV_ROUNDS = 50, 20
 SEED = 20261005
 BY = ["system", "reference"]
 
@@ -473,13 +474,28 @@ def dummy_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cv_schemes(spark: SparkSession, d: str) -> DataFrame:
-    """Kappa of the stratified dummy by group of items, for both schemes, and the change against the first one."""
-    scored = []
-    for name, rows in _folded(spark, d).items():
-        held = rows.where("fold > 0") if name == "by_group" else rows
-        cells = agreement.cells(learn.dummy(held, "stratified").join(held, "item_id").select(F.lit("dummy").alias("system"), F.col("label").alias("truth"), F.col("predicted").alias("label")), ["system"])
-        scored.append(agreement.metrics(agreement.confusion(cells, ["system"]), ["system"], ["kappa"]).withColumn("condition", F.lit(name)))
-    return rounded(reports.kappa_by_condition(quality.union_all(scored), ["stratified", "by_group"], "kappa"))
+    """Kappa of held-out predictions by model and scheme, and the change against the first scheme: stratified folds, then one channel left out at a time."""
+    rows = _learnable(spark, d)
+    channels = tables.frames(spark, d).groupBy(F.col("child_id").alias("item_id")).agg(F.min("channel_id").alias("channel"))
+    schemes = {"stratified": learn.folds, "channel": lambda df: learn.leave_one_group_out(df.join(channels, "item_id"), "channel")}
+    found = learn.cross_validate(rows, schemes, ["logistic", "random_forest"], trees=CV_TREES)
+    return rounded(_kappa_by_scheme(found, list(schemes)))
+
+
+def _kappa_by_scheme(found: DataFrame, schemes: list[str]) -> DataFrame:
+    cells = agreement.cells(found.select(F.col("model").alias("system"), F.col("scheme").alias("condition"), F.col("label").alias("truth"), F.col("predicted").alias("label")), ["system", "condition"])
+    scored = agreement.metrics(agreement.confusion(cells, ["system", "condition"]), ["system", "condition"], ["kappa"])
+    return reports.kappa_by_condition(scored, schemes, "kappa")
+
+
+def cv_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """A cross-validation of the margin and the boosted model, written as one bundle and read back: its manifest."""
+    rows = _learnable(spark, d)
+    found = learn.cross_validate(rows, {"stratified": lambda df: learn.folds(df, most=2)}, ["linear_svm", "boosted"], rounds=CV_ROUNDS)
+    summary = quality.union_all([learn.cv_summary(found.where(F.col("model") == m)).withColumn("system", F.lit(m)) for m in ("linear_svm", "boosted")])
+    path = shared_folder(spark, "bundle")
+    learn.save_results(summary, found.select(F.col("model").alias("system"), "item_id", "label", "predicted", "fold"), path)
+    return sinks.read_manifest(spark, path)
 
 
 def cv_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -489,10 +505,7 @@ def cv_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _files(spark: SparkSession, d: str) -> str:
     """The study's own files, made from the tables: annotations with their columns in another order in one split, clips, splits, videos."""
-    from gazeframe.sources import sinks
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    root = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "study")
     frames = tables.frames(spark, d)
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("video_id") % 3 + 1).cast("int"))
     for k, name in enumerate(("train", "val", "test")):
@@ -522,8 +535,7 @@ def file_features(spark: SparkSession, d: str) -> DataFrame:
 
 def file_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Predictions written as the study's files, one for each system and some ragged, and found again by their names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    root = f"{base.rstrip('/')}/study-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "study")
     p = tables.predictions(spark, d).where("label is not null").select("system", F.col("item_id").cast("string").alias("child_id"), F.col("label").alias("pred_3class"), "confidence", F.lit('said "so", twice').alias("reasoning"))
     for k, (name, _) in enumerate(tables.SYSTEMS[:4]):
         one = p.where(F.col("system") == name).drop("system")
@@ -598,9 +610,8 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def oof_predictions(spark: SparkSession, d: str) -> DataFrame:
-    rows = learn.folds(_learnable(spark, d), most=3)
-    n = rows.agg(F.max("fold")).first()[0]
-    out = learn.out_of_fold(rows, "logistic", (n or 0) + 1)
+    rows = learn.folds(_learnable(spark, d))
+    out = learn.out_of_fold(rows, "logistic")
     return rounded(out.join(rows.select("item_id", "label"), "item_id"))
 
 
@@ -618,6 +629,12 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learn.permutation_importance(model, rows, repeats=2))
 
 
+def impurity_importance(spark: SparkSession, d: str) -> DataFrame:
+    rows = _learnable(spark, d)
+    model = learn.fit(rows, learn.classifiers(1, trees=500)["random_forest"])
+    return rounded(spark.createDataFrame(learn.impurity_importance(model), "feature string, importance double"))
+
+
 def _conditions(spark: SparkSession, d: str) -> DataFrame:
     return reports.condition_metrics(tables.conditions(spark, d), tables.ratings(spark, d), tables.rule_of_items(spark, d))
 
@@ -746,6 +763,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dummy_stratified": dummy_stratified,
     "oof_predictions": oof_predictions,
     "permutation_importance": permutation_importance,
+    "impurity_importance": impurity_importance,
     "boot_video_ci": boot_video_ci,
     "boot_delta_kappa": boot_delta_kappa,
     "boot_family_contrast": boot_family_contrast,
@@ -768,6 +786,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dummy_majority": dummy_majority,
     "dummy_out_of_fold": dummy_out_of_fold,
     "cv_schemes": cv_schemes,
+    "cv_bundle": cv_bundle,
     "cv_summary": cv_summary,
     "file_frames": file_frames,
     "file_features": file_features,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,34 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet in its own folder."""
+def write_bundle(tables: dict[str, DataFrame], path: str, summary: str | None = None) -> None:
+    """Each table as Parquet in a folder of its own, the table ``summary`` also as one JSON file, and last the manifest (name, rows).
+
+    Nothing is written if the path is there already. The manifest comes last, so a bundle without one is not whole:
+    ``read_manifest`` refuses it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(path)
+    counts = []
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        counts.append((name, spark.read.schema(df.schema).parquet(f"{path}/{name}").count()))
+    if summary is not None:
+        write_json(spark.read.schema(tables[summary].schema).parquet(f"{path}/{summary}"), f"{path}/{summary}.json")
+    write_json(spark.createDataFrame(counts, "name string, rows long"), f"{path}/manifest.json")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rows) of a bundle's tables as found, checked against what its manifest says."""
+    said = spark.read.schema("name string, rows long").json(f"{path}/manifest.json", multiLine=True)
+    names = [r["name"] for r in said.orderBy("name").collect()]
+    found = [spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("found")).select(F.lit(n).alias("name"), "found") for n in names]
+    for part in found[1:]:
+        found[0] = found[0].unionByName(part)
+    wrong = F.raise_error(F.concat(F.lit("not the rows that the manifest names: "), "name"))
+    return said.join(found[0], "name").select("name", F.when(F.col("rows") == F.col("found"), F.col("rows")).otherwise(wrong.cast("long")).alias("rows"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
