@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.llm.common import bounded_batches, map_whole_rows
-from gazeframe.llm.grams import eights
+from gazeframe.llm.grams import eights, mixed
 
 #: Labelled rows of either kind that a model is fitted on at most, and the characters of the longest one.
 MOST_ROWS = 3000
@@ -130,18 +130,21 @@ def _train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _stretches(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(different stretches of ``size`` bytes as numbers, how often all texts have each, how many texts do)."""
-    low = np.uint64((1 << 8 * size) - 1)
-    own = []
-    for t in texts:
-        if len(t) >= size:
-            codes = eights(np.frombuffer(t, np.uint8))[: len(t) - size + 1] & low
-            own.append(np.unique(codes, return_counts=True))
-    if not own:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, which = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
-    return codes, np.bincount(which, np.concatenate([n for _, n in own])), np.bincount(which)
+#: Stretches are counted in so many parts, by their hash, and windows searched so many at a time: what bounds the driver's memory.
+PARTS, BLOCK = 4, 20_000
+
+
+def _codes(data: bytes, size: int) -> np.ndarray:
+    """The stretch of ``size`` bytes from each place on, as a number."""
+    return eights(np.frombuffer(data, np.uint8))[: max(0, len(data) - size + 1)] & np.uint64((1 << 8 * size) - 1)
+
+
+def _within(codes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each code its place among ``some``, which are in order, or -1."""
+    if not len(some):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(some, codes), len(some) - 1)
+    return np.where(some[at] == codes, at, -1)
 
 
 def excess(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, np.ndarray]:
@@ -149,26 +152,37 @@ def excess(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, np.ndarray]:
     share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
     found = {}
     for size in STRETCHES:
-        codes, times, texts = _stretches(toxic, size)
-        others, seen, _ = _stretches(ordinary, size)
-        at = np.minimum(np.searchsorted(others, codes), max(0, len(others) - 1))
-        there = np.where(others[at] == codes, seen[at], 0.0) if len(others) else np.zeros(len(codes))
-        expected = (there + 1) * share
-        found[size] = codes[(texts >= LEAST_TEXTS) & (times >= EXCESS * expected) & (times - expected >= DEVIATIONS * np.sqrt(expected))]
+        often = []
+        for part in range(PARTS):
+            own = []
+            for t in toxic:
+                codes = _codes(t, size)
+                own.append(np.unique(codes[mixed(codes) % np.uint64(PARTS) == part], return_counts=True))
+            codes, which = np.unique(np.concatenate([c for c, _ in own] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            texts, times = np.bincount(which, minlength=len(codes)), np.bincount(which, np.concatenate([n for _, n in own] or [np.zeros(0)]), len(codes))
+            often.append((codes[texts >= LEAST_TEXTS], times[texts >= LEAST_TEXTS]))
+        codes, times = (np.concatenate(x) for x in zip(*often, strict=True))
+        order = np.argsort(codes)
+        codes, times = codes[order], times[order]
+        seen = np.zeros(len(codes))
+        for k in range(0, len(ordinary), 50):
+            at = _within(np.concatenate([_codes(t, size) for t in ordinary[k : k + 50]]), codes)
+            seen += np.bincount(at[at >= 0], minlength=len(codes))
+        expected = (seen + 1) * share
+        found[size] = codes[(times >= EXCESS * expected) & (times - expected >= DEVIATIONS * np.sqrt(expected))]
     return found
 
 
 def _holding(parts: list[bytes], marks: dict[int, np.ndarray]) -> np.ndarray:
     """Which windows hold one of the stretches."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(p) for p in parts])
     out = np.zeros(len(parts), bool)
-    for size, codes in marks.items():
-        if len(codes) and len(data):
-            own = eights(data)[:-1] & np.uint64((1 << 8 * size) - 1)
-            at = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] == own)
+    for k in range(0, len(parts), BLOCK):
+        block = parts[k : k + BLOCK]
+        data, ends = b"".join(block), np.cumsum([len(p) for p in block])
+        for size, codes in marks.items():
+            at = np.flatnonzero(_within(_codes(data, size), codes) >= 0)
             row = np.searchsorted(ends, at, "right")
-            out[row[at + size <= ends[row]]] = True
+            out[k + row[at + size <= ends[row]]] = True
     return out
 
 
