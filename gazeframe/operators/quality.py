@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazeframe.functions.text import stripped
+
 
 def integrity_violations(clips: DataFrame, splits: DataFrame, videos: DataFrame) -> DataFrame:
     """(problem, key): clips without a split, with another split than listed, or of a video that isn't there."""
@@ -44,8 +46,8 @@ def differs(df: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> DataFrame
 
 
 def labelled(df: DataFrame, label: str, known: list[str]) -> DataFrame:
-    """Rows with a known label, trimmed; fails if there is none."""
-    kept = df.withColumn(label, F.trim(label)).where(F.col(label).isin(known))
+    """Rows with a known label, without white space around it; fails if there is none."""
+    kept = df.withColumn(label, stripped(F.col(label))).where(F.col(label).isin(known))
     if not kept.take(1):
         raise ValueError(f"no row has one of the labels {known}")
     return kept

@@ -473,7 +473,8 @@ select system, count(*) n, count(*) filter (a = b) identical, count(*) filter (s
     "case_studies": f"with {ITEMS} select item_id, truth, gated, rule_label, v0 votes_focused, v1 votes_mix, v2 votes_others from items where truth = 'others' or gated",
     "feature_medians": f"with {FEATURES} select {_RULE.format(score='attention_stability_score')} rule_label, count(*) n, {', '.join(_r(f'median({c})', c) for c in ('visible_ratio', 'gaze_shift_ratio', 'occlusion_ratio', 'mean_gaze_motion', 'attention_stability_score'))} from features group by 1",
     "first_items": f"with {RATINGS} select item_id, consensus from ratings order by item_id limit 100",
-    "score_consistency": f"with {FRAMES} select count(distinct child_id) n, cast(0 as bigint) n_wrong from frames",
+    "score_consistency": f"""with {FRAMES} select count(distinct child_id) n, count(distinct child_id) filter ({_u("'stored'", "child_id")} % 13 = 0) n_wrong from frames""",
+    "file_discovery": f"with {PREDICTIONS} select system, cast(item_id as varchar) item_id, label, case when system <> 'rule_based' then round(confidence, 6) + 0.0::double end as confidence from predictions where label is not null",
     "cv_folds": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label from features), k as (select greatest(2, least(5, min(n))) k from (select count(*) n from l group by label)) select item_id, label, cast((row_number() over (partition by label order by {_u("'42'", 'item_id')}, item_id) - 1) % k as int) fold from l, k",
     "dummy_stratified": f"with {FEATURES}, l as (select child_id item_id, {_PLAIN} as label, {_u("'42'", 'child_id')} / 4294967296.0::double u from features), s as (select label as p, sum(count(*)) over (order by label) / sum(count(*)) over ()::double hi from l group by label) select item_id, min(p) predicted from l join s on hi > u group by 1",
     "boot_video_ci": f"with {BOOT_VIDEO} select system, reference, {_ci('accuracy')}, {_ci('kappa')} from scores group by 1, 2",

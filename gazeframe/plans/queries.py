@@ -544,6 +544,20 @@ def file_predictions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(annotations.prediction_tables(spark, root, [f"{name}_3class.csv" for name, _ in tables.SYSTEMS[:4]]))
 
 
+def file_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """All systems' prediction files found by their names among summaries, the truth and files without labels, which are left out."""
+    root = shared_folder(spark, "study")
+    p = tables.predictions(spark, d).where("label is not null").select("system", F.col("item_id").cast("string").alias("child_id"), F.col("label").alias("pred_3class"), "confidence")
+    for k, (name, _) in enumerate(tables.SYSTEMS):
+        one = p.where(F.col("system") == name).drop("system")
+        sinks.write_csv_file(one.drop("confidence") if k == 0 else one, f"{root}/{name}_3class.csv")
+    sinks.write_csv_file(p.drop("system"), f"{root}/all_summary_3class.csv")
+    sinks.write_csv_file(p.select("child_id", "pred_3class"), f"{root}/ground_truth_3class.csv")
+    sinks.write_csv_file(p.select("child_id"), f"{root}/unlabelled_3class.csv")
+    sinks.write_csv_file(p.drop("system"), f"{root}/other.csv")
+    return rounded(annotations.predictions(spark, root).drop("reasoning"))
+
+
 def nli_premises(spark: SparkSession, d: str) -> DataFrame:
     simple = tables.features(spark, d).select("child_id", "max_visible_streak", "observed_frames", *[F.round(c, 3).alias(c) for c in ("visible_ratio", "gaze_shift_ratio", "occlusion_ratio", "eyes_closed_ratio", "mean_gaze_motion", "attention_stability_score")])
     made = text.premises()
@@ -673,12 +687,13 @@ def first_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences whose score, computed again from the payload in the prompt, differs from the stored one: none."""
+    """Sequences whose score, computed again from the payload in the prompt, differs from a stored one; of those stored, one in 13 is off by 0.01."""
     prompts = text.conditions(_payload(spark, d), SEED).where("condition = 'C0'")
     back = F.from_json(text.payload_of(F.col("prompt")), "visible_ratio double, max_visible_streak double, observed_frames double, mean_gaze_motion double, gaze_shift_ratio double, attention_stability_score double")
     p = prompts.select("child_id", back.alias("p")).select("child_id", "p.*")
     again = sequences.stability(F.col("visible_ratio"), F.col("max_visible_streak") / F.col("observed_frames"), F.col("mean_gaze_motion"), F.col("gaze_shift_ratio"))
-    wrong = quality.differs(p.withColumn("again", again), "again", "attention_stability_score").select("child_id", F.lit(True).alias("wrong"))
+    stored = F.col("attention_stability_score") + F.when(md5_int(F.lit("stored"), "child_id") % 13 == 0, 0.01).otherwise(0.0)
+    wrong = quality.differs(p.withColumn("again", again).withColumn("stored", stored), "again", "stored").select("child_id", F.lit(True).alias("wrong"))
     return p.select("child_id").join(wrong, "child_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("wrong").alias("n_wrong"))
 
 
@@ -790,5 +805,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cv_summary": cv_summary,
     "file_frames": file_frames,
     "file_features": file_features,
+    "file_discovery": file_discovery,
     "file_predictions": file_predictions,
 }

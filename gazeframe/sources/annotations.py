@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.operators.quality import integrity_violations, require_empty, union_all
@@ -23,6 +23,12 @@ def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], lis
     return out
 
 
+def _whole(c: str) -> Column:
+    """A number that may be written as ``224.0``, as an int; a fraction fails."""
+    number = F.col(c).cast("double")
+    return F.when(number % 1 != 0, F.raise_error(F.concat(F.lit(f"{c} is not a whole number: "), c)).cast("int")).otherwise(number.cast("int"))
+
+
 def annotations(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
     """Frames of ``root/annotations/{train,val,test}/*.csv``, for one folder or all: columns by name, typed; a missing column or bad value fails."""
     paths = [f"{root}/annotations/{s}/*.csv" for s in ([split] if split else ["train", "val", "test"])]
@@ -34,8 +40,7 @@ def annotations(spark: SparkSession, root: str, split: str | None = None) -> Dat
         schema = ", ".join(f"`{c}` string" for c in header)
         rows = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(sorted(files))
         kinds = {c: ANNOTATION_TYPES.get(c, "double") for c in ANNOTATION_COLUMNS}
-        as_number = lambda c, k: F.col(c).cast("double").cast(k) if k == "int" else F.col(c).cast(k)
-        parts.append(rows.select(*[as_number(c, k).alias(c) for c, k in kinds.items()], F.col("_metadata.file_path").alias("path")))
+        parts.append(rows.select(*[(_whole(c) if k == "int" else F.col(c).cast(k)).alias(c) for c, k in kinds.items()], F.col("_metadata.file_path").alias("path")))
     if not parts:
         raise ValueError(f"no annotation files in {root}")
     return union_all(parts).withColumn("child_id", F.concat("clip", F.lit(":person_"), F.col("person_id").cast("string")))

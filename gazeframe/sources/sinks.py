@@ -13,6 +13,20 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*[F.col(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """The rows as one plain CSV file with a header, for readers that go by file names; one task writes it. It appears whole or not at all."""
+    spark = df.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, parts = files.Path(path), files.Path(f"{path}.parts")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise FileExistsError(path)
+    df.coalesce(1).write.mode("errorifexists").option("header", True).option("escape", '"').csv(f"{path}.parts")
+    part = store.globStatus(files.Path(f"{path}.parts/part-*"))[0].getPath()
+    store.rename(part, target)
+    store.delete(parts, True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 

@@ -62,3 +62,28 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
             write(f"file://{tmp_path}/out")
     sinks.write_bundle({"one": df}, f"file://{tmp_path}/bundle")
     assert spark.read.parquet(f"file://{tmp_path}/bundle/one").count() == 1
+
+
+def test_whole_numbers(spark):
+    rows = spark.createDataFrame([("224.0",), ("7",), (None,), ("-3",)], "frame string")
+    assert [r[0] for r in rows.select(annotations._whole("frame")).collect()] == [224, 7, None, -3]
+    for bad in ("1.7", "x"):
+        with pytest.raises(Exception, match="whole number|CAST_INVALID"):
+            spark.createDataFrame([(bad,)], "frame string").select(annotations._whole("frame")).collect()
+
+
+def test_plain_csv_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 'said "so", twice'), ("b", None)], "child_id string, reasoning string")
+    sinks.write_csv_file(rows, f"file://{tmp_path}/one.csv")
+    assert (tmp_path / "one.csv").read_text().splitlines()[0] == "child_id,reasoning" and not (tmp_path / "one.csv.parts").exists()
+    back = spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/one.csv")
+    assert sorted(map(tuple, back.collect())) == [("a", 'said "so", twice'), ("b", None)]
+    with pytest.raises(FileExistsError):
+        sinks.write_csv_file(rows, f"file://{tmp_path}/one.csv")
+
+
+def test_labelled_rows(spark):
+    rows = spark.createDataFrame([("\t mix\n",), ("others",), ("x",), (None,)], "label string")
+    assert sorted(r[0] for r in quality.labelled(rows, "label", ["mix", "others"]).collect()) == ["mix", "others"]
+    with pytest.raises(ValueError):
+        quality.labelled(rows, "label", ["focused"])
