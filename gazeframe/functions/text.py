@@ -253,8 +253,9 @@ def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "m
         inline = F.regexp_extract_all(text, F.lit(r"(?s)(\{.*\})"), F.lit(1))
         at = F.instr(text, "{")
         tail = F.when(at > 0, F.array(F.substring(text, at, F.length(text)))).otherwise(F.array().cast("array<string>"))
-        candidates = F.transform(F.concat(F.array(text), fenced, inline, tail), lambda c: _repaired(stripped(c), repair_quotes))
-        return F.try_element_at(F.filter(F.transform(candidates, strict_json), lambda v: v.isNotNull()), F.lit(1))
+        others = F.transform(F.concat(fenced, inline, tail), lambda c: strict_json(_repaired(stripped(c), repair_quotes)))
+        found = F.try_element_at(F.filter(others, lambda v: v.isNotNull()), F.lit(1))
+        return F.coalesce(strict_json(_repaired(text, repair_quotes)), found)  # most texts are JSON as a whole, and are read once
 
     def parsed(first: Column) -> Column:
         field = lambda name: F.try_variant_get(first, f"$[0].{name}", "variant")
