@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import re
+from itertools import chain
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.functions.hashing import md5_int, md5_rank, md5_uniform
@@ -189,48 +194,59 @@ def payload_of(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)Features:\s*(\{.+\})", 1)
 
 
-def _repaired(c: Column, quotes: bool) -> Column:
-    braces = lambda b: F.length(c) - F.length(F.replace(c, F.lit(b)))
-    more = F.greatest(F.lit(0), braces("{") - braces("}"))
-    tail = F.repeat(F.lit("}"), more)
-    if quotes:
-        open_text = c.contains('"reasoning"') & (more > 0)  # taken as cut off inside the reasoning
-        tail = F.when(open_text, F.concat(F.lit('"'), tail)).otherwise(tail)
-    return F.when((c != "") & ~c.endswith("}"), F.concat(c, tail)).otherwise(c)
+def _repaired(c: str, quotes: bool) -> str:
+    more = max(0, c.count("{") - c.count("}"))
+    if c == "" or c.endswith("}"):
+        return c
+    cut = quotes and more > 0 and '"reasoning"' in c  # taken as cut off inside the reasoning
+    return c + '"' * cut + "}" * more
 
 
-#: Stands behind a candidate in an array of two, so that text behind a JSON value makes the array invalid or longer.
-_END = "end-5f0c7c1e9a4b"
-#: Texts that Python's float() reads as a number.
-_NUMBER = r"(?i)[+-]?(inf|infinity|nan|(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?)"
+def _whole(digits: str) -> int | float:
+    return int(digits) if len(digits) < 300 else float(digits)
 
 
-def strict_json(c: Column) -> Column:
-    """An array whose first element is the JSON value that ``c`` is, as a variant; null if ``c`` isn't exactly one value.
+def _strict_json(c: str) -> list:
+    """The JSON value that ``c`` is, in a list; an empty list if it isn't exactly one value.
 
     The grammar is the standard's: no raw control characters in strings, no NaN, no other quotes, nothing behind the value. Of equal keys the last one counts.
     """
-    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
-    return F.when((F.try_variant_get(both, "$[1]", "string") == _END) & ~c.contains(_END), both)
-
+    try:
+        return [json.loads(c, parse_constant=int, parse_int=_whole)]  # int("NaN") fails
+    except (ValueError, RecursionError):
+        return []
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
-
-def _as_text(v: Column) -> Column:
+def _as_text(v) -> str:
     """A JSON value as Python's str() writes it, but for numbers and nested values, which are written as JSON."""
-    kind, plain = _kind(v), v.try_cast("string")
-    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+    return v if isinstance(v, str) else str(v) if v is None or isinstance(v, bool) else json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def _as_number(v: Column) -> Column:
-    """A JSON value as Python's float() reads it; null where float() fails."""
-    kind = _kind(v)
-    spelled = stripped(v.try_cast("string"))
-    read = F.when(spelled.rlike(f"^{_NUMBER}\\z"), F.when(F.lower(spelled).contains("nan"), F.lit(1.0)).otherwise(F.regexp_replace(F.replace(spelled, F.lit("_")), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").try_cast("double")))
-    return F.when(kind == "STRING", read).when(kind != "VOID", v.try_cast("double"))
+def _read(raw: str, allowed: list[str], default: str, rescue: bool, repair_quotes: bool, fold: bool) -> tuple:
+    """(label, confidence, reasoning, status, declared) of one text."""
+    whole = raw.strip()
+    first, last = whole.find("{"), whole.rfind("}")
+    candidates = chain(  # lazily: most texts are JSON as a whole
+        [whole], (m[1] for m in _FENCED.finditer(whole)), [whole[first : last + 1]] if -1 < first < last else [], [whole[first:]] if first > -1 else []
+    )
+    found = next((v for c in candidates if (v := _strict_json(_repaired(c.strip(), repair_quotes)))), [None])[0]
+    if not isinstance(found, dict):
+        return None, None, None, "no_json", None
+    try:
+        number = float(found.get("confidence", 0.0))
+    except (TypeError, ValueError):
+        return None, None, None, "invalid_confidence", None
+    seen = (lambda c: c.strip().lower()) if fold else str.strip
+    declared = seen(_as_text(found.get("label", default)))
+    label = declared if declared in allowed else next((a for a in allowed if rescue and (a in declared or declared in a)), default)
+    shown = _SHOWN.search(whole)
+    status = "ok" if shown and seen(shown[1]) in allowed else "invalid_label"
+    return label, max(0.0, min(1.0, number)), _as_text(found.get("reasoning", "")).strip(), status, declared
+
+
+_FENCED = re.compile(r"```(?:json)?[ \t\n\x0b\f\r]*(.*?)[ \t\n\x0b\f\r]*```", re.S)
+_SHOWN = re.compile(r'"label"[ \t\n\x0b\f\r]*:[ \t\n\x0b\f\r]*"([^"]*)"')
+_PARSED = "struct<label: string, confidence: double, reasoning: string, status: string, declared: string>"
 
 
 def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "mix", rescue: bool = True, repair_quotes: bool = False, fold: bool = True) -> Column:
@@ -241,48 +257,19 @@ def parse_generation(raw: Column, allowed: list[str] = LABELS, default: str = "m
     the first one is no object), ``invalid_confidence`` (no label: null, a list, an object, or a text that is no number),
     ``invalid_label`` (the text that the generation itself shows as its label isn't allowed, or it shows none), ``ok``. A missing
     confidence is 0, true is 1; NaN as a bare word is not JSON.
+
+    Python's own JSON reader does it, an Arrow batch at a time; a text that occurs again in the batch is read once.
     """
-    whole = stripped(F.coalesce(raw, F.lit("")))
-    known = F.array(*[F.lit(a) for a in allowed])
-    shown = stripped(F.regexp_extract(whole, r'"label"\s*:\s*"([^"]*)"', 1))
-    shown = F.lower(shown) if fold else shown
-
-    def chosen(text: Column) -> Column:
-        """The first candidate that is valid JSON, as a variant in an array."""
-        fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
-        inline = F.regexp_extract_all(text, F.lit(r"(?s)(\{.*\})"), F.lit(1))
-        at = F.instr(text, "{")
-        tail = F.when(at > 0, F.array(F.substring(text, at, F.length(text)))).otherwise(F.array().cast("array<string>"))
-        others = F.transform(F.concat(fenced, inline, tail), lambda c: strict_json(_repaired(stripped(c), repair_quotes)))
-        found = F.try_element_at(F.filter(others, lambda v: v.isNotNull()), F.lit(1))
-        return F.coalesce(strict_json(_repaired(text, repair_quotes)), found)  # most texts are JSON as a whole, and are read once
-
-    def parsed(first: Column) -> Column:
-        field = lambda name: F.try_variant_get(first, f"$[0].{name}", "variant")
-        none = ~F.coalesce(_kind(F.try_variant_get(first, "$[0]", "variant")).startswith("OBJECT"), F.lit(False))
-        declared = stripped(F.coalesce(_as_text(field("label")), F.lit(default)))
-        number = F.when(field("confidence").isNull(), F.lit(0.0)).otherwise(_as_number(field("confidence")))
-        reasoning = stripped(F.coalesce(_as_text(field("reasoning")), F.lit("")))
-        return F.struct(none.alias("none"), (F.lower(declared) if fold else declared).alias("declared"), number.alias("number"), reasoning.alias("reasoning"))
-
-    def told(p: Column) -> Column:
-        matched = F.try_element_at(F.filter(known, lambda a: F.contains(a, p.declared) | F.contains(p.declared, a)), F.lit(1)) if rescue else F.lit(None).cast("string")
-        label = F.when(F.array_contains(known, p.declared), p.declared).otherwise(F.coalesce(matched, F.lit(default)))
-        status = F.when(p.none, "no_json").when(p.number.isNull(), "invalid_confidence").when(~F.array_contains(known, shown), "invalid_label").otherwise("ok")
-        good = ~p.none & p.number.isNotNull()
-        return F.struct(
-            F.when(good, label).alias("label"),
-            F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p.number))).alias("confidence"),
-            F.when(good, p.reasoning).alias("reasoning"),
-            status.alias("status"),
-            F.when(good, p.declared).alias("declared"),
-        )
-
-    # each step is an array of one, so that its value is computed once however often the next step names it
-    steps = F.array(whole)
-    for step in (chosen, parsed, told):
-        steps = F.transform(steps, step)
-    return F.element_at(steps, 1)
+
+    def work(column: pa.Array) -> pa.Array:
+        codes = column.fill_null("").dictionary_encode()
+        rows = [_read(x, allowed, default, rescue, repair_quotes, fold) for x in codes.dictionary.to_pylist()]
+        fields = list(zip(*rows, strict=True)) or [()] * 5
+        plain = lambda x: x if x is None else x.encode("utf-8", "replace").decode()  # a lone surrogate has no UTF-8
+        parts = [pa.array(f, pa.float64()) if k == 1 else pa.array(map(plain, f), pa.string()) for k, f in enumerate(fields)]
+        return pa.StructArray.from_arrays(parts, ["label", "confidence", "reasoning", "status", "declared"]).take(codes.indices)
+
+    return F.arrow_udf(work, _PARSED)(raw)
 
 
 def parse_legacy(raw: Column) -> Column:

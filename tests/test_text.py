@@ -177,3 +177,13 @@ def test_scoring(spark):
     got = {r["item_id"]: (r["raw"], r["error"]) for r in scoring.score(prompts.coalesce(1), make, ["item_id"]).collect()}
     assert got == {1: ("A", None), 2: (None, "ValueError"), 3: ("C", None)}
     assert [r[0] for r in scoring.pending(prompts, prompts.where("item_id < 3"), ["item_id"]).select("item_id").collect()] == [3]
+
+
+def test_repeated_and_odd_texts_keep_their_rows(spark):
+    odd = [None, '{"label": "mix", "confidence": 1' + "0" * 400 + "}", '{"label": "mix", "reasoning": "\\ud800"}', '{"label": "mix"}']
+    df = spark.createDataFrame([(i, odd[i % 4]) for i in range(400)], "i int, raw string").repartition(3)
+    parsed = df.select("i", text.parse_generation(F.col("raw")).alias("p"))
+    assert "ArrowEvalPython" in parsed._jdf.queryExecution().executedPlan().toString()  # read by batches, a text once in each
+    wanted = [(None, None, None, "no_json"), ("mix", 1.0, "", "ok"), ("mix", 0.0, "?", "ok"), ("mix", 0.0, "", "ok")]
+    got = parsed.select("i", "p.label", "p.confidence", "p.reasoning", "p.status").collect()
+    assert len(got) == 400 and all(tuple(r)[1:] == wanted[r["i"] % 4] for r in got)
