@@ -64,10 +64,12 @@ PREDICTION = "system string, item_id string, label string, confidence double, re
 def predictions(spark: SparkSession, folder: str, pattern: str = "*_3class.csv", truth: str = "ground_truth_3class.csv") -> DataFrame:
     """(system, item_id, label, confidence, reasoning) of all prediction files; summaries and files without a label are skipped.
 
-    ``pattern``: a glob, or several in braces (``{rule*,llm_*}_3class.csv``). No row if no file qualifies.
+    ``pattern``: a glob, or several in braces (``{rule*,llm_*}_3class.csv``). A match may be one file or a folder of parts
+    that Spark wrote, which many tasks read. No row if none qualifies.
     """
-    listed = spark.read.option("pathGlobFilter", pattern).format("binaryFile").load(folder).select("path")
-    files = [r["path"] for r in listed.collect()]  # one for each system
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    store = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [s.getPath().toString() for s in store.globStatus(found) or []]  # one for each system
     parts = []
     for path in sorted(files):
         name = path.rsplit("/", 1)[1]

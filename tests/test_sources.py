@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gazeframe.operators import quality
+from gazeframe.plans import queries
 from gazeframe.schema import ANNOTATION_COLUMNS
 from gazeframe.sources import annotations, sinks
 
@@ -87,3 +89,22 @@ def test_labelled_rows(spark):
     assert sorted(r[0] for r in quality.labelled(rows, "label", ["mix", "others"]).collect()) == ["mix", "others"]
     with pytest.raises(ValueError):
         quality.labelled(rows, "label", ["focused"])
+
+
+def test_folders_of_parts_are_found_by_name(spark, tmp_path):
+    rows = spark.range(100).selectExpr("cast(id as string) child_id", "'mix' pred_3class", "0.5 confidence").repartition(5)
+    sinks.write_csv(rows, f"file://{tmp_path}/p/a_3class.csv", ["child_id", "pred_3class"])
+    sinks.write_csv(rows, f"file://{tmp_path}/p/b_summary_3class.csv", ["child_id", "pred_3class"])
+    sinks.write_csv(rows, f"file://{tmp_path}/p/other.csv", ["child_id", "pred_3class"])
+    put(tmp_path / "p/c_3class.csv", ["child_id,pred_3class", "x,others"])
+    found = annotations.predictions(spark, f"file://{tmp_path}/p")
+    assert sorted((r["system"], r["n"]) for r in found.groupBy("system").agg(F.count("item_id").alias("n")).collect()) == [("a", 100), ("c", 1)]
+    assert annotations.predictions(spark, f"file://{tmp_path}/p", "{x,y}_3class.csv").count() == 0
+
+
+def test_discovered_files_are_in_parts(spark, tmp_path, monkeypatch):
+    frame = spark.range(100).selectExpr("'rule_based' system", "id item_id", "'mix' label", "0.5D confidence").repartition(4)
+    monkeypatch.setattr(queries.tables, "predictions", lambda spark, d: frame)
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, tag: f"file://{tmp_path}/{tag}")
+    assert queries.file_discovery(spark, "").count() == 100
+    assert len(list((tmp_path / "study/all_summary_3class.csv").glob("part-*"))) > 1
