@@ -56,7 +56,7 @@ def classifiers(n_rows: int, trees: int = 200, rounds: int = 200, seed: int = 42
     return {
         "logistic": LogisticRegression(**common, family="multinomial", regParam=1.0 / max(1, n_rows), standardization=False, maxIter=2000),
         "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5000, tol=1e-4, regParam=1.0 / max(1, n_rows), standardization=False), **common),
-        "random_forest": RandomForestClassifier(**common, numTrees=trees, maxDepth=30, weightCol="weight", seed=seed),
+        "random_forest": RandomForestClassifier(**common, numTrees=trees, maxDepth=30, weightCol="weight", seed=seed, cacheNodeIds=True),
         "boosted": Boosted(GBTClassifier(**common, maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed, validationIndicatorCol="held", validationTol=1e-3)),
     }
 
@@ -213,20 +213,16 @@ def impurity_importance(model: Model) -> list[tuple[str, float]]:
 def permutation_importance(model, rows: DataFrame, repeats: int = 5, seed: int = 42, features: list[str] = MODEL_FEATURES, key: str = "item_id") -> DataFrame:
     """(feature, drop_mean, drop_std) of accuracy when one column is shuffled over rows by md5 ranks; one scoring job for all."""
     spark = rows.sparkSession
-    right = lambda: F.avg(F.when(F.col("label") == F.col("predicted"), 1.0).otherwise(0.0))
-    base = predict(model, rows.drop("label"), key).join(rows.select(key, "label"), key).agg(right().alias("base"))
+    right = lambda: F.avg(F.when(F.col("_id.label") == F.col("predicted"), 1.0).otherwise(0.0))
+    base = predict(model, rows.withColumn("_id", F.struct("label")), "_id").agg(right().alias("base"))
     grid = spark.createDataFrame([(f, r) for f in features for r in range(repeats)], "feature string, repeat int")
     held = rows.select(key, "label", *[F.col(f).cast("double").alias(f) for f in features])
-    wide = held.crossJoin(F.broadcast(grid))
-    value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))]), F.col("feature"))
+    # a row's place among all doesn't depend on the feature, so it is found once
+    placed = md5_rank(held.withColumn("_all", F.lit(1)), ["_all"], "_place", [seed, F.lit("place"), key], key).select(F.col("_place").alias("_other"), F.struct(*features).alias("_from"))
     part = ["feature", "repeat"]
-    placed = md5_rank(wide.withColumn("_value", value), part, "_place", [seed, F.lit("place"), key], key)
-    ranked = md5_rank(placed, part, "_other", [seed, "feature", "repeat", key], key)
-    moved = ranked.drop("_value").join(ranked.select("feature", "repeat", F.col("_place").alias("_other"), "_value"), ["feature", "repeat", "_other"])
-    shuffled = moved.select(
-        F.concat_ws("|", "feature", F.col("repeat").cast("string"), F.col(key).cast("string")).alias("_id"), "feature", "repeat", "label",
-        *[F.when(F.col("feature") == f, F.col("_value")).otherwise(F.col(f)).alias(f) for f in features],
-    )
-    scored = predict(model, shuffled.drop("label"), "_id").join(shuffled.select("_id", "feature", "repeat", "label"), "_id")
+    ranked = md5_rank(held.crossJoin(F.broadcast(grid)), part, "_other", [seed, "feature", "repeat", key], key)
+    moved = ranked.join(placed, "_other")
+    shuffled = moved.select(F.struct("feature", "repeat", "label").alias("_id"), *[F.when(F.col("feature") == f, F.col(f"_from.{f}")).otherwise(F.col(f)).alias(f) for f in features])
+    scored = predict(model, shuffled, "_id").select("_id.feature", "_id.repeat", "_id", "predicted")
     drops = scored.groupBy("feature", "repeat").agg(right().alias("accuracy")).crossJoin(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("accuracy"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("drop_mean"), F.stddev_pop("drop").alias("drop_std"))

@@ -85,3 +85,16 @@ def test_bundle(spark, rows, tmp_path):
     predicted.limit(3).write.mode("overwrite").parquet(f"{path}/predictions")
     with pytest.raises(Exception, match="not the rows"):
         sinks.read_manifest(spark, path).collect()
+
+
+def test_forests_keep_their_rows_nodes():
+    """Else each level sends all trees to the tasks and walks every row down from every root."""
+    assert learn.classifiers(10)["random_forest"].getCacheNodeIds()
+
+
+def test_places_are_ranked_once(spark):
+    rows = spark.createDataFrame([(i, "mix" if i % 2 else "focused", float(i % 2), float(i)) for i in range(40)], "item_id long, label string, a double, b double")
+    model = learn.fit(rows, learn.classifiers(40, trees=3)["random_forest"], ["a", "b"])
+    drops = learn.permutation_importance(model, rows, 2, features=["a", "b"])
+    plan = drops._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2 and drops.count() == 2
