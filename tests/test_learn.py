@@ -87,7 +87,7 @@ def test_bundle(spark, rows, tmp_path):
         sinks.read_manifest(spark, path).collect()
 
 
-def test_forests_keep_their_rows_nodes():
+def test_forests_keep_their_rows_nodes(spark):
     """Else each level sends all trees to the tasks and walks every row down from every root."""
     assert learn.classifiers(10)["random_forest"].getCacheNodeIds()
 
