@@ -128,13 +128,13 @@ def permutation_test(null: DataFrame, observed: DataFrame) -> DataFrame:
     return known.join(p, "system")
 
 
-def rank_shuffled(predictions: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(system, rep, item_id, label): labels shuffled over items within each system.
+def rank_shuffled(predictions: DataFrame, replicates: int, seed: int, keep: list[str] | None = None) -> DataFrame:
+    """(system, rep, item_id, keep..., label): labels shuffled over items within each system.
 
     The item at the r-th place by md5 of (seed, system, rep, item) gets the label of the r-th item by md5 of (``place``, item).
+    Places are the same in all replicates, so they are found once; a replicate ranks its items and meets one row for each place.
     """
-    reps = predictions.select("system", "item_id", "label").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    placed = md5_rank(reps, ["system", "rep"], "place", [F.lit("place"), "item_id"], "item_id")
-    ranked = md5_rank(placed, ["system", "rep"], "shuffled", [seed, "system", "rep", "item_id"], "item_id")
-    labels = ranked.select("system", "rep", F.col("place").alias("shuffled"), "label")
-    return ranked.drop("label", "place").join(labels, ["system", "rep", "shuffled"]).select("system", "rep", "item_id", "label")
+    placed = md5_rank(predictions.select("system", "item_id", "label"), ["system"], "_at", [F.lit("place"), "item_id"], "item_id").select("system", "_at", "label")
+    reps = predictions.select("system", "item_id", *(keep or [])).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    ranked = md5_rank(reps, ["system", "rep"], "_at", [seed, "system", "rep", "item_id"], "item_id")
+    return ranked.join(placed, ["system", "_at"]).select("system", "rep", "item_id", *(keep or []), "label")
