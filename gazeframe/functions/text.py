@@ -157,34 +157,36 @@ def entailment_labels(scores: DataFrame, keys: list[str]) -> DataFrame:
     return soft.groupBy(*keys).agg(F.max_by("label", F.struct("logit", -label_order(F.col("label")))).alias("label"), (F.max("_e") / F.sum("_e")).alias("confidence"))
 
 
-def fewshot_examples(items: DataFrame, seed: int) -> DataFrame:
-    """(item_id, place, example_id, label): for each item one example of each label from another cluster, in random order.
+def fewshot_examples(items: DataFrame, seed: int, keep: list[str] | None = None) -> DataFrame:
+    """(item_id, place, example_id, label, keep...): for each item one example of each label from another cluster, in random order.
 
-    ``items``: (item_id, cluster, label). The items of a label stand in one order, cluster by cluster and by md5 within;
-    those outside a cluster are all but one stretch of it. So a target draws a place among them by md5 and meets one
-    row, however many items a label or a cluster has.
+    ``items``: (item_id, cluster, label); ``keep`` names more of its columns, which travel with the examples. The items of a
+    label stand in one order, cluster by cluster and by md5 within; those outside a cluster are all but one stretch of it. So
+    a target draws a place among them by md5 and meets one row, however many items a label or a cluster has. What a cluster
+    leaves of each label is a small row that every target gets, so its examples have their places before they are met.
     """
-    ranked = md5_rank(items, ["label", "cluster"], "_rank", [seed, "item_id"], "item_id")
-    counts = items.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_own"))
+    kept = items.where("label is not null and cluster is not null")
+    ranked = md5_rank(kept, ["label", "cluster"], "_rank", [seed, "item_id"], "item_id")
+    counts = kept.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_own"))
     by_cluster = Window.partitionBy("label").orderBy("cluster")  # a row for each label and cluster
     starts = counts.withColumn("_start", F.sum("_own").over(by_cluster) - F.col("_own"))
-    order = ranked.join(starts, ["label", "cluster"]).select("label", (F.col("_start") + F.col("_rank") - 1).alias("_at"), F.col("item_id").alias("example_id"))
+    order = ranked.join(F.broadcast(starts), ["label", "cluster"]).select("label", (F.col("_start") + F.col("_rank") - 1).alias("_at"), F.col("item_id").alias("example_id"), *(keep or []))
     totals = counts.groupBy("label").agg(F.sum("_own").alias("_all"))
     clusters = items.select("cluster").distinct().crossJoin(F.broadcast(totals))  # a few labels for each cluster
     room = clusters.join(starts, ["label", "cluster"], "left").fillna(0, ["_own", "_start"]).where("_all > _own")
-    targets = items.select("item_id", "cluster").join(room, "cluster")
+    rooms = room.groupBy("cluster").agg(F.collect_list(F.struct("label", "_own", "_start", "_all")).alias("_rooms"))
+    placed = F.array_sort(F.transform("_rooms", lambda r: F.struct(md5_int(seed, "item_id", F.lit("place"), r.label).alias("_md5"), r.label.alias("label"), r["_own"].alias("_own"), r["_start"].alias("_start"), r["_all"].alias("_all"))))
+    targets = items.select("item_id", "cluster").join(F.broadcast(rooms), "cluster").select("item_id", F.posexplode(placed).alias("_pos", "r")).select("item_id", (F.col("_pos") + 1).alias("place"), "r.*")
     pick = F.pmod(md5_int(seed, "item_id", "label"), F.col("_all") - F.col("_own"))
-    drawn = targets.withColumn("_pick", pick).withColumn("_at", F.when(F.col("_pick") < F.col("_start"), F.col("_pick")).otherwise(F.col("_pick") + F.col("_own")))
-    chosen = drawn.join(order, ["label", "_at"]).select("item_id", "example_id", "label")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(md5_int(seed, "item_id", F.lit("place"), "label"), "label"))
-    return chosen.select("item_id", place.alias("place"), "example_id", "label")
+    drawn = targets.withColumn("_pick", pick).select("item_id", "place", "label", F.when(F.col("_pick") < F.col("_start"), F.col("_pick")).otherwise(F.col("_pick") + F.col("_own")).alias("_at"))
+    return drawn.join(order.hint("shuffle_hash"), ["label", "_at"]).select("item_id", "place", "example_id", "label", *(keep or []))  # one row for each key
 
 
-def fewshot_prompts(prompts: DataFrame, examples: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(item_id, prompt) with the examples before the anchor. prompts: (item_id, prompt); payloads: (item_id, payload)."""
+def fewshot_prompts(prompts: DataFrame, examples: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """(item_id, prompt) with the examples before the anchor. prompts: (item_id, prompt); payloads: (item_id, payload), or none if examples have ``payload``."""
     text = F.concat(F.lit("Example "), F.col("place").cast("string"), F.lit(":\nFeatures:\n"), "payload", F.lit("\nCategory: "), "label", F.lit("\n\n"))
-    told = examples.join(payloads.withColumnRenamed("item_id", "example_id"), "example_id").groupBy("item_id")
-    block = told.agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("e"))
+    told = examples if payloads is None else examples.join(payloads.withColumnRenamed("item_id", "example_id"), "example_id")
+    block = told.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("e"))
     shown = F.concat(F.lit(FEWSHOT_INTRO), F.array_join(F.transform("e", lambda x: x.text), ""), F.lit(FEWSHOT_OUTRO))
     return prompts.join(block, "item_id").select("item_id", insert_before(F.col("prompt"), shown).alias("prompt"))
 

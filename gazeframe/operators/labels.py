@@ -18,7 +18,7 @@ def to_three(label: Column, strict: bool = True) -> Column:
     """Three-class label of a five- or three-class one; null and empty give null. Unknown ones fail, or give null if not strict."""
     pairs = {**FIVE_TO_THREE, **{x: x for x in LABELS}}
     table = F.create_map(*[F.lit(x) for x in chain(*pairs.items())])
-    found = F.try_element_at(table, stripped(label))
+    found = F.coalesce(F.try_element_at(table, label), F.try_element_at(table, stripped(label)))  # white space is looked for in labels that aren't known as they are
     unknown = F.raise_error(F.concat(F.lit("unknown label: "), label)).cast("string") if strict else F.lit(None).cast("string")
     return F.when(label.isNull() | (label == ""), F.lit(None).cast("string")).when(found.isNotNull(), found).otherwise(unknown)
 

@@ -70,7 +70,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = joined.select(
         F.col("o_orderkey").alias("item_id"), F.col("c_nationkey").alias("cluster"), F.col("o_custkey").alias("fine_cluster"), "o_orderstatus", "o_orderpriority"
     )
-    raters = rated.select("item_id", "cluster", "fine_cluster", labels.to_three(status).alias("rater1"), labels.to_three(five).alias("rater2"))
+    said = rated.select("item_id", "cluster", "fine_cluster", status.alias("_one"), five.alias("_two"))  # columns, as the map reads a label several times
+    both = F.struct(labels.to_three(F.col("_one")).alias("rater1"), labels.to_three(F.col("_two")).alias("rater2"))
+    raters = said.select("item_id", "cluster", "fine_cluster", F.inline(F.array(both)))  # filters on ratings stay behind ``inline``, where they don't read the map again
     pick = F.when((F.col("rater1") == F.col("rater2")) | (md5_int(F.lit("consensus"), "item_id") % 2 == 0), F.col("rater1")).otherwise(F.col("rater2"))
     return raters.withColumn("consensus", pick)
 
@@ -79,13 +81,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(system, item_id, label, confidence) of eight systems; one of them lacks some labels."""
     grid = spark.createDataFrame(SYSTEMS, "system string, error int")
     rows = ratings(spark, sf_dir).select("item_id", "consensus").crossJoin(F.broadcast(grid))
-    u = md5_int(F.lit("label"), "system", "item_id")
-    order = labels.label_order(F.col("consensus")) - 1
+    rows = rows.withColumn("u", md5_int(F.lit("label"), "system", "item_id"))
+    u, order = F.col("u"), labels.label_order(F.col("consensus")) - 1
     turned = F.element_at(F.array(*[F.lit(c) for c in labels.LABELS]), (F.pmod(order + 1 + F.floor(u / 100) % 2, F.lit(3)) + 1).cast("int"))
     label = F.when(F.col("error") < 0, "focused").when(u % 100 < F.col("error"), turned).otherwise(F.col("consensus"))
     missing = (F.col("system") == "nli_bart") & (md5_int(F.lit("missing"), "item_id") % 20 == 0)
     confidence = F.round((md5_int(F.lit("confidence"), "system", "item_id") % 101) / F.lit(100.0), 2)
-    return rows.select("system", "item_id", F.when(~missing, label).alias("label"), confidence.alias("confidence"))
+    # ``inline`` keeps filters on labels from being pushed down to where they would draw each label again
+    labelled = rows.select("system", "item_id", F.inline(F.array(F.struct(F.when(~missing, label).alias("label")))))
+    return labelled.select("system", "item_id", "label", confidence.alias("confidence"))
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:

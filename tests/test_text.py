@@ -150,6 +150,19 @@ def test_fewshot(spark):
     assert made.count("Category: ") == 3 and made.index(text.FEWSHOT_OUTRO) < made.index(text.ANCHOR)
 
 
+def test_fewshot_places_and_payloads(spark):
+    """Items without a cluster or label are no examples, so each other item has all its examples; columns travel with them."""
+    rows = [(i, None if i % 5 == 0 else i % 4, None if i % 7 == 0 else text.LABELS[i % 3], f"p{i}") for i in range(80)]
+    items = spark.createDataFrame(rows, "item_id long, cluster int, label string, payload string")
+    got = {}
+    for r in text.fewshot_examples(items, 1, ["payload"]).collect():
+        assert r["payload"] == f"p{r['example_id']}" and r["example_id"] % 5 and r["example_id"] % 7 and text.LABELS[r["example_id"] % 3] == r["label"]
+        got.setdefault(r["item_id"], {})[r["place"]] = r["label"]
+    assert set(got) == {i for i in range(80) if i % 5} and all(sorted(g) == [1, 2, 3] and sorted(g.values()) == sorted(text.LABELS) for g in got.values())
+    made = text.fewshot_prompts(items.select("item_id", text.prompt(F.lit("{}")).alias("prompt")), text.fewshot_examples(items, 1, ["payload"]))
+    assert made.count() == len(got) and made.first()["prompt"].count("Category: ") == 3
+
+
 def test_votes_round_trip(spark):
     df = spark.createDataFrame([(1, 6, 0)], "f int, m int, o int")
     t = df.select(text.vote_text({"focused": F.col("f"), "mix": F.col("m"), "others": F.col("o")}).alias("t"))
