@@ -190,10 +190,10 @@ def item_difficulty(rows: DataFrame) -> DataFrame:
 
 def disagreement_zone(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
     """For items whose raters differ: how many systems side with the first, with the second, or with neither."""
-    split = ratings.where("rater1 <> rater2")
+    split = ratings.where("rater1 <> rater2").select("item_id", "rater1", "rater2")
     return (
         predictions.where("label is not null")
-        .join(split, "item_id")
+        .join(split.hint("shuffle_hash"), "item_id")  # a row for each item is held, the many predictions pass by unsorted
         .groupBy("item_id", "rater1", "rater2")
         .agg(
             F.count_if(F.col("label") == F.col("rater1")).alias("sided_rater1"),

@@ -85,3 +85,17 @@ def test_halves_round_as_in_sql(spark):
         want = con.execute("select round($1::double, 2), round($1::double, 3), round($1::double, 6)", [r["x"]]).fetchall()[0]
         assert repr(want) == repr((r["r2"], r["r3"], r["r6"])), r["x"]
     assert (0.57,) in {(r["r2"],) for r in got if r["x"] == 46 / 80}
+
+
+@pytest.mark.parametrize("name", ["fewshot_prompts"])
+def test_fewshot_against_sql(spark, name):
+    test_against_sql(spark, name)
+
+
+def test_disagreement_zone_draws_each_label_once(spark):
+    """A filter on ratings or labels must not make the plan draw them again, and the many predictions are not sorted."""
+    query = study.disagreement_zone(spark, SF)._jdf.queryExecution()
+    plan = query.optimizedPlan().toString()
+    assert plan.count("concat_ws(|, label,") == 1 and plan.count("concat_ws(|, r2,") == 2  # once for ratings, once for those that predictions start from
+    assert "SortMergeJoin" not in query.executedPlan().toString()
+    test_against_sql(spark, "disagreement_zone")
