@@ -31,9 +31,10 @@ def with_references(predictions: DataFrame, ratings: DataFrame, references: tupl
 def reference_cells(predictions: DataFrame, ratings: DataFrame, by: list[str], references: tuple[str, ...] = ("rater1", "rater2", "consensus")) -> DataFrame:
     """(by..., reference, truth, label, n): items are counted by all references at once, and only the counts fall apart by reference.
 
-    ``by`` names columns of predictions or ratings. For each of its groups there are 27 times 3 counts at most.
+    ``by`` names columns of predictions or ratings. For each of its groups there are 27 times 3 counts at most. Ratings, a row
+    for each item, are hashed, so that the many predictions pass by unsorted.
     """
-    counted = predictions.where("label is not null").join(ratings, "item_id").groupBy(*by, *references, "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = predictions.where("label is not null").join(ratings.hint("shuffle_hash"), "item_id").groupBy(*by, *references, "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
     pairs = ", ".join(f"'{r}', {r}" for r in references)
     long = counted.select(*by, "label", "n", F.expr(f"stack({len(references)}, {pairs}) as (reference, truth)"))
     return long.where("truth is not null").groupBy(*by, "reference", "truth", "label").agg(F.sum("n").alias("n"))

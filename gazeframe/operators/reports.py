@@ -14,7 +14,7 @@ def condition_metrics(rows: DataFrame, ratings: DataFrame, rule: DataFrame) -> D
     ``others``, agreement with the rule. rows: (system, condition, item_id, label, status); rule: (item_id, rule_label)."""
     by = ["system", "condition"]
     counts = (
-        rows.join(rule, "item_id")
+        rows.join(rule.hint("shuffle_hash"), "item_id")  # a row for each item is held, the rows pass by unsorted
         .groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -24,7 +24,7 @@ def condition_metrics(rows: DataFrame, ratings: DataFrame, rule: DataFrame) -> D
             F.avg(F.when(F.col("label") == F.col("rule_label"), 1.0).otherwise(0.0)).alias("agree_with_rule"),
         )
     )
-    table = agreement.confusion(agreement.cells(agreement.with_references(rows, ratings), [*by, "reference"]), [*by, "reference"])
+    table = agreement.confusion(agreement.reference_cells(rows, ratings, by), [*by, "reference"])
     scores = table.select(*by, "reference", agreement.accuracy().alias("accuracy"), agreement.kappa().alias("kappa"), agreement.f1("others").alias("f1_others"))
     of = lambda c, r: F.max(F.when(F.col("reference") == r, F.col(c)))
     wide = scores.groupBy(*by).agg(

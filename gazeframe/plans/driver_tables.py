@@ -125,10 +125,11 @@ CONDITIONS = ["C0", "C1", "C2"]
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(system, condition, item_id, label, status) of the LLM systems; conditions after the first change some labels."""
     rows = predictions(spark, sf_dir).where("system like 'llm%'").withColumn("condition", F.explode(F.array(*[F.lit(c) for c in CONDITIONS])))
-    u = md5_int("condition", "system", "item_id")
+    u = F.col("u")
     label = F.when((F.col("condition") != "C0") & (u % 10 < 2), "mix").otherwise(F.col("label"))
     status = F.when(u % 25 == 0, "no_json").when(u % 25 == 1, "invalid_label").otherwise("ok")
-    return rows.select("system", "condition", "item_id", label.alias("label"), status.alias("status"))
+    drawn = rows.withColumn("u", md5_int("condition", "system", "item_id")).select("system", "condition", "item_id", "u", F.inline(F.array(F.struct(label.alias("label")))))
+    return drawn.select("system", "condition", "item_id", "label", status.alias("status"))
 
 
 def rule_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,15 @@ def test_disagreement_zone_draws_each_label_once(spark):
     assert plan.count("concat_ws(|, label,") == 1 and plan.count("concat_ws(|, r2,") == 2  # once for ratings, once for those that predictions start from
     assert "SortMergeJoin" not in query.executedPlan().toString()
     test_against_sql(spark, "disagreement_zone")
+
+
+@pytest.mark.parametrize("name", ["condition_kappa", "boot_kappa_multinomial"])
+def test_predictions_are_counted_unsorted(spark, name):
+    """Items are hashed where predictions meet them, so that a task's memory goes with items; labels are drawn once for each join."""
+    query = entry.queries()[name](spark, SF)._jdf.queryExecution()
+    joins = {"condition_kappa": 2, "boot_kappa_multinomial": 1}[name]
+    assert query.executedPlan().toString().count("ShuffledHashJoin") == joins
+    plan = query.optimizedPlan().toString()
+    assert plan.count("concat_ws(|, condition") == (joins if name == "condition_kappa" else 0)
+    assert plan.count("concat_ws(|, label,") == {"condition_kappa": 3, "boot_kappa_multinomial": 1}[name]  # the rule's labels are a table of their own
+    test_against_sql(spark, name)
