@@ -51,6 +51,11 @@ def paired_difference(replicates: DataFrame, base: str, value: str) -> DataFrame
     return out.withColumn("excludes_zero", (F.col("diff_lo") > 0) | (F.col("diff_hi") < 0))
 
 
+def dealt(reps: DataFrame, keys: list[str]) -> DataFrame:
+    """Replicates over all cores: their rows are few bytes, which would be put together into one task if no number were given."""
+    return reps.repartition(reps.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def item_replicates(cell_counts: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
     """(by..., rep, truth, label, n): resamples of items with replacement, drawn on the nine cells (truth, label) of each group.
 
@@ -60,7 +65,7 @@ def item_replicates(cell_counts: DataFrame, by: list[str], replicates: int, seed
     kinds = [(t, y) for t in LABELS for y in LABELS]
     counts = [F.coalesce(F.sum(F.when((F.col("truth") == t) & (F.col("label") == y), F.col("n"))), F.lit(0)).cast("double") for t, y in kinds]
     groups = cell_counts.groupBy(*by).agg(F.array(*counts).alias("cells"))
-    reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*by, "rep")
+    reps = dealt(groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), [*by, "rep"])
     reps = reps.withColumn("u", draws.uniforms(lambda i: md5_int(seed, *by, "rep", i), len(kinds)))
     drawn = draws.drawn(reps, [*by, "rep"], ["u", "cells"], lambda u, cells: draws.with_replacement(u, cells, cells.sum(1)))
     cells = F.array(*[F.struct(F.lit(t).alias("truth"), F.lit(y).alias("label"), F.get("drawn", F.lit(i)).alias("n")) for i, (t, y) in enumerate(kinds)])
@@ -97,7 +102,7 @@ def permutation_null(item_cells: DataFrame, replicates: int, seed: int) -> DataF
         F.array(*[count((F.col("rater1") == a) & (F.col("rater2") == b)) for a, b in pairs]).alias("cells"),
         F.array(*[count(F.col("label") == c) for c in LABELS]).alias("labels"),
     )
-    reps = tables.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("system", "rep")
+    reps = dealt(tables.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), ["system", "rep"])
     reps = reps.withColumn("u", draws.uniforms(lambda i: md5_int(seed, "system", "rep", i // len(pairs), i % len(pairs)), 2 * len(pairs)))
     first = np.array([[p[side] == c for p in pairs] for side in (0, 1) for c in LABELS], float)  # which pairs have a rating
 
