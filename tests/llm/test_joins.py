@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gazeframe.llm import embedding_join, jaccard
 from gazeframe.llm.common import components
@@ -185,3 +186,41 @@ def test_embeddings_of_many_lengths_and_copies(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(100, long.tolist()), (101, (long + 0.1).tolist()), (102, [5.0]), (103, [7.0]), (104, [-1.0]), (5, [3.0, 2.0, -1.0])]
     got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {(i, 39, 0) for i in range(40)} | {(100, 1, 100), (101, 1, 100), (102, 1, 102), (103, 1, 102), (104, 0, 104)}
+
+
+def test_first_grams_travel_in_packets(spark, monkeypatch):
+    """No row for each n-gram, nor the sets themselves, goes through a shuffle before clusters are known; blocks of any size find the same classes."""
+    docs = corpus(9, 200) + [(7, "one two three four five six"), (None, "one two three four five six")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    prints, full = jaccard.fingerprints(df)
+    classes = prints.where("doc_id is not null and n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"))
+    found = {}
+    for held in (1 << 21, 40):
+        monkeypatch.setattr(jaccard, "HELD_GRAMS", held)
+        got = jaccard.likely(df, classes, full, 5, 80)
+        assert "hashpartitioning(gram" not in got._jdf.queryExecution().executedPlan().toString()
+        found[held] = {r["print"] for r in got.collect()}
+    sets = jaccard.class_sets(df, classes, 5)
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    grams = {r["print"]: np.frombuffer(r["grams"], np.uint64) for r in sets.collect()}
+    rank, want = jaccard._ranks(full), set()
+    first = {x: set(jaccard._smallest(jaccard._keys(g, rank), sum(jaccard.prefix(len(g), 80)) - 1).tolist()) for x, g in grams.items()}
+    for x, own in first.items():
+        least = jaccard.required(len(grams[x]), 80)
+        if sum(any(g in o for y, o in first.items() if y != x) for g in own) >= jaccard.prefix(least, 80)[1]:
+            want.add(x)
+    assert found[40] == found[1 << 21] == want and 0 < len(want) < len(grams)
+
+
+def test_packets_and_blocks_that_are_not_whole():
+    rng = np.random.default_rng(1)
+    cells, who = np.sort(rng.integers(0, 1 << 28, 9000).astype(np.uint32)), rng.integers(0, 1 << 16, 9000).astype(np.uint16)
+    packet = jaccard._packet(cells, who)
+    assert all((a == b).all() for a, b in zip(jaccard._unpacked(packet), (cells, who), strict=True)) and len(packet) < 5 * 9000
+    keys = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    rows = jaccard._packets(np.concatenate([keys, keys[:100]]), np.repeat(np.arange(2, dtype=np.uint16), [500, 100]), np.array([11, 22]), 7)
+    order = np.argsort(rows.column(0).to_numpy(), kind="stable")
+    answers = list(jaccard._answers(iter([rows.take(order)])))
+    assert {(r["print"], r["n"]) for b in jaccard._counted(iter(answers)) for r in b.to_pylist()} == {(11, 100), (22, 100)}
+    with pytest.raises(RuntimeError, match="not whole"):
+        list(jaccard._counted(iter(answers[:-1])))
