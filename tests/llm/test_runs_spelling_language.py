@@ -162,6 +162,17 @@ def test_pivots_are_the_lightest_pair_that_does_not_overlap():
         assert sum(weights[p] for p in pair) == min(weights[i] + weights[j] for i in prefix for j in prefix if j - i >= 2)
 
 
+def test_words_and_their_keys_are_never_broadcast(spark, tmp_path):
+    """Few compressed bytes of words are a dozen times as many keys: no table of words may go through the driver, however small it looks."""
+    words = [f"{a}{b}ordinary{c}" for a in "abcdefgh" for b in "klmnop" for c in "uvwxyz"]
+    spark.createDataFrame([(w, 2) for w in words], "word string, n long").write.parquet(f"{tmp_path}/words")
+    table = spark.read.parquet(f"{tmp_path}/words")
+    for found in (spelling.near_pairs(table), spelling.group(table)):
+        assert found.count() > 0
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chains_of_forms(spark):
     chain = ["aaaaaaa" + "b" * i for i in range(6)]
     words = spark.createDataFrame([(w, 2 * 10**i) for i, w in enumerate(chain)], "word string, n long")
