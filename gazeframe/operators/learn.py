@@ -5,9 +5,11 @@ Folds come from md5 ranks within each class, so they are the same on any partiti
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +22,11 @@ from gazeframe.schema import MODEL_FEATURES
 from gazeframe.sources.shared import shared_folder, stored
 from gazeframe.sources.sinks import write_bundle
 
+#: Rows times trees that a lot of a forest is fitted to, at about 12 bytes each over all executors; nodes of a lot, at
+#: about a kilobyte each on the driver. One tree is the least.
+MOST_TREE_ROWS = 20_000_000
+MOST_NODES = 200_000
+
 
 def folds(rows: DataFrame, seed: int = 42, most: int = 5, key: str = "item_id") -> DataFrame:
     """Adds ``fold``: stratified; as many folds as the rarest class has items, from 2 to ``most``."""
@@ -99,13 +106,18 @@ class Model:
         return rows.withColumn("scaled", array_to_vector(F.array(*parts)))
 
 
-def fit(train: DataFrame, classifier, features: list[str] = MODEL_FEATURES) -> Model:
-    """A model of ``train`` (label, features); a class that isn't there can't be predicted. Scaling is by the mean and the population deviation."""
+def _prepared(train: DataFrame, features: list[str]) -> tuple[Model, DataFrame]:
+    """A model that only scales as yet, and the rows that train it: scaled, y, weight."""
     summary = train.agg(F.array_sort(F.collect_set("label")).alias("labels"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("spread", F.stddev_pop))]).first()
     model = Model(summary["labels"], {c: (summary[f"mean_{c}"] or 0.0, summary[f"spread_{c}"] or 0.0) for c in features}, None)
     known = F.array(*[F.lit(x) for x in model.labels])
     rows = model.scaled(balanced_weights(train.where("label is not null"))).withColumn("y", (F.array_position(known, F.col("label")) - 1).cast("double"))
-    rows = rows.select("scaled", "y", "weight").persist()  # every round of a fit reads them; a lost block is computed again
+    return model, rows.select("scaled", "y", "weight").persist()  # every round of a fit reads them; a lost block is computed again
+
+
+def fit(train: DataFrame, classifier, features: list[str] = MODEL_FEATURES) -> Model:
+    """A model of ``train`` (label, features); a class that isn't there can't be predicted. Scaling is by the mean and the population deviation."""
+    model, rows = _prepared(train, features)
     model.stage = classifier.fit(rows)
     rows.unpersist()
     return model
@@ -210,6 +222,32 @@ def impurity_importance(model: Model) -> list[tuple[str, float]]:
     return sorted(zip(model.scales, model.stage.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
+def forest_importance(train: DataFrame, forest: RandomForestClassifier, features: list[str] = MODEL_FEATURES) -> list[tuple[str, float]]:
+    """``impurity_importance`` of ``forest`` fitted to ``train`` (label, features), without holding all its trees.
+
+    The driver grows a forest's nodes, and a row carries two numbers for each tree. A forest's importance is the mean of its
+    trees', so the trees are fitted some at a time, each lot with a seed of its own, and only what a lot adds up to stays.
+    A forest that is one lot is the one that ``fit`` makes.
+    """
+    model, rows = _prepared(train, features)
+    n, trees, done, most_nodes = max(1, rows.count()), forest.getNumTrees(), 0, 1
+    total = np.zeros(len(features))
+    while done < trees:
+        lot = min(trees - done, MOST_TREE_ROWS // n, MOST_NODES // most_nodes)
+        if not done and trees * n > 5 * MOST_NODES:  # the first lot tells how large trees grow, so where rows are many it is a small one
+            lot = min(lot, MOST_NODES // n)
+        lot = max(1, lot)
+        grown = forest.copy({forest.numTrees: lot, forest.seed: forest.getSeed() + done}).fit(rows)
+        nodes = [tree.numNodes for tree in grown.trees]
+        most_nodes = max(most_nodes, *nodes)
+        total += grown.featureImportances.toArray() * sum(k > 1 for k in nodes)  # trees that split count alike
+        done += lot
+        del grown  # else the driver's Java side keeps it
+        gc.collect()
+    rows.unpersist()
+    return sorted(zip(features, (total / (total.sum() or 1.0)).tolist(), strict=True), key=lambda x: -x[1])
+
+
 def permutation_importance(model, rows: DataFrame, repeats: int = 5, seed: int = 42, features: list[str] = MODEL_FEATURES, key: str = "item_id") -> DataFrame:
     """(feature, drop_mean, drop_std) of accuracy when one column is shuffled over rows by md5 ranks; one scoring job for all."""
     spark = rows.sparkSession

@@ -98,3 +98,28 @@ def test_places_are_ranked_once(spark):
     drops = learn.permutation_importance(model, rows, 2, features=["a", "b"])
     plan = drops._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [row_number()") == 2 and drops.count() == 2
+
+
+def test_importance_by_lots_of_trees(rows, monkeypatch):
+    """One lot gives the forest's own importance; with many rows no fit holds more trees than the bounds, all trees are there, and the greatest stays first."""
+    forest = learn.classifiers(240, trees=12)["random_forest"]
+    whole = dict(learn.impurity_importance(learn.fit(rows, forest)))
+    assert dict(learn.forest_importance(rows, forest)) == pytest.approx(whole, abs=1e-12)
+    lots, own = [], type(forest)._fit
+    monkeypatch.setattr(type(forest), "_fit", lambda self, df: lots.append((self.getNumTrees(), self.getSeed())) or own(self, df))
+    monkeypatch.setattr(learn, "MOST_TREE_ROWS", 5 * 240)
+    monkeypatch.setattr(learn, "MOST_NODES", 500)
+    found = learn.forest_importance(rows, forest)
+    assert sum(n for n, _ in lots) == 12 and lots[0][0] == 2 and max(n for n, _ in lots) <= 5 and len({s for _, s in lots}) == len(lots)
+    assert found[0][0] == MODEL_FEATURES[0] and sum(v for _, v in found) == pytest.approx(1) and dict(found) == pytest.approx(whole, abs=0.1)
+
+
+def test_the_query_fits_its_forest_by_lots(spark, monkeypatch):
+    from gazeframe.plans import queries as study
+
+    sizes, own = [], learn.RandomForestClassifier._fit
+    monkeypatch.setattr(learn.RandomForestClassifier, "_fit", lambda self, df: sizes.append(self.getNumTrees()) or own(self, df))
+    monkeypatch.setattr(study, "_learnable", lambda s, d: s.createDataFrame([(i, LABELS[i % 3], *[float((i * 7 + k) % 11) for k in range(len(MODEL_FEATURES))]) for i in range(60)], ["item_id", "label", *MODEL_FEATURES]))
+    monkeypatch.setattr(learn, "MOST_TREE_ROWS", 60 * 200)
+    assert study.impurity_importance(spark, "").count() == len(MODEL_FEATURES)
+    assert sum(sizes) == 500 and max(sizes) <= 200
