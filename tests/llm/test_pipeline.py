@@ -1,10 +1,11 @@
 """The pipeline's stages against the operators' brute-force rules, on a small corpus."""
 
+import os
 import random
 import re
 
 import corpus_pipeline
-from gazeframe.llm import toxicity
+from gazeframe.llm import common, toxicity
 
 
 def make(tmp_path, spark):
@@ -80,3 +81,21 @@ def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
             docs = corpus_pipeline.written(out, f"test-{name}")
         assert docs.count() == left
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).where("doc_tokens is null").count() == 0
+
+
+def test_a_stage_leaves_only_its_table(spark, tmp_path, monkeypatch):
+    """While a stage runs the disk holds its input and its own tables; in the end the last stage's table is left, and others' tables stay."""
+    spark.range(20).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    theirs = common.written(spark.range(3), "theirs")
+    before, seen = set(os.listdir(base)), []
+
+    def stage(s, docs, sf_dir):
+        seen.append({x.rpartition("-")[0] for x in set(os.listdir(base)) - before})
+        return common.written(common.written(docs, "within"), "within").where(f"doc_id >= {len(seen)}")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage) for n in ("one", "two", "three")])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert seen == [set(), {"stage-one"}, {"stage-two"}]
+    assert {x.rpartition("-")[0] for x in set(os.listdir(base)) - before} == {"stage-three"}
+    assert got.count() == 17 and theirs.count() == 3
